@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm.chat import repair_conversations
 from tidewatch.llm.common import table
 from tidewatch.llm.decontamination import contamination_digest, find_contamination
+from tidewatch.llm.fingerprint import fingerprint_edits
 from tidewatch.llm.packing import pack_documents
+from tidewatch.llm.quality import score_quality
 from tidewatch.llm.sharding import shard_documents
+from tidewatch.llm.toxicity import score_toxicity
+from tidewatch.llm.url_filter import filter_urls
 from tidewatch.llm.warc import read_archive, write_archive
 
 
@@ -31,12 +36,37 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(write_archive(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_packing": op2_packing,
         "op3_decontamination": op3_decontamination,
+        "op4_chat": op4_chat,
         "op5_warc": op5_warc,
+        "op6_url_filter": op6_url_filter,
+        "op8_toxicity": op8_toxicity,
+        "op9_fingerprint": op9_fingerprint,
+        "op10_quality": op10_quality,
     }
 
 
