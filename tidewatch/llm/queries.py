@@ -11,6 +11,7 @@ from tidewatch.llm.chat import repair_conversations
 from tidewatch.llm.common import table
 from tidewatch.llm.decontamination import contamination_digest, find_contamination
 from tidewatch.llm.fingerprint import fingerprint_edits
+from tidewatch.llm.ngram_jaccard import near_duplicates
 from tidewatch.llm.packing import pack_documents
 from tidewatch.llm.quality import score_quality
 from tidewatch.llm.sharding import shard_documents
@@ -44,6 +45,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat": op4_chat,
         "op5_warc": op5_warc,
         "op6_url_filter": op6_url_filter,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_toxicity": op8_toxicity,
         "op9_fingerprint": op9_fingerprint,
         "op10_quality": op10_quality,
