@@ -14,7 +14,7 @@ A document's set is its distinct five-word shingles, as hashes. Two documents li
    last part of the sorted sets; only what passes all three is verified on the whole sets.
 4. Large posting lists. A list first compares its members with one hub only; linked documents become components. Pairs of one component need
    no comparison, so a group of thousands of near copies costs a few rows for each of its documents. Hubs change from round to round
-   while the pairs that are left between components are many; then all that are left are compared.
+   while the pairs that are left between components are many against the postings; then all that are left are compared.
 5. Components by alternating large and small stars.
 
 Nulls: a null text has an empty set, linked with nothing. A null doc_id links as others do, but a component's id is its
@@ -37,32 +37,57 @@ from tidewatch.llm.common import LOWER_BYTES, materialize
 WORDS = 5
 #: Similarity in hundredths.
 LIKE = 75
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Distinct hashes, over all batches, that one range holds.
 RANGE_TOKENS = 1 << 21
-#: Words whose hashes one Python worker keeps.
-CACHE_WORDS = 400_000
-#: Hub rounds go on while the pairs left are more than so many for each document, and for so many rounds at most.
-PAIRS_EACH, ROUNDS = 8, 5
+#: Hub rounds go on while the pairs left are more than so many for each posting, and for so many rounds at most.
+PAIRS_EACH, ROUNDS = 2, 5
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
 
+class Hasher:
+    """64-bit hashes of a text's words, all at once: a word's bytes, as random numbers, in a polynomial modulo 2**64.
 
-def shingles(text: str | None, hashes: WordHashes, width: int = WORDS) -> np.ndarray:
+    Running sums over the text are cut at the words and shifted to their start, so no word is handled by itself.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.number = np.random.default_rng(20_240_101).integers(1, 1 << 63, 256).astype(np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[[32, *range(9, 14)]] = True
+        self.grow(1 << 16)
+
+    def grow(self, n: int) -> None:
+        self.up, self.down = _powers(self.BASE, n), _powers(pow(self.BASE, -1, 1 << 64), n)
+
+    def words(self, text: str | None) -> np.ndarray:
+        data = np.frombuffer((text or "").encode().translate(LOWER_BYTES), np.uint8)
+        if len(data) > len(self.up):
+            self.grow(2 * len(data))
+        inside = np.ones(len(data) + 2, bool)
+        inside[0] = inside[-1] = False
+        inside[1:-1] = ~self.space[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, end = edges[::2], edges[1::2]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.number[data] * self.up[: len(data)], out=sums[1:])
+        h = (sums[end] - sums[first]) * self.down[first] + (end - first).astype(np.uint64)
+        return h ^ (h >> np.uint64(32))
+
+
+def shingles(text: str | None, hasher: Hasher, width: int = WORDS) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's word shingles; of all its words where they are fewer."""
-    words = (text or "").encode().translate(LOWER_BYTES).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = hasher.words(text)
+    if not len(h):
+        return h
     k = min(width, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -73,23 +98,26 @@ def shingles(text: str | None, hashes: WordHashes, width: int = WORDS) -> np.nda
 
 def small(tokens: np.ndarray) -> np.ndarray:
     """Sorted 48-bit tokens of sorted 64-bit hashes."""
-    return np.unique(tokens >> np.uint64(16))
+    out = tokens >> np.uint64(16)
+    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
 
 
 def pack(sorted_tokens: np.ndarray) -> bytes:
-    """Sorted 48-bit tokens as 32-bit steps, or as they are where a step is larger."""
-    steps = np.diff(sorted_tokens, prepend=np.uint64(0))
-    if len(steps) > 1 and steps[1:].max() < 1 << 32:
-        return sorted_tokens[:1].tobytes() + steps[1:].astype(np.uint32).tobytes()
+    """Sorted 48-bit tokens as 40-bit steps (all low parts, then all high parts), or as they are where a step is larger."""
+    steps = np.diff(sorted_tokens)
+    if len(steps) and steps.max() < 1 << 40:
+        return b"\1" + sorted_tokens[:1].tobytes() + steps.astype(np.uint32).tobytes() + (steps >> np.uint64(32)).astype(np.uint8).tobytes()
     return b"\0" + sorted_tokens.tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    if len(data) % 2:
+    if not data[0]:
         return np.frombuffer(data, np.uint64, offset=1)
-    out = np.empty(1 + (len(data) - 8) // 4, np.uint64)
-    out[0] = np.frombuffer(data, np.uint64, 1)[0]
-    out[1:] = np.frombuffer(data, np.uint32, offset=8)
+    n = (len(data) - 9) // 5
+    out = np.empty(1 + n, np.uint64)
+    out[0] = np.frombuffer(data, np.uint64, 1, offset=1)[0]
+    out[1:] = np.frombuffer(data, np.uint32, n, offset=9)
+    out[1:] += np.frombuffer(data, np.uint8, offset=9 + 4 * n).astype(np.uint64) << np.uint64(32)
     return np.cumsum(out, dtype=np.uint64)
 
 
@@ -120,8 +148,8 @@ def document_sets(docs: DataFrame, like: int = LIKE, width: int = WORDS) -> Data
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"))
 
     def count_batch(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        hashes = WordHashes()
-        every = [small(shingles(t.as_py(), hashes, width)) for t in group.column("text")]
+        hasher = Hasher()
+        every = [small(shingles(t.as_py(), hasher, width)) for t in group.column("text")]
         tokens, n = np.unique(np.concatenate(every), return_counts=True)
         cuts = np.searchsorted(tokens, [np.uint64((r << 48) // ranges) for r in range(ranges + 1)])
         cuts[-1] = len(tokens)
@@ -153,9 +181,9 @@ def document_sets(docs: DataFrame, like: int = LIKE, width: int = WORDS) -> Data
         parts = sorted(zip(answers.column("range").to_pylist(), answers.column("tokens").to_pylist(), answers.column("frequency").to_pylist(), strict=True))
         known = np.concatenate([np.zeros(0, np.uint64), *(unpack(t) for _, t, _ in parts)])
         frequency = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(f, np.uint16) for _, _, f in parts)])
-        hashes, out = WordHashes(), []
+        hasher, out = Hasher(), []
         for doc_id, text in zip(group.column("doc_id").to_pylist(), group.column("text"), strict=True):
-            whole = shingles(text.as_py(), hashes, width)
+            whole = shingles(text.as_py(), hasher, width)
             n, fingerprint = len(whole), hashlib.blake2b(whole.tobytes(), digest_size=16).digest()
             tokens = small(whole)
             row = (0, doc_id, n, fingerprint, None, None, None, None)
@@ -232,14 +260,12 @@ def may_link(like: int = LIKE):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """row, root: the smallest row that each row of edges (a, b) is connected to, roots included."""
-    edges = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
-
-    def measure(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    """row, root: the smallest row that each row of edges (a, b) is connected to, roots included.
 
-    before = measure(edges)
-    while before[0]:
+    Large and small stars in turn, each round one job; done when a round leaves the edges as they were.
+    """
+    edges, before = edges.where("a <> b").select("a", "b"), None
+    while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -247,8 +273,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         edges = materialize(small, "edges")
-        after = measure(edges)
-        if after == before:
+        after = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if after == before or not after[0]:
             break
         before = after
     roots = edges.select(F.col("b").alias("row")).distinct()
@@ -260,7 +286,7 @@ def link_classes(sets: DataFrame, like: int = LIKE, pairs_each: int = PAIRS_EACH
     posted = postings(sets, like)
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     posted = materialize(posted.join(lists.select("token"), "token"), "postings")
-    n = sets.count()
+    n = posted.count()
     edges = sets.sparkSession.createDataFrame([], "a long, b long")
     tested = sets.sparkSession.createDataFrame([], "a long, b long")
     roots = None
