@@ -1,0 +1 @@
+"""Anomaly analytics over gap-sessionized sensor and event streams, as Spark DataFrames."""
