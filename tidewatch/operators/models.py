@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewatch.functions.scalar import signed_log1p
 
@@ -84,31 +85,51 @@ def shrink(s: np.ndarray, n: int, q4: float, kind: str) -> tuple[np.ndarray, flo
 
 
 def fit_gaussians(rows: DataFrame, features: list[str], by: list[str], kind: str = "ledoit_wolf") -> dict[tuple, Gaussian]:
-    """A model for each group of `by`, all in two passes: medians and means, then centred moments.
+    """A model for each group of `by`, in one pass for medians, means and covariances, where no feature is unknown.
 
-    The shuffled rows are one for each group and task; p is at most a few dozen, so a group's moments are small.
+    Unknown features take their median, which needs a pass of its own first; Ledoit-Wolf shrinkage needs one more for the
+    fourth moment about the mean. A group's moments are p * (p + 3) / 2 numbers.
     """
-    n_of = len(features)
-    medians = rows.groupBy(*by).agg(*(F.coalesce(F.median(f), F.lit(0.0)).alias(f"_m{i}") for i, f in enumerate(features)))
-    known = {tuple(r[: len(by)]): [float(x) for x in r[len(by) :]] for r in medians.collect()}
-    keyed = rows.join(F.broadcast(medians), by)
-    x = keyed.select(*by, *(signed_log1p(F.coalesce(F.col(f), F.col(f"_m{i}"))).alias(f"_x{i}") for i, f in enumerate(features)))
-    means = x.groupBy(*by).agg(*(F.avg(f"_x{i}").alias(f"_u{i}") for i in range(n_of)))
-    located = {tuple(r[: len(by)]): [float(v) for v in r[len(by) :]] for r in means.collect()}
-    c = x.join(F.broadcast(means), by)
-    c = c.select(*by, *((F.col(f"_x{i}") - F.col(f"_u{i}")).alias(f"_c{i}") for i in range(n_of)))
-    norm = sum((F.col(f"_c{i}") * F.col(f"_c{i}") for i in range(n_of)), F.lit(0.0))
+    n_of, k = len(features), len(by)
     pairs = [(i, j) for i in range(n_of) for j in range(i, n_of)]
-    moments = c.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(norm * norm).alias("q4"), *(F.sum(F.col(f"_c{i}") * F.col(f"_c{j}")) for i, j in pairs))
+
+    def moments(x: DataFrame, more: list[Column]) -> list:
+        cols = [F.col(f"_x{i}") for i in range(n_of)]
+        return x.groupBy(*by).agg(F.count(F.lit(1)), *(F.avg(c) for c in cols), *(F.covar_pop(cols[i], cols[j]) for i, j in pairs), *more).collect()
+
+    def transformed(source: DataFrame, fill: list[Column] | None) -> DataFrame:
+        value = [F.col(f).cast("double") for f in features]
+        if fill:
+            value = [F.coalesce(v, m) for v, m in zip(value, fill, strict=True)]
+        return source.select(*by, *(signed_log1p(v).alias(f"_x{i}") for i, v in enumerate(value)), *(F.col(f).alias(f"_f{i}") for i, f in enumerate(features)))
+
+    medians = [F.coalesce(F.median(f"_f{i}"), F.lit(0.0)) for i in range(n_of)]
+    unknown = F.sum(sum((F.col(f"_f{i}").isNull().cast("long") for i in range(n_of)), F.lit(0)))
+    x = transformed(rows, None)
+    found = moments(x, [*medians, unknown])
+    middle = {tuple(r[:k]): [float(v) for v in r[-n_of - 1 : -1]] for r in found}
+    if any(r[-1] for r in found):
+        table = rows.sparkSession.createDataFrame([(*key, *m) for key, m in middle.items()], StructType([*rows.select(*by).schema.fields, *(StructField(f"_m{i}", DoubleType()) for i in range(n_of))]))
+        x = transformed(rows.join(F.broadcast(table), by), [F.col(f"_m{i}") for i in range(n_of)])
+        found = moments(x, [])
     out = {}
-    for r in moments.collect():
-        key, n, q4, sums = tuple(r[: len(by)]), r[len(by)], r[len(by) + 1], r[len(by) + 2 :]
+    for r in found:
+        key, n = tuple(r[:k]), r[k]
         s = np.zeros((n_of, n_of))
-        for (i, j), v in zip(pairs, sums, strict=True):
-            s[i, j] = s[j, i] = v / n
-        covariance, share = shrink(s, n, q4, kind)
-        out[key] = Gaussian(list(features), located[key], np.linalg.pinv(covariance, hermitian=True).tolist(), known[key], share, int(n), kind)
-    return out
+        for (i, j), v in zip(pairs, r[k + 1 + n_of : k + 1 + n_of + len(pairs)], strict=True):
+            s[i, j] = s[j, i] = v
+        out[key] = (n, [float(v) for v in r[k + 1 : k + 1 + n_of]], s)
+    fourth = dict.fromkeys(out, 0.0)
+    if kind == "ledoit_wolf":
+        means = rows.sparkSession.createDataFrame([(*key, *u) for key, (_, u, _) in out.items()], StructType([*rows.select(*by).schema.fields, *(StructField(f"_u{i}", DoubleType()) for i in range(n_of))]))
+        centred = x.join(F.broadcast(means), by)
+        norm = sum(((F.col(f"_x{i}") - F.col(f"_u{i}")) ** 2 for i in range(n_of)), F.lit(0.0))
+        fourth |= {tuple(r[:k]): float(r[k]) for r in centred.groupBy(*by).agg(F.sum(norm * norm)).collect()}
+    models = {}
+    for key, (n, location, s) in out.items():
+        covariance, share = shrink(s, n, fourth[key], kind)
+        models[key] = Gaussian(list(features), location, np.linalg.pinv(covariance, hermitian=True).tolist(), middle[key], share, int(n), kind)
+    return models
 
 
 def fit_gaussian(rows: DataFrame, features: list[str], kind: str = "ledoit_wolf") -> Gaussian:
