@@ -105,3 +105,47 @@ def test_forest_detector(spark):
     d = fit_detector(train, train, SETTINGS, "forest")
     out = detect(train, d)
     assert out.where("final_alarm").count() > 0 and out.agg(F.max("sample_score")).first()[0] <= 1.0
+
+
+def test_streaming_cross_validation(spark):
+    from tidewatch.operators import splits
+    from tidewatch.operators.thresholds import monotone
+    from tidewatch.plans.protocol import comparison_table, fold_alarms, fold_scores, fold_thresholds, streaming_cv
+
+    data = rows(7, 300, 1)
+    fault = [("fault", s, t, q, x + 8, y, z + 8, 1, 0) for _, s, t, q, x, y, z, _, _ in rows(8, 120, 1)]
+    df = sessionize(spark.createDataFrame(data + fault, COLUMNS), SETTINGS.gap_sec).persist()
+    folds = splits.fold_map(df, 3, 0)
+    scores = fold_scores(df, folds, 3, SETTINGS).persist()
+    limits = fold_thresholds(scores, SETTINGS, (0.8, 0.9, 0.99))
+    for n in ("sample", "short", "long"):
+        assert monotone(limits.select("test_fold", "quantile", F.col(f"{n}_threshold").alias("threshold")), ["test_fold"]).count() == 0
+    found = fold_alarms(scores, limits, SETTINGS)
+    assert found.where("quantile = 0.9").count() == df.count()
+    assert found.where("final_alarm and not or_3").count() == 0
+    result = streaming_cv(df, SETTINGS, k=3, repeats=1, quantiles=(0.9,), variants=("final_alarm", "or_3"))
+    out = result.collect()
+    by = {r["variant"]: r for r in out}
+    assert by["or_3"]["event_detection_rate"] >= by["final_alarm"]["event_detection_rate"] > 0
+    text = comparison_table(spark.createDataFrame(out, result.schema)).first()
+    assert text["sample_f1_std"] is None and "±" not in text["sample_f1_text"]
+
+
+def test_window_runs(spark):
+    from tidewatch.operators import sessions, splits, windows
+    from tidewatch.plans.protocol import window_cv, window_run
+    from tidewatch.schema import feature_names
+
+    fault = [("fault", s, t, q, x + 8, y, z + 8, 1, 0) for _, s, t, q, x, y, z, _, _ in rows(8, 150, 1)]
+    df = sessionize(spark.createDataFrame(rows(7, 300, 2) + fault, COLUMNS), SETTINGS.gap_sec)
+    manifest = splits.assign_splits(sessions.segment_manifest(df), 0.0)
+    w = windows.time_windows(df, SETTINGS).join(manifest.select("group_id", "split"), "group_id").persist()
+    names = feature_names(SETTINGS.channels)
+    for mode, kind in (("f1", "ledoit_wolf"), ("quantile", "forest")):
+        run = window_run(w, names, kind, mode, 0.9, 2)
+        assert run["windows"].where("alarm_k_consecutive and not alarm_immediate").count() == 0
+        assert run["event_metrics"].first()["n_events"] >= 0 and run["window_metrics"].first()["tp"] >= 0 and run["audit"].first()["rows"] > 0
+    folds = splits.ranked_fold_map(df, 3)
+    kinds = df.select("group_id", "kind").distinct()
+    r = window_cv(w.join(kinds, "group_id"), names, folds, 3, 0.1, quantile=0.9).first()
+    assert r["n_events"] >= 0 and 0 <= r["fa_cycle_rate"] <= 1

@@ -501,6 +501,18 @@ def split_summary(spark, sf_dir):
     return rounded(analysis.split_summary(splits.hashed_splits(m, 432_000.0)))
 
 
+# protocols
+
+
+@query()
+def streaming_cv_sweep(spark, sf_dir):
+    from tidewatch.plans.protocol import streaming_cv
+
+    rows = event_rows(spark, sf_dir)
+    out = streaming_cv(rows, EVENT_SETTINGS, k=3, repeats=1, quantiles=(0.9, 0.95, 0.99), fold_map=lambda r, k, seed: splits.hashed_fold_map(r, k, seed))
+    return rounded(out, 4)
+
+
 # joins, sets, duplicates
 
 
