@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,13 +33,19 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 
     Cuts the lineage: rows that are used twice, or whose order must not change on a retry, are computed once and
-    survive the loss of any executor. The tables stay until drop_tables(); a cluster clears the folder by age.
+    survive the loss of any executor. The tables stay in the folder, as results may still read them; a cluster clears it by age.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of results that nothing refers to any more, as they stand in a table by now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -12,9 +12,10 @@ A document's set is its distinct five-word shingles, as hashes. Two documents li
    by frequency (rare first), by hash upwards, and by hash downwards. Frequency prefixes are posted by token; a pair
    met there must have sizes and places that allow 75 %, then share a token in both hash prefixes, which are the first and
    last part of the sorted sets; only what passes all three is verified on the whole sets.
-4. Large posting lists. A list first compares its members with one hub only; linked documents become components. Pairs of one component need
-   no comparison, so a group of thousands of near copies costs a few rows for each of its documents. Hubs change from round to round
-   while the pairs that are left between components are many against the postings; then all that are left are compared.
+4. Large groups. First, documents that share one of their first tokens by hash are compared with one hub of that list; linked ones get the label
+   of a document that they are connected to. Then the frequency prefixes are posted, and only lists with several labels are kept:
+   pairs of one label need no comparison, so a group of thousands of near copies costs a few rows for each of its documents. Lists with
+   too many pairs left are again compared with a hub, another one each round; then all pairs that are left are.
 5. Components by alternating large and small stars.
 
 Nulls: a null text has an empty set, linked with nothing. A null doc_id links as others do, but a component's id is its
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import LOWER_BYTES, materialize
+from tidewatch.llm.common import LOWER_BYTES, materialize, release
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -41,7 +42,9 @@ BATCH_BYTES = 4 << 20
 #: Distinct hashes, over all batches, that one range holds.
 RANGE_TOKENS = 1 << 21
 #: Hub rounds go on while the pairs left are more than so many for each posting, and for so many rounds at most.
-PAIRS_EACH, ROUNDS = 2, 5
+PAIRS_EACH, ROUNDS = 50, 5
+#: Tokens by which likely links are found before all that are left.
+FIRST_TOKENS = 4
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -201,31 +204,50 @@ def document_sets(docs: DataFrame, like: int = LIKE, width: int = WORDS) -> Data
     counted = by_batch.applyInArrow(count_batch, COUNTS)
     answered = counted.groupBy("range").applyInArrow(answer, ANSWERS)
     sets = by_batch.cogroup(answered.groupBy("batch")).applyInArrow(finish, SETS)
-    return materialize(sets.withColumn("row", F.monotonically_increasing_id()), "sets", compression="zstd")
+    kept = materialize(sets.withColumn("row", F.monotonically_increasing_id()), "sets", compression="zstd")
+    del rows, by_batch, counted, answered, sets
+    release(spark)  # of the texts and the packed tokens
+    return kept
 
 
-POSTINGS = "token long, row long, n long, place long"
+POSTINGS = "token long, row long, root long, n long, place long"
 
 
-def postings(sets: DataFrame, like: int = LIKE) -> DataFrame:
-    """token, row, n, place for each shared token in the prefix by frequency; place counts all of the set's tokens, rare first."""
+def _posted(sets: DataFrame, choose) -> DataFrame:
+    """token, row, root, n, place for the tokens of each set that choose(n, tokens, frequency) returns with their places."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row, n, tokens, frequency in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                t, f = np.frombuffer(tokens, np.uint64), np.frombuffer(frequency, np.uint16)
-                alone = n - len(t)
-                take = n - least_overlap(n, like) + 1 - alone
-                if take > 0:
-                    mixed = (t ^ (t >> np.uint64(21))) * _C
-                    first = np.lexsort((mixed, f))[:take]
-                    k = len(first)
-                    out.append((t[first].astype(np.int64), np.full(k, row), np.full(k, n), np.arange(alone, alone + k)))
+            for i in range(batch.num_rows):
+                row, root, n = (batch.column(k)[i].as_py() for k in range(3))
+                tokens = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
+                token, place = choose(n, tokens, np.frombuffer(batch.column(4)[i].as_buffer(), np.uint16))
+                k = len(token)
+                if k:
+                    out.append((token.astype(np.int64), np.full(k, row), np.full(k, root), np.full(k, n), place))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["token", "row", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["token", "row", "root", "n", "place"])
+
+    return sets.select("row", "root", "n", "tokens", "frequency").mapInArrow(post, POSTINGS)
+
+
+def postings(sets: DataFrame, like: int = LIKE) -> DataFrame:
+    """The shared tokens of each prefix by frequency; place counts all of the set's tokens, rare first."""
+
+    def choose(n: int, tokens: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        alone = n - len(tokens)
+        take = max(0, n - least_overlap(n, like) + 1 - alone)
+        mixed = (tokens ^ (tokens >> np.uint64(21))) * _C
+        first = np.lexsort((mixed, frequency))[:take]
+        return tokens[first], np.arange(alone, alone + len(first))
+
+    return _posted(sets, choose)
+
 
-    return sets.select("row", "n", "tokens", "frequency").mapInArrow(post, POSTINGS)
+def first_tokens(sets: DataFrame, k: int = FIRST_TOKENS) -> DataFrame:
+    """The k first shared tokens of each set by hash: likely the same in similar sets. All have place 0."""
+    return _posted(sets, lambda n, tokens, frequency: (tokens[:k], np.zeros(min(k, len(tokens)), np.int64)))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, like: int = LIKE) -> DataFrame:
@@ -281,45 +303,68 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("row"), F.col("b").alias("root")).unionByName(roots.select("row", F.col("row").alias("root")))
 
 
+def _pairs(met: DataFrame, tested: DataFrame | None, like: int) -> DataFrame:
+    """The different pairs of rows met in a list that aren't of one component, may link and weren't tested."""
+    met = met.where((F.col("l_root") != F.col("r_root")) & may_link(like))
+    pairs = met.select(F.least("l_row", "r_row").alias("a"), F.greatest("l_row", "r_row").alias("b")).distinct()
+    return materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+
+
+def _with_hubs(posted: DataFrame, hub) -> DataFrame:
+    """Each posting beside one of its list, the one with the smallest hub."""
+    sides = ("row", "root", "n", "place")
+    hubs = posted.groupBy("token").agg(F.min(F.struct(hub.alias("_by"), *sides)).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    hubs = hubs.select("token", *(F.col(f"h.{c}").alias(f"l_{c}") for c in sides))
+    return posted.select("token", *(F.col(c).alias(f"r_{c}") for c in sides)).join(hubs, "token").where(F.col("l_row") != F.col("r_row"))
+
+
+def _labels(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """row, root: a smaller row that it is connected to, in up to two steps over links (a < b), on top of labels.
+
+    Rows of one root are connected; the rows of a component may still have several roots.
+    """
+    if labels is not None:
+        links = links.unionByName(labels.select(F.col("root").alias("a"), F.col("row").alias("b")))
+    one = links.groupBy(F.col("b").alias("row")).agg(F.min("a").alias("root"))
+    two = one.select(F.col("row").alias("root"), F.col("root").alias("next"))
+    return materialize(one.join(two, "root", "left").select("row", F.coalesce("next", "root").alias("root")), "labels")
+
+
 def link_classes(sets: DataFrame, like: int = LIKE, pairs_each: int = PAIRS_EACH, rounds: int = ROUNDS) -> DataFrame:
     """row, root for the rows of sets (all different) that link to another; rows that link to nothing may be missing."""
-    posted = postings(sets, like)
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    posted = materialize(posted.join(lists.select("token"), "token"), "postings")
-    n = posted.count()
-    edges = sets.sparkSession.createDataFrame([], "a long, b long")
-    tested = sets.sparkSession.createDataFrame([], "a long, b long")
-    roots = None
-    side = lambda df, x: df.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("row", "n", "place", "root")))
-    pair = (F.least("l_row", "r_row").alias("a"), F.greatest("l_row", "r_row").alias("b"))
+    # most links of large groups, at a few postings for each document
+    likely = _with_hubs(first_tokens(sets.withColumn("root", F.col("row"))), F.col("row"))
+    tested = _pairs(likely, None, like)
+    links = materialize(verify(tested, sets, like), "links")
+    labels = _labels(links)
+    # all that may link and isn't connected yet
+    labelled = sets.join(labels, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    posted = postings(labelled, like)
+    mixed = posted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y").select("token", "k")
+    own = materialize(posted.join(mixed, "token"), "postings")
+    n = own.count()
     for k in range(rounds + 1):
-        if roots is None:
-            own = posted.withColumn("root", F.col("row"))
-        else:
-            own = posted.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
-            # lists of one component are done
-            mixed = own.groupBy("token").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("token")
-            own = own.join(mixed, "token")
-        own = materialize(own.select("token", "row", "n", "place", "root"), "postings-open")
         squares = own.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("pairs"))
         left = (squares.agg(F.sum("pairs")).first()[0] or 0) / 2
         if not left:
             break
         final = k == rounds or left <= pairs_each * n
         if final:
+            sides = ("row", "root", "n", "place")
+            side = lambda df, x: df.select("token", *(F.col(c).alias(f"{x}_{c}") for c in sides))
             met = side(own, "l").join(side(own, "r"), "token").where(F.col("l_row") < F.col("r_row"))
         else:
-            hubs = own.groupBy("token").agg(F.min(F.struct(F.xxhash64("row", F.lit(k)), "row", "n", "place", "root")).alias("h"))
-            hubs = hubs.select("token", *(F.col(f"h.{c}").alias(f"l_{c}") for c in ("row", "n", "place", "root")))
-            met = side(own, "r").join(hubs, "token").where(F.col("l_row") != F.col("r_row"))
-        pairs = materialize(met.where((F.col("l_root") != F.col("r_root")) & may_link(like)).select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            met = _with_hubs(own, F.xxhash64("row", F.lit(k)))
+        pairs = _pairs(met, tested, like)
         found = materialize(verify(pairs, sets, like), "links")
-        edges = edges.unionByName(found)
-        tested = tested.unionByName(pairs)
-        roots = materialize(components(edges), "roots")
+        links, tested = links.unionByName(found), tested.unionByName(pairs)
         if final:
             break
-    return components(edges) if roots is None else roots
+        labels = _labels(found, labels)
+        relabelled = own.drop("root").join(labels, "row", "left").withColumn("root", F.coalesce("root", "row"))
+        mixed = relabelled.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+        own = materialize(relabelled.join(mixed, "token"), "postings")
+    return components(links)
 
 
 def near_duplicates(docs: DataFrame, like: int = LIKE, width: int = WORDS) -> DataFrame:
