@@ -41,8 +41,9 @@ LIKE = 75
 BATCH_BYTES = 4 << 20
 #: Distinct hashes, over all batches, that one range holds.
 RANGE_TOKENS = 1 << 21
-#: Hub rounds go on while the pairs left are more than so many for each posting, and for so many rounds at most.
-PAIRS_EACH, ROUNDS = 50, 5
+#: Hub rounds go on while the pairs left are more than so many for each posting and a round links a new share of the
+#: documents, and for so many rounds at most.
+PAIRS_EACH, PROGRESS, ROUNDS = 2, 0.02, 8
 #: Tokens by which likely links are found before all that are left.
 FIRST_TOKENS = 4
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -210,11 +211,12 @@ def document_sets(docs: DataFrame, like: int = LIKE, width: int = WORDS) -> Data
     return kept
 
 
-POSTINGS = "token long, row long, root long, n long, place long"
+POSTINGS = "token long, row long, root long, n long, place long, centre long"
 
 
 def _posted(sets: DataFrame, choose) -> DataFrame:
-    """token, row, root, n, place for the tokens of each set that choose(n, tokens, frequency) returns with their places."""
+    """token, row, root, n, place, centre for the tokens of each set that choose(n, tokens, frequency) returns with their
+    places. centre: the mean frequency of the set's tokens, highest for the text that others are edits of."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,12 +224,13 @@ def _posted(sets: DataFrame, choose) -> DataFrame:
             for i in range(batch.num_rows):
                 row, root, n = (batch.column(k)[i].as_py() for k in range(3))
                 tokens = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
-                token, place = choose(n, tokens, np.frombuffer(batch.column(4)[i].as_buffer(), np.uint16))
-                k = len(token)
+                frequency = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint16)
+                token, place = choose(n, tokens, frequency)
+                k, centre = len(token), int(1000 * frequency.astype(np.int64).sum() // n)
                 if k:
-                    out.append((token.astype(np.int64), np.full(k, row), np.full(k, root), np.full(k, n), place))
+                    out.append((token.astype(np.int64), np.full(k, row), np.full(k, root), np.full(k, n), place, np.full(k, centre)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["token", "row", "root", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["token", "row", "root", "n", "place", "centre"])
 
     return sets.select("row", "root", "n", "tokens", "frequency").mapInArrow(post, POSTINGS)
 
@@ -319,21 +322,22 @@ def _with_hubs(posted: DataFrame, hub) -> DataFrame:
 
 
 def _labels(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """row, root: a smaller row that it is connected to, in up to two steps over links (a < b), on top of labels.
+    """row, root: the smallest row within two steps of each row over links (a, b), on top of labels.
 
     Rows of one root are connected; the rows of a component may still have several roots.
     """
     if labels is not None:
         links = links.unionByName(labels.select(F.col("root").alias("a"), F.col("row").alias("b")))
-    one = links.groupBy(F.col("b").alias("row")).agg(F.min("a").alias("root"))
-    two = one.select(F.col("row").alias("root"), F.col("root").alias("next"))
-    return materialize(one.join(two, "root", "left").select("row", F.coalesce("next", "root").alias("root")), "labels")
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
+    one = materialize(both.groupBy(F.col("a").alias("row")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
+    two = both.join(one, F.col("b") == F.col("row")).groupBy(F.col("a").alias("row")).agg(F.min("root").alias("root"))
+    return materialize(two, "labels")
 
 
 def link_classes(sets: DataFrame, like: int = LIKE, pairs_each: int = PAIRS_EACH, rounds: int = ROUNDS) -> DataFrame:
     """row, root for the rows of sets (all different) that link to another; rows that link to nothing may be missing."""
     # most links of large groups, at a few postings for each document
-    likely = _with_hubs(first_tokens(sets.withColumn("root", F.col("row"))), F.col("row"))
+    likely = _with_hubs(first_tokens(sets.withColumn("root", F.col("row"))), -F.col("centre"))
     tested = _pairs(likely, None, like)
     links = materialize(verify(tested, sets, like), "links")
     labels = _labels(links)
@@ -342,24 +346,25 @@ def link_classes(sets: DataFrame, like: int = LIKE, pairs_each: int = PAIRS_EACH
     posted = postings(labelled, like)
     mixed = posted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y").select("token", "k")
     own = materialize(posted.join(mixed, "token"), "postings")
-    n = own.count()
+    n, documents, new = own.count(), sets.count(), None
     for k in range(rounds + 1):
         squares = own.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("pairs"))
         left = (squares.agg(F.sum("pairs")).first()[0] or 0) / 2
         if not left:
             break
-        final = k == rounds or left <= pairs_each * n
+        final = k == rounds or left <= pairs_each * n or (new is not None and new < PROGRESS * documents)
         if final:
             sides = ("row", "root", "n", "place")
             side = lambda df, x: df.select("token", *(F.col(c).alias(f"{x}_{c}") for c in sides))
             met = side(own, "l").join(side(own, "r"), "token").where(F.col("l_row") < F.col("r_row"))
         else:
-            met = _with_hubs(own, F.xxhash64("row", F.lit(k)))
+            met = _with_hubs(own, F.xxhash64("row", F.lit(k)) if k else -F.col("centre"))
         pairs = _pairs(met, tested, like)
         found = materialize(verify(pairs, sets, like), "links")
         links, tested = links.unionByName(found), tested.unionByName(pairs)
         if final:
             break
+        new = found.count()
         labels = _labels(found, labels)
         relabelled = own.drop("root").join(labels, "row", "left").withColumn("root", F.coalesce("root", "row"))
         mixed = relabelled.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
