@@ -31,6 +31,21 @@ def test_archives_are_read_back_whole(spark):
     assert {r["page_id"] for r in out if r["record_type"] == "revisit"} == {5, 9}
 
 
+def test_payloads_of_several_flushes_are_read_back_whole(spark):
+    html = "".join(chr(97 + i * i % 26) for i in range(1037))
+    pages = spark.createDataFrame([(1, "u", html, None, 1), (2, "u", "small", None, 1)], PAGES)
+    archive = write_archive(pages, chunk_bytes=10, flush_bytes=100)
+    numbers = [r["chunk_no"] for r in archive.where("record_id like '1/%'").collect()]
+    assert sorted(numbers) == list(range(-1, 105))
+    joined = b"".join(r["data"] for r in archive.where("record_id like '1/%' and chunk_no > 0").orderBy("chunk_no").collect())
+    assert joined == html.encode()
+    out = {r["page_id"]: r for r in read_archive(archive).collect()}
+    assert len(out) == 2 and all(r["intact"] for r in out.values()) and out[1]["payload_bytes"] == len(html)
+    # the set flush size, crossed by one payload
+    page = spark.range(1).selectExpr("id as page_id", "'u' as url", "repeat('0123456789abcdefg', 1048576) as html")
+    assert [(r["payload_bytes"], r["intact"]) for r in read_archive(write_archive(page)).collect()] == [(17 << 20, True)]
+
+
 def test_damage_is_found(spark):
     archive = write_archive(spark.createDataFrame([(1, "u", "x" * 50, None, 1), (2, "u", "y" * 50, None, 1)], PAGES), chunk_bytes=20)
     bad = archive.withColumn("data", F.when(F.col("record_id").startswith("2/") & (F.col("chunk_no") == 2), F.lit(b"z" * 20)).otherwise(F.col("data")))

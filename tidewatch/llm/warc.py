@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import materialize
 
 CHUNK_BYTES = 1 << 18
+#: Payload bytes that the writer holds before it hands them on; chunk numbers run on over it.
+FLUSH_BYTES = 1 << 24
 DATE = "1970-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 ARCHIVE = "record_id string, chunk_no int, data binary, running_sha1 binary"
@@ -50,7 +52,7 @@ def header(page_id: int | None, url: str | None, size: int, digest: str, first:
     return ("\r\n".join(lines)).encode() + END
 
 
-def write_archive(pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def write_archive(pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES, flush_bytes: int = FLUSH_BYTES) -> DataFrame:
     """Writes the archive table of pages (page_id, url, html) to the shared folder and returns it."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
@@ -72,10 +74,10 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = CHUNK
                 name = f"{page_id}/{task}-{n}"
                 out: list[tuple] = [(name, 0, header(page_id, url, len(data), digest, first, revisit), None)]
                 running = hashlib.sha1()
-                for at in range(0, 0 if revisit else len(data), chunk_bytes):
+                for no, at in enumerate(range(0, 0 if revisit else len(data), chunk_bytes), 1):
                     running.update(data[at : at + chunk_bytes])
-                    out.append((name, len(out), bytes(data[at : at + chunk_bytes]), running.digest()))
-                    if len(out) * chunk_bytes > 1 << 24:
+                    out.append((name, no, bytes(data[at : at + chunk_bytes]), running.digest()))
+                    if len(out) * chunk_bytes > flush_bytes:
                         yield _batch(out)
                         out = []
                 out.append((name, -1, END, None))
