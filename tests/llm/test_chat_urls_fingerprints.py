@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import url_filter
 from tidewatch.llm.chat import COSTS, LEGAL, ROLES, Repair, moves, render, repair_conversations
-from tidewatch.llm.fingerprint import differing_leaves, differing_sections, fingerprint_edits, leaf_codes, leaves_of, with_fingerprint
+from tidewatch.llm.fingerprint import differing_leaves, differing_sections, fingerprint_edits, leaf_codes, leaves_of, likeness, with_fingerprint
 
 CHAT = "conv_id long, turn long, role string, text string, n long, run int, position int"
 
@@ -169,3 +169,22 @@ def test_pieces_make_up_the_text_and_edits_are_located(spark):
     r = df.select(differing_leaves(F.col("fa"), F.col("fb")).alias("ab"), differing_leaves(F.col("fa"), F.col("fc")).alias("ac"), differing_leaves(F.col("fa"), F.col("fa")).alias("aa"), F.size(leaf_codes(F.col("fa"))).alias("n"), differing_sections(F.col("fa"), F.col("fc")).alias("s"), F.size(F.split(F.split("fa", ":")[1], ",")).alias("sections")).first()
     assert r["n"] == 200 and r["ab"] == [120] and r["ac"] == [] and r["aa"] == []
     assert len(r["s"]) <= 1 < r["sections"]
+
+
+def test_shared_text_has_the_same_leaves_in_texts_of_any_length(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["th", "an", "er", "in", "ed", "so"]) for _ in range(rng.randint(1, 4)))
+    pairs = []
+    for limit in (200, 2000):
+        for end in (". ", " "):
+            text = end.join(" ".join(word() for _ in range(9)) for _ in range(limit))
+            # on both sides of a length, and on the same side
+            pairs += [(text[: limit + 5], text[11 : limit + 5]), (text[: 3 * limit], text[11 : 3 * limit]), (text[: 2 * limit], text[: limit - 1])]
+    pairs += [("д" + "слово и ещё одно длинное " * 9 + text[:1900], "слово и ещё одно длинное " * 9 + text[:1900])]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for c in "ab":
+        df = with_fingerprint(df, c, f"f{c}")
+    near = [r[0] for r in df.select(likeness(F.col("fa"), F.col("fb"))).collect()]
+    halves = near[2::3]
+    assert min(x for i, x in enumerate(near) if i % 3 != 2 or i == 12) > 0.6, near
+    assert min(halves) > 0.35, near

@@ -1,7 +1,10 @@
 """Document fingerprints: a Merkle tree over the pieces, paragraphs and sections of a text.
 
-Leaves are pieces of a paragraph: sentences, cut where they are long (after fewer characters in a short text). The pieces make up the whole
-text, line ends included. A paragraph is a line; its node hashes its leaves. A section is a run of paragraphs
+Leaves are pieces of a paragraph: sentences of up to PIECE characters, and longer ones cut where their content says so: at a
+space after one of a few letters or after any non-ASCII character, or after a mark such as `，`; only where there is none of these, after PIECE
+characters. The rule looks at near characters only and not at the text's length, so shared text has the same leaves in texts
+of any two lengths. The pieces make up the whole text, line ends included.
+A paragraph is a line; its node hashes its leaves. A section is a run of paragraphs
 that ends where a paragraph's hash says so, so an insertion moves no later section; its node hashes its paragraphs,
 and the root hashes the sections. All nodes are SHA-256.
 
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import materialize
 
-#: (texts of fewer characters, longest piece): the last holds for all others.
-PIECES = ((200, 8), (2000, 32), (None, 160))
+#: Characters of the longest piece, its stops and line ends apart.
+PIECE = 40
+#: What a piece of a longer sentence ends with.
+CUT = r"(?<=[dgnrty]|[^\x00-\x7F])[ \t]|[、。，！？；：]"
 #: Rows that one window of neighbours holds, where doc_ids are dense.
 CELL_ROWS = 128
 SUPER_CELL = 1024
@@ -30,11 +35,9 @@ SUPER_CELL = 1024
 
 def leaves_of(text: Column) -> Column:
     """The pieces of a text, in order; joined they are the text."""
-    cut = lambda n: F.regexp_extract_all(text, F.lit(rf"[^\n.!?]{{1,{n}}}[.!?]*\n*|[.!?]+\n*|\n+"), F.lit(0))
-    out = None
-    for below, n in PIECES:
-        out = F.when(F.char_length(text) < below, cut(n)) if out is None else out.when(F.char_length(text) < below, cut(n)) if below else out.otherwise(cut(n))
-    return out
+    rest = rf"[^\n.!?]{{1,{PIECE}}}+(?=[\n.!?]|\z)[.!?]*\n*"
+    part = rf"[^\n.!?]{{1,{PIECE - 1}}}?(?:{CUT})|[^\n.!?]{{1,{PIECE}}}"
+    return F.regexp_extract_all(text, F.lit(rf"{rest}|{part}|[.!?]+\n*|\n+"), F.lit(0))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
