@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm.common import materialize, table
 from tidewatch.llm.decontamination import drop_contaminated
-from tidewatch.llm.ngram_jaccard import keep_one_of_each
+from tidewatch.llm.ngram_jaccard import keep_one_row_of_each
 from tidewatch.llm.packing import pack_documents
 from tidewatch.llm.quality import drop_low_quality
 from tidewatch.llm.toxicity import drop_toxic
@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one_of_each(docs)
+    return keep_one_row_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

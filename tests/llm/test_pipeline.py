@@ -57,3 +57,22 @@ def test_rows_equal_plain_stages(spark, tmp_path):
 
 def test_stages_are_named_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == NAMES and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_rows_are_dropped_by_row_whatever_their_doc_ids(spark, tmp_path):
+    words = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    passage = " ".join(f"passage{i}" for i in range(12))
+    rows = [(None, words(1)), (None, words(1)), (None, words(2)), (3, words(2)), (4, words(3)), (4, words(3)), (9, words(3)), (5, words(4)), (5, words(5)), (1, words(4) + " end"), (None, None), (None, None)]
+    columns = "doc_id long, text string, _row_key string"
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], columns)
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    want = [(None, words(1)), (3, words(2)), (4, words(3)), (1, words(4) + " end"), (5, words(5)), (None, None), (None, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, words(1) + " " + passage), (None, words(2)), (7, passage + " " + words(3)), (7, words(4)), (8, words(5)), (8, words(5)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], columns)
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted((x for x in rows if "passage" not in (x[1] or "")), key=str)

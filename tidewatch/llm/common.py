@@ -40,6 +40,14 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs, materialized with a key of its own for each row, and the name of the key's column, which is new."""
+    key = "_row_key"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of results that nothing refers to any more, as they stand in a table by now."""
     gc.collect()

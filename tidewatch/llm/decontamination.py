@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import LOWER, UPPER, materialize
+from tidewatch.llm.common import LOWER, UPPER, materialize, with_row_key
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -226,6 +226,7 @@ def contamination_digest(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs in which no window of the benchmark occurs. Rows are held by doc_id: of repeated ids all or none stay."""
-    hit = find_contamination(docs, benchmark, window).where("size(spans) > 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(materialize(hit, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs in which no window of the benchmark occurs. Each row by itself, whatever its doc_id."""
+    keyed, key = with_row_key(docs, "rows")
+    hit = find_contamination(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, window).where("size(spans) > 0").select(F.col("doc_id").alias(key))
+    return keyed.join(materialize(hit, "contaminated"), key, "left_anti").select(*docs.columns)

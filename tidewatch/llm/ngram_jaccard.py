@@ -20,7 +20,7 @@ A document's set is its distinct five-word shingles, as hashes. Two documents li
 
 Nulls: a null text has an empty set, linked with nothing. A null doc_id links as others do, but a component's id is its
 smallest doc_id that isn't null. Repeated rows are separate documents of equal sets. An empty table gives no rows. Other
-columns are ignored, or kept by keep_one_of_each. Texts are handled whole. All row keys are made here, so doc_id need not be unique.
+columns are ignored, or kept by keep_one_of_each and keep_one_row_of_each. Texts are handled whole. All row keys are made here, so doc_id need not be unique.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import LOWER_BYTES, materialize, release
+from tidewatch.llm.common import LOWER_BYTES, materialize, release, with_row_key
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -390,3 +390,13 @@ def keep_one_of_each(docs: DataFrame, like: int = LIKE, width: int = WORDS) -> D
     """The rows of docs whose doc_id is the smallest of its component; rows without a doc_id stay."""
     gone = near_duplicates(docs, like, width).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(materialize(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def keep_one_row_of_each(docs: DataFrame, like: int = LIKE, width: int = WORDS) -> DataFrame:
+    """One row of each component of docs: the one with the smallest doc_id, and of repeated or no doc_ids any one."""
+    keyed, key = with_row_key(docs, "rows")
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), like, width).select(F.col("doc_id").alias(key), "component_id")
+    named = materialize(found.join(keyed.select(key, F.col("doc_id").cast("long").alias("_id")), key), "components")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", key)).alias("m")).select(F.col(f"m.{key}").alias(key))
+    gone = named.select(key).join(first, key, "left_anti")
+    return keyed.join(materialize(gone, "near-copies"), key, "left_anti").select(*docs.columns)
