@@ -106,3 +106,12 @@ def test_the_sample_is_bounded_and_holds_whole_texts(spark):
     assert 60 < len(texts) < 150 and set(texts) == {"ab " * 100} and set(y) == {0, 1}
     texts, _ = labelled.sample(docs, labels, "toxic", 4, 2, max_bytes=3000)
     assert 0 < len(texts) <= 10
+
+
+def test_a_giant_text_costs_the_sample_only_itself(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    small = [(i, f"text {i:02d} " * 10) for i in range(60)]
+    docs = spark.createDataFrame([*small, *((i, "x" * 50_000) for i in range(60))], "doc_id long, text string")
+    texts, y = labelled.sample(docs, labels, "toxic", 4, 2, max_bytes=6_000)
+    want = spark.createDataFrame(small, "doc_id long, text string").where(labelled.fold(4) != 2)
+    assert sorted(texts) == sorted(r["text"] for r in want.collect()) and len(set(y.tolist())) == 2

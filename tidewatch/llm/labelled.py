@@ -25,21 +25,24 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_ou
     """Texts and labels (0 or 1) of labelled documents outside the held-out fold; the same rows for the same input.
 
     Where there are more than max_rows, those with the smallest hashes of doc_id are taken, and of these as many whole texts
-    as max_bytes allows. Null texts and labels are left out.
+    as max_bytes allows: what doesn't fit any more is passed over by itself. Null texts and labels are left out.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(modulus) != held_out)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     known = known.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(_SLICES)))
     share = min(1.0, max_rows / max(1, known.count()))
     # about max_rows small rows: the bound of the broadcast
     chosen = known.where(F.col("slice") < int(share * _SLICES) if share < 1 else F.lit(True))
-    rows = materialize(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("slice", "doc_id", "text", "label"), "labelled")
-    sizes = rows.groupBy("slice").agg(F.sum(F.octet_length("text")).alias("n")).orderBy("slice").collect()
-    total, last = 0, -1
+    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = materialize(found.select("slice", "doc_id", F.octet_length("text").alias("n"), "text", "label"), "labelled")
+    # rows of one doc_id and length are taken together
+    sizes = rows.groupBy("slice", "doc_id", "n").agg(F.count(F.lit(1)).alias("rows")).orderBy("slice", "doc_id", "n").collect()
+    total, taken = 0, []
     for r in sizes:
-        if total + r["n"] > max_bytes:
-            break
-        total, last = total + r["n"], r["slice"]
-    got = rows.where(F.col("slice") <= last).orderBy("slice", "doc_id", "text").select("text", "label").collect()
+        if total + r["n"] * r["rows"] <= max_bytes:
+            total += r["n"] * r["rows"]
+            taken.append((r["slice"], r["doc_id"], r["n"]))
+    fit = docs.sparkSession.createDataFrame(taken, rows.select("slice", "doc_id", "n").schema)
+    got = rows.join(F.broadcast(fit), ["slice", "doc_id", "n"]).orderBy("slice", "doc_id", "text").select("text", "label").collect()
     return [r["text"] for r in got], np.array([r["label"] for r in got], dtype=np.int64)
 
 
