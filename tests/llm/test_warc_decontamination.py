@@ -100,3 +100,11 @@ def test_proximity_lets_words_be_off_their_place(spark):
     docs = frame(spark, ["alpha beta big gamma delta", "alpha beta gamma delta", "alpha x x x x beta gamma delta"])
     near = {r["doc_id"]: r["items"] for r in find_contamination(docs, bench, window=4, slop=1).collect()}
     assert near[0] == [1] and near[1] == [1] and near[2] == []
+
+
+def test_positions_of_very_many_short_texts_stay_in_range(spark):
+    docs = spark.range(530_000).coalesce(1).selectExpr("id as doc_id", "if(id % 100000 = 99999, 'Alpha beta', if(id % 2 = 0, '', null)) as text")
+    bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    found = find_contamination(docs, bench)
+    assert found.count() == 530_000
+    assert [r["doc_id"] for r in found.where("size(spans) > 0").orderBy("doc_id").collect()] == [k * 100_000 + 99_999 for k in range(5)]

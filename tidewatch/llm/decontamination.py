@@ -1,7 +1,7 @@
 """Benchmark decontamination over a positional inverted index.
 
 The index is split by documents, as search engines split theirs: the documents of a scan task form blocks of about
-BLOCK_BYTES of text, and a block is one row with its documents and the positions of each term in it. Positions run on
+BLOCK_BYTES of text and at most BLOCK_DOCS documents, and a block is one row with its documents and the positions of each term in it. Positions run on
 through the documents of a block with a gap between documents, so a match can't cross two. All postings of a document
 are in one block; matching therefore needs no shuffle, and a term or passage that every document has costs each block
 the same.
@@ -34,6 +34,8 @@ from tidewatch.llm.common import LOWER, UPPER, materialize, with_row_key
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
+#: Documents of a block at most, so that the gaps between them leave positions within int32.
+BLOCK_DOCS = 1 << 16
 QUERY_WORDS = 200_000
 #: Words between the documents of a block: no window or slop reaches over it.
 GAP = 1 << 12
@@ -132,7 +134,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], block_bytes: int
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = (text.as_py() or "").encode()
-                if ids and size + len(data) > block_bytes:
+                if ids and (size + len(data) > block_bytes or len(ids) >= BLOCK_DOCS):
                     yield flush()
                     block, size, base = block + 1, 0, 0
                     ids, lengths, terms, places = [], [], [], []
