@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -74,6 +76,79 @@ def test_pools_equal_a_plain_convolution():
         assert np.allclose(top, np.concatenate(want), atol=1e-4)
 
 
+def plain_toxicity(net, text):
+    """The score of a text from the net's numbers, by the definition: words, embeddings, filters, maxima, layer, threshold."""
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", "".join(c.lower() if c.isascii() else c for c in text or "").encode())
+    vectors = []
+    for w in words:
+        hashed = [zlib.crc32(w, 1)] + [zlib.crc32(w[:k], k) for k in (3, 4, 5, 6, 7) if len(w) >= k]
+        vectors.append(sum(net.embedding[h % (2**16 - 1) + 1].astype(float) for h in hashed))
+    tops = []
+    for width, filters in zip((1, 2, 3), net.filters, strict=True):
+        places = []
+        for i in range(max(1, len(words) - width + 1)):
+            places.append(sum((vectors[i + j] @ filters[j].astype(float) for j in range(width) if i + j < len(words)), np.zeros(10)))
+        tops += list(np.max(places, axis=0))
+    margin = sum(max(0.0, t + b) * o for t, b, o in zip(tops, net.bias, net.out, strict=True)) + net.out_bias
+    counts = {k: sum(w.decode(errors="ignore") in v.split() and len(w) < 6 and not any(w.decode(errors="ignore") in labelled.COMMON_WORDS[o].split() for o in labelled.COMMON_WORDS if o < k) for w in words) for k, v in labelled.COMMON_WORDS.items()}
+    language = max(sorted(counts), key=lambda k: counts[k])
+    threshold = net.thresholds[sorted(counts).index(language) if counts[language] else len(counts)]
+    return 1 / (1 + math.exp(-max(-40, min(40, net.scale * (margin - threshold) + math.log(0.3 / 0.7)))))
+
+
+def plain_shape(word, before):
+    """A word's shape, letters by case, digits and other signs; runs are one."""
+    if word == before:
+        return 7919
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c in "0123456789" else c for c in word)
+    return zlib.crc32(re.sub(r"(.)\1+", r"\1", kinds).encode())
+
+
+def plain_quality(model, text):
+    """The score of an ASCII text from the model's numbers: the sum over its different n-grams, over their norm."""
+    words, grams = text.split(), set()
+    shapes = [plain_shape(w, before) for w, before in zip(words, [None, *words], strict=False)]
+    two64 = 1 << 64
+    for i, w in enumerate(words):
+        grams.add(zlib.crc32(w.encode()) % 2**18)
+        one = shapes[i] * 0x9E3779B97F4A7C15 % two64
+        grams.add((one >> 46) + 2**18)
+        if i + 1 < len(words):
+            two = (one ^ (shapes[i + 1] + 1)) * 0xBF58476D1CE4E5B9 % two64
+            grams.add((two >> 46) + 2 * 2**18)
+            if i + 2 < len(words):
+                grams.add(((two ^ (shapes[i + 2] + 3)) * 0x94D049BB133111EB % two64 >> 46) + 3 * 2**18)
+    weight = sum(float(model.weights[g]) for g in grams or {0})
+    norm = math.sqrt(sum(float(model.ratio[g]) ** 2 for g in grams or {0}))
+    margin = weight / (norm or 1.0) + model.bias
+    return 1 / (1 + math.exp(-max(-40, min(40, model.scale * (margin - model.threshold) + math.log(0.3 / 0.7)))))
+
+
+def test_whole_scores_equal_plain_ones(spark):
+    rows = corpus(500, 21)
+    values = [r[0] for r in rows[:120]] + ["", "one", "the of AND the", "der die das und 7 ü", "Same same Same same", "a  b\tc\nD1 $$ $$"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(values)], "doc_id long, text string")
+    net = toxicity.fit([r[0] for r in rows], np.array([r[1] for r in rows]))
+    got = {r["doc_id"]: r["score"] for r in toxicity.with_score(docs, net).collect()}
+    assert all(abs(got[i] - plain_toxicity(net, t)) < 1e-4 for i, t in enumerate(values))
+    model = quality.fit([r[0] for r in rows], np.array([r[2] for r in rows]))
+    got = {r["doc_id"]: r["score"] for r in quality.with_score(docs, model).collect()}
+    assert all(abs(got[i] - plain_quality(model, t)) < 1e-4 for i, t in enumerate(values) if t.isascii())
+
+
+def test_a_model_is_fitted_in_one_task_and_columns_do_not_clash(spark):
+    rows = corpus(300, 9)
+    docs = spark.createDataFrame([(i, r[0], 1.0, 2.0, "t") for i, r in enumerate(rows)], "doc_id long, text string, _toxicity double, _quality double, _text string")
+    labels = spark.createDataFrame([(i, r[2], r[1]) for i, r in enumerate(rows)], "doc_id long, quality int, toxic int")
+    net = toxicity.train_on(docs, labels)
+    again = toxicity.fit(*labelled.sample(docs, labels, "toxic", toxicity.MODULUS, toxicity.HELD_OUT))
+    assert (net.embedding == again.embedding).all() and (net.thresholds == again.thresholds).all()
+    for kept in (toxicity.drop_toxic(docs, labels), quality.drop_low_quality(docs, labels)):
+        assert kept.columns == docs.columns
+        found = kept.collect()
+        assert 0 < len(found) < len(rows) and {(r["_toxicity"], r["_quality"], r["_text"]) for r in found} == {(1.0, 2.0, "t")}
+
+
 @pytest.mark.parametrize(("module", "score", "drop", "label", "column", "modulus", "out"), [(toxicity, toxicity.score_toxicity, toxicity.drop_toxic, "toxic", 1, 4, 2), (quality, quality.score_quality, quality.drop_low_quality, "quality", 2, 5, 0)])
 def test_scores_of_a_table(spark, module, score, drop, label, column, modulus, out):
     rows = corpus(600, 7)

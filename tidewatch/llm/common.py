@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -21,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -40,18 +41,51 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_name(df: DataFrame, name: str) -> str:
+    """name, or with as many _ behind it as make it the name of no column of df."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def with_row_key(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     """docs, materialized with a key of its own for each row, and the name of the key's column, which is new."""
-    key = "_row_key"
-    while key in {c.lower() for c in docs.columns}:
-        key += "_"
+    key = new_name(docs, "_row_key")
     return materialize(docs.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of results that nothing refers to any more, as they stand in a table by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: A key is hot if more than one row in so many has it: there are at most so many hot keys.
+HOT = 1000
+
+
+def look_up(rows: DataFrame, found: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows with the other columns of found, null where found lacks the key.
+
+    found has a row for each key, which isn't null, and in the column n how many of the `total` rows have it. The
+    hot keys, at most HOT of them, are broadcast; their rows then take no part in the join by key, but are spread.
+    """
+    values = [c for c in found.columns if c not in (key, n)]
+    part = lambda hot, tag: found.where((F.col(n) * HOT > total) == F.lit(hot)).select(F.col(key).alias(f"_{tag}"), *(F.col(c).alias(f"_{tag}_{c}") for c in values))
+    out = rows.join(F.broadcast(part(True, "hot")), F.col(key) == F.col("_hot"), "left")
+    out = out.withColumn("_cold_key", F.when(F.col("_hot").isNull(), F.col(key))).withColumn("_spread", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), F.monotonically_increasing_id()))
+    cold = part(False, "cold").withColumn("_none", F.lit(None).cast("long"))
+    out = out.join(cold, F.col("_cold_key").eqNullSafe(F.col("_cold")) & F.col("_spread").eqNullSafe(F.col("_none")), "left")
+    return out.select(*rows.columns, *(F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in values))
+
+
+def with_position(rows: DataFrame, order: list, out: str, name: str) -> DataFrame:
+    """Materializes rows with out: the place of each, from 0, in the order of all rows by `order`, which has no ties.
+
+    Rows are dealt by ranges of that order, placed within their range and shifted by the counts of the ranges before.
+    The counts are as many as there are shuffle partitions, so they may be broadcast.
+    """
+    ranged = materialize(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))
+    placed = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(offsets), "_part")
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_rank") - 1).cast("long").alias(out))
 
 
 def ascii_lower(text: Column) -> Column:

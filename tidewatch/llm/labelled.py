@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +25,8 @@ def fold(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[list[str], np.ndarray]:
-    """Texts and labels (0 or 1) of labelled documents outside the held-out fold; the same rows for the same input.
+def sample_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """slice, doc_id, text, label (0 or 1) of labelled documents outside the held-out fold; the same rows for the same input.
 
     Where there are more than max_rows, those with the smallest hashes of doc_id are taken, and of these as many whole texts
     as max_bytes allows: what doesn't fit any more is passed over by itself. Null texts and labels are left out.
@@ -42,10 +46,31 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_ou
             total += r["n"] * r["rows"]
             taken.append((r["slice"], r["doc_id"], r["n"]))
     fit = docs.sparkSession.createDataFrame(taken, rows.select("slice", "doc_id", "n").schema)
-    got = rows.join(F.broadcast(fit), ["slice", "doc_id", "n"]).orderBy("slice", "doc_id", "text").select("text", "label").collect()
+    return rows.join(F.broadcast(fit), ["slice", "doc_id", "n"]).select("slice", "doc_id", "text", "label")
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[list[str], np.ndarray]:
+    """The texts and labels of sample_rows, in a fixed order."""
+    got = sample_rows(docs, labels, label, modulus, held_out, max_rows, max_bytes).orderBy("slice", "doc_id", "text").select("text", "label").collect()
     return [r["text"] for r in got], np.array([r["label"] for r in got], dtype=np.int64)
 
 
+def fit_in_task(rows: DataFrame, fit: Callable[[list[str], np.ndarray], object]) -> object:
+    """What fit(texts, labels) returns for the rows of a sample, called in one task: the sample is bounded, and the driver
+    gets the model only."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[str] = []
+        y: list[int] = []
+        for batch in batches:
+            texts += batch.column(2).to_pylist()
+            y += batch.column(3).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.array(y, dtype=np.int64)))], pa.binary())], ["model"])
+
+    got = rows.repartition(1).sortWithinPartitions("slice", "doc_id", "text").mapInArrow(train, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit([], np.zeros(0, np.int64))
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
 

@@ -24,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidewatch.llm.labelled import AT_CUT, CUT, best_threshold, fold, sample, sigmoid, slope
+from tidewatch.llm.common import new_name
+from tidewatch.llm.labelled import AT_CUT, CUT, best_threshold, fit_in_task, fold, sample_rows, sigmoid, slope
 
 MODULUS, HELD_OUT = 5, 0
 BUCKETS = 1 << 18
@@ -53,7 +55,7 @@ class Features(dict):
         """The sorted distinct features of a text."""
         found = (text or "").encode().split()
         if not found:
-            return np.zeros(1, np.int64)
+            return np.zeros(1, np.int32)
         both = np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
         unit = both >> np.uint64(32)
         s = both & np.uint64(0xFFFFFFFF)
@@ -67,7 +69,7 @@ class Features(dict):
             if len(a) > 2:
                 parts.append(((b[:-1] ^ (s[2:] + np.uint64(3))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(46))
         # the same n-gram order shares no bucket space on purpose: 2**18 buckets for each of the four kinds
-        return np.unique(np.concatenate([p.astype(np.int64) + k * BUCKETS for k, p in enumerate(parts)]))
+        return np.unique(np.concatenate([p.astype(np.int32) + np.int32(k * BUCKETS) for k, p in enumerate(parts)]))
 
 
 KINDS = 4
@@ -99,7 +101,7 @@ def dual_coordinate_descent(docs: list[np.ndarray], y: np.ndarray, ratio: np.nda
     w, bias = np.zeros(len(ratio)), 0.0
     sign = np.where(y == 1, 1.0, -1.0)
     cost = c * len(y) * np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    values = [ratio[x] for x in docs]
+    values = [ratio[x].astype(np.float32) for x in docs]
     values = [v / (np.sqrt(v @ v) or 1.0) for v in values]
     alpha = np.zeros(len(docs))
     for _ in range(passes):
@@ -143,11 +145,11 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 0) -> Model | float:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | float:
-    return fit(*sample(docs, labels, label, MODULUS, HELD_OUT))
+    return fit_in_task(sample_rows(docs, labels, label, MODULUS, HELD_OUT), fit)
 
 
 def with_score(docs: DataFrame, model: Model | float, column: str = "score") -> DataFrame:
-    """docs with the score of each row's text in one more column."""
+    """docs with the score of each row's text in one more column, of a name that docs doesn't have."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,10 +163,9 @@ def with_score(docs: DataFrame, model: Model | float, column: str = "score") ->
                 scores = sigmoid(model.scale * (margins - model.threshold) + AT_CUT)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], column])
 
-    kept = [c for c in docs.columns if c != column]
-    rows = docs.select(*kept, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(score, f"{schema}, `{column}` double")
+    rows = docs.withColumn(new_name(docs, "_text"), F.col("text").cast("string"))
+    schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
+    return rows.mapInArrow(score, schema)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -175,4 +176,5 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are predicted to be of good quality."""
-    return with_score(docs, train_on(docs, labels), "_quality").where(F.col("_quality") >= CUT).select(*docs.columns)
+    score = new_name(docs, "_quality")
+    return with_score(docs, train_on(docs, labels), score).where(F.col(score) >= CUT).drop(score)

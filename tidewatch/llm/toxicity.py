@@ -24,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidewatch.llm.labelled import AT_CUT, CUT, N_LANGUAGES, WORD_BYTES, best_threshold, fold, language_of, sample, sigmoid, slope
+from tidewatch.llm.common import new_name
+from tidewatch.llm.labelled import AT_CUT, CUT, N_LANGUAGES, WORD_BYTES, best_threshold, fit_in_task, fold, language_of, sample_rows, sigmoid, slope
 
 MODULUS, HELD_OUT = 4, 2
 BUCKETS = 1 << 16
@@ -91,8 +93,8 @@ class Net:
         top, _ = self.pool(parts)
         return float(np.maximum(top + self.bias, 0) @ self.out + self.out_bias)
 
-    def train(self, docs: list[np.ndarray], y: np.ndarray, steps: int, seed: int = 0, rate: float = 0.05) -> None:
-        """AdaGrad on single documents, the rarer class weighted up. docs: embedding rows for each word."""
+    def train(self, docs: list[np.ndarray], rows_of_word: np.ndarray, y: np.ndarray, steps: int, seed: int = 0, rate: float = 0.05) -> None:
+        """AdaGrad on single documents, the rarer class weighted up. docs: word numbers; rows_of_word: their embedding rows."""
         rng = np.random.default_rng(seed)
         squares = np.full(BUCKETS, 1e-3, np.float32)
         state = {k: np.full(np.shape(v), 1e-3, np.float32) for k, v in (("bias", self.bias), ("out", self.out), ("out_bias", self.out_bias))}
@@ -105,7 +107,7 @@ class Net:
                 if step and error / SETTLED_STEPS < SETTLED:
                     break
                 error = 0.0
-            rows = docs[i]
+            rows = rows_of_word[docs[i]]
             e = self.embedding[rows].sum(1)
             top, places = self.pool(e @ self.columns())
             act = np.maximum(top + self.bias, 0)
@@ -183,8 +185,10 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 0) -> Net | float:
         own = rng.permutation(np.flatnonzero(y == c))
         kept[own[: len(own) // 4]] = len(own) >= 8
     net = Net(seed)
-    docs = [np.array([rows_of(w) for w in words(t)] or [[0] * (1 + len(PREFIXES))], np.int64) for t, k in zip(texts, kept, strict=True) if not k]
-    net.train(docs, y[~kept], min(STEPS, PASSES * len(docs)), seed)
+    number: dict[bytes, int] = {b"": 0}  # a text without words has one of no rows
+    docs = [np.array([number.setdefault(w, len(number)) for w in words(t)] or [0], np.int32) for t, k in zip(texts, kept, strict=True) if not k]
+    rows_of_word = np.array([[0] * (1 + len(PREFIXES)), *(rows_of(w) for w in list(number)[1:])], np.int32)
+    net.train(docs, rows_of_word, y[~kept], min(STEPS, PASSES * len(docs)), seed)
     if len(set(y[kept].tolist())) < 2:
         kept[:] = True
     scorer = Scorer(net)
@@ -201,11 +205,11 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 0) -> Net | float:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Net | float:
-    return fit(*sample(docs, labels, label, MODULUS, HELD_OUT))
+    return fit_in_task(sample_rows(docs, labels, label, MODULUS, HELD_OUT), fit)
 
 
 def with_score(docs: DataFrame, model: Net | float, column: str = "score") -> DataFrame:
-    """docs with the score of each row's text in one more column."""
+    """docs with the score of each row's text in one more column, of a name that docs doesn't have."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +219,9 @@ def with_score(docs: DataFrame, model: Net | float, column: str = "score") -> Da
             scores = [scorer.score(t.as_py()) if scorer else shared.value for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], column])
 
-    kept = [c for c in docs.columns if c != column]
-    rows = docs.select(*kept, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(score, f"{schema}, `{column}` double")
+    rows = docs.withColumn(new_name(docs, "_text"), F.col("text").cast("string"))
+    schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
+    return rows.mapInArrow(score, schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -229,4 +232,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted toxic."""
-    return with_score(docs, train_on(docs, labels), "_toxicity").where(F.col("_toxicity") < CUT).select(*docs.columns)
+    score = new_name(docs, "_toxicity")
+    return with_score(docs, train_on(docs, labels), score).where(F.col(score) < CUT).drop(score)
