@@ -1,11 +1,14 @@
 import base64
 import hashlib
+import random
 import re
 
+import numpy as np
+import pytest
 from corpus import COLUMNS, empty, frame, rows, texts
 from pyspark.sql import functions as F
 
-from tidewatch.llm.decontamination import contamination_digest, drop_contaminated, find_contamination
+from tidewatch.llm.decontamination import Block, Numbers, Queries, build_index, contamination_digest, drop_contaminated, find_contamination, matches, search_index
 from tidewatch.llm.warc import read_archive, write_archive
 
 PAGES = "page_id long, url string, html string, sha1 string, first long"
@@ -95,11 +98,49 @@ def test_contamination_equals_brute_force(spark):
     assert find_contamination(empty(spark), bench).collect() == []
 
 
-def test_proximity_lets_words_be_off_their_place(spark):
+def brute_near(w, v, slop):
+    """The words that a proximity match of v covers, over all starts."""
+    hit = set()
+    for start in range(-len(v) - slop, len(w) + slop + 1):
+        at = []
+        for j, term in enumerate(v):
+            near = [p for p in range(max(0, start + j - slop), min(len(w), start + j + slop + 1)) if w[p] == term]
+            if not near:
+                break
+            at.append(min(near, key=lambda p: (abs(p - start - j), p)))  # noqa: B023
+        else:
+            hit |= set(range(min(at), max(at) + 1))
+    return hit
+
+
+@pytest.mark.parametrize("slop", [1, 2, 5])
+def test_proximity_equals_brute_force(slop):
+    rng = random.Random(slop)
+    for trial in range(60):
+        docs = [[rng.choice("abcdef") for _ in range(rng.randint(0, 14))] for _ in range(6)]
+        items = [[rng.choice("abcdefg") for _ in range(rng.randint(1, 5))] for _ in range(4)]
+        number = Numbers()
+        ids = np.array([number[w.encode()] for d in docs for w in d], np.int32)
+        place = np.argsort(ids, kind="stable").astype(np.int32)
+        block = Block(np.array([len(d) for d in docs]), list(number), np.bincount(ids, minlength=len(number)), place)
+        for s in (0, slop):
+            got = [set() for _ in docs]
+            queries = Queries([(i, " ".join(v)) for i, v in enumerate(items)], 5)
+            for _, found, first, end in matches(block, queries, s):
+                for d, a, b in zip(found, first, end, strict=True):
+                    got[d] |= set(range(a, b))
+            assert got == [set().union(*(brute_near(d, v, s) for v in items)) for d in docs], (trial, s)
+
+
+def test_proximity_stays_in_its_document(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
-    docs = frame(spark, ["alpha beta big gamma delta", "alpha beta gamma delta", "alpha x x x x beta gamma delta"])
-    near = {r["doc_id"]: r["items"] for r in find_contamination(docs, bench, window=4, slop=1).collect()}
-    assert near[0] == [1] and near[1] == [1] and near[2] == []
+    docs = frame(spark, ["x y z w", "beta alpha gamma delta", "alpha x x x x x x beta gamma delta", "delta gamma beta alpha", "alpha beta", "gamma delta"])
+    near = {r["doc_id"]: (r["items"], r["spans"]) for r in find_contamination(docs, bench, window=4, slop=2).collect()}
+    assert near[1] == ([1], [[0, 4]]) and not any(near[i][0] for i in (0, 2, 3, 4, 5))
+    assert {r["doc_id"]: r["items"] for r in find_contamination(docs, bench, window=4, slop=3).collect()}[3] == [1]
+    index = build_index(docs)
+    other = spark.createDataFrame([(7, "x y z w")], "item_id long, text string")
+    assert {r["doc_id"] for r in search_index(index, other, window=4).where("size(items) > 0").collect()} == {0}
 
 
 def test_positions_of_very_many_short_texts_stay_in_range(spark):
