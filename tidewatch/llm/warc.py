@@ -10,7 +10,7 @@ chunk_no, -1 last, gives the bytes of a .warc file.
 Payloads of at least min_bytes that are equal are stored once: the record with the smallest page_id is the response,
 the others are revisits, which name it and its digest and store no payload.
 
-Nulls: a null html is an empty payload. A null page_id writes a response of its own and is never referred to unless all
+Payloads are equal if their SHA-1 is. Nulls: a null html is an empty payload. A null page_id writes a response of its own and is never referred to unless all
 page_ids of its payload are null. Repeated rows of a response write the same response again. A null url leaves out
 WARC-Target-URI. An empty table gives an empty archive. Other columns are ignored.
 """
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import materialize
+from tidewatch.llm.common import look_up, materialize
 
 CHUNK_BYTES = 1 << 18
 #: Payload bytes that the writer holds before it hands them on; chunk numbers run on over it.
@@ -56,11 +56,10 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = CHUNK
     """Writes the archive table of pages (page_id, url, html) to the shared folder and returns it."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
-    # only payloads that occur again are joined; they are written first, so Spark knows their size and need not shuffle
-    # the pages where they are few
+    # only payloads that occur again are looked up; a digest that many pages have is broadcast, so no task gets all its pages
     digests = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = materialize(digests.where("n > 1 and first is not null").select("sha1", "first"), "warc-repeated")
-    rows = rows.join(repeated, "sha1", "left").select("page_id", "url", "payload", "sha1", "first")
+    repeated = materialize(digests.where("n > 1 and first is not null").select("sha1", "first", "n"), "warc-repeated")
+    rows = look_up(rows, repeated, "sha1", "n", repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("page_id", "url", "payload", "sha1", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
