@@ -6,12 +6,14 @@ parameters. Dynamic programming over the automaton's states finds the cheapest r
 and of roles, from the end backwards.
 
 A conversation of any length is split into runs of about sqrt(n) turns. A run is a table of costs from each state before it to each after it
-(min-plus); the tables are chained along a conversation to the states between runs, and each run is then repaired on its
-own. Nor is a conversation rendered in one cell: each turn has its fragment, and the fragments in order are the rendered
-conversation.
+(min-plus); chaining the tables along a conversation gives the least cost of each state before each run. From these, each run tells
+which state before it leads to each state after it, by the rule for equal costs above; following that from the last run to the first
+gives the states between runs, and each run is then repaired on its own. The repair is the same as of the whole at once
+(costs that aren't whole numbers may differ in rounding). Nor is a conversation rendered in one cell: each turn has its
+fragment, and the fragments in order are the rendered conversation.
 
 Nulls: a null or unknown role must be relabelled; a null text is empty; turns with a null number come first; rows of a null
-conv_id are one conversation. Repeated rows are separate turns. An empty table gives no rows. Other columns are ignored.
+conv_id are one conversation. Turns of one number are ordered by role, then text; repeated rows are separate turns. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import materialize
+from tidewatch.llm.common import look_up, materialize, with_position
 
 #: States are what came last; the first stands for nothing yet.
 STATES = ("start", "system", "user", "assistant")
@@ -56,9 +58,10 @@ class Repair:
     def __init__(self, costs=COSTS):
         self.moves = {(s, r): moves(s, r, costs) for s in STATES for r in (*ROLES, None)}
 
-    def forward(self, first: str, roles: list[str | None]) -> tuple[dict[str, float], list[dict[str, tuple]]]:
-        """Least cost of each state at the end, and for each turn the best way into each state: (state before, move)."""
-        best, back = {first: 0.0}, []
+    def forward(self, best: dict[str, float], roles: list[str | None]) -> tuple[dict[str, float], list[dict[str, tuple]]]:
+        """Least cost of each state at the end, from the costs of the states before, and for each turn the best way into each
+        state: (state before, move)."""
+        back = []
         for role in roles:
             after: dict[str, float] = {}
             ways: dict[str, tuple] = {}
@@ -72,16 +75,15 @@ class Repair:
             back.append(ways)
         return best, back
 
-    def repair(self, first: str, roles: list[str | None], last: str | None = None) -> list[tuple]:
-        """The moves of the cheapest repair from a state to a state (None: the cheapest end)."""
-        best, back = self.forward(first, roles)
-        state = last or min(STATES, key=lambda s: best.get(s, _FAR))
+    def repair(self, best: dict[str, float], roles: list[str | None], last: str | None = None) -> tuple[str, list[tuple]]:
+        """The state before, and the moves, of the cheapest repair to a state (None: the cheapest end)."""
+        end, back = self.forward(best, roles)
+        state = last or min(STATES, key=lambda s: end.get(s, _FAR))
         out = []
         for ways in reversed(back):
-            before, move = ways[state]
+            state, move = ways[state]
             out.append(move)
-            state = before
-        return out[::-1]
+        return state, out[::-1]
 
 
 def fragment(move: tuple, text: str, at_start: bool, at_end: bool) -> str:
@@ -112,74 +114,88 @@ def _known(role: str | None) -> str | None:
 
 
 def _in_order(turns: DataFrame, size: int) -> DataFrame:
-    """Adds position (from 0 along the conversation) and run (of size positions).
-
-    The turns of a long conversation fall into spans of their numbers, about size turns each where numbers are dense; they are
-    sorted within a span and shifted by the counts of the spans before.
-    """
-    spans = F.ceil(F.col("n") / size)
-    span = F.coalesce(F.floor((F.col("turn") - F.col("low")) * spans / (F.col("high") - F.col("low") + 1)), F.lit(0)).cast("long")
-    turns = turns.withColumn("_span", span)
-    before = Window.partitionBy("_c").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    counts = turns.groupBy(F.col("conv_id").alias("_c"), F.col("_span").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_c", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("conv_id", "_span").orderBy("turn", "role", "text")
-    rows = turns.withColumn("_rank", F.row_number().over(own)).join(offsets, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_span") == F.col("_s")))
-    position = (F.col("_before") + F.col("_rank") - 1).cast("long")
-    return rows.select("conv_id", F.floor(position / size).alias("run"), position.alias("position"), "turn", "role", "text", "n")
+    """Adds n (turns of the conversation), position (from 0 along it) and run (of size positions)."""
+    keyed = turns.withColumn("_row", F.monotonically_increasing_id())
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text", "_row")]
+    rows = materialize(with_position(keyed, order, "_at", "turns-ranges").drop("_row"), "turns-placed")
+    # a key that is never null, also apart from all numbers
+    rows = rows.withColumn("_key", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    totals = materialize(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first")).withColumn("turns", F.col("n")), "turn-counts")
+    rows = look_up(rows, totals.select("_key", "n", "_first", "turns"), "_key", "n", turns.count())
+    position = F.col("_at") - F.col("_first")
+    return rows.select("conv_id", F.floor(position / size).alias("run"), position.alias("position"), "turn", "role", "text", F.col("turns").alias("n"))
+
+
+KNOWN = "array<double>"
 
 
 def repair_conversations(conversations: DataFrame, costs=COSTS) -> DataFrame:
     """Each turn with its action, new role, inserted role, cost and rendered fragment."""
     turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text"))
     turns = materialize(turns, "turns")
-    n = turns.count()
-    size = max(64, int(n**0.5))
-    totals = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("low"), F.max("turn").alias("high")).select(F.col("conv_id").alias("_conv"), "n", "low", "high")
-    ranked = materialize(_in_order(turns.join(totals, F.col("conv_id").eqNullSafe(F.col("_conv"))), size), "turns-ranked")
+    size = max(64, int(turns.count() ** 0.5))
+    ranked = materialize(_in_order(turns, size), "turns-ranked")
     together = lambda df: df.repartition("conv_id", "run").sortWithinPartitions("conv_id", "run", "position")
+    along = lambda df: df.repartition("conv_id").sortWithinPartitions("conv_id", "run")
+
+    def batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names)
+
+    # conversations of one run need no chain
+    long = ranked.where(F.col("n") > size).select("conv_id", "run", "position", "role")
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dp, out = Repair(costs), []
         for rows in _runs(batches, 2):
             roles = [_known(r[3]) for r in rows]
-            out.append((*rows[0][:2], [[dp.forward(s, roles)[0].get(e, _FAR) for e in STATES] for s in STATES]))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.list_(pa.float64()))))], ["conv_id", "run", "costs"])
+            out.append((*rows[0][:2], [[dp.forward({s: 0.0}, roles)[0].get(e, _FAR) for e in STATES] for s in STATES]))
+        yield batch(out, ["conv_id", "run", "costs"], [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.float64()))])
 
-    # conversations of one run need no chain
-    long = ranked.where(F.col("n") > size)
-    chained = together(long.select("conv_id", "run", "position", "role")).mapInArrow(tables, "conv_id long, run long, costs array<array<double>>")
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def costs_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 1):
+            best, out = [0.0, *[_FAR] * (len(STATES) - 1)], []
+            for r in rows:
+                out.append((*r[:2], best))
+                best = [min(b + table[e] for b, table in zip(best, r[2], strict=True)) for e in range(len(STATES))]
+            yield batch(out, ["_conv", "_run", "before"], [pa.int64(), pa.int64(), pa.list_(pa.float64())])
+
+    chained = together(long).mapInArrow(tables, f"conv_id long, run long, costs array<{KNOWN}>")
+    before = materialize(along(chained).mapInArrow(costs_before, f"_conv long, _run long, before {KNOWN}"), "run-costs")
+    same_run = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("run") == F.col("_run"))
+    known = lambda values: {s: v for s, v in zip(STATES, values, strict=True) if v < _FAR}
+
+    def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dp, out = Repair(costs), []
+        for rows in _runs(batches, 2):
+            end, back = dp.forward(known(rows[0][4]), [_known(r[3]) for r in rows])
+            from_state = []
+            for e in STATES:
+                state = e if e in end else None
+                for step in reversed(back if state else []):
+                    state = step[state][0]
+                from_state.append(state)
+            out.append((*rows[0][:2], rows[0][4], [end.get(e, _FAR) for e in STATES], from_state))
+        yield batch(out, ["conv_id", "run", "before", "after", "from_state"], [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.string())])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, 1):
-            best, ways = {0: 0.0}, []
-            for _, _, table in rows:
-                after: dict[int, float] = {}
-                way: dict[int, int] = {}
-                for s, cost in sorted(best.items()):
-                    for e, more in enumerate(table[s]):
-                        if cost + more < after.get(e, _FAR):
-                            after[e], way[e] = cost + more, s
-                best = after
-                ways.append(way)
-            end, out = min(sorted(best), key=best.get), []
-            for row, way in zip(reversed(rows), reversed(ways), strict=True):
-                out.append((*row[:2], STATES[way[end]], STATES[end]))
-                end = way[end]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], ["_conv", "_run", "first", "last"])
-
-    ends = chained.repartition("conv_id").sortWithinPartitions("conv_id", "run").mapInArrow(chain, "_conv long, _run long, first string, last string")
-    ends = materialize(ends, "run-ends")
-    rows = ranked.join(ends, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("run") == F.col("_run")), "left").select("conv_id", "run", "position", "turn", "role", "text", "n", "first", "last")
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string())
+            end, out = min(range(len(STATES)), key=lambda e: rows[-1][3][e]), []
+            for r in reversed(rows):
+                out.append((*r[:3], STATES[end]))
+                end = STATES.index(r[4][end])
+            yield batch(out, ["_conv", "_run", "before", "last"], [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.string()])
+
+    reached = together(long.join(before, same_run).select("conv_id", "run", "position", "role", "before")).mapInArrow(ways, f"conv_id long, run long, before {KNOWN}, after {KNOWN}, from_state array<string>")
+    between = materialize(along(reached).mapInArrow(ends, f"_conv long, _run long, before {KNOWN}, last string"), "run-ends")
+    rows = ranked.join(between, same_run, "left").select("conv_id", "run", "position", "turn", "role", "text", "n", "before", "last")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()]
     names = [x.split()[0] for x in OUT.split(", ")]
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dp = Repair(costs)
         for rows in _runs(batches, 2):
-            found = dp.repair(rows[0][7] or "start", [_known(r[4]) for r in rows], rows[0][8])
-            out = [(r[0], r[3], r[2], r[4], m[1], m[2], m[3], float(m[0]), fragment(m, r[5], r[2] == 0, r[2] == r[6] - 1)) for r, m in zip(rows, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            _, found = dp.repair(known(rows[0][7]) if rows[0][7] else {"start": 0.0}, [_known(r[4]) for r in rows], rows[0][8])
+            yield batch([(r[0], r[3], r[2], r[4], m[1], m[2], m[3], float(m[0]), fragment(m, r[5], r[2] == 0, r[2] == r[6] - 1)) for r, m in zip(rows, found, strict=True)], names, kinds)
 
     return together(rows).mapInArrow(repair, OUT)
 
