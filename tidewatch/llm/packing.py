@@ -7,7 +7,8 @@ as one entry with a count. Each step is a run (length, ranks, sequences, offset)
 rank among the pieces of their length.
 
 Nulls: a null text is an empty document, so just the end id. A null doc_id is kept. Repeated rows are separate
-documents. An empty table gives no rows. Other columns are ignored. Long texts are cut, never shortened.
+documents. Pieces of equal length
+are ranked by doc_id, then start. An empty table gives no rows. Other columns are ignored. Long texts are cut, never shortened.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ MAX_TOKENS = 2048
 END_ID = 1
 #: Entries of the chunk cache of one Python worker before it starts anew.
 CACHE_ENTRIES = 300_000
+#: Runs of 40 bytes each that may be broadcast.
+BROADCAST_RUNS = 200_000
 SPECIAL = {"<|endoftext|>": 50256}
 
 
@@ -134,8 +137,10 @@ def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int =
     spark = docs.sparkSession
     pieces = materialize(token_pieces(docs, max_tokens, end_id, with_ids, encoder), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    runs = spark.createDataFrame(pack_histogram(histogram, max_tokens), "_length long, _first long, _end long, _sequence long, _offset long")
+    placed = pack_histogram(histogram, max_tokens)
+    runs = spark.createDataFrame(placed, "_length long, _first long, _end long, _sequence long, _offset long")
     ranked = rank_within(pieces, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], "_rank", sum(histogram.values()))
-    # runs number at most one for each entry that a length meets; Spark broadcasts them only below its threshold
-    found = ranked.join(runs, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
+    # there are a few runs for each length; most pieces may be of one length, so the runs are broadcast, beyond BROADCAST_RUNS
+    # (very large max_tokens) by Spark's own threshold only
+    found = ranked.join(F.broadcast(runs) if len(placed) <= BROADCAST_RUNS else runs, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
     return found.select(*pieces.columns, (F.col("_sequence") + F.col("_rank") - F.col("_first")).alias("sequence_id"), F.col("_offset").alias("offset"))
