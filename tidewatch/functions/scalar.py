@@ -56,11 +56,15 @@ def stream_kind(source: Column, state: Column, idle: Column) -> Column:
     return F.when(fault, "fault").when(F.coalesce(idle, F.lit(0)) == 1, "idle").otherwise("normal")
 
 
-def duration_bin(sec: Column) -> Column:
-    return F.when(sec < 0.5, "<0.5s").when(sec < 1.0, "0.5-<1.0s").when(sec.isNotNull(), ">=1.0s")
+DURATION_BINS = ("<0.5s", "0.5-<1.0s", ">=1.0s")
 
 
-DURATION_BINS = ("<0.5s", "0.5-<1.0s", ">=1.0s")
+def duration_bin(sec: Column, ends: tuple[float, ...] = (0.5, 1.0), names: tuple[str, ...] = DURATION_BINS) -> Column:
+    """The name of the bin of a duration: below the first end, from each end on, from the last end on."""
+    out = F.when(sec < ends[0], names[0])
+    for end, name in zip(ends[1:], names[1:], strict=False):
+        out = out.when(sec < end, name)
+    return out.when(sec.isNotNull(), names[-1])
 
 
 def direction(delta: Column, tolerance: float = 1e-12) -> Column:
@@ -97,10 +101,18 @@ def clock_text(ts: Column) -> Column:
 
 
 def log_progress(line: Column) -> Column:
-    """A log line's progress, 0 to 1, from a percentage or else an a/b fraction."""
-    percent = F.try_to_number(F.nullif(F.regexp_extract(line, r"(\d{1,3}(?:\.\d+)?)\s*%", 1), F.lit("")), F.lit("999.99")).cast("double") / 100
-    done, total = (F.nullif(F.regexp_extract(line, r"\b(\d+)\s*/\s*(\d+)\b", k), F.lit("")).cast("double") for k in (1, 2))
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(percent, F.try_divide(done, total))))
+    """The progress, 0 to 1, that a log line tells: its first percentage up to 100 %, else its last fraction done/total.
+
+    A fraction is two whole numbers alone: no date, path or time of which they are a part. Its total is 2 or more, done at
+    most that. Null where a line tells none.
+    """
+    words = lambda text, between: F.split(text, between)
+    percents = F.filter(words(F.regexp_replace(line, r"\s+%", "%"), "[^0-9.%]+"), lambda w: w.rlike(r"^[0-9]{1,3}([.][0-9]+)?%"))
+    percent = F.split(F.get(percents, F.lit(0)), "%")[0].cast("double")
+    fractions = F.filter(words(F.regexp_replace(line, r"\s*/\s*", "/"), "[^0-9/.:-]+"), lambda w: w.rlike("^[0-9]+/[0-9]+$"))
+    last = F.split(F.get(fractions, F.size(fractions) - 1), "/")
+    done, total = (last[k].cast("double") for k in (0, 1))
+    return F.when(percent <= 100, percent / 100).when((total >= 2) & (done <= total), done / total)
 
 
 def group_number(group_id: str) -> int:

@@ -78,26 +78,30 @@ def k_consecutive(windows: DataFrame, threshold: Column, k: int, out: str = "ala
 def alarms_to_rows(rows: DataFrame, windows: DataFrame, alarm: str, out: str) -> DataFrame:
     """out: true for rows in [end, end + length) of an alarmed window of their segment, when its alarm is known.
 
-    Alarmed intervals that meet are merged first, so a row has one partner at most and the join makes no copies.
+    The intervals are put among the rows where they begin; a row is in one if the latest end so far lies behind it. Nothing is
+    joined, so many intervals of a long segment cost no more than their rows.
     """
     width = F.col("end_us") - F.col("start_us")
-    on = windows.where(F.col(alarm)).select(F.col("group_id").alias("_g"), F.col("end_us").alias("_from"), (F.col("end_us") + width).alias("_to"))
-    along = Window.partitionBy("_g").orderBy("_from", "_to")
-    before = F.max("_to").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.coalesce((F.col("_from") > before).cast("int"), F.lit(1))).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    merged = on.withColumn("_i", island).groupBy("_g", "_i").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
-    met = (F.col("group_id") == F.col("_g")) & (F.col("t_us") >= F.col("_from")) & (F.col("t_us") < F.col("_to"))
-    return rows.join(merged, met, "left").withColumn(out, F.col("_g").isNotNull()).drop("_g", "_i", "_from", "_to")
+    marks = windows.where(F.col(alarm)).select("group_id", F.col("end_us").alias("t_us"), (F.col("end_us") + width).alias("_to"))
+    both = rows.withColumn("_to", F.lit(None).cast("long")).unionByName(marks, allowMissingColumns=True)
+    # of one time, the intervals come first
+    so_far = Window.partitionBy("group_id").orderBy("t_us", F.col("_to").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn(out, F.coalesce(F.max("_to").over(so_far) > F.col("t_us"), F.lit(False)))
+    return both.where("_to is null").select(*rows.columns, out)
 
 
 def windows_with_alarms(windows: DataFrame, rows: DataFrame, alarm: str, out: str) -> DataFrame:
-    """out: true for windows in whose interval after the end (as above) a row of kind normal has the alarm."""
-    width = F.col("end_us") - F.col("start_us")
-    hits = rows.where(F.col(alarm) & (F.col("kind") == "normal")).select(F.col("group_id").alias("_g"), F.col("t_us").alias("_t"))
-    keyed = windows.withColumns({"_from": F.col("end_us"), "_to": F.col("end_us") + width})
-    met = (F.col("group_id") == F.col("_g")) & (F.col("_t") >= F.col("_from")) & (F.col("_t") < F.col("_to"))
-    hit = keyed.join(hits, met, "left_semi").select("group_id", "start_us", "end_us").distinct().withColumn(out, F.lit(True))
-    return windows.join(hit, ["group_id", "start_us", "end_us"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    """out: true for windows in whose interval after the end (as above) a row of kind normal has the alarm.
+
+    The alarmed rows are put among the windows by time; each window looks at the first of them from its end on.
+    """
+    hits = rows.where(F.col(alarm) & (F.col("kind") == "normal")).select("group_id", F.col("t_us").alias("_hit"))
+    both = windows.withColumn("_hit", F.lit(None).cast("long")).unionByName(hits, allowMissingColumns=True)
+    at = F.coalesce("_hit", "end_us")
+    ahead = Window.partitionBy("group_id").orderBy(at, F.col("_hit").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    until = 2 * F.col("end_us") - F.col("start_us")
+    both = both.withColumn(out, F.coalesce(F.min("_hit").over(ahead) < until, F.lit(False)))
+    return both.where("_hit is null").select(*windows.columns, out)
 
 
 def derive_alarms(scored: DataFrame, thresholds: dict[str, Column], settings) -> DataFrame:

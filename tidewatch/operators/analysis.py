@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.scalar import DURATION_BINS, direction, duration_bin, evaluable, ratio, seconds
 from tidewatch.operators.metrics import count_if
 from tidewatch.operators.sessions import along, with_gaps
+from tidewatch.operators.thresholds import exact_quantiles
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 #: Upper ends of the gap bins after the first (0, 0.15]; the last bin has none (fixed values).
@@ -23,7 +24,8 @@ def gap_statistics(samples: DataFrame) -> DataFrame:
     """Count, mean, median, deviation, extremes and quantiles of the gaps of each source."""
     g = F.col("gap_sec")
     rows = with_gaps(samples).where(g.isNotNull())
-    out = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(g).alias("mean"), F.stddev_samp(g).alias("std"), F.min(g).alias("min"), F.max(g).alias("max"), F.percentile(g, F.array(*map(F.lit, QUANTILES))).alias("_q"))
+    out = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(g).alias("mean"), F.stddev_samp(g).alias("std"), F.min(g).alias("min"), F.max(g).alias("max"))
+    out = out.join(exact_quantiles(rows, "gap_sec", QUANTILES, ["source"]).select("source", F.col("quantiles").alias("_q")), "source")
     return out.select("source", "n", "mean", "std", "min", "max", *(F.col("_q")[i].alias(f"q{round(q * 100):02d}") for i, q in enumerate(QUANTILES)))
 
 
@@ -135,7 +137,8 @@ def unpivoted(rows: DataFrame, features: list[str], keep: list[str]) -> DataFram
 def robust_effects(rows: DataFrame, features: list[str], cohort: str, base: str, target: str) -> DataFrame:
     """For each feature the medians and quartiles of two cohorts, the difference of medians, and it over IQR / 1.349 of the base."""
     long = unpivoted(rows.where(F.col(cohort).isin(base, target)), features, [cohort])
-    q = long.groupBy("feature").agg(*(F.percentile(F.when(F.col(cohort) == c, F.col("value")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(n) for c, n in ((base, "_b"), (target, "_t"))))
+    q = exact_quantiles(long, "value", (0.25, 0.5, 0.75), ["feature", cohort])
+    q = q.groupBy("feature").agg(*(F.max(F.when(F.col(cohort) == c, F.col("quantiles"))).alias(n) for c, n in ((base, "_b"), (target, "_t"))))
     b, t = F.col("_b"), F.col("_t")
     delta, iqr = t[1] - b[1], b[2] - b[0]
     out = q.select("feature", b[1].alias("base_median"), b[0].alias("base_q25"), b[2].alias("base_q75"), iqr.alias("base_iqr"), t[1].alias("target_median"), t[0].alias("target_q25"), t[2].alias("target_q75"), delta.alias("delta"), (100 * ratio(delta, F.abs(b[1]))).alias("delta_pct"), ratio(delta, iqr / 1.349).alias("effect"), direction(delta).alias("direction"))
@@ -178,6 +181,49 @@ def channel_ranges(samples: DataFrame, channels: tuple[str, ...]) -> DataFrame:
     return wide.select("source", each.alias("_e")).select("source", "_e.*")
 
 
+# rows of results
+
+
+def event_slice(rows: DataFrame, group_id: str, before_sec: float = 0.0) -> DataFrame:
+    """The rows of one segment with t_sec, seconds since its first faulty row (its first row where there is none), from
+    before_sec before that on."""
+    own = rows.where(F.col("group_id") == group_id)
+    whole = Window.partitionBy("group_id")
+    onset = F.coalesce(F.min(F.when(F.col("state") >= 1, F.col("t_us"))).over(whole), F.min("t_us").over(whole))
+    out = own.withColumn("t_sec", seconds(F.col("t_us"), onset))
+    return out.where(F.col("t_sec") >= -before_sec) if before_sec else out
+
+
+ROW_KEY = ("group_id", "t_us", "seq")
+
+
+def with_results(rows: DataFrame, results: DataFrame, columns: list[str], key: tuple[str, ...] = ROW_KEY) -> DataFrame:
+    """rows with these columns of the results of the same rows; rows without results fall out."""
+    return rows.join(results.select(*key, *columns), list(key))
+
+
+def differences(a: DataFrame, b: DataFrame, columns: list[str], key: tuple[str, ...] = ROW_KEY, tolerance: float = 1e-6) -> DataFrame:
+    """column, differing: for each column how many rows of two results of the same rows differ (numbers by more than the
+    tolerance, relative above 1); rows that one side lacks differ in all."""
+    side = lambda df, x: df.select(*key, F.lit(True).alias(f"_{x}"), *(F.col(c).alias(f"{x}_{c}") for c in columns))
+    both = side(a, "a").join(side(b, "b"), list(key), "full_outer")
+    counts = []
+    for c in columns:
+        x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
+        if dict(a.dtypes)[c] in ("double", "float"):
+            same = (x.isNull() & y.isNull()) | F.coalesce(F.abs(x - y) <= tolerance * F.greatest(F.lit(1.0), F.abs(x)), F.lit(False))
+        else:
+            same = x.eqNullSafe(y)
+        counts.append(count_if(F.col("_a").isNull() | F.col("_b").isNull() | ~same).alias(c))
+    return both.agg(*counts).unpivot([], columns, "column", "differing")
+
+
+def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row in `order` of each key: which one doesn't depend on how rows are dealt, if orders differ."""
+    first = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
+
+
 # missed events and delays
 
 
@@ -258,6 +304,18 @@ def evaluable_events(manifest: DataFrame, lengths: tuple[float, ...]) -> DataFra
     return manifest.where("source = 'fault'").select("group_id", "duration_sec", *(evaluable(F.col("duration_sec"), w).alias(f"fits_{str(w).replace('.', '_')}") for w in lengths))
 
 
+def missed_sentences(events: DataFrame, n: int = 3) -> DataFrame:
+    """The n events that are missed most often, as text."""
+    top = events.where("missed > 0").orderBy(F.desc("missed"), "duration_sec", "group_id").limit(n)
+    return top.select("group_id", F.format_string("%s (%.2f s): missed in %d of %d evaluations", "group_id", "duration_sec", "missed", "evaluations").alias("sentence"))
+
+
+def bin_sentences(bins: DataFrame) -> DataFrame:
+    """The detection rate of each duration bin, as text."""
+    rate = F.when(F.col("detection_rate").isNull(), "no evaluation").otherwise(F.format_string("%.1f %% of %d evaluations", 100 * F.col("detection_rate"), F.col("evaluations")))
+    return bins.select("duration_bin", F.format_string("%s: %s", "duration_bin", rate).alias("sentence"))
+
+
 def effect_sentences(effects: DataFrame, n: int = 3) -> DataFrame:
     """The n largest effects, as text."""
     top = effects.where("effect is not null").orderBy(F.desc(F.abs("effect")), "feature").limit(n)

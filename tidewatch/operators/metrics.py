@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,23 +77,34 @@ def cycles(rows: DataFrame, alarm: str, by: list[str] | None = None) -> DataFram
 
 
 def raw_alarm_metrics(rows: DataFrame, alarm: str, by: list[str] | None = None) -> DataFrame:
-    """F1, precision and recall without idle rows; events and delay; false-alarm cycles and episodes of normal and idle segments."""
+    """F1, precision and recall without idle rows; events and delay; false-alarm cycles and episodes of normal and idle segments.
+
+    One aggregate by segment, and one of the segments.
+    """
     by = by or []
-    sample = confusion(rows, alarm, by, F.col("kind") != "idle")
-    sample = sample.select(*by, F.col("f1").alias("sample_f1"), F.col("precision").alias("sample_precision"), F.col("recall").alias("sample_recall"))
-    events = event_metrics(sample_events(rows, alarm, by), by).select(*by, "n_events", "detected_events", "event_detection_rate", "delay_mean_sec")
-    each = cycles(rows, alarm, by)
-    aggs = []
-    for kind in ("normal", "idle"):
-        own = F.col("kind") == kind
-        aggs += [count_if(own).alias(f"{kind}_cycles"), count_if(own & (F.col("alarm_rows") > 0)).alias(f"{kind}_fa_cycles"), F.coalesce(F.sum(F.when(own, F.col("episodes"))), F.lit(0)).alias(f"{kind}_fa_episodes")]
-    false = each.groupBy(*by).agg(*aggs)
+    order = Window.partitionBy(*by, "group_id").orderBy("t_us", "seq")
+    y, hit = F.col("label") == 1, F.coalesce(F.col(alarm), F.lit(False))
+    marked = rows.withColumn("_start", hit & ~F.coalesce(F.lag(alarm).over(order), F.lit(False)))
+    each = marked.groupBy(*by, "group_id", "kind").agg(
+        count_if(y & hit).alias("_tp"),
+        count_if(~y & hit).alias("_fp"),
+        count_if(y & ~hit).alias("_fn"),
+        count_if(F.col("_start")).alias("_episodes"),
+        F.min("t_us").alias("_onset"),
+        F.min(F.when(hit, F.col("t_us"))).alias("_hit"),
+    )
+    of = lambda kind: F.col("kind") == kind
+    found = F.col("_hit").isNotNull()
+    aggs = [F.coalesce(F.sum(F.when(~of("idle"), F.col(c))), F.lit(0)).alias(c) for c in ("_tp", "_fp", "_fn")]
+    aggs += [count_if(of("fault")).alias("n_events"), count_if(of("fault") & found).alias("detected_events"), F.avg(F.when(of("fault"), seconds(F.col("_hit"), F.col("_onset")))).alias("delay_mean_sec")]
     for kind in ("normal", "idle"):
-        false = false.withColumn(f"{kind}_fa_cycle_rate", ratio(F.col(f"{kind}_fa_cycles"), F.col(f"{kind}_cycles")))
-    key = by or ["_k"]
-    parts = [p if by else p.withColumn("_k", F.lit(1)) for p in (sample, events, false)]
-    out = parts[0].join(parts[1], key, "full_outer").join(parts[2], key, "full_outer")
-    return out if by else out.drop("_k")
+        aggs += [count_if(of(kind)).alias(f"{kind}_cycles"), count_if(of(kind) & found).alias(f"{kind}_fa_cycles"), F.coalesce(F.sum(F.when(of(kind), F.col("_episodes"))), F.lit(0)).alias(f"{kind}_fa_episodes")]
+    out = each.groupBy(*by).agg(*aggs)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    tp, fp, fn = F.col("_tp"), F.col("_fp"), F.col("_fn")
+    out = out.withColumns({"sample_f1": zero(ratio(2 * tp, 2 * tp + fp + fn)), "sample_precision": zero(ratio(tp, tp + fp)), "sample_recall": zero(ratio(tp, tp + fn)), "event_detection_rate": ratio(F.col("detected_events"), F.col("n_events")), **{f"{k}_fa_cycle_rate": ratio(F.col(f"{k}_fa_cycles"), F.col(f"{k}_cycles")) for k in ("normal", "idle")}})
+    parts = [f"{k}_{x}" for k in ("normal", "idle") for x in ("cycles", "fa_cycles", "fa_episodes")]
+    return out.select(*by, "sample_f1", "sample_precision", "sample_recall", "n_events", "detected_events", "event_detection_rate", "delay_mean_sec", *parts, "normal_fa_cycle_rate", "idle_fa_cycle_rate")
 
 
 def window_false_alarms(windows: DataFrame, alarm: str, step_sec: float, by: list[str] | None = None) -> DataFrame:
@@ -108,17 +121,82 @@ def window_false_alarms(windows: DataFrame, alarm: str, step_sec: float, by: lis
     return each.groupBy(*by).agg(F.coalesce(F.sum("_e"), F.lit(0)).alias("n_episodes"), F.coalesce(F.sum("_x"), F.lit(0.0)).alias("exposure_sec"), F.count(F.lit(1)).alias("n_groups"), count_if(F.col("_e") > 0).alias("n_fa_groups"))
 
 
-def fold_totals(folds: DataFrame, by: list[str]) -> DataFrame:
-    """Counts of folds summed, and the rates of the sums."""
-    sums = [c for c, t in folds.dtypes if c not in by and c != "fold" and t in ("bigint", "int", "double")]
-    out = folds.groupBy(*by).agg(*(F.sum(c).alias(c) for c in sums))
-    if {"tp", "fp", "fn"} <= set(sums):
-        out = out.withColumn("pooled_f1", F.coalesce(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)))
-    if {"n_episodes", "exposure_sec"} <= set(sums):
-        out = out.withColumn("fa_per_hour", ratio(F.col("n_episodes") * 3600, F.col("exposure_sec")))
-    if {"n_fa_groups", "n_groups"} <= set(sums):
-        out = out.withColumn("fa_cycle_rate", ratio(F.col("n_fa_groups"), F.col("n_groups")))
-    return out
+#: What window folds add up.
+FOLD_COUNTS = ("tp", "fp", "tn", "fn", "fa_episodes", "exposure_sec", "cycles", "fa_cycles", "idle_windows", "idle_alarm_windows", "idle_cycles", "idle_fa_cycles", "idle_fa_episodes", "idle_exposure_sec")
+
+
+def _only_row(parts: list[DataFrame], by: list[str]) -> DataFrame:
+    """Tables of one row for each `by`, side by side."""
+    keyed = [p if by else p.withColumn("_k", F.lit(1)) for p in parts]
+    out = functools.reduce(lambda a, b: a.join(b, by or ["_k"], "full_outer"), keyed)
+    return out if by else out.drop("_k")
+
+
+def fold_counts(windows: DataFrame, alarm: str, step_sec: float, by: list[str]) -> DataFrame:
+    """FOLD_COUNTS of the test windows of each fold (by): sample counts, false alarms and exposure, of idle windows apart."""
+    main, idle = windows.where("kind <> 'idle'"), windows.where("kind = 'idle'")
+    sample = confusion(main, alarm, by).select(*by, "tp", "fp", "tn", "fn")
+    false = lambda rows: window_false_alarms(rows, alarm, step_sec, by)
+    names = {"n_episodes": "fa_episodes", "exposure_sec": "exposure_sec", "n_groups": "cycles", "n_fa_groups": "fa_cycles"}
+    own = false(main).withColumnsRenamed(names)
+    apart = false(idle).withColumnsRenamed({k: f"idle_{v}" for k, v in names.items()})
+    rows = idle.groupBy(*by).agg(F.count(F.lit(1)).alias("idle_windows"), count_if(F.col(alarm)).alias("idle_alarm_windows"))
+    out = _only_row([sample, own, apart, rows], by)
+    return out.select(*by, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FOLD_COUNTS))
+
+
+def fold_totals(counts: DataFrame, events: DataFrame, by: list[str]) -> DataFrame:
+    """The rates of FOLD_COUNTS summed over folds, and of the events (detected, delay_sec, window_sec) of all of them."""
+    total = counts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in FOLD_COUNTS))
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    total = total.withColumns(
+        {
+            "pooled_f1": zero(ratio(2 * tp, 2 * tp + fp + fn)),
+            "pooled_precision": zero(ratio(tp, tp + fp)),
+            "pooled_recall": zero(ratio(tp, tp + fn)),
+            "normal_window_fpr": ratio(fp, fp + tn),
+            "fa_cycle_rate": ratio(F.col("fa_cycles"), F.col("cycles")),
+            "normal_exposure_min": F.col("exposure_sec") / 60.0,
+            "fa_per_hour": ratio(F.col("fa_episodes") * 3600, F.col("exposure_sec")),
+            "idle_fa_cycle_rate": ratio(F.col("idle_fa_cycles"), F.col("idle_cycles")),
+            "idle_window_fpr": ratio(F.col("idle_alarm_windows"), F.col("idle_windows")),
+        }
+    )
+    over = events.groupBy(*by).agg(F.avg(F.when(F.col("detected"), F.col("delay_sec") - F.col("window_sec"))).alias("delay_minus_window_mean_sec"))
+    return _only_row([event_metrics(events, by), over, total], by)
+
+
+def sample_fold_metrics(rows: DataFrame, alarm: str, dt: float, long_sec: float, by: list[str]) -> DataFrame:
+    """Metrics of sample alarms over test rows: events (also those of long_sec or more), delays in seconds and samples, sample
+    counts without idle rows, false alarms of normal segments over their exposure (rows times dt), and of idle segments."""
+    events = sample_events(rows, alarm, by)
+    spans = rows.where("kind = 'fault'").groupBy(*by, "group_id").agg(seconds(F.max("t_us"), F.min("t_us")).alias("duration_sec"))
+    events = events.join(spans, [*by, "group_id"])
+    found, long = F.col("detected"), F.col("duration_sec") >= long_sec - 1e-9
+    each = events.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.avg(found.cast("double")).alias("event_detection_rate"),
+        count_if(long).alias("n_events_long"),
+        F.avg(F.when(long, found.cast("double"))).alias("event_detection_rate_long"),
+        F.avg(F.when(found, F.col("delay_sec"))).alias("delay_mean_sec"),
+        F.median(F.when(found, F.col("delay_sec"))).alias("delay_median_sec"),
+        F.avg("samples_to_alarm").alias("samples_to_alarm_mean"),
+    )
+    sample = confusion(rows, alarm, by, F.col("kind") != "idle").select(*by, F.col("f1").alias("sample_f1"), F.col("precision").alias("sample_precision"), F.col("recall").alias("sample_recall"), F.col("fpr").alias("normal_sample_fpr"))
+    of = lambda kind: F.col("kind") == kind
+    total = lambda kind, c: F.coalesce(F.sum(F.when(of(kind), F.col(c))), F.lit(0))
+    false = cycles(rows, alarm, by).groupBy(*by).agg(
+        count_if(of("normal")).alias("normal_cycles"),
+        count_if(of("normal") & (F.col("episodes") > 0)).alias("fa_cycles"),
+        total("normal", "episodes").alias("fa_episodes"),
+        (total("normal", "rows") * F.lit(dt)).alias("exposure_sec"),
+        count_if(of("idle")).alias("idle_cycles"),
+        ratio(count_if(of("idle") & (F.col("episodes") > 0)), count_if(of("idle"))).alias("idle_fa_cycle_rate"),
+        ratio(total("idle", "alarm_rows"), total("idle", "rows")).alias("idle_sample_fpr"),
+    )
+    false = false.withColumns({"fa_cycle_rate": ratio(F.col("fa_cycles"), F.col("normal_cycles")), "fa_per_hour": ratio(F.col("fa_episodes") * 3600, F.col("exposure_sec"))})
+    return _only_row([each, sample, false], by)
 
 
 def mean_and_std(repeats: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
@@ -126,11 +204,13 @@ def mean_and_std(repeats: DataFrame, by: list[str], measures: list[str]) -> Data
     return repeats.groupBy(*by).agg(*(a for m in measures for a in (F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"))))
 
 
-def detection_frequency(events: DataFrame) -> DataFrame:
-    """For each event over repeats: evaluations, detections, misses, rate, mean delay."""
-    out = events.groupBy("group_id").agg(F.count(F.lit(1)).alias("repeats"), count_if(F.col("detected")).alias("detected"), F.avg("delay_sec").alias("delay_mean_sec"))
+def detection_frequency(events: DataFrame, by: list[str] | None = None, scale: str | None = None) -> DataFrame:
+    """For each event over repeats: evaluations, detections, misses, rate, mean delay, and the longest scale that judged it."""
+    keys = [*(by or []), "group_id"]
+    more = [F.max(scale).alias(scale)] if scale else []
+    out = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeats"), count_if(F.col("detected")).alias("detected"), F.avg("delay_sec").alias("delay_mean_sec"), *more)
     out = out.withColumn("missed", F.col("repeats") - F.col("detected"))
-    return out.withColumn("detection_rate", ratio(F.col("detected"), F.col("repeats"))).orderBy(F.desc("missed"), "group_id")
+    return out.withColumn("detection_rate", ratio(F.col("detected"), F.col("repeats"))).orderBy(F.desc("missed"), *keys)
 
 
 def realtime_events(log: DataFrame, alarm: str = "final_alarm", by_segment: bool = False) -> DataFrame:

@@ -171,6 +171,16 @@ class Forest:
             total += t["path"][node]
         return 2.0 ** (-(total / len(self.trees)) / max(_average_path(self.sample), 1e-12))
 
+    def to_json(self) -> str:
+        """Numbers only: a saved forest can be read without running anything of it."""
+        return json.dumps({"features": self.features, "medians": self.medians, "sample": self.sample, "trees": [{k: v.tolist() for k, v in t.items()} for t in self.trees]}, sort_keys=True)
+
+    @staticmethod
+    def from_json(text: str) -> Forest:
+        d = json.loads(text)
+        trees = [{k: np.array(v, float if k in ("value", "path") else np.int64) for k, v in t.items()} for t in d["trees"]]
+        return Forest(d["features"], d["medians"], trees, d["sample"])
+
     def score(self, columns: dict[str, Column] | None = None) -> Column:
         model = self
 
@@ -181,6 +191,15 @@ class Forest:
         return forest(*((columns or {}).get(f, F.col(f)).cast("double") for f in self.features))
 
 
+def model_from_json(text: str) -> Gaussian | Forest:
+    """A saved model of either kind; an error where it lacks what its kind needs."""
+    fields = set(json.loads(text))
+    for kind, needed in ((Gaussian, {"features", "location", "precision", "medians"}), (Forest, {"features", "medians", "trees", "sample"})):
+        if needed <= fields:
+            return kind.from_json(text)
+    raise ValueError(f"not a saved model: {sorted(fields)}")
+
+
 def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> dict:
     feature, value, left, right, path = [], [], [], [], []
 

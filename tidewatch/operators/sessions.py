@@ -33,6 +33,31 @@ def sessionize(samples: DataFrame, gap_sec: float = 0.5) -> DataFrame:
     )
 
 
+def sessionize_in_cells(samples: DataFrame, gap_sec: float, cell_sec: float) -> DataFrame:
+    """As sessionize, for series of any length: a series is dealt by time into cells of cell_sec, each ordered by itself.
+
+    What crosses a cell's start, the gap to the row before and the number of breaks so far, comes from one row for each cell
+    and its neighbour. The rows that idle shares are taken of are counted by segment, so no window spans a whole series.
+    """
+    keys = ["source", "series"]
+    rows = samples.withColumn("_cell", F.floor(F.col("t_us") / round(cell_sec * 1e6)).cast("long"))
+    inside = Window.partitionBy(*keys, "_cell").orderBy("t_us", "seq")
+    rows = rows.withColumn("_gap", seconds(F.col("t_us"), F.lag("t_us").over(inside)))
+    cells = rows.groupBy(*keys, "_cell").agg(F.min("t_us").alias("_first"), F.max("t_us").alias("_last"), F.sum(F.coalesce((F.col("_gap") > gap_sec).cast("long"), F.lit(0))).alias("_inner"))
+    by_cell = Window.partitionBy(*keys).orderBy("_cell")
+    cells = cells.withColumn("_enter", seconds(F.col("_first"), F.lag("_last").over(by_cell)))
+    opens = F.coalesce((F.col("_enter") > gap_sec).cast("long"), F.lit(0))
+    cells = cells.withColumn("_before", F.sum(opens + F.col("_inner")).over(by_cell.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_inner"))
+    rows = rows.join(cells.select(*keys, "_cell", "_enter", "_before"), [*keys, "_cell"])
+    breaks = F.coalesce((F.col("_gap") > gap_sec).cast("long"), F.lit(0))
+    rows = rows.withColumns({"segment_id": F.col("_before") + F.sum(breaks).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "gap_sec": F.when(F.row_number().over(inside) == 1, F.col("_enter")).otherwise(F.col("_gap"))})
+    segments = rows.groupBy(*keys, "segment_id").agg(F.avg((F.col("idle") == 1).cast("double")).alias("_idle"))
+    rows = rows.join(segments, [*keys, "segment_id"])
+    group = F.concat_ws("_", "source", F.col("series").cast("string"), F.col("segment_id").cast("string"))
+    out = rows.withColumns({"group_id": group, "kind": kind_of(F.col("source"), F.col("_idle")), "label": label_of(F.col("state"))})
+    return out.select(*samples.columns, "gap_sec", "segment_id", "group_id", "kind", "label")
+
+
 def segment_manifest(rows: DataFrame) -> DataFrame:
     """One row for each segment: times, length, largest gap within, idle and fault shares, and the first faulty time."""
     idle, state = (F.col("idle") == 1).cast("double"), (F.col("state") >= 1).cast("double")

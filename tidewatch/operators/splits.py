@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.scalar import finite
+
 ID_LIMIT = 2_000_000
 
 
@@ -37,10 +39,15 @@ def fold_map(rows: DataFrame, k: int, seed: int) -> DataFrame:
     return rows.sparkSession.createDataFrame(out, "group_id string, fold int")
 
 
+def hash_share(group_id: Column, seed: int = 0) -> Column:
+    """A number from 0 to below 1 for each group: the first 32 bits of the MD5 of seed:group_id."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), group_id)), 1, 8), 16, 10).cast("double") / 2**32
+
+
 def hashed_fold_map(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """group_id, kind, fold: a fold for each group by its CRC with the seed; needs no order of the groups."""
+    """group_id, kind, fold: a fold for each group by its hash with the seed; needs no order of the groups."""
     groups = rows.select("group_id", "kind").distinct()
-    return groups.withColumn("fold", (F.crc32(F.concat_ws(":", F.lit(str(seed)), "group_id").cast("binary")) % k).cast("int"))
+    return groups.withColumn("fold", F.floor(hash_share(F.col("group_id"), seed) * k).cast("int"))
 
 
 def ranked_fold_map(rows: DataFrame, k: int) -> DataFrame:
@@ -95,17 +102,17 @@ def split_sizes(n: int, train: float, validation: float) -> tuple[int, int]:
 
 
 def hashed_splits(manifest: DataFrame, common_sec: float, train: float = 0.6, validation: float = 0.2) -> DataFrame:
-    """As assign_splits, with each group's split by its CRC."""
+    """As assign_splits, with each group's split by its hash."""
     idle = F.col("idle_majority") == 1
     short = (F.col("source") == "fault") & F.col("onset_us").isNotNull() & (F.col("duration_sec") < common_sec)
-    u = F.crc32(F.col("group_id").cast("binary")) % 1000 / 1000.0
+    u = hash_share(F.col("group_id"))
     return manifest.withColumn("split", F.when(idle, "EXCLUDED_IDLE").when(short, "EXCLUDED_SHORT").when(u < train, "train").when(u < train + validation, "val").otherwise("test"))
 
 
 def calibration_groups(rows: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """group_id of a seeded share of the groups, at least one and not all."""
-    if not 0.0 < fraction < 1.0:
-        raise ValueError("fraction must be between 0 and 1")
+    """group_id of a seeded share of the groups, from 5 % to below a half, at least one and not all."""
+    if not 0.05 <= fraction < 0.5:
+        raise ValueError("fraction must be 0.05 or more and below 0.5")
     ids = _ids(rows)
     if len(ids) < 2:
         raise ValueError("at least two groups are needed")
@@ -113,10 +120,18 @@ def calibration_groups(rows: DataFrame, fraction: float, seed: int) -> DataFrame
     return rows.sparkSession.createDataFrame([(g,) for g in _shuffled(ids, np.random.default_rng(seed))[:n]], "group_id string")
 
 
-def training_rows(rows: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
-    """Normal rows that aren't idle, without the groups to exclude."""
+def training_rows(rows: DataFrame, exclude: DataFrame | None = None, channels: tuple[str, ...] | None = None) -> DataFrame:
+    """Normal rows that aren't idle, without the groups to exclude. With channels, it is an error if there are no such rows (at
+    once) or a channel of them is unknown (when they are read)."""
     out = rows.where("kind = 'normal' and coalesce(idle, 0) <> 1 and t_us is not null")
-    return out if exclude is None else out.join(exclude.select("group_id").distinct(), "group_id", "left_anti")
+    if exclude is not None:
+        out = out.join(exclude.select("group_id").distinct(), "group_id", "left_anti")
+    if channels:
+        if out.isEmpty():
+            raise ValueError("no normal rows to train on")
+        for c in channels:
+            out = out.withColumn(c, F.coalesce(finite(F.col(c)), F.raise_error(F.lit(f"{c} must be finite")).cast("double")))
+    return out
 
 
 def subsample(rows: DataFrame, fraction: float, seed: int) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,31 +27,36 @@ def window_starts(rows: DataFrame, window_sec: float, step_sec: float, min_sampl
     width, step = round(window_sec * 1e6), round(step_sec * 1e6)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, wanted, at = None, deque(), 0, None
-        # held: times from the candidate start on; its window is decided once a sample at or after its end is seen
+        group, held, wanted = None, np.zeros(0, np.int64), None
+        # held: the times from the next candidate on; a start is decided once a sample at or after its window's end is seen
         for batch in batches:
-            groups, starts = [], []
-            for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if g != group:
-                    group, wanted = g, None
-                    held.clear()
-                held.append(t)
-                while held:
-                    at = held[0]
-                    if wanted is not None and at < wanted:
-                        held.popleft()
-                        continue
-                    wanted = None
-                    if t < at + width:
-                        break
-                    n = sum(1 for x in held if x < at + width)
-                    held.popleft()
-                    if n >= min_samples:
-                        groups.append(g)
+            names = batch.column(0).dictionary_encode()
+            number, times = names.indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.diff(number, prepend=-1))
+            for a, b in zip(cuts, np.append(cuts[1:], len(number)), strict=True):
+                name = names.dictionary[int(number[a])].as_py()
+                if name != group:
+                    group, held, wanted = name, np.zeros(0, np.int64), None
+                held = np.concatenate([held, times[a:b]])
+                decided = int(np.searchsorted(held, held[-1] - width, "right"))
+                full = np.searchsorted(held, held[:decided] + width) - np.arange(decided) >= min_samples
+                # times never fall, so the first sample a step later is found by search
+                after = np.where(full, np.searchsorted(held, held[:decided] + step), np.arange(1, decided + 1)).tolist()
+                at, starts = int(np.searchsorted(held, wanted)) if wanted is not None else 0, []
+                wanted = wanted if at >= len(held) else None
+                full = full.tolist()
+                while at < decided:
+                    if full[at]:
                         starts.append(at)
-                        wanted = at + step
-            if groups:
-                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), pa.array(starts, pa.int64())], ["group_id", "start_us"])
+                        wanted = int(held[at]) + step
+                    else:
+                        wanted = None
+                    at = after[at]
+                if at < len(held):
+                    wanted = None
+                if starts:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(starts), pa.string()), pa.array(held[starts])], ["group_id", "start_us"])
+                held = held[at:]
 
     walked = rows.select("group_id", "t_us").repartition("group_id").sortWithinPartitions("group_id", "t_us").mapInArrow(walk, "group_id string, start_us long")
     return walked.withColumn("end_us", F.col("start_us") + width)
@@ -62,13 +67,22 @@ def _correlation(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
 
 
-def time_windows(rows: DataFrame, settings: Settings) -> DataFrame:
-    """The 16 features and the description of each time window of segmented rows."""
+def time_windows(rows: DataFrame, settings: Settings, manifest: DataFrame | None = None) -> DataFrame:
+    """The 16 features and the description of each time window of segmented rows.
+
+    With a manifest that has splits, segments that are EXCLUDED_SHORT have no windows.
+    """
+    if manifest is not None:
+        rows = rows.join(manifest.where("split = 'EXCLUDED_SHORT'").select("group_id"), "group_id", "left_anti")
     starts = window_starts(rows, settings.window_sec, settings.step_sec, settings.min_samples)
     onset = rows.groupBy("group_id").agg(F.min(F.when(F.col("state") >= 1, F.col("t_us"))).alias("onset_us"))
     inner = rows.withColumn("_gap", seconds(F.col("t_us"), F.lag("t_us").over(in_segment())))
-    # equal group and a range of times: a hash join with a condition, on the segments' partitioning
-    met = inner.join(starts.withColumnRenamed("group_id", "_g"), (F.col("group_id") == F.col("_g")) & (F.col("t_us") >= F.col("start_us")) & (F.col("t_us") < F.col("end_us")))
+    # a window lies in two cells of time, of its own length, at most; rows meet the windows of their cell only, so a long
+    # segment costs no more for each row than a short one
+    width = round(settings.window_sec * 1e6)
+    cell = lambda t: F.floor(t / width).cast("long")
+    wide = starts.withColumnRenamed("group_id", "_g").withColumn("_c", F.explode(F.array_distinct(F.array(cell(F.col("start_us")), cell(F.col("end_us") - 1)))))
+    met = inner.withColumn("_cell", cell(F.col("t_us"))).join(wide, (F.col("group_id") == F.col("_g")) & (F.col("_cell") == F.col("_c")) & (F.col("t_us") >= F.col("start_us")) & (F.col("t_us") < F.col("end_us")))
     sec = seconds(F.col("t_us"), F.col("start_us"))
     c = settings.channels
     stats = []

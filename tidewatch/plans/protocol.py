@@ -1,16 +1,19 @@
 """The evaluation protocols: single window runs, window cross-validation, streaming cross-validation with a quantile sweep.
 
-Folds and quantiles are columns: features are computed once, the models of all folds are fitted in the same passes, and
-thresholds of all quantiles come from the same stored scores.
+Folds and quantiles are columns: the models of all folds are fitted in the same passes, and thresholds of all quantiles come
+from the same scores. Features and scores are persisted where several passes read them; what an executor loses is computed again.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import alarms, metrics, splits, thresholds
 from tidewatch.operators.models import fit_forest, fit_gaussians
+from tidewatch.operators.windows import sample_feature_names, sample_features
 from tidewatch.schema import Settings
 from tidewatch.streaming.detector import NAMES, complete, features_of, model_inputs, scored
 
@@ -61,10 +64,86 @@ def window_cv(windows: DataFrame, features: list[str], folds: DataFrame, k: int,
     return events.withColumn("_k", F.lit(1)).join(sample, "_k").join(false, "_k").withColumns({"fa_per_hour": F.try_divide(F.col("n_episodes") * 3600.0, F.col("exposure_sec")), "fa_cycle_rate": F.try_divide(F.col("n_fa_groups").cast("double"), F.col("n_groups"))}).drop("_k")
 
 
+def _by_fold(models: dict[tuple, object]) -> Column:
+    """The score by the model of a row's test fold."""
+    out = None
+    for (fold,), model in sorted(models.items()):
+        out = F.when(F.col("test_fold") == fold, model.score()) if out is None else out.when(F.col("test_fold") == fold, model.score())
+    if out is None:
+        raise ValueError("no fold has training rows")
+    return out
+
+
+def scale_alarms(windows: DataFrame, features: list[str], folds: DataFrame, k: int, kind: str = "ledoit_wolf", quantile: float = 0.9999, consecutive: int = 1) -> DataFrame:
+    """The test windows of all folds with `alarm`, by models and thresholds of their fold."""
+    rows = splits.fold_roles(windows, folds, k)
+    models = fit_gaussians(rows.where("role = 'train'"), features, ["test_fold"], kind)
+    scored_rows = rows.where("role in ('validation', 'test')").withColumn("score", _by_fold(models)).persist()
+    limits = thresholds.normal_quantile(scored_rows.where("role = 'validation'"), quantile, ["test_fold"]).select("test_fold", "threshold")
+    return alarms.k_consecutive(scored_rows.where("role = 'test'").join(F.broadcast(limits), "test_fold"), F.col("threshold"), consecutive, "alarm")
+
+
+def multi_scale_cv(scales: dict[str, tuple[DataFrame, float, float]], features: list[str], folds: DataFrame, k: int, kind: str = "ledoit_wolf", quantile: float = 0.9999, consecutive: int = 1) -> DataFrame:
+    """Metrics of each scale by itself, over all its segments, and of the system in which each segment is judged by the longest
+    scale that it has windows of (`system` is `multi`). scales: name -> (windows with kind, window_sec, step_sec)."""
+    groups = [w.select("group_id").distinct().withColumn("window_sec", F.lit(sec)) for w, sec, _ in scales.values()]
+    longest = functools.reduce(DataFrame.unionByName, groups).groupBy("group_id").agg(F.max("window_sec").alias("_longest"))
+    counts, events = [], []
+    for name, (windows, window_sec, step_sec) in scales.items():
+        test = scale_alarms(windows, features, folds, k, kind, quantile, consecutive)
+        routed = test.join(longest.where(F.col("_longest") == window_sec).select("group_id"), "group_id", "left_semi")
+        for system, rows in ((name, test), ("multi", routed)):
+            own = rows.withColumn("system", F.lit(system))
+            counts.append(metrics.fold_counts(own, "alarm", step_sec, ["system", "test_fold"]))
+            events.append(metrics.window_events(own, "alarm", ["system", "test_fold"]).withColumn("window_sec", F.lit(window_sec)))
+    return metrics.fold_totals(functools.reduce(DataFrame.unionByName, counts), functools.reduce(DataFrame.unionByName, events), ["system"])
+
+
+def sample_alarms(rows: DataFrame, settings: Settings, folds: DataFrame, k: int, kind: str = "ledoit_wolf", quantile: float = 0.9999, rolling: bool = False, how: str = "mean", least: int | None = None) -> DataFrame:
+    """The test rows of all folds with sample_alarm: smoothed scores against the quantile of the fold's validation segments."""
+    features = sample_feature_names(settings.channels, rolling)
+    inputs = splits.fold_roles(sample_features(rows, settings.channels, rolling), folds, k)
+    # a segment is in one role for each test fold
+    keyed = inputs.withColumns({"_group": F.col("group_id"), "group_id": F.concat_ws("|", "group_id", F.col("test_fold").cast("string"))})
+    models = fit_gaussians(keyed.where("role = 'train'"), features, ["test_fold"], kind)
+    score = alarms.smoothed(F.col("_raw"), settings.smooth, how, least)
+    judged = keyed.where("role in ('validation', 'test')").withColumn("_raw", _by_fold(models)).withColumn("score", score).persist()
+    limits = thresholds.normal_quantile(judged.where("role = 'validation'"), quantile, ["test_fold"]).select("test_fold", "threshold")
+    test = judged.where("role = 'test'").join(F.broadcast(limits), "test_fold")
+    return test.withColumns({"sample_alarm": F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)), "group_id": F.col("_group")}).drop("_group", "_raw")
+
+
+def sample_cv(rows: DataFrame, settings: Settings, folds: DataFrame, k: int, dt: float, long_sec: float = 1.0, **how) -> DataFrame:
+    """One row of metrics of the sample alarms over all test folds; how: as for sample_alarms."""
+    return metrics.sample_fold_metrics(sample_alarms(rows, settings, folds, k, **how), "sample_alarm", dt, long_sec, [])
+
+
+def ensemble_rows(rows: DataFrame, long: DataFrame, short: DataFrame, features: list[str], settings: Settings, folds: DataFrame, k: int, quantile: float = 0.9999, consecutive: int = 2) -> DataFrame:
+    """rows with the nine combinations of the alarms of long windows, short windows and samples, all by the models of the fold
+    in which the row is tested."""
+    out = sample_alarms(rows, settings, folds, k, quantile=quantile).select(*rows.columns, "sample_alarm")
+    for name, windows in (("long_alarm", long), ("short_alarm", short)):
+        out = alarms.alarms_to_rows(out, scale_alarms(windows, features, folds, k, quantile=quantile, consecutive=consecutive), "alarm", name)
+    return alarms.combine(out)
+
+
+def ensemble_cv(rows: DataFrame, long: DataFrame, short: DataFrame, features: list[str], settings: Settings, folds: DataFrame, k: int, **how) -> DataFrame:
+    """Metrics of each of the nine combinations over all test folds."""
+    found = ensemble_rows(rows, long, short, features, settings, folds, k, **how).persist()
+    return functools.reduce(DataFrame.unionByName, [metrics.raw_alarm_metrics(found, c).withColumn("combination", F.lit(c)) for c in alarms.COMBINATIONS])
+
+
+def replay_errors(found: DataFrame, windows: DataFrame, alarm: str = "or_3_p2") -> tuple[DataFrame, DataFrame]:
+    """What an evaluation gets wrong: the events with detected, delay_sec and duration_sec, and the windows after which normal
+    rows alarm (fp_context)."""
+    spans = found.where("kind = 'fault'").groupBy("group_id").agg(((F.max("t_us") - F.min("t_us")) / 1e6).alias("duration_sec"))
+    return metrics.sample_events(found, alarm).join(spans, "group_id"), alarms.windows_with_alarms(windows, found, alarm, "fp_context")
+
+
 def fold_scores(rows: DataFrame, folds: DataFrame, k: int, settings: Settings, kind: str = "ledoit_wolf", seed: int = 0) -> DataFrame:
     """Validation and test rows of each fold with the scores of that fold's models (fitted on its training segments)."""
     names = features_of(settings)
-    inputs = splits.fold_roles(model_inputs(rows, settings), folds, k)
+    inputs = splits.fold_roles(model_inputs(rows, settings).persist(), folds, k)
     train = inputs.where("role = 'train' and coalesce(idle, 0) <> 1")
     fitted: dict[int, dict] = {}
     for name in NAMES:
@@ -108,7 +187,7 @@ def streaming_cv(rows: DataFrame, settings: Settings, k: int = 5, repeats: int =
     out = None
     for repeat in range(repeats):
         folds = fold_map(rows, k, seed + repeat)
-        scores = fold_scores(rows, folds, k, settings, kind, seed + repeat)
+        scores = fold_scores(rows, folds, k, settings, kind, seed + repeat).persist()
         found = fold_alarms(scores, fold_thresholds(scores, settings, quantiles), settings)
         for variant in variants:
             part = metrics.raw_alarm_metrics(found, variant, ["quantile"]).withColumns({"repeat": F.lit(repeat), "variant": F.lit(variant)})

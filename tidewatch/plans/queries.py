@@ -7,15 +7,17 @@ rounded in both, as sums differ in their last digits by order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalar
 from tidewatch.operators import alarms, analysis, metrics, sessions, splits, thresholds, windows
-from tidewatch.operators.models import fit_forest, fit_gaussian
-from tidewatch.plans.star import EVENT_SETTINGS, LINE_SETTINGS, event_rows, event_samples, line_rows, line_samples, table
-from tidewatch.sources.samples import quality_counts
+from tidewatch.operators.models import Gaussian, fit_forest, fit_gaussian
+from tidewatch.plans.star import EVENT_SETTINGS, EVENTS, LINE_SETTINGS, event_rows, event_samples, line_rows, line_samples, run_stream, table
+from tidewatch.sources.samples import drop_unknown, quality_counts, to_samples
+from tidewatch.streaming.detector import Detector, detect, detect_stream, features_of, running_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -251,12 +253,22 @@ def window_starts(spark, sf_dir):
     return windows.window_starts(line_rows(spark, sf_dir), s.window_sec, s.step_sec, s.min_samples)
 
 
-@query(STARTS + """, m AS (SELECT s.*, r.*, (r.t_us - s.start_us) / 86400e6 AS day FROM starts s JOIN seg_rows r ON r.group_id = s.group_id AND r.t_us >= s.start_us AND r.t_us < s.end_us)
-  SELECT group_id, start_us, end_us, count(*) AS sample_count, round(avg(quantity), 4) AS quantity_mean, round(coalesce(stddev_samp(quantity), 0), 4) AS quantity_std, round(sqrt(avg(quantity * quantity)), 4) AS quantity_rms, round(max(quantity) - min(quantity), 4) AS quantity_ptp,
-  round(coalesce(covar_pop(quantity, price) / nullif(stddev_pop(quantity) * stddev_pop(price), 0), 0), 4) AS quantity_price_corr, round(avg(CAST(idle AS DOUBLE)), 4) AS idle_ratio, CAST(CASE WHEN avg(CAST(state AS DOUBLE)) >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS label FROM m GROUP BY group_id, start_us, end_us""".replace("s.*, r.*", "s.start_us, s.end_us, r.*"))
+def _window_sql(x: str) -> str:
+    return f"round(avg({x}), 4) AS {x}_mean, round(coalesce(stddev_samp({x}), 0), 4) AS {x}_std, round(sqrt(avg({x} * {x})), 4) AS {x}_rms, round(max({x}) - min({x}), 4) AS {x}_ptp, round(1e6 * regr_slope({x}, day) / 86400, 5) AS {x}_slope_um"
+
+
+@query(STARTS + f""", g AS (SELECT *, (t_us - lag(t_us) OVER (PARTITION BY group_id ORDER BY t_us, seq)) / 1e6 AS inner_gap, min(CASE WHEN state >= 1 THEN t_us END) OVER (PARTITION BY group_id) AS onset FROM seg_rows),
+  m AS (SELECT s.start_us, s.end_us, r.*, (r.t_us - s.start_us) / 86400e6 AS day FROM starts s JOIN g r ON r.group_id = s.group_id AND r.t_us >= s.start_us AND r.t_us < s.end_us)
+  SELECT group_id, start_us, end_us, count(*) AS sample_count, round((max(t_us) - min(t_us)) / 1e6, 4) AS actual_duration_sec, round(coalesce(max(CASE WHEN t_us > start_us THEN inner_gap END), 0), 4) AS max_gap_sec,
+  {', '.join(_window_sql(x) for x in ('quantity', 'price', 'discount'))},
+  round(coalesce(covar_pop(quantity, price) / nullif(stddev_pop(quantity) * stddev_pop(price), 0), 0), 4) AS quantity_price_corr, round(avg(CAST(idle AS DOUBLE)), 4) AS idle_ratio, CAST(CASE WHEN avg(CAST(idle AS DOUBLE)) >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS idle_majority,
+  round(avg(CAST(state AS DOUBLE)), 4) AS fault_ratio, CAST(CASE WHEN avg(CAST(state AS DOUBLE)) >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS label, any_value(onset) AS onset_us FROM m GROUP BY group_id, start_us, end_us""")
 def time_window_features(spark, sf_dir):
     w = windows.time_windows(line_rows(spark, sf_dir), LINE_SETTINGS)
-    return rounded(w.select("group_id", "start_us", "end_us", "sample_count", "quantity_mean", "quantity_std", "quantity_rms", "quantity_ptp", "quantity_price_corr", "idle_ratio", "label"), 4)
+    slopes = [F.round(1e6 * F.col(f"{x}_slope"), 5).alias(f"{x}_slope_um") for x in LINE_SETTINGS.channels]
+    cols = [F.round(f"{x}_{k}", 4).alias(f"{x}_{k}") for x in LINE_SETTINGS.channels for k in ("mean", "std", "rms", "ptp")]
+    known = ["group_id", "start_us", "end_us", "sample_count", "onset_us", *(F.round(c, 4).alias(c) for c in ("actual_duration_sec", "max_gap_sec", "quantity_price_corr", "idle_ratio", "fault_ratio")), *(F.col(c).cast("bigint").alias(c) for c in ("idle_majority", "label"))]
+    return w.select(*known, *cols, *slopes)
 
 
 @query(STARTS + ", l AS (SELECT (start_us - lag(start_us) OVER (PARTITION BY group_id ORDER BY start_us)) / 1e6 AS step, (end_us - start_us) / 1e6 AS length FROM starts) SELECT round(median(step), 6) AS step_sec, round(median(length), 6) AS window_sec FROM l")
@@ -265,10 +277,11 @@ def infer_step(spark, sf_dir):
     return rounded(sessions.infer_step(windows.window_starts(line_rows(spark, sf_dir), s.window_sec, s.step_sec, s.min_samples)))
 
 
-@query("WITH w AS (SELECT l_suppkey || '' AS group_id, CASE WHEN l_linenumber <= 2 THEN 1.0 ELSE 0.5 END AS window_sec, l_orderkey FROM lineitem WHERE l_suppkey % 3 = 0 OR l_linenumber > 2) SELECT group_id, CAST(max(window_sec) AS DOUBLE) AS window_sec, count(*) AS n FROM w WHERE (group_id, window_sec) IN (SELECT group_id, max(window_sec) FROM w GROUP BY 1) GROUP BY 1")
+@query("WITH w AS (SELECT l_suppkey || '_' || l_returnflag AS group_id, CASE WHEN l_returnflag = 'N' AND l_linenumber <= 2 THEN 1.0 ELSE 0.5 END AS window_sec FROM lineitem) SELECT group_id, CAST(max(window_sec) AS DOUBLE) AS window_sec, count(*) AS n FROM w WHERE (group_id, window_sec) IN (SELECT group_id, max(window_sec) FROM w GROUP BY 1) GROUP BY 1")
 def scale_routing(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_suppkey % 3 = 0 or l_linenumber > 2")
-    w = li.select(F.col("l_suppkey").cast("string").alias("group_id"), F.when(F.col("l_linenumber") <= 2, 1.0).otherwise(0.5).alias("window_sec"))
+    group = F.concat_ws("_", F.col("l_suppkey").cast("string"), "l_returnflag")
+    length = F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") <= 2), 1.0).otherwise(0.5)
+    w = table(spark, sf_dir, "lineitem").select(group.alias("group_id"), length.alias("window_sec"))
     return sessions.route_scales(w).groupBy("group_id").agg(F.max("window_sec").alias("window_sec"), F.count(F.lit(1)).alias("n"))
 
 
@@ -277,7 +290,7 @@ def scale_routing(spark, sf_dir):
 
 @query(f"WITH {LI_ROWS} SELECT round(quantile_cont(price, 0.9999), 4) AS threshold, count(*) AS n FROM seg_rows WHERE label = 0")
 def quantile_threshold(spark, sf_dir):
-    return rounded(thresholds.normal_quantile(line_rows(spark, sf_dir), 0.9999, score="price"), 4)
+    return rounded(thresholds.normal_quantile_of_table(line_rows(spark, sf_dir), 0.9999, score="price"), 4)
 
 
 F1 = f"""WITH {LI_ROWS}, e AS (SELECT quantity AS threshold, sum(label) AS p, count(*) AS n FROM seg_rows GROUP BY 1),
@@ -489,16 +502,59 @@ def fold_roles(spark, sf_dir):
     return rounded(out.groupBy("test_fold", "kind", "role").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _share(seed: int) -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || group_id), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+SPLITS = f"""WITH {LI_ROWS}, {MANIFEST}, sp AS (SELECT *, CASE WHEN idle_majority = 1 THEN 'EXCLUDED_IDLE' WHEN source = 'fault' AND onset_us IS NOT NULL AND duration_sec < 432000 THEN 'EXCLUDED_SHORT'
+  WHEN {_share(0)} < 0.6 THEN 'train' WHEN {_share(0)} < 0.8 THEN 'val' ELSE 'test' END AS split FROM manifest)"""
+
+
+@query(f"WITH {EV_ROWS} SELECT DISTINCT group_id, kind, CAST(floor({_share(3)} * 5) AS BIGINT) AS fold FROM seg_rows")
+def fold_map_hashed(spark, sf_dir):
+    return rounded(splits.hashed_fold_map(event_rows(spark, sf_dir), 5, 3))
+
+
+def split_manifest(spark, sf_dir):
+    return splits.hashed_splits(sessions.segment_manifest(line_rows(spark, sf_dir)), 432_000.0)
+
+
 @query()
-def split_label_pivot(spark, sf_dir):
+def split_seeded(spark, sf_dir):
     m = sessions.segment_manifest(line_rows(spark, sf_dir))
     return analysis.split_label_pivot(splits.assign_splits(m, 432_000.0))
 
 
-@query()
+@query(SPLITS + " SELECT split, count(*) FILTER (WHERE label = 0) AS normal, count(*) FILTER (WHERE label = 1) AS fault FROM sp GROUP BY 1")
+def split_label_pivot(spark, sf_dir):
+    return analysis.split_label_pivot(split_manifest(spark, sf_dir))
+
+
+@query(SPLITS + " SELECT count(*) AS leaking FROM (SELECT group_id FROM sp GROUP BY 1 HAVING count(DISTINCT split) > 1)")
+def split_leaks(spark, sf_dir):
+    return splits.leaking_groups(split_manifest(spark, sf_dir)).agg(F.count(F.lit(1)).alias("leaking"))
+
+
+@query(SPLITS + ", x AS (SELECT r.* FROM seg_rows r WHERE r.kind = 'normal' AND r.idle <> 1 AND r.group_id NOT IN (SELECT group_id FROM sp WHERE split = 'test')) SELECT group_id, count(*) AS n, round(sum(quantity), 4) AS quantity FROM x GROUP BY 1")
+def training_rows(spark, sf_dir):
+    rows = splits.training_rows(line_rows(spark, sf_dir), split_manifest(spark, sf_dir).where("split = 'test'"), LINE_SETTINGS.channels)
+    return rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("quantity"), 4).alias("quantity"))
+
+
+@query("SELECT CAST(greatest(2, round(count(*) * 0.3)) AS BIGINT) AS n, count(*) >= greatest(2, round(count(*) * 0.3)) AS fits FROM events")
+def subsample_size(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id")
+    return splits.subsample(rows, 0.3, 7).agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("event_id") == F.count(F.lit(1))).alias("fits"))
+
+
+@query(f"WITH {EV_ROWS} SELECT CAST(least(greatest(1, ceil(count(DISTINCT group_id) * 0.2)), count(DISTINCT group_id) - 1) AS BIGINT) AS n FROM seg_rows WHERE kind = 'normal'")
+def calibration_size(spark, sf_dir):
+    return splits.calibration_groups(event_rows(spark, sf_dir).where("kind = 'normal'"), 0.2, 0).agg(F.count_distinct("group_id").alias("n"))
+
+
+@query(SPLITS + " SELECT split, CAST(label AS BIGINT) AS label, count(*) AS segments, CAST(sum(n_rows) AS BIGINT) AS rows, round(sum(duration_sec), 3) AS duration_sec FROM sp GROUP BY 1, 2")
 def split_summary(spark, sf_dir):
-    m = sessions.segment_manifest(line_rows(spark, sf_dir))
-    return rounded(analysis.split_summary(splits.hashed_splits(m, 432_000.0)))
+    return rounded(analysis.split_summary(split_manifest(spark, sf_dir)), 3)
 
 
 # protocols
@@ -537,8 +593,7 @@ def set_ops(spark, sf_dir):
 
 @query("SELECT l_suppkey, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) = 1")
 def dedup_keep_first(spark, sf_dir):
-    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
-    li = table(spark, sf_dir, "lineitem").withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    li = analysis.keep_first(table(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"])
     return rounded(li.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"))
 
 
@@ -554,7 +609,15 @@ def robust_effect(spark, sf_dir):
     return rounded(e.select("feature", "base_median", "base_iqr", "target_median", "delta", "effect", "direction"), 5)
 
 
-@query()
+EFFECTS = COHORTS.replace("'fault')", "'fault')").replace(" FROM u GROUP BY 1)", ", " + ", ".join(f"quantile_cont(v, {p}) FILTER (WHERE kind = 'idle') AS idle{i}" for i, p in enumerate((0.25, 0.5, 0.75))) + " FROM u GROUP BY 1)")
+
+
+def _effect_sql(name: str) -> str:
+    d = f"({name}1 - normal1)"
+    return f"round(normal1, 5) AS {name}_base_median, round({name}1, 5) AS {name}_target_median, round({d}, 5) AS {name}_delta, round({d} / nullif((normal2 - normal0) / 1.349, 0), 5) AS {name}_effect, CASE WHEN {d} > 1e-12 THEN '↑' WHEN {d} < -1e-12 THEN '↓' ELSE '≈' END AS {name}_direction"
+
+
+@query(EFFECTS + f" SELECT feature, {_effect_sql('fault')}, {_effect_sql('idle')}, round(greatest(abs((fault1 - normal1) / nullif((normal2 - normal0) / 1.349, 0)), abs((idle1 - normal1) / nullif((normal2 - normal0) / 1.349, 0))), 5) AS max_abs_effect FROM q")
 def effect_table(spark, sf_dir):
     return rounded(analysis.effect_table(line_rows(spark, sf_dir), list(LINE_SETTINGS.channels), "kind", {"fault": ("normal", "fault"), "idle": ("normal", "idle")}), 5)
 
@@ -573,8 +636,7 @@ def correlation_matrix(spark, sf_dir):
 @query(f"WITH {LI_ROWS}, {MANIFEST} SELECT coalesce(CASE WHEN duration_sec < 86400 THEN '<1d' WHEN duration_sec < 864000 THEN '1-<10d' ELSE '>=10d' END) AS duration_bin, count(*) AS events FROM manifest WHERE source = 'fault' GROUP BY 1")
 def duration_bins(spark, sf_dir):
     m = sessions.segment_manifest(line_rows(spark, sf_dir)).where("source = 'fault'")
-    d = F.col("duration_sec")
-    return m.groupBy(F.when(d < 86_400, "<1d").when(d < 864_000, "1-<10d").otherwise(">=10d").alias("duration_bin")).agg(F.count(F.lit(1)).alias("events"))
+    return m.groupBy(scalar.duration_bin(F.col("duration_sec"), (86_400.0, 864_000.0), ("<1d", "1-<10d", ">=10d")).alias("duration_bin")).agg(F.count(F.lit(1)).alias("events"))
 
 
 DELAYS = f"""WITH {EV_ROWS}, {TRACKS}, {P2}, t AS (SELECT *, (t_us - min(t_us) OVER (PARTITION BY group_id)) / 1e6 AS t FROM p2 WHERE kind = 'fault'),
@@ -597,11 +659,12 @@ def leading_detector_summary(spark, sf_dir):
     return rounded(analysis.leading_summary(delay_rows(spark, sf_dir)), 4)
 
 
-@query(DELAYS + """, x AS (SELECT split_part(group_id, '_', 2) AS user_id, "leading", delay_sec, detected FROM e), c AS (SELECT user_id, "leading", count(*) AS n FROM x GROUP BY 1, 2), m AS (SELECT user_id, "leading" FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, "leading") = 1)
-  SELECT x.user_id AS group_id, any_value(m."leading") AS leading_mode, count(*) AS repeats, count(*) FILTER (WHERE detected) AS detected, round(avg(delay_sec), 4) AS mean_delay FROM x JOIN m USING (user_id) GROUP BY 1""")
+@query(DELAYS.replace("max(CASE WHEN place > 2 THEN spread / -40 END) AS max_ratio_event_sample", "max(CASE WHEN place > 2 AND t <= 1 THEN spread / -40 END) AS r1, max(CASE WHEN place > 4 AND t <= 1 THEN k / 70 END) AS r2, max(CASE WHEN place > 9 AND t <= 1 THEN value / 60 END) AS r3") + """, x AS (SELECT split_part(group_id, '_', 2) AS user_id, * FROM e), c AS (SELECT user_id, "leading", count(*) AS n FROM x GROUP BY 1, 2), m AS (SELECT user_id, "leading" FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, "leading") = 1)
+  SELECT x.user_id AS group_id, any_value(m."leading") AS leading_mode, count(*) AS repeats, count(*) FILTER (WHERE detected) AS detected, round(avg(delay_sec), 4) AS mean_delay, round(median(s), 4) AS first_sample_med, round(median(h), 4) AS first_win05_med, round(median(l), 4) AS first_win1_med,
+  round(median(r1), 4) AS ratio1s_sample, round(median(r2), 4) AS ratio1s_win05, round(median(r3), 4) AS ratio1s_win1 FROM x JOIN m USING (user_id) GROUP BY 1""")
 def leading_detector_mode(spark, sf_dir):
     d = delay_rows(spark, sf_dir).withColumn("group_id", F.split("group_id", "_")[1])
-    return rounded(analysis.delay_summary(d).select("group_id", "leading_mode", "repeats", "detected", "mean_delay"), 4)
+    return rounded(analysis.delay_summary(d).drop("n_samples", "duration_sec"), 4)
 
 
 @query(DELAYS + ", x AS (SELECT split_part(group_id, '_', 2) AS user_id, detected, delay_sec FROM e) SELECT user_id AS group_id, count(*) AS repeats, count(*) FILTER (WHERE detected) AS detected, round(avg(delay_sec), 4) AS delay_mean_sec, count(*) FILTER (WHERE NOT detected) AS missed, round(count(*) FILTER (WHERE detected) / count(*), 4) AS detection_rate FROM x GROUP BY 1")
@@ -613,3 +676,206 @@ def detection_frequency(spark, sf_dir):
 @query("SELECT l_returnflag AS system, round(avg(l_discount), 6) AS l_discount_mean, round(stddev_samp(l_discount), 6) AS l_discount_std, round(avg(l_tax), 6) AS l_tax_mean, round(stddev_samp(l_tax), 6) AS l_tax_std FROM lineitem GROUP BY 1")
 def repeat_summary(spark, sf_dir):
     return rounded(metrics.mean_and_std(table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "system"), ["system"], ["l_discount", "l_tax"]))
+
+
+# row expressions
+
+
+@query("SELECT event_id, CAST(CASE WHEN ts BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00' THEN 1 ELSE 0 END AS BIGINT) AS idle FROM events")
+def idle_between(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalar.between_times(F.col("ts"), datetime(2024, 1, 2), datetime(2024, 1, 20)).cast("bigint").alias("idle"))
+
+
+@query(f"WITH {EV_ROWS}, {TRACKS}, {P2} SELECT group_id, seq, round(CASE WHEN k > 0 THEN value / k END, 6) AS score_ratio, CASE WHEN final_alarm THEN 'ALARM' WHEN or_3 THEN 'WARNING' ELSE 'normal' END AS shown, CASE WHEN source = 'fault' THEN 'fault' WHEN idle = 1 THEN 'idle' ELSE 'normal' END AS row_kind, CAST(regexp_extract(group_id, '[0-9]+$') AS BIGINT) AS number FROM p2")
+def row_states(spark, sf_dir):
+    rows = final_rows(spark, sf_dir)
+    return rows.select("group_id", "seq", F.round(scalar.score_ratio(F.col("value"), F.col("k")), 6).alias("score_ratio"), scalar.alarm_state(F.col("final_alarm"), F.col("or_3")).alias("shown"), scalar.stream_kind(F.col("source"), F.col("state"), F.col("idle")).alias("row_kind"), F.regexp_extract("group_id", "[0-9]+$", 0).cast("long").alias("number"))
+
+
+@query("SELECT l_orderkey, l_partkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_linenumber / 7.0 AS step, round(l_discount, 4) AS percent, NULL::DOUBLE AS nothing FROM lineitem")
+def log_progress(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    step = F.concat(F.lit("on 2024/11/28 fold "), F.col("l_linenumber"), F.lit(" / 7 of "), F.col("l_partkey"))
+    percent = F.concat(F.format_string("%.2f", 100 * F.col("l_discount")), F.lit("% of step "), F.col("l_linenumber"), F.lit("/7"))
+    return li.select("l_orderkey", "l_partkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), scalar.log_progress(step).alias("step"), F.round(scalar.log_progress(percent), 4).alias("percent"), scalar.log_progress(F.concat(F.lit("line "), F.col("l_linenumber"), F.lit(" at 2024/11/28"))).alias("nothing"))
+
+
+@query(f"WITH {EV_ROWS} SELECT r.group_id, seq, round((t_us - (SELECT min(t_us) FROM seg_rows)) / 1e6, 6) AS t_sec FROM seg_rows r WHERE value IS NOT NULL AND k IS NOT NULL")
+def known_rows(spark, sf_dir):
+    return rounded(drop_unknown(event_rows(spark, sf_dir), ("value", "k")).select("group_id", "seq", "t_sec"))
+
+
+@query(f"WITH {EV_ROWS}, g AS (SELECT group_id FROM seg_rows WHERE kind = 'fault' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT group_id, seq, value, round((t_us - min(CASE WHEN state >= 1 THEN t_us END) OVER ()) / 1e6, 6) AS t_sec FROM seg_rows WHERE group_id IN (SELECT group_id FROM g)")
+def event_slice(spark, sf_dir):
+    rows = event_rows(spark, sf_dir)
+    top = rows.where("kind = 'fault'").groupBy("group_id").count().orderBy(F.desc("count"), "group_id").first()
+    return rounded(analysis.event_slice(rows, top["group_id"] if top else "").select("group_id", "seq", "value", "t_sec"))
+
+
+@query(f"WITH {EV_ROWS}, {TRACKS}, {P2} SELECT r.group_id, r.seq, r.value, p.final_alarm FROM seg_rows r JOIN p2 p USING (group_id, t_us, seq)")
+def rows_with_results(spark, sf_dir):
+    return analysis.with_results(event_rows(spark, sf_dir), final_rows(spark, sf_dir), ["final_alarm"]).select("group_id", "seq", "value", "final_alarm")
+
+
+@query("SELECT 'final_alarm' AS column, 0::BIGINT AS differing UNION ALL SELECT 'gap_sec', 0 UNION ALL SELECT 'segment_id', 0")
+def sessions_in_cells_differ(spark, sf_dir):
+    """Sessionization in cells of time against that of whole series: no row may differ."""
+    a = final_rows(spark, sf_dir)
+    b = tracks(sessions.sessionize_in_cells(event_samples(spark, sf_dir), EVENT_SETTINGS.gap_sec, 604_800.0)).withColumn("final_alarm", alarms.persistent(F.col("or_3"), 2))
+    return analysis.differences(a, b, ["final_alarm", "gap_sec", "segment_id"])
+
+
+@query(f"WITH {EV_ROWS} SELECT source, series, t_us, seq, segment_id, group_id, kind, CAST(label AS BIGINT) AS label, round(gap_sec, 6) AS gap_sec FROM seg_rows")
+def sessionize_in_cells(spark, sf_dir):
+    rows = sessions.sessionize_in_cells(event_samples(spark, sf_dir), EVENT_SETTINGS.gap_sec, 604_800.0)
+    return rounded(rows.select("source", "series", "t_us", "seq", "segment_id", "group_id", "kind", "label", "gap_sec"))
+
+
+@query("SELECT count(*) AS n, count(value) AS values, count(total) AS totals FROM (SELECT event_id, value, NULL AS total FROM events UNION ALL SELECT o_orderkey, NULL, o_totalprice FROM orders)")
+def union_differing(spark, sf_dir):
+    a = table(spark, sf_dir, "events").select("event_id", "value")
+    b = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_totalprice").alias("total"))
+    return a.unionByName(b, allowMissingColumns=True).agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("values"), F.count("total").alias("totals"))
+
+
+# datasets and errors
+
+
+@query(f"WITH {LI_ROWS} SELECT kind, f AS feature, count(v) AS known FROM (SELECT kind, 'quantity' AS f, quantity AS v FROM seg_rows UNION ALL SELECT kind, 'price', price FROM seg_rows) GROUP BY ALL")
+def feature_coverage(spark, sf_dir):
+    return analysis.feature_coverage(line_rows(spark, sf_dir), ["quantity", "price"], "kind")
+
+
+@query(f"WITH {EV_ROWS}, {WINDOWS3} SELECT f AS feature, count(*) FILTER (WHERE v IS NULL) AS unknown FROM (SELECT 'score' AS f, score AS v FROM win UNION ALL SELECT 'onset', CAST(onset_us AS DOUBLE) FROM win) GROUP BY 1")
+def unknown_features(spark, sf_dir):
+    w = windows3(event_rows(spark, sf_dir)).withColumn("onset", F.col("onset_us").cast("double"))
+    return analysis.unknown_features(w, ["score", "onset"])
+
+
+@query(f"WITH {LI_ROWS}, {MANIFEST} SELECT group_id FROM manifest WHERE source = 'fault' AND onset_us IS NOT NULL AND duration_sec >= 86400 EXCEPT SELECT group_id FROM seg_rows WHERE quantity >= 25")
+def lost_events(spark, sf_dir):
+    rows = line_rows(spark, sf_dir)
+    events = sessions.event_manifest(sessions.segment_manifest(rows), 864_000.0, 86_400.0)
+    return analysis.lost_events(events, rows.where("quantity >= 25"))
+
+
+#: The delays of each user's events, as evaluations of one event.
+MISSES = DELAYS + """, x AS (SELECT split_part(group_id, '_', 2) AS group_id, duration_sec, detected, delay_sec FROM e),
+  m AS (SELECT group_id, max(duration_sec) AS duration_sec, count(*) AS evaluations, count(*) FILTER (WHERE detected) AS detected, avg(delay_sec) AS delay_mean_sec, count(*) FILTER (WHERE NOT detected) AS missed FROM x GROUP BY 1),
+  b AS (SELECT *, detected / evaluations AS detection_rate, CASE WHEN duration_sec < 0.5 THEN '<0.5s' WHEN duration_sec < 1 THEN '0.5-<1.0s' ELSE '>=1.0s' END AS duration_bin FROM m)"""
+
+
+def misses(spark, sf_dir):
+    return analysis.missed_event_summary(delay_rows(spark, sf_dir).withColumn("group_id", F.split("group_id", "_")[1]))
+
+
+@query(MISSES + " SELECT group_id, round(duration_sec, 4) AS duration_sec, evaluations, detected, round(delay_mean_sec, 4) AS delay_mean_sec, missed, round(detection_rate, 4) AS detection_rate, duration_bin, CASE WHEN missed > 0 THEN 'any_miss' WHEN evaluations > 0 THEN 'stable_detected' ELSE 'unclassified' END AS status FROM b")
+def missed_events(spark, sf_dir):
+    return rounded(misses(spark, sf_dir).withColumn("status", scalar.event_status(F.col("evaluations"), F.col("missed"))), 4)
+
+
+@query(MISSES + " SELECT n.name AS duration_bin, count(b.group_id) AS events, CAST(coalesce(sum(evaluations), 0) AS BIGINT) AS evaluations, CAST(coalesce(sum(detected), 0) AS BIGINT) AS detected, round(sum(detected) / nullif(sum(evaluations), 0), 4) AS detection_rate FROM (VALUES ('<0.5s'), ('0.5-<1.0s'), ('>=1.0s')) n(name) LEFT JOIN b ON b.duration_bin = n.name GROUP BY 1")
+def duration_summary(spark, sf_dir):
+    return rounded(analysis.duration_summary(misses(spark, sf_dir)).drop("position"), 4)
+
+
+@query(MISSES + " SELECT group_id, format('{} ({:.2f} s): missed in {} of {} evaluations', group_id, duration_sec, missed, evaluations) AS sentence FROM b WHERE missed > 0 ORDER BY missed DESC, duration_sec, group_id LIMIT 3")
+def missed_sentences(spark, sf_dir):
+    return analysis.missed_sentences(misses(spark, sf_dir))
+
+
+@query(DELAYS + " SELECT group_id, round(delay_sec, 1) IN (0.3, 0.5, 1.0) AS at_floor FROM e WHERE detected")
+def delay_floor(spark, sf_dir):
+    return analysis.at_floor(delay_rows(spark, sf_dir)).select("group_id", "at_floor")
+
+
+@query("WITH t AS (SELECT l_returnflag AS g, CAST(l_linenumber AS DOUBLE) / 10 AS quantile, max(l_extendedprice) AS threshold FROM lineitem GROUP BY 1, 2), b AS (SELECT *, lag(threshold) OVER (PARTITION BY g ORDER BY quantile) AS before FROM t) SELECT g, quantile, threshold FROM b WHERE threshold < before - 1e-12")
+def threshold_breaks(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("g"), (F.col("l_linenumber").cast("double") / 10).alias("quantile")).agg(F.max("l_extendedprice").alias("threshold"))
+    return thresholds.monotone(t, ["g"])
+
+
+FOLD_WINDOWS = f"WITH {EV_ROWS}, {WINDOWS3}, fw AS (SELECT w.*, CAST(floor({_share(0).replace('group_id', 'w.group_id')} * 3) AS BIGINT) AS fold FROM win w)"
+
+
+@query(FOLD_WINDOWS + " SELECT fold, count(*) FILTER (WHERE label = 1 AND alarm AND kind <> 'idle') AS tp, count(*) FILTER (WHERE label = 0 AND alarm AND kind <> 'idle') AS fp, count(*) FILTER (WHERE label = 0 AND NOT alarm AND kind <> 'idle') AS tn, count(*) FILTER (WHERE label = 1 AND NOT alarm AND kind <> 'idle') AS fn, count(*) FILTER (WHERE kind = 'idle') AS idle_windows, count(*) FILTER (WHERE kind = 'idle' AND alarm) AS idle_alarm_windows FROM fw GROUP BY 1")
+def fold_counts(spark, sf_dir):
+    w = windows3(event_rows(spark, sf_dir)).withColumn("fold", F.floor(splits.hash_share(F.col("group_id")) * 3))
+    out = metrics.fold_counts(w, "alarm", 43_200.0, ["fold"])
+    return out.select("fold", *(F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "tn", "fn", "idle_windows", "idle_alarm_windows")))
+
+
+@query(FOLD_WINDOWS + """, c AS (SELECT count(*) FILTER (WHERE label = 1 AND alarm) AS tp, count(*) FILTER (WHERE label = 0 AND alarm) AS fp, count(*) FILTER (WHERE label = 0 AND NOT alarm) AS tn, count(*) FILTER (WHERE label = 1 AND NOT alarm) AS fn FROM fw WHERE kind <> 'idle'),
+  i AS (SELECT count(*) FILTER (WHERE alarm) / nullif(count(*), 0) AS idle_window_fpr FROM fw WHERE kind = 'idle'),
+  h AS (SELECT group_id, min(onset_us) AS onset_us, min(CASE WHEN alarm AND end_us >= onset_us THEN end_us END) AS hit FROM fw WHERE source = 'fault' GROUP BY 1)
+  SELECT (SELECT count(*) FROM h) AS n_events, (SELECT count(hit) FROM h) AS detected_events, round((SELECT avg((hit - onset_us) / 1e6 - 100) FROM h), 4) AS delay_minus_window_mean_sec, round(2 * tp / nullif(2 * tp + fp + fn, 0), 4) AS pooled_f1, round(tp / nullif(tp + fp, 0), 4) AS pooled_precision, round(tp / nullif(tp + fn, 0), 4) AS pooled_recall, round(fp / nullif(fp + tn, 0), 4) AS normal_window_fpr, round(idle_window_fpr, 4) AS idle_window_fpr FROM c, i""")
+def fold_totals(spark, sf_dir):
+    w = windows3(event_rows(spark, sf_dir)).withColumns({"fold": F.floor(splits.hash_share(F.col("group_id")) * 3), "system": F.lit("one")})
+    counts = metrics.fold_counts(w, "alarm", 43_200.0, ["system", "fold"])
+    events = metrics.window_events(w, "alarm", ["system"]).withColumn("window_sec", F.lit(100.0))
+    out = metrics.fold_totals(counts, events, ["system"])
+    return rounded(out.select("n_events", "detected_events", "delay_minus_window_mean_sec", "pooled_f1", "pooled_precision", "pooled_recall", "normal_window_fpr", "idle_window_fpr"), 4)
+
+
+@query(CYCLES + """, f AS (SELECT *, (hit - onset) / 1e6 AS delay FROM cyc WHERE kind = 'fault'), d AS (SELECT group_id, (max(t_us) - min(t_us)) / 1e6 AS duration_sec, min(CASE WHEN final_alarm THEN place END) AS samples FROM p2 WHERE kind = 'fault' GROUP BY 1)
+  SELECT (SELECT count(*) FROM f) AS n_events, round((SELECT count(hit) / count(*) FROM f), 4) AS event_detection_rate, (SELECT count(*) FROM d WHERE duration_sec >= 3600 - 1e-9) AS n_events_long, round((SELECT avg(delay) FROM f), 4) AS delay_mean_sec, round((SELECT median(delay) FROM f), 4) AS delay_median_sec, round((SELECT avg(samples) FROM d), 4) AS samples_to_alarm_mean,
+  count(*) FILTER (WHERE kind = 'normal') AS normal_cycles, count(*) FILTER (WHERE kind = 'normal' AND episodes > 0) AS fa_cycles, CAST(coalesce(sum(episodes) FILTER (WHERE kind = 'normal'), 0) AS BIGINT) AS fa_episodes, CAST(coalesce(sum(n) FILTER (WHERE kind = 'normal'), 0) * 60 AS DOUBLE) AS exposure_sec, count(*) FILTER (WHERE kind = 'idle') AS idle_cycles,
+  round(sum(alarm_rows) FILTER (WHERE kind = 'idle') / nullif(sum(n) FILTER (WHERE kind = 'idle'), 0), 4) AS idle_sample_fpr FROM cyc""")
+def sample_fold_metrics(spark, sf_dir):
+    out = metrics.sample_fold_metrics(final_rows(spark, sf_dir), "final_alarm", 60.0, 3600.0, [])
+    return rounded(out.select("n_events", "event_detection_rate", "n_events_long", "delay_mean_sec", "delay_median_sec", "samples_to_alarm_mean", "normal_cycles", "fa_cycles", "fa_episodes", "exposure_sec", "idle_cycles", "idle_sample_fpr"), 4)
+
+
+@query(f"WITH {LI_ROWS} SELECT kind, round(quantile_cont(quantity, 0.25), 4) AS q25, round(quantile_cont(quantity, 0.5), 4) AS q50, round(quantile_cont(price, 0.99), 4) AS p99, count(*) AS n FROM seg_rows GROUP BY 1")
+def exact_quantiles(spark, sf_dir):
+    rows = line_rows(spark, sf_dir)
+    a = thresholds.exact_quantiles(rows, "quantity", (0.25, 0.5), ["kind"]).select("kind", F.col("quantiles")[0].alias("q25"), F.col("quantiles")[1].alias("q50"), "n")
+    b = thresholds.exact_quantiles(rows, "price", (0.99,), ["kind"]).select("kind", F.col("quantiles")[0].alias("p99"))
+    return rounded(a.join(b, "kind"), 4)
+
+
+# the detector, with models so plain that SQL has their scores: the squared log of the value, or of its mean over a window
+
+DETECTOR = """sc AS (SELECT *, ln(1 + abs(value)) * ln(1 + abs(value)) AS raw, count(*) OVER w3 AS n3, count(*) OVER w5 AS n5, power(ln(1 + abs(avg(value) OVER w3)), 2) AS s3, power(ln(1 + abs(avg(value) OVER w5)), 2) AS s5
+    FROM seg_rows WINDOW w3 AS (PARTITION BY group_id ORDER BY t_us, seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), w5 AS (PARTITION BY group_id ORDER BY t_us, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+  sm AS (SELECT *, CASE WHEN n3 = 3 THEN avg(raw) OVER (PARTITION BY group_id ORDER BY t_us, seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) ELSE 0 END AS sample_score, CASE WHEN n3 = 3 THEN s3 END AS short_score, CASE WHEN n5 = 5 THEN s5 END AS long_score FROM sc),
+  al AS (SELECT *, n3 = 3 AND sample_score >= 16 AS sample_alarm, coalesce(short_score >= 17, false) AS short_alarm, coalesce(long_score >= 16.5, false) AS long_alarm FROM sm),
+  r3 AS (SELECT *, sample_alarm OR short_alarm OR long_alarm AS or_3 FROM al),
+  st AS (SELECT *, or_3 AND coalesce(lag(or_3) OVER (PARTITION BY group_id ORDER BY t_us, seq), false) AS final_alarm, CAST(or_3 AS INT) + CAST(coalesce(lag(or_3) OVER (PARTITION BY group_id ORDER BY t_us, seq), false) AS INT) AS persistence_count FROM r3)"""
+STEPS = f"WITH {EV_ROWS}, {DETECTOR} SELECT source, CAST(series AS VARCHAR) AS series, t_us, seq, segment_id, round(sample_score, 6) AS sample_score, round(short_score, 6) AS short_score, round(long_score, 6) AS long_score, sample_alarm, short_alarm, long_alarm, or_3, final_alarm, CAST(persistence_count AS BIGINT) AS persistence_count"
+
+
+def plain_detector() -> Detector:
+    names = features_of(EVENT_SETTINGS)
+    models = {}
+    for name, features in names.items():
+        n = len(features)
+        models[name] = Gaussian(features, [0.0] * n, [[float(i == j == 0) for j in range(n)] for i in range(n)], [0.0] * n)
+    return Detector(models, {"sample": 16.0, "short": 17.0, "long": 16.5}, EVENT_SETTINGS)
+
+
+STEP_COLUMNS = ("source", "series", "t_us", "seq", "segment_id", "sample_score", "short_score", "long_score", "sample_alarm", "short_alarm", "long_alarm", "or_3", "final_alarm", "persistence_count")
+
+
+@query(STEPS + " FROM st")
+def detection(spark, sf_dir):
+    out = detect(event_rows(spark, sf_dir), plain_detector()).withColumn("series", F.col("series").cast("string"))
+    return rounded(out.select(*STEP_COLUMNS))
+
+
+def _steps(spark, sf_dir):
+    samples = event_samples(spark, sf_dir)
+    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    return run_stream(detect_stream(to_samples(raw, EVENTS).select(*samples.columns), plain_detector()), "steps")
+
+
+@query(STEPS + ", CASE WHEN source = 'fault' THEN 'fault' WHEN idle = 1 THEN 'idle' ELSE 'normal' END AS kind, CAST(state AS BIGINT) AS ground_truth, round(gap_sec, 6) AS gap_sec FROM st")
+def stream_detection(spark, sf_dir):
+    """The detector over the events as a stream, against the same rows at once."""
+    return rounded(_steps(spark, sf_dir).select(*STEP_COLUMNS, "kind", "ground_truth", "gap_sec"))
+
+
+@query(f"WITH {EV_ROWS}, {DETECTOR} SELECT source, CASE WHEN source = 'fault' THEN 'fault' WHEN idle = 1 THEN 'idle' ELSE 'normal' END AS kind, count(*) AS rows, count(*) FILTER (WHERE final_alarm) AS alarm_rows, 0::BIGINT AS late_rows, 0::BIGINT AS invalid_rows FROM st GROUP BY ALL")
+def stream_counts(spark, sf_dir):
+    out = running_counts(_steps(spark, sf_dir))
+    return out.select("source", "kind", "rows", "alarm_rows", F.coalesce("late_rows", F.lit(0)).alias("late_rows"), F.coalesce("invalid_rows", F.lit(0)).alias("invalid_rows"))

@@ -54,6 +54,15 @@ class Settings:
     quantile: float = 0.9999
     channels: tuple[str, ...] = field(default=SENSOR_CHANNELS)
 
+    def __post_init__(self):
+        above_zero = {"gap_sec": self.gap_sec, "window_sec": self.window_sec, "step_sec": self.step_sec, "sampling_sec": self.sampling_sec}
+        wrong = [k for k, v in above_zero.items() if not 0 < v < float("inf")]
+        wrong += [k for k, v in {"fill": self.fill, "quantile": self.quantile}.items() if not 0 < v <= 1]
+        wrong += [k for k, v in {"short_size": self.short_size, "long_size": self.long_size}.items() if v < 2]
+        wrong += [k for k, v in {"smooth": self.smooth, "persistence": self.persistence}.items() if v < 1]
+        if wrong or len(self.channels) < 2:
+            raise ValueError(f"settings out of range: {', '.join(wrong) or 'channels'}")
+
     @property
     def min_samples(self) -> int:
         return max(2, int(self.window_sec / self.sampling_sec * self.fill))
@@ -68,7 +77,7 @@ def require(df: DataFrame, columns: list[str] | tuple[str, ...]) -> DataFrame:
 
 
 #: Numeric columns that are no features (fixed values).
-NOT_FEATURES = frozenset("sample_count actual_duration_sec max_gap_sec idle_ratio idle_majority fault_ratio label segment_id split window_sec".split())
+NOT_FEATURES = frozenset({"sample_count", "actual_duration_sec", "max_gap_sec", "idle_ratio", "idle_majority", "fault_ratio", "label", "segment_id", "split", "window_sec"})
 
 
 def infer_features(df: DataFrame, prefixes: tuple[str, ...] = ("ai0", "ai1", "ai2"), expect: int | None = 16) -> list[str]:

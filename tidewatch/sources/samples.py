@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+import platform
+import subprocess
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.scalar import finite, label_of, micros
+from tidewatch.functions.scalar import finite, label_of, micros, seconds
+from tidewatch.operators.sessions import infer_step
 from tidewatch.schema import SENSOR_CHANNELS, Roles, infer_features, require
 
-SENSOR_ROLES = Roles("TimeStamp", {c: c for c in SENSOR_CHANNELS}, state="Equipment_state", idle="Idle")
+SENSOR_ROLES = Roles("TimeStamp", {c: c for c in SENSOR_CHANNELS}, seq="seq", source="source", state="Equipment_state", idle="Idle")
+#: Bytes, as a power of two, that no two splits of a file start within.
+_SPLIT_BITS = 20
 
 
 def read_sensor_csv(spark: SparkSession, path: str, source: str = "normal") -> DataFrame:
     """Raw samples of a sensor CSV with a header: bad times are dropped, bad numbers become null.
 
-    Equipment_state (default 1 for fault, else 0) and Idle (default 0) may be missing. Column order is free; a byte
-    order mark is skipped.
+    Equipment_state (default 1 for fault, else 0) and Idle (default 0) may be missing; has_truth tells whether there is an
+    Equipment_state. Column order is free; a byte order mark is skipped. seq follows the order of the file's rows: where
+    the row's split starts in the file, then its place in the split.
     """
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     require(raw, ("TimeStamp", *SENSOR_CHANNELS))
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    raw = raw.withColumn("seq", F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), _SPLIT_BITS), 33) + place)
     number = lambda c, t: F.expr(f"try_cast(`{c}` as {t})")
     state = number("Equipment_state", "double").cast("int") if "Equipment_state" in raw.columns else F.lit(int(source == "fault"))
     idle = number("Idle", "double").cast("int") if "Idle" in raw.columns else F.lit(0)
@@ -28,6 +41,8 @@ def read_sensor_csv(spark: SparkSession, path: str, source: str = "normal") -> D
         F.coalesce(state, F.lit(0)).alias("Equipment_state"),
         F.coalesce(idle, F.lit(0)).alias("Idle"),
         F.lit(source).alias("source"),
+        "seq",
+        F.lit("Equipment_state" in raw.columns).alias("has_truth"),
     ).where("TimeStamp is not null")
 
 
@@ -36,6 +51,11 @@ def read_sources(spark: SparkSession, normal: str, fault: str) -> DataFrame:
     return read_sensor_csv(spark, normal, "normal").unionByName(read_sensor_csv(spark, fault, "fault"))
 
 
+def read_external(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of an external run, in the order of its rows; without Equipment_state all states are 0 and has_truth is false."""
+    return read_sensor_csv(spark, path, "external")
+
+
 def to_samples(df: DataFrame, roles: Roles) -> DataFrame:
     """The canonical sample columns of a table. Rows without a time are dropped; channels that aren't finite are null."""
     time = F.expr(roles.time)
@@ -80,10 +100,38 @@ def read_windows(spark: SparkSession, path: str, features: list[str] | None = No
     return df.withColumn("label", F.col("label").cast("int")).where(F.col("label").isin(0, 1))
 
 
-def read_scale(spark: SparkSession, folder: str) -> DataFrame:
-    """Model and idle windows of one scale, with its window length."""
+@dataclass(frozen=True)
+class Scale:
+    """The windows of one length (model and idle ones), the events, and the usual step and length in seconds."""
+
+    windows: DataFrame
+    events: DataFrame
+    step_sec: float
+    window_sec: float
+
+
+def read_scale(spark: SparkSession, folder: str) -> Scale:
+    """The datasets model_windows, idle_windows and event_manifest of a folder."""
     both = read_windows(spark, f"{folder}/model_windows.parquet").unionByName(read_windows(spark, f"{folder}/idle_windows.parquet"), allowMissingColumns=True)
-    return both.withColumn("window_sec", F.round(F.col("window_end").cast("double") - F.col("window_start").cast("double"), 3))
+    both = both.withColumns({"start_us": micros(F.col("window_start")), "end_us": micros(F.col("window_end"))})
+    found = infer_step(both).first()
+    return Scale(both.withColumn("window_sec", F.lit(found["window_sec"])), spark.read.parquet(f"{folder}/event_manifest.parquet"), found["step_sec"], found["window_sec"])
+
+
+def read_optional(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame | None:
+    """A Parquet table, of these columns only; None where there is none."""
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return df.select(*columns) if columns else df
+
+
+def line_count(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the lines of a text file below its header."""
+    return spark.read.text(path).agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("rows"))
 
 
 def label_counts(df: DataFrame) -> DataFrame:
@@ -99,5 +147,23 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.substring(F.sha2("content", 256), 1, 16).alias("sha256"))
 
 
+def provenance(spark: SparkSession, path: str, code: str | None = None) -> DataFrame:
+    """kind, name, value: the digests of the input files, the versions of what they are read with, and the commit of the
+    folder `code`."""
+    known = [("version", "python", platform.python_version()), ("version", "spark", spark.version), ("version", "numpy", np.__version__), ("version", "pandas", pd.__version__)]
+    if code:
+        said = subprocess.run(["git", "rev-parse", "--short", "HEAD"], cwd=code, capture_output=True, text=True, timeout=10)
+        known.append(("commit", "code", said.stdout.strip() or None))
+    files = file_digests(spark, path).select(F.lit("sha256").alias("kind"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("sha256").alias("value"))
+    return files.unionByName(spark.createDataFrame(known, "kind string, name string, value string"))
+
+
+def drop_unknown(samples: DataFrame, channels: tuple[str, ...]) -> DataFrame:
+    """samples with all channels known, and t_sec: seconds since the first of them."""
+    rows = samples.dropna(subset=list(channels))
+    first = rows.agg(F.min("t_us")).first()[0]
+    return rows.withColumn("t_sec", seconds(F.col("t_us"), F.lit(first).cast("long")))
+
+
 def with_label(samples: DataFrame) -> DataFrame:
     return samples.withColumn("label", label_of(F.col("state")))

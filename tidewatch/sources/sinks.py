@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -13,7 +14,10 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, byte_order_mark: bool = False) -> None:
+    """CSV files with a header, in UTF-8; spreadsheets know it by a byte order mark."""
+    if byte_order_mark:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -44,6 +48,21 @@ def stream_log(stream: DataFrame, path: str, checkpoint: str, **options):
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).options(**options).outputMode("append").start()
 
 
+def pick(summary: DataFrame, **where) -> dict | None:
+    """The first row of a small summary table with these values, as a dict; None where there is none."""
+    for column, value in where.items():
+        summary = summary.where(F.col(column).eqNullSafe(F.lit(value)))
+    row = summary.first()
+    return row.asDict() if row else None
+
+
+def digest_line(stage: str, row: dict | None, digits: int = 4) -> str:
+    """What one row of a stage's results says, on one line."""
+    if row is None:
+        return f"{stage}: no result"
+    return f"{stage}: " + ", ".join(f"{k}={v:.{digits}g}" if isinstance(v, float) else f"{k}={v}" for k, v in row.items())
+
+
 def report(df: DataFrame, title: str, digits: int = 4, limit: int = 200) -> str:
     """A plain-text table of the first rows of a small result."""
     rows = [tuple(f"{v:.{digits}f}" if isinstance(v, float) else str(v) for v in r) for r in df.limit(limit).collect()]

@@ -9,6 +9,7 @@ a batch of a single growing file is one partition.
 from __future__ import annotations
 
 import csv
+import math
 import os
 from collections.abc import Iterator
 
@@ -22,8 +23,12 @@ MAX_BYTES = 1 << 20
 
 
 def _number(text: str | None, kind: type):
+    """A field as a number; null for what isn't one, and for whole numbers also where it is NaN, infinite or out of range."""
     try:
-        return kind(float(text)) if text not in (None, "") else None
+        value = float(text or "nan")
+        if kind is int:
+            return int(value) if abs(value) < 2**31 else None
+        return value if math.isfinite(value) else None
     except ValueError:
         return None
 
@@ -49,11 +54,15 @@ class TailReader(SimpleDataSourceStreamReader):
         return {"at": 0}
 
     def _lines(self, start: int, end: int | None) -> tuple[list[str], int]:
+        """The complete lines from a place on: of about MAX_BYTES, or of one longer line. Only line feeds end a line."""
         with open(self.path, "rb") as f:
             f.seek(start)
             data = f.read(MAX_BYTES if end is None else end - start)
+            while end is None and b"\n" not in data and (more := f.read(MAX_BYTES)):
+                data += more
         data = data[: data.rfind(b"\n") + 1]
-        return data.decode("utf-8-sig" if start == 0 else "utf-8").splitlines(), start + len(data)
+        lines = data.decode("utf-8-sig" if start == 0 else "utf-8").split("\n")[:-1]
+        return [x.removesuffix("\r") for x in lines], start + len(data)
 
     def _header(self) -> list[str]:
         with open(self.path, "rb") as f:

@@ -6,9 +6,10 @@ and 10 rows of the segment. A row alarms finally when the last `persistence` row
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewatch.functions.scalar import alarm_state, label_of, stream_kind
 from tidewatch.operators.alarms import derive_alarms, smoothed
-from tidewatch.operators.models import Gaussian, fit_forest, fit_gaussians
+from tidewatch.operators.models import Forest, Gaussian, fit_forest, fit_gaussians, model_from_json
 from tidewatch.operators.thresholds import normal_quantile
 from tidewatch.operators.windows import count_windows, sample_feature_names, sample_features
 from tidewatch.schema import Settings, feature_names
@@ -27,7 +29,7 @@ NAMES = ("sample", "short", "long")
 
 @dataclass(frozen=True)
 class Detector:
-    models: dict[str, Gaussian]
+    models: dict[str, Gaussian | Forest]
     thresholds: dict[str, float]
     settings: Settings
 
@@ -38,7 +40,10 @@ class Detector:
     def from_json(text: str) -> Detector:
         d = json.loads(text)
         settings = Settings(**{k: tuple(v) if isinstance(v, list) else v for k, v in d["settings"].items()})
-        return Detector({k: Gaussian(**m) for k, m in d["models"].items()}, d["thresholds"], settings)
+        missing = {*NAMES} - {*d["models"]} | {*NAMES} - {*d["thresholds"]}
+        if missing:
+            raise ValueError(f"not a fitted detector: it lacks {sorted(missing)}")
+        return Detector({k: model_from_json(json.dumps(m)) for k, m in d["models"].items()}, d["thresholds"], settings)
 
 
 def model_inputs(rows: DataFrame, settings: Settings) -> DataFrame:
@@ -94,90 +99,230 @@ def detect(rows: DataFrame, detector: Detector) -> DataFrame:
 # streaming
 
 STEP = (
-    "series string, t_us long, seq long, segment_id long, segment_reset boolean, gap_sec double, sample_score double, short_score double, long_score double, "
+    "source string, series string, t_us long, seq long, kind string, ground_truth int, segment_id long, segment_reset boolean, gap_sec double, sample_score double, short_score double, long_score double, "
     "sample_alarm boolean, short_alarm boolean, long_alarm boolean, or_3 boolean, final_alarm boolean, active_detectors array<string>, persistence_count int, note string"
 )
-STATE = "payload string"
+#: The last time, the segment's number, its last rows (time and channels, row by row), its last sample scores and alarms.
+STATE = "last long, segment long, times array<long>, rows array<double>, scores array<double>, history array<boolean>"
+
+
+@dataclass
+class Memory:
+    """What is kept of a series: no more rows than the longest window has."""
+
+    last: int | None = None
+    segment: int = 0
+    times: list[int] = field(default_factory=list)
+    rows: list[float] = field(default_factory=list)
+    scores: list[float] = field(default_factory=list)
+    history: list[bool] = field(default_factory=list)
+
+
+def window_features(times: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """The 16 features of each run of size rows, a row for each run: those that end at row size - 1, size, and so on."""
+    from numpy.lib.stride_tricks import sliding_window_view
+
+    sec = sliding_window_view((times - times[0]) / 1e6, size)
+    sec = sec - sec.mean(1, keepdims=True)
+    spread = (sec * sec).sum(1)
+    out, centred = [], []
+    for x in values.T:
+        w = sliding_window_view(x, size)
+        mean = w.mean(1)
+        c = w - mean[:, None]
+        centred.append(c)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = np.where(spread > 0, (sec * c).sum(1) / spread, np.nan)
+        out += [mean, w.std(1, ddof=1), np.sqrt((w * w).mean(1)), np.ptp(w, 1), slope]
+    scale = np.sqrt((centred[0] ** 2).mean(1) * (centred[1] ** 2).mean(1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out.append(np.where(scale > 0, (centred[0] * centred[1]).mean(1) / scale, 0.0))
+    return np.column_stack(out)
 
 
 class Stepper:
-    """The state of one series: the last rows of the segment, sample scores, alarms, the last time."""
-
-    def __init__(self, detector: Detector, state: dict | None = None):
-        self.d, self.s = detector, detector.settings
-        self.state = state or {"last": None, "segment": 0, "rows": [], "scores": [], "history": []}
-
-    def window(self, name: str, size: int) -> float | None:
-        rows = self.state["rows"][-size:]
-        if len(rows) < size:
-            return None
-        a = np.array(rows, dtype=float)
-        sec, out = (a[:, 0] - a[0, 0]) / 1e6, []
-        spread = ((sec - sec.mean()) ** 2).sum()
-        for x in a[:, 1:].T:
-            slope = ((sec - sec.mean()) * (x - x.mean())).sum() / spread if spread > 0 else np.nan
-            out += [x.mean(), x.std(ddof=1), np.sqrt((x * x).mean()), np.ptp(x), slope]
-        x, y = a[:, 1], a[:, 2]
-        scale = x.std() * y.std()
-        out.append(((x - x.mean()) * (y - y.mean())).mean() / scale if scale > 0 else 0.0)
-        return float(self.d.models[name].numpy_score(np.array([out]))[0])
+    """The detector along one series. Rows older than the last, and rows with unknown channels, change nothing and carry a note;
+    strict: they are an error."""
 
-    def step(self, t_us: int, values: list[float]) -> dict:
-        """One row. Rows older than the last, and rows with unknown channels, change nothing and carry a note."""
-        st, s = self.state, self.s
-        out = {"segment_id": st["segment"], "segment_reset": False, "gap_sec": None, "sample_score": 0.0, "short_score": None, "long_score": None, "sample_alarm": False, "short_alarm": False, "long_alarm": False, "or_3": False, "final_alarm": False, "active_detectors": [], "persistence_count": sum(st["history"][-s.persistence :]), "note": None}
-        if not np.isfinite(values).all():
-            return out | {"note": "invalid"}
-        if st["last"] is not None:
-            gap = (t_us - st["last"]) / 1e6
-            if gap < 0:
-                return out | {"note": "late", "gap_sec": gap}
-            out["gap_sec"] = gap
-            if gap > s.gap_sec:
-                st.update(segment=st["segment"] + 1, rows=[], scores=[], history=[])
-                out.update(segment_id=st["segment"], segment_reset=True)
-        before = st["rows"][-1][1:] if st["rows"] else values
-        st["last"] = t_us
-        st["rows"] = [*st["rows"], [t_us, *values]][-s.long_size :]
-        raw = np.array([[*values, *(v - b for v, b in zip(values, before, strict=True))]])
-        st["scores"] = [*st["scores"], float(self.d.models["sample"].numpy_score(raw)[0])][-s.smooth :]
-        limit = self.d.thresholds
-        if len(st["scores"]) == s.smooth:
-            out["sample_score"] = float(np.mean(st["scores"]))
-            out["sample_alarm"] = out["sample_score"] >= limit["sample"]
-        for name, size in (("short", s.short_size), ("long", s.long_size)):
-            score = self.window(name, size)
-            out[f"{name}_score"] = score
-            out[f"{name}_alarm"] = score is not None and score >= limit[name]
-        out["or_3"] = out["sample_alarm"] or out["short_alarm"] or out["long_alarm"]
-        st["history"] = [*st["history"], bool(out["or_3"])][-s.persistence :]
-        out["final_alarm"] = len(st["history"]) == s.persistence and all(st["history"])
-        out["persistence_count"] = sum(st["history"])
-        out["active_detectors"] = [n for n, c in (("sample", "sample"), ("0.5s", "short"), ("1.0s", "long")) if out[f"{c}_alarm"]]
-        return out
+    def __init__(self, detector: Detector, memory: Memory | None = None, strict: bool = False):
+        self.d, self.s, self.memory, self.strict = detector, detector.settings, memory or Memory(), strict
 
+    def reset(self) -> None:
+        """Forgets the series, as before its first row."""
+        self.memory = Memory()
 
-def detect_stream(stream: DataFrame, detector: Detector) -> DataFrame:
-    """Scores and alarms of a stream of samples (series, t_us, seq, channels), by series.
+    def step(self, t_us: int, values: list[float]) -> dict:
+        """One row."""
+        return {k: v[0] for k, v in self.many(np.array([t_us]), np.array([values], float)).items()}
+
+    def many(self, times: np.ndarray, values: np.ndarray) -> dict[str, list]:
+        """Rows in the order of their times, scored segment by segment at once."""
+        m, s, n = self.memory, self.s, len(times)
+        out: dict[str, list] = {k: [v] * n for k, v in {"segment_reset": False, "gap_sec": None, "sample_score": 0.0, "short_score": None, "long_score": None, "sample_alarm": False, "short_alarm": False, "long_alarm": False, "or_3": False, "final_alarm": False, "note": None}.items()}
+        known = np.isfinite(values).all(1)
+        late = known & (times < m.last) if m.last is not None else np.zeros(n, bool)
+        good = np.flatnonzero(known & ~late)
+        if self.strict and len(good) < n:
+            raise ValueError(f"{n - len(good)} rows are late or have unknown channels")
+        for i in np.flatnonzero(~known):
+            out["note"][i] = "invalid"
+        for i in np.flatnonzero(late):
+            out["note"][i], out["gap_sec"][i] = "late", (int(times[i]) - m.last) / 1e6
+        before = np.append(np.nan if m.last is None else m.last, times[good][:-1])[: len(good)]
+        gaps = (times[good] - before) / 1e6
+        starts = gaps > s.gap_sec
+        segments = m.segment + np.cumsum(starts)
+        number, count = np.full(n, m.segment), np.full(n, sum(m.history[-s.persistence :]))
+        active: list[list[str]] = [[] for _ in range(n)]
+        for i, gap, new in zip(good.tolist(), gaps.tolist(), starts.tolist(), strict=True):
+            out["gap_sec"][i], out["segment_reset"][i] = None if np.isnan(gap) else gap, new
+        for first in np.unique(np.append(np.flatnonzero(starts), 0 if len(good) else [])).astype(int).tolist():
+            if starts[first]:
+                m.times, m.rows, m.scores, m.history = [], [], [], []
+            own = good[(segments == segments[first])]
+            self._segment(times[own], values[own], own.tolist(), out, number, count, active, int(segments[first]))
+        out["segment_id"], out["persistence_count"], out["active_detectors"] = number.tolist(), count.tolist(), active
+        # a row without effect tells the state that it met
+        for i in np.flatnonzero(~known | late).tolist():
+            done = good[good < i]
+            if len(done):
+                out["segment_id"][i], out["persistence_count"][i] = out["segment_id"][done[-1]], out["persistence_count"][done[-1]]
+        return out
 
-    Rows of a micro-batch are put in order of time; a row older than the series' last is returned with the note `late`,
-    one with an unknown channel with `invalid`. The state of a series is at most as many rows as the longest window.
+    def _segment(self, times, values, own, out, number, count, active, segment) -> None:
+        m, s, k = self.memory, self.s, len(self.memory.times)
+        whole_t = np.append(np.array(m.times, np.int64), times)
+        whole = np.vstack([np.array(m.rows, float).reshape(k, values.shape[1]), values])
+        previous = np.vstack([whole[:1], whole[:-1]])[k:]
+        raw = self.d.models["sample"].numpy_score(np.hstack([values, values - previous]))
+        scores = np.append(m.scores, raw)
+        alarms = {"sample": np.zeros(len(own), bool)}
+        for j, i in enumerate(own):
+            upto = len(scores) - len(own) + j + 1
+            if upto >= s.smooth:
+                out["sample_score"][i] = float(scores[upto - s.smooth : upto].mean())
+                alarms["sample"][j] = out["sample_score"][i] >= self.d.thresholds["sample"]
+        for name, size in (("short", s.short_size), ("long", s.long_size)):
+            alarms[name] = np.zeros(len(own), bool)
+            if len(whole) >= size:
+                # the runs that end at one of the new rows
+                first = max(0, k - size + 1)
+                found = self.d.models[name].numpy_score(window_features(whole_t[first:], whole[first:], size))
+                for j, score in zip(range(len(own) - len(found), len(own)), found.tolist(), strict=True):
+                    out[f"{name}_score"][own[j]] = score
+                    alarms[name][j] = score >= self.d.thresholds[name]
+        any_alarm = alarms["sample"] | alarms["short"] | alarms["long"]
+        history = [*m.history, *any_alarm.tolist()]
+        for j, i in enumerate(own):
+            last = history[: len(m.history) + j + 1][-s.persistence :]
+            for name in alarms:
+                out[f"{name}_alarm"][i] = bool(alarms[name][j])
+            out["or_3"][i], out["final_alarm"][i] = bool(any_alarm[j]), len(last) == s.persistence and all(last)
+            active[i] = [n for n, c in (("sample", "sample"), ("0.5s", "short"), ("1.0s", "long")) if alarms[c][j]]
+            number[i], count[i] = segment, sum(last)
+        m.last, m.segment = int(times[-1]), segment
+        m.times, m.rows = whole_t[-s.long_size :].tolist(), whole[-s.long_size :].ravel().tolist()
+        m.scores, m.history = scores[-s.smooth :].tolist(), history[-s.persistence :]
+
+
+def detect_stream(stream: DataFrame, detector: Detector, strict: bool = False) -> DataFrame:
+    """Scores and alarms of a stream of samples (source, series, t_us, seq, channels), by source and series.
+
+    Rows of a micro-batch are put in order of time and scored at once; a row older than the series' last is returned with the
+    note `late`, one with an unknown channel with `invalid`; strict: the stream stops at such a row. The state of a series is at
+    most as many rows as the longest window. A stream may lack source (external), state and idle (0): then has no
+    ground_truth, which is null. Where a column `reset` is true, the series starts anew with that row.
     """
     channels, columns = detector.settings.channels, [c.split()[0] for c in STEP.split(", ")]
     text = detector.to_json()
+    given = set(stream.columns)
+    optional = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in given else F.lit(default)
+    truth = label_of(F.col("state")) if "state" in given else F.lit(None).cast("int")
+    source = optional("source", "external")
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stepper = Stepper(Detector.from_json(text), json.loads(state.get[0]) if state.exists else None)
+        memory = Memory(*(list(v) if isinstance(v, (list, np.ndarray)) else v for v in state.get)) if state.exists else None
+        stepper = Stepper(known_detector(text), memory, strict)
         rows = pd.concat(list(frames)).sort_values(["t_us", "seq"], kind="stable")
-        out = []
-        for row in rows.itertuples(index=False):
-            values = [float(v) if v is not None else float("nan") for v in (getattr(row, f"c{i}") for i in range(len(channels)))]
-            out.append({"series": key[0], "t_us": row.t_us, "seq": row.seq} | stepper.step(int(row.t_us), values))
-        state.update((json.dumps(stepper.state),))
-        yield pd.DataFrame(out, columns=columns)
-
-    narrow = stream.select(F.col("series").cast("string"), "t_us", "seq", *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(channels)))
-    return narrow.groupBy("series").applyInPandasWithState(advance, STEP, STATE, "append", GroupStateTimeout.NoTimeout)
+        anew = rows["reset"].to_numpy(bool)
+        for part in np.split(np.arange(len(rows)), np.flatnonzero(anew)):
+            if not len(part):
+                continue
+            if anew[part[0]]:
+                stepper.reset()
+            own = rows.iloc[part]
+            found = stepper.many(own["t_us"].to_numpy(np.int64), own[[f"c{i}" for i in range(len(channels))]].to_numpy(float))
+            out = pd.DataFrame({"source": key[0], "series": key[1], **{c: own[c].to_numpy() for c in ("t_us", "seq", "kind")}, "ground_truth": own["truth"].astype("Int32").to_numpy(), **found}, columns=columns)
+            yield out
+        m = stepper.memory
+        state.update((m.last, m.segment, m.times, m.rows, m.scores, m.history))
+
+    narrow = stream.select(
+        source.alias("source"),
+        F.col("series").cast("string"),
+        "t_us",
+        F.col("seq").cast("long"),
+        stream_kind(source, optional("state", 0), optional("idle", 0)).alias("kind"),
+        truth.alias("truth"),
+        optional("reset", False).alias("reset"),
+        *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(channels)),
+    )
+    return narrow.groupBy("source", "series").applyInPandasWithState(advance, STEP, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+@functools.lru_cache(maxsize=8)
+def known_detector(text: str) -> Detector:
+    """A saved detector, read once in each Python worker."""
+    return Detector.from_json(text)
+
+
+def log_columns(steps: DataFrame, samples: DataFrame, detector: Detector, key: tuple[str, ...] = ("source", "series", "t_us", "seq")) -> DataFrame:
+    """The stream's log, 30 columns for each row: what came in, scores, thresholds, alarms and the state shown."""
+    c = samples.select(*(F.col(k).cast("string") if k == "series" else F.col(k) for k in key), *detector.settings.channels, "state", "idle")
+    both = steps.join(c, list(key))
+    limit = {n: F.lit(float(v)) for n, v in detector.thresholds.items()}
+    scores = [(F.col(f"{n}_score").alias(f"{n}_score"), limit[n].alias(f"{n}_threshold"), F.col(f"{n}_alarm")) for n in NAMES]
+    return both.select(
+        "source",
+        "series",
+        "t_us",
+        F.timestamp_micros("t_us").alias("timestamp"),
+        "seq",
+        "kind",
+        "ground_truth",
+        F.col("idle").alias("Idle"),
+        F.col("state").alias("Equipment_state"),
+        "segment_id",
+        F.concat_ws("_", "source", "series", F.col("segment_id").cast("string")).alias("group_id"),
+        "segment_reset",
+        "gap_sec",
+        *detector.settings.channels,
+        *(x for part in scores for x in part),
+        "or_3",
+        "final_alarm",
+        alarm_state(F.col("final_alarm"), F.col("or_3")).alias("shown"),
+        F.concat_ws(",", "active_detectors").alias("active_detectors"),
+        "note",
+    )
+
+
+def running_counts(steps: DataFrame) -> DataFrame:
+    """Of a stream of steps, by source and kind: rows, alarmed rows, late and invalid rows so far. Write it in update or
+    complete mode."""
+    return steps.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("final_alarm").cast("long")).alias("alarm_rows"), F.sum((F.col("note") == "late").cast("long")).alias("late_rows"), F.sum((F.col("note") == "invalid").cast("long")).alias("invalid_rows"))
+
+
+def write_replay(samples: DataFrame, path: str, part_sec: float) -> None:
+    """Writes samples as files that follow each other in time, one for each part_sec of the data, to be replayed."""
+    part = F.floor(F.col("t_us") / round(part_sec * 1e6))
+    samples.withColumn("part", part).repartitionByRange("part").sortWithinPartitions("t_us", "seq").write.partitionBy("part").parquet(path)
+
+
+def replay(samples: DataFrame, path: str):
+    """A stream over files of samples written part by part (write_replay): one part for each trigger. A trigger interval of
+    part_sec replays at the pace of the data, a shorter one faster."""
+    spark = samples.sparkSession
+    return spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
 
 
 def feature_snapshot(rows: DataFrame, settings: Settings) -> DataFrame:
