@@ -1,6 +1,11 @@
 """The corpus pipeline: toxic and low-quality documents go, one near copy of each group stays, documents with benchmark
 passages go, and the rest is packed into training sequences.
 
+Nulls: a null text is scored, kept or dropped as the empty text and is a copy of nothing; rows without a doc_id are judged like all
+others. Repeated rows are copies of each other: one stays. Of copies the one with the smallest doc_id stays, and of equal or no
+doc_ids any one. An empty table, or one of which a stage drops all rows, gives no rows. Other columns are kept up to the last
+stage, whatever their names. Texts are handled whole.
+
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns
 of documents.
 """
