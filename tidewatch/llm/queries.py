@@ -76,5 +76,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: A text's letters A-Z lower-cased.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP3 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+  b AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+  c AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+  i AS (SELECT DISTINCT item_id, n, array_to_string(w[pos : pos + n - 1], ' ') AS part FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM c)),
+  p AS (SELECT r, n, pos, array_to_string(w[pos : pos + n - 1], ' ') AS part FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM d, (SELECT DISTINCT n FROM i))),
+  h AS (SELECT r, p.n, pos, item_id FROM p JOIN i ON p.n = i.n AND p.part = i.part),
+  k AS (SELECT r, count(DISTINCT pos + o) AS n_hit FROM (SELECT DISTINCT r, pos, unnest(range(0, n)) AS o FROM h) GROUP BY r),
+  m AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY r)
+  SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN k USING (r) LEFT JOIN m USING (r)"""
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(hex, {5 * g + 1}, 5) AS BIGINT) >> {shift}) & 31) + 1 AS INT), 1)" for g in range(8) for shift in (15, 10, 5, 0))
+
+OP5 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages), f AS (SELECT hex, min(page_id) AS first, count(*) AS n FROM p GROUP BY 1)
+  SELECT page_id, strlen(payload) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact FROM p JOIN f USING (hex)"""
+
+OP7 = rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT DISTINCT r, array_to_string(w[pos : pos + n - 1], ' ') AS part FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM (SELECT r, w, least(5, len(w)) AS n FROM d WHERE len(w) > 0))),
+  z AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+  o AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.part = b.part AND a.r < b.r GROUP BY 1, 2),
+  e AS (SELECT a, b FROM o JOIN z x ON x.r = a JOIN z y ON y.r = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+  u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  t AS (SELECT r AS a, r AS b FROM d UNION SELECT t.a, u.b FROM t JOIN u ON u.a = t.b)
+  SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN z USING (r) JOIN (SELECT t.a AS r, min(x.doc_id) AS component_id FROM t JOIN d x ON x.r = t.b GROUP BY 1) USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others aren't SQL: heaps, tokenizers, dynamic programming, trained models and hash trees; tests hold them against
+    plain versions."""
+    return {"op3_decontamination": OP3, "op5_warc": OP5, "op7_ngram_jaccard": OP7}
