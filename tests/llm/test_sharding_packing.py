@@ -53,6 +53,15 @@ def test_ids_equal_the_tokenizers_library():
         assert encoder.encode(text) == np.asarray(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)[:80]
 
 
+def test_ids_of_thousands_of_random_texts_equal_the_library():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder, rng = default_encoder(), np.random.default_rng(8)
+    pieces = [" ", "  ", "\n", "\t", "\u00a0", "\u2003", "\u2028", "\u3000", "\u0085", "\x1c", "'s", "don't", "I'LL", "Straße", "naïve", "漢字", "🙂", "👩‍🔬", "e\u0301", "\u200d", "12", "3.14", "a" * 70, "xyz" * 30, "!!!", "...", "<|endoftext|>", "<|", "_", "ʼn", "ﬁ", "\x00", "\x7f", "\ufeff", "\ud7ff", "İ", "the", "of", "and", "Word"]
+    for _ in range(4000):
+        text = "".join(pieces[i] for i in rng.integers(0, len(pieces), rng.integers(1, 14)))
+        assert encoder.encode(text) == np.asarray(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), ascii(text)
+
+
 def test_pieces_cover_documents_and_sequences_hold_them(spark):
     values = texts()
     out = pack_documents(frame(spark, values), 256, with_ids=True).collect()

@@ -11,7 +11,8 @@ A heap over every group would put the corpus on the driver, so the groups are ha
   less than one heavy group.
 
 Nulls: a null text has no bytes, so size 1 and CRC 0; all null texts are one group, apart from the empty text's.
-A null doc_id is kept. Repeated rows are separate documents of one group, each with a slot. An empty table gives no
+A null doc_id is kept. Repeated rows are separate documents of one group, each with a slot.
+Groups of equal size are taken in the order of their digest, equally loaded shards in the order of their number. An empty table gives no
 rows. Other columns of the input are ignored. Texts of any length are handled whole and only as digests.
 """
 
@@ -22,7 +23,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import materialize, rank_within
+from tidewatch.llm.common import look_up, materialize, rank_within
 
 HEAVY_PER_SHARD = 2048
 CLASSES_PER_OCTAVE = 128
@@ -80,7 +81,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, heavy_per_shard: int = HEA
         ),
         "shard-rows",
     )
-    groups = materialize(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "shard-groups")
+    groups = materialize(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     limit = max(1, total // (shards * heavy_per_shard))
     groups = groups.withColumn("class", F.floor(F.log2("bytes") * CLASSES_PER_OCTAVE).cast("int"))
@@ -97,6 +98,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, heavy_per_shard: int = HEA
     placed = placed.unionByName(heavy_df)
     # a key for the join that is never null; a text's digest has 32 bytes, so the empty one is free for nulls
     key = lambda c: F.coalesce(c, F.lit(b""))
-    out = rows.withColumn("_key", key(F.col("group"))).join(placed.select(key(F.col("_group")).alias("_key"), "_shard"), "_key")
+    known = groups.select(key(F.col("group")).alias("_key"), "n").join(placed.select(key(F.col("_group")).alias("_key"), "_shard"), "_key")
+    known = materialize(known, "shard-of-group")
+    out = look_up(rows.withColumn("_key", key(F.col("group"))), known, "_key", "n", rows.count())
     out = materialize(out.select("doc_id", "size", "text_crc32", "group", F.col("_shard").alias("shard")), "shard-placed")
     return rank_within(out, ["shard"], ["doc_id", "group"], "slot")
