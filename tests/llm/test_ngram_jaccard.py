@@ -69,6 +69,27 @@ def test_classes_equal_brute_force(spark, settings, monkeypatch):
     assert got == brute(rows(values))
 
 
+def test_long_lists_are_split_by_further_tokens(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    passages = [[word() for _ in range(40)] for _ in range(3)]
+    # many short documents around parts of the same passages: long lists, few links
+    values = [" ".join(rng.choice(passages)[: rng.randint(12, 40)] + [word() for _ in range(rng.randint(0, 4))] + rng.choice(passages)[rng.randint(10, 30) :]) for _ in range(150)]
+    split = []
+    plain = nj._split
+    monkeypatch.setattr(nj, "_split", lambda posted, sets, like, k: split.append(k) or plain(posted, sets, like, k))
+    monkeypatch.setattr(nj, "SHORT_PAIRS", 8)
+    monkeypatch.setattr(nj.link_classes, "__defaults__", (nj.LIKE, 0, 0))
+    got = Counter(map(tuple, nj.near_duplicates(frame(spark, values)).collect()))
+    assert got == brute(rows(values)) and split
+
+
+def test_repeated_rows_and_empty_sets_of_any_number(spark):
+    values = [(i % 3, "one two three four five six") for i in range(300)] + [(None, None)] * 200 + [(9, "")] * 100 + [(9, "alone here")]
+    got = Counter(map(tuple, nj.near_duplicates(spark.createDataFrame(values, "doc_id long, text string")).collect()))
+    assert got == brute(values)
+
+
 def test_one_of_each_class_stays(spark):
     values = near_copies(4)
     docs = frame(spark, values)
