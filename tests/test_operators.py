@@ -9,8 +9,8 @@ from tidewatch.functions import scalar
 from tidewatch.operators import alarms, analysis, metrics, sessions, splits, thresholds, windows
 from tidewatch.operators.models import Forest, Gaussian, fit_forest, fit_gaussian, shrink
 from tidewatch.schema import Roles, Settings, infer_features, require
-from tidewatch.sources.samples import assert_finite, quality_counts, read_sensor_csv, to_samples
-from tidewatch.sources.sinks import read_settings, report, run_once, write_csv, write_table
+from tidewatch.sources.samples import SENSOR_ROLES, assert_finite, drop_unknown, line_count, provenance, quality_counts, read_external, read_optional, read_scale, read_sensor_csv, read_sources, to_samples
+from tidewatch.sources.sinks import digest_line, pick, read_settings, report, run_once, write_csv, write_table
 
 ROWS = "source string, series long, t_us long, seq long, x double, y double, z double, state int, idle int"
 
@@ -268,3 +268,72 @@ def test_sources_and_sinks(spark, tmp_path):
         run_once(spark, str(tmp_path / "marker"), settings, lambda: runs.append(1))
     assert len(runs) == 2 and read_settings(spark, str(tmp_path / "marker")) == {"q": 2}
     assert "quantile" in report(out, "Title")
+
+
+def test_sensor_files_keep_their_source_and_the_order_of_their_rows(spark, tmp_path):
+    head = "TimeStamp,AI0_Vibration,AI1_Vibration,AI2_Current,Equipment_state,Idle\n"
+    line = lambda sec, v, state: f"2024-01-01 00:00:{sec:06.3f},{v},{v},{v},{state},0\n"
+    (tmp_path / "normal.csv").write_text(head + "".join(line(i / 10, i, 0) for i in range(30)) + line(2.9, 99, 0) * 2)
+    (tmp_path / "fault.csv").write_text(head + "".join(line(20 + i / 10, i, int(i >= 4)) for i in range(20)))
+    raw = read_sources(spark, str(tmp_path / "normal.csv"), str(tmp_path / "fault.csv"))
+    rows = sessions.sessionize(to_samples(raw, SENSOR_ROLES), 0.5)
+    found = {(r["source"], r["kind"]): r["n"] for r in rows.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert found == {("normal", "normal"): 32, ("fault", "fault"): 20}
+    assert [r[0] for r in ordered(rows.where("source = 'normal'"), "AI0_Vibration")] == [*map(float, range(30)), 99.0, 99.0]
+    assert rows.select("source", "seq").distinct().count() == 52
+    m = metrics.raw_alarm_metrics(rows.withColumn("alarm", F.col("AI0_Vibration") == 6), "alarm").first()
+    assert (m["n_events"], m["detected_events"], m["normal_fa_cycles"]) == (1, 1, 1) and m["delay_mean_sec"] == pytest.approx(0.6)
+    (tmp_path / "external.csv").write_text("TimeStamp,AI0_Vibration,AI1_Vibration,AI2_Current\n2024-01-01 00:00:00,1,2,3\n2024-01-01 00:00:00,,2,3\n")
+    outside = read_external(spark, str(tmp_path / "external.csv"))
+    assert [(r["source"], r["has_truth"], r["Equipment_state"], r["AI0_Vibration"]) for r in outside.orderBy("seq").collect()] == [("external", False, 0, 1.0), ("external", False, 0, None)]
+    assert drop_unknown(to_samples(outside, SENSOR_ROLES), ("AI0_Vibration",)).first()["t_sec"] == 0.0
+    assert line_count(spark, str(tmp_path / "fault.csv")).first()["rows"] == 20
+    assert read_optional(spark, str(tmp_path / "none.parquet")) is None
+    known = {(r["kind"], r["name"]) for r in provenance(spark, str(tmp_path / "*.csv"), str(tmp_path)).collect()}
+    assert {("sha256", "fault.csv"), ("version", "spark"), ("commit", "code")} <= known
+
+
+def test_spreadsheet_csv_summaries_and_scales(spark, tmp_path):
+    out = spark.createDataFrame([("or_3", 0.5, None), ("or_3_p2", 0.25, 3)], "combo string, f1 double, n int")
+    write_csv(out, str(tmp_path / "c"), byte_order_mark=True)
+    assert any(p.read_bytes().startswith(b"\xef\xbb\xbfcombo,") for p in (tmp_path / "c").glob("*.csv"))
+    assert digest_line("ensemble", pick(out, combo="or_3_p2")) == "ensemble: combo=or_3_p2, f1=0.25, n=3"
+    assert digest_line("ensemble", pick(out, combo="none")) == "ensemble: no result" and pick(out, n=None)["combo"] == "or_3"
+    w = spark.range(4).selectExpr("timestamp_micros(id * 100000) as window_start", "timestamp_micros(id * 100000 + 1000000) as window_end", "'g' as group_id", "'normal' as source", "0 as label", "1.0D as a_corr")
+    w.write.parquet(str(tmp_path / "s" / "model_windows.parquet"))
+    w.limit(0).write.parquet(str(tmp_path / "s" / "idle_windows.parquet"))
+    out.write.parquet(str(tmp_path / "s" / "event_manifest.parquet"))
+    import tidewatch.sources.samples as sources
+
+    kept = sources.infer_features
+    sources.infer_features = lambda df: ["a_corr"]
+    try:
+        scale = read_scale(spark, str(tmp_path / "s"))
+    finally:
+        sources.infer_features = kept
+    assert (scale.step_sec, scale.window_sec, scale.windows.count(), scale.events.count()) == (0.1, 1.0, 4, 2)
+    with pytest.raises(ValueError, match="quantile"):
+        Settings(quantile=1.5)
+    with pytest.raises(ValueError, match="0.05"):
+        splits.calibration_groups(spark.createDataFrame([("a",), ("b",)], "group_id string"), 0.5, 0)
+    none = samples(spark, [0.0], source="fault")
+    with pytest.raises(ValueError, match="no normal rows"):
+        splits.training_rows(sessions.sessionize(none, 0.5), None, ("x",))
+
+
+@pytest.mark.parametrize("cell", [0.35, 1.0, 100.0])
+def test_sessions_in_cells_of_any_length(spark, cell):
+    rng = random.Random(2)
+    times = np.cumsum([rng.choice([0.1, 0.1, 0.5, 0.6, 3.0]) for _ in range(150)]).tolist()
+    df = samples(spark, times, idle=[rng.randint(0, 1) for _ in times])
+    columns = ("segment_id", "gap_sec", "kind", "group_id")
+    assert ordered(sessions.sessionize_in_cells(df, 0.5, cell), *columns) == ordered(sessions.sessionize(df, 0.5), *columns)
+
+
+def test_quantiles_by_cells_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    for values in (rng.normal(size=301), np.exp(rng.normal(size=50) * 9), np.round(rng.normal(size=200), 1), np.full(9, 3.0), np.array([0.0, -1.0, 0.0, 1e-300, -1e300])):
+        df = spark.createDataFrame([(float(v), "a") for v in values] + [(None, "a"), (7.0, "b")], "v double, g string")
+        got = {r["g"]: r for r in thresholds.exact_quantiles(df, "v", (0.0, 0.13, 0.5, 0.9999, 1.0), ["g"]).collect()}
+        assert np.allclose(got["a"]["quantiles"], np.quantile(values, [0.0, 0.13, 0.5, 0.9999, 1.0]), rtol=1e-9) and got["a"]["n"] == len(values)
+        assert got["b"]["quantiles"] == [7.0] * 5

@@ -154,7 +154,7 @@ def test_a_growing_csv_is_followed(spark, tmp_path):
     long = tmp_path / "long.csv"
     long.write_text(head + "a," + "1" * (3 << 20) + ",2,3\nb,1,2,3\n")
     lines, end = TailReader(str(long))._lines(len(head), None)
-    assert len(lines) == 1 and end > 3 << 20 and TailReader(str(long))._lines(end, None)[0] == ["b,1,2,3"]
+    assert len(lines[0]) > 3 << 20 and end > 3 << 20 and [*lines[1:], *TailReader(str(long))._lines(end, None)[0]] == ["b,1,2,3"]
     assert parse(["TimeStamp", "Idle"], ["x,1", "y"]) == [("x", None, None, None, 0, 1, False, 0)]
 
 
@@ -207,3 +207,27 @@ def test_window_runs(spark):
     kinds = df.select("group_id", "kind").distinct()
     r = window_cv(w.join(kinds, "group_id"), names, folds, 3, 0.1, quantile=0.9).first()
     assert r["n_events"] >= 0 and 0 <= r["fa_cycle_rate"] <= 1
+
+
+def test_cross_validation_of_scales_samples_and_ensembles(spark):
+    from tidewatch.operators import splits, windows
+    from tidewatch.plans.protocol import ensemble_cv, multi_scale_cv, replay_errors, sample_alarms, sample_cv
+    from tidewatch.schema import feature_names
+
+    fault = [("fault", s, t, q, x + 8, y, z + 8, 1, 0) for _, s, t, q, x, y, z, _, _ in rows(8, 150, 1)]
+    df = sessionize(spark.createDataFrame(rows(7, 300, 1) + fault, COLUMNS), SETTINGS.gap_sec).persist()
+    folds = splits.hashed_fold_map(df, 3, 1).persist()
+    names, kinds = feature_names(SETTINGS.channels), df.select("group_id", "kind").distinct()
+    half = Settings(channels=SETTINGS.channels, window_sec=0.5, quantile=0.9)
+    long, short = (windows.time_windows(df, s).join(kinds, "group_id").persist() for s in (SETTINGS, half))
+    found = {r["system"]: r for r in multi_scale_cv({"1.0": (long, 1.0, 0.1), "0.5": (short, 0.5, 0.1)}, names, folds, 3, quantile=0.9).collect()}
+    assert set(found) == {"1.0", "0.5", "multi"} and all(0 <= r["pooled_f1"] <= 1 and r["n_events"] > 0 for r in found.values())
+    assert found["multi"]["n_events"] >= found["1.0"]["n_events"]
+    one = sample_cv(df, SETTINGS, folds, 3, 0.1, quantile=0.9).first()
+    events = df.where("kind = 'fault'").select("group_id").distinct().count()
+    assert one["n_events"] == events and one["event_detection_rate"] > 0.3 and one["exposure_sec"] > 0
+    assert sample_alarms(df, SETTINGS, folds, 3, quantile=0.9).count() == df.count()
+    combos = {r["combination"]: r for r in ensemble_cv(df, long, short, names, SETTINGS, folds, 3, quantile=0.9).collect()}
+    assert len(combos) == 9 and combos["or_3"]["detected_events"] >= combos["or_3_p2"]["detected_events"] >= combos["or_3_p3"]["detected_events"]
+    missed, context = replay_errors(df.withColumn("or_3_p2", F.col("x") > 3), long)
+    assert missed.count() == events and context.where("fp_context").count() >= 0
