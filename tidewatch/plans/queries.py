@@ -253,21 +253,27 @@ def window_starts(spark, sf_dir):
     return windows.window_starts(line_rows(spark, sf_dir), s.window_sec, s.step_sec, s.min_samples)
 
 
+#: A factor that keeps slopes of whole numbers from lying halfway between two roundings, where sums in another order decide.
+ODD = 0.7320508
+
+
 def _window_sql(x: str) -> str:
-    return f"round(avg({x}), 4) AS {x}_mean, round(coalesce(stddev_samp({x}), 0), 4) AS {x}_std, round(sqrt(avg({x} * {x})), 4) AS {x}_rms, round(max({x}) - min({x}), 4) AS {x}_ptp, round(1e6 * regr_slope({x}, day) / 86400, 5) AS {x}_slope_um"
+    return f"round(avg({x}), 6) AS {x}_mean, round(coalesce(stddev_samp({x}), 0), 4) AS {x}_std, round(sqrt(avg({x} * {x})), 4) AS {x}_rms, round(max({x}) - min({x}), 4) AS {x}_ptp, round({ODD} * 1e6 * regr_slope({x}, day) / 86400, 4) AS {x}_slope_um"
 
 
 @query(STARTS + f""", g AS (SELECT *, (t_us - lag(t_us) OVER (PARTITION BY group_id ORDER BY t_us, seq)) / 1e6 AS inner_gap, min(CASE WHEN state >= 1 THEN t_us END) OVER (PARTITION BY group_id) AS onset FROM seg_rows),
   m AS (SELECT s.start_us, s.end_us, r.*, (r.t_us - s.start_us) / 86400e6 AS day FROM starts s JOIN g r ON r.group_id = s.group_id AND r.t_us >= s.start_us AND r.t_us < s.end_us)
   SELECT group_id, start_us, end_us, count(*) AS sample_count, round((max(t_us) - min(t_us)) / 1e6, 4) AS actual_duration_sec, round(coalesce(max(CASE WHEN t_us > start_us THEN inner_gap END), 0), 4) AS max_gap_sec,
   {', '.join(_window_sql(x) for x in ('quantity', 'price', 'discount'))},
-  round(coalesce(covar_pop(quantity, price) / nullif(stddev_pop(quantity) * stddev_pop(price), 0), 0), 4) AS quantity_price_corr, round(avg(CAST(idle AS DOUBLE)), 4) AS idle_ratio, CAST(CASE WHEN avg(CAST(idle AS DOUBLE)) >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS idle_majority,
-  round(avg(CAST(state AS DOUBLE)), 4) AS fault_ratio, CAST(CASE WHEN avg(CAST(state AS DOUBLE)) >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS label, any_value(onset) AS onset_us FROM m GROUP BY group_id, start_us, end_us""")
+  round(coalesce(covar_pop(quantity, price) / nullif(stddev_pop(quantity) * stddev_pop(price), 0), 0), 4) AS quantity_price_corr, round(avg(CAST(idle AS DOUBLE)), 6) AS idle_ratio, CAST(CASE WHEN avg(CAST(idle AS DOUBLE)) >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS idle_majority,
+  round(avg(CAST(state AS DOUBLE)), 6) AS fault_ratio, CAST(CASE WHEN avg(CAST(state AS DOUBLE)) >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS label, any_value(onset) AS onset_us FROM m GROUP BY group_id, start_us, end_us""")
 def time_window_features(spark, sf_dir):
     w = windows.time_windows(line_rows(spark, sf_dir), LINE_SETTINGS)
-    slopes = [F.round(1e6 * F.col(f"{x}_slope"), 5).alias(f"{x}_slope_um") for x in LINE_SETTINGS.channels]
-    cols = [F.round(f"{x}_{k}", 4).alias(f"{x}_{k}") for x in LINE_SETTINGS.channels for k in ("mean", "std", "rms", "ptp")]
-    known = ["group_id", "start_us", "end_us", "sample_count", "onset_us", *(F.round(c, 4).alias(c) for c in ("actual_duration_sec", "max_gap_sec", "quantity_price_corr", "idle_ratio", "fault_ratio")), *(F.col(c).cast("bigint").alias(c) for c in ("idle_majority", "label"))]
+    slopes = [F.round(ODD * 1e6 * F.col(f"{x}_slope"), 4).alias(f"{x}_slope_um") for x in LINE_SETTINGS.channels]
+    cols = [F.round(f"{x}_{k}", 6 if k == "mean" else 4).alias(f"{x}_{k}") for x in LINE_SETTINGS.channels for k in ("mean", "std", "rms", "ptp")]
+    # more digits where shares and means of few rows could lie halfway between two
+    digits = {"actual_duration_sec": 4, "max_gap_sec": 4, "quantity_price_corr": 4, "idle_ratio": 6, "fault_ratio": 6}
+    known = ["group_id", "start_us", "end_us", "sample_count", "onset_us", *(F.round(c, n).alias(c) for c, n in digits.items()), *(F.col(c).cast("bigint").alias(c) for c in ("idle_majority", "label"))]
     return w.select(*known, *cols, *slopes)
 
 
@@ -319,6 +325,32 @@ def empirical_mahalanobis_3d(spark, sf_dir):
     return rows.select("group_id", "seq", F.round(model.score(), 5).alias("score"))
 
 
+def _distance_sql(aa: str, bb: str, cc: str, ab: str, ac: str, bc: str) -> str:
+    """The squared Mahalanobis distance of (a, b, c) by the adjugate of a 3 x 3 covariance."""
+    det = f"({aa} * ({bb} * {cc} - {bc} * {bc}) - {ab} * ({ab} * {cc} - {bc} * {ac}) + {ac} * ({ab} * {bc} - {bb} * {ac}))"
+    return f"""((a - ma) * (a - ma) * ({bb} * {cc} - {bc} * {bc}) + (b - mb) * (b - mb) * ({aa} * {cc} - {ac} * {ac}) + (c - mc) * (c - mc) * ({aa} * {bb} - {ab} * {ab})
+      + 2 * (a - ma) * (b - mb) * ({ac} * {bc} - {ab} * {cc}) + 2 * (a - ma) * (c - mc) * ({ab} * {bc} - {ac} * {bb}) + 2 * (b - mb) * (c - mc) * ({ab} * {ac} - {aa} * {bc})) / {det}"""
+
+
+def _shrunk_sql(share: str) -> str:
+    diagonal = [f"((1 - {share}) * {v} + {share} * m)" for v in ("aa", "bb", "cc")]
+    return _distance_sql(*diagonal, *(f"((1 - {share}) * {v})" for v in ("ab", "ac", "bc")))
+
+
+@query(f"""WITH {LI_ROWS}, x AS (SELECT group_id, seq, kind, sign(quantity) * ln(1 + abs(quantity)) AS a, sign(price) * ln(1 + abs(price)) AS b, sign(discount) * ln(1 + abs(discount)) AS c FROM seg_rows),
+  u AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, b) AS bb, covar_pop(b, c) AS bc, covar_pop(c, c) AS cc FROM x WHERE kind = 'normal'),
+  q AS (SELECT sum(power((a - ma) * (a - ma) + (b - mb) * (b - mb) + (c - mc) * (c - mc), 2)) AS q4 FROM x, u WHERE kind = 'normal'),
+  v AS (SELECT *, (aa + bb + cc) / 3 AS m, aa * aa + bb * bb + cc * cc + 2 * (ab * ab + ac * ac + bc * bc) AS ss FROM u, q),
+  w AS (SELECT *, (ss - 3 * m * m) / 3 AS d2, (n + 1 - 2.0 / 3) * (ss - 3 * m * m) AS below FROM v),
+  z AS (SELECT *, greatest(0, least(q4 / (3 * n * n) - ss / (3 * n), d2)) / d2 AS lw, least(1, ((1 - 2.0 / 3) * ss + 9 * m * m) / below) AS oas FROM w)
+  SELECT group_id, seq, round({_shrunk_sql('lw')}, 5) AS ledoit_wolf, round({_shrunk_sql('oas')}, 5) AS oas FROM x, z""")
+def shrunk_mahalanobis_3d(spark, sf_dir):
+    rows = line_rows(spark, sf_dir)
+    normal, channels = rows.where("kind = 'normal'"), list(LINE_SETTINGS.channels)
+    models = {kind: fit_gaussian(normal, channels, kind) for kind in ("ledoit_wolf", "oas")}
+    return rows.select("group_id", "seq", *(F.round(m.score(), 5).alias(kind) for kind, m in models.items()))
+
+
 @query()
 def ledoit_wolf_score(spark, sf_dir):
     rows = line_rows(spark, sf_dir)
@@ -686,10 +718,10 @@ def idle_between(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalar.between_times(F.col("ts"), datetime(2024, 1, 2), datetime(2024, 1, 20)).cast("bigint").alias("idle"))
 
 
-@query(f"WITH {EV_ROWS}, {TRACKS}, {P2} SELECT group_id, seq, round(CASE WHEN k > 0 THEN value / k END, 6) AS score_ratio, CASE WHEN final_alarm THEN 'ALARM' WHEN or_3 THEN 'WARNING' ELSE 'normal' END AS shown, CASE WHEN source = 'fault' THEN 'fault' WHEN idle = 1 THEN 'idle' ELSE 'normal' END AS row_kind, CAST(regexp_extract(group_id, '[0-9]+$') AS BIGINT) AS number FROM p2")
+@query(f"WITH {EV_ROWS}, {TRACKS}, {P2} SELECT group_id, seq, round(CASE WHEN k > 0 THEN value / k END, 9) AS score_ratio, CASE WHEN final_alarm THEN 'ALARM' WHEN or_3 THEN 'WARNING' ELSE 'normal' END AS shown, CASE WHEN source = 'fault' THEN 'fault' WHEN idle = 1 THEN 'idle' ELSE 'normal' END AS row_kind, CAST(regexp_extract(group_id, '[0-9]+$') AS BIGINT) AS number FROM p2")
 def row_states(spark, sf_dir):
     rows = final_rows(spark, sf_dir)
-    return rows.select("group_id", "seq", F.round(scalar.score_ratio(F.col("value"), F.col("k")), 6).alias("score_ratio"), scalar.alarm_state(F.col("final_alarm"), F.col("or_3")).alias("shown"), scalar.stream_kind(F.col("source"), F.col("state"), F.col("idle")).alias("row_kind"), F.regexp_extract("group_id", "[0-9]+$", 0).cast("long").alias("number"))
+    return rows.select("group_id", "seq", F.round(scalar.score_ratio(F.col("value"), F.col("k")), 9).alias("score_ratio"), scalar.alarm_state(F.col("final_alarm"), F.col("or_3")).alias("shown"), scalar.stream_kind(F.col("source"), F.col("state"), F.col("idle")).alias("row_kind"), F.regexp_extract("group_id", "[0-9]+$", 0).cast("long").alias("number"))
 
 
 @query("SELECT l_orderkey, l_partkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_linenumber / 7.0 AS step, round(l_discount, 4) AS percent, NULL::DOUBLE AS nothing FROM lineitem")
