@@ -76,3 +76,24 @@ def test_rows_are_dropped_by_row_whatever_their_doc_ids(spark, tmp_path):
     kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted((x for x in rows if "passage" not in (x[1] or "")), key=str)
+
+
+def test_odd_tables_pass_through_all_stages(spark, tmp_path):
+    rows = corpus(200, 5)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row_key int, _toxicity string, component_id int"
+    labels = [(i, r[2], r[1]) for i, r in enumerate(rows)]
+
+    def run(values, name):
+        folder = tmp_path / name
+        spark.createDataFrame([(i, t, None, None, None, 1, "x", 2) for i, t in values], schema).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        spark.createDataFrame([(1, "never met words"), (None, "x"), (2, None)], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        return corpus_pipeline.run(spark, str(folder)).collect()
+
+    assert run([], "none") == []
+    good = next(r[0] for r in rows if not r[1] and r[2] and len(r[0].split()) > 30)
+    got = run([(None, good), (None, good), (7, good), (7, good), (None, None), (8, None)], "odd")
+    # one of the copies stays, the one with a doc_id; empty texts are no copies of each other
+    assert [r["doc_id"] for r in got if r["doc_tokens"] > 1] in ([7], [])
+    toxic = [(i, r[0]) for i, r in enumerate(rows) if r[1]]
+    assert len(run(toxic, "toxic")) < len(toxic) / 4

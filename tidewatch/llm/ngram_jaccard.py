@@ -10,12 +10,14 @@ A document's set is its distinct five-word shingles, as hashes. Two documents li
    document stands for all.
 3. Candidates. Two linked sets share a token among the first n - ceil(0.75 n) + 1 of each, under every global order. Three orders are used:
    by frequency (rare first), by hash upwards, and by hash downwards. Frequency prefixes are posted by token; a pair
-   met there must have sizes and places that allow 75 %, then share a token in both hash prefixes, which are the first and
-   last part of the sorted sets; only what passes all three is verified on the whole sets.
+   met there must have sizes and places that allow 75 %, and share a token in both prefixes by hash, of which only
+   32 bits a token are sent to the pair. Only what passes all three orders is verified, on the whole sets.
 4. Large groups. First, documents that share one of their first tokens by hash are compared with one hub of that list; linked ones get the label
    of a document that they are connected to. Then the frequency prefixes are posted, and only lists with several labels are kept:
    pairs of one label need no comparison, so a group of thousands of near copies costs a few rows for each of its documents. Lists with
-   too many pairs left are again compared with a hub, another one each round; then all pairs that are left are.
+   too many pairs left are again compared with a hub, another one each round. Where hubs link nothing new, lists with too many pairs are
+   split by a further token: linked sets share k tokens among the first n - ceil(0.75 n) + k, so the first k tokens that
+   they share are a key for both, and its lists are shorter. The pairs of the lists that are left are compared.
 5. Components by alternating large and small stars.
 
 Nulls: a null text has an empty set, linked with nothing. A null doc_id links as others do, but a component's id is its
@@ -26,6 +28,7 @@ columns are ignored, or kept by keep_one_of_each and keep_one_row_of_each. Texts
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import LOWER_BYTES, materialize, release, with_row_key
+from tidewatch.llm.common import LOWER_BYTES, look_up, materialize, shared_folder, with_row_key
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -44,6 +47,8 @@ RANGE_TOKENS = 1 << 21
 #: Hub rounds go on while the pairs left are more than so many for each posting and a round links a new share of the
 #: documents, and for so many rounds at most.
 PAIRS_EACH, PROGRESS, ROUNDS = 2, 0.02, 8
+#: A list of no more pairs than this is compared as it is; longer ones are split by up to so many further tokens.
+SHORT_PAIRS, SPLITS = 64, 3
 #: Tokens by which likely links are found before all that are left.
 FIRST_TOKENS = 4
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -125,6 +130,11 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(out, dtype=np.uint64)
 
 
+def folded(tokens: np.ndarray) -> bytes:
+    """The sorted 32-bit folds of tokens: equal tokens have equal ones."""
+    return np.unique((tokens ^ (tokens >> np.uint64(20))).astype(np.uint32)).tobytes()
+
+
 def least_overlap(n: int, like: int = LIKE) -> int:
     """The fewest tokens that a set of n shares with any set it links to."""
     return -(-like * n // 100)
@@ -139,28 +149,31 @@ def _arrow(rows: list[tuple], schema: str) -> pa.Table:
 
 COUNTS = "range int, batch long, tokens binary, counts binary"
 ANSWERS = "batch long, range int, tokens binary, frequency binary"
-SETS = "row long, doc_id long, n long, fingerprint binary, tokens binary, frequency binary, low long, high long"
+SETS = "row long, doc_id long, n long, fingerprint binary, tokens binary, frequency binary, low binary, high binary"
 
 
 def document_sets(docs: DataFrame, like: int = LIKE, width: int = WORDS) -> DataFrame:
     """A row for each document: set size, fingerprint of the set, and for survivors the tokens that occur elsewhere, their
-    frequency, and where the prefixes by hash end (low: upwards, high: downwards)."""
-    spark = docs.sparkSession
+    frequency, and the prefixes by hash (low: upwards, high: downwards), shared tokens only, 32 bits of each.
+
+    A batch has one row for each range of which it has tokens, so rows are fewer than batches times ranges and than tokens; larger
+    batches and ranges (BATCH_BYTES, RANGE_TOKENS) suit executors with more memory.
+    """
     size, count = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     batches = max(1, size // BATCH_BYTES, count // 20_000)
-    ranges = max(1, size // 6 // RANGE_TOKENS)
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"))
+    ranges = min(max(1, size // 6 // RANGE_TOKENS), 65_535)
+    # rows that are the same are spread, too
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id() % 1021), F.lit(batches)).alias("batch"))
 
     def count_batch(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         hasher = Hasher()
         every = [small(shingles(t.as_py(), hasher, width)) for t in group.column("text")]
         tokens, n = np.unique(np.concatenate(every), return_counts=True)
-        cuts = np.searchsorted(tokens, [np.uint64((r << 48) // ranges) for r in range(ranges + 1)])
-        cuts[-1] = len(tokens)
+        of_range = (tokens * np.uint64(ranges)) >> np.uint64(48)
+        cuts = np.flatnonzero(np.append(True, of_range[1:] != of_range[:-1])) if len(tokens) else np.zeros(0, int)
         batch, out = key[0].as_py(), []
-        for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if b > a:
-                out.append((r, batch, pack(tokens[a:b]), np.minimum(n[a:b], 255).astype(np.uint8).tobytes()))
+        for a, b in zip(cuts, np.append(cuts[1:], len(tokens)), strict=True):
+            out.append((int(of_range[a]), batch, pack(tokens[a:b]), np.minimum(n[a:b], 255).astype(np.uint8).tobytes()))
         return _arrow(out, COUNTS)
 
     def answer(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
@@ -197,7 +210,7 @@ def document_sets(docs: DataFrame, like: int = LIKE, width: int = WORDS) -> Data
                 least = least_overlap(n, like)
                 if hit.sum() >= least:
                     p = min(n - least + 1, len(tokens))
-                    row = (0, doc_id, n, fingerprint, tokens[hit].tobytes(), frequency[at[hit]].tobytes(), int(tokens[p - 1]), int(tokens[-p]))
+                    row = (0, doc_id, n, fingerprint, tokens[hit].tobytes(), frequency[at[hit]].tobytes(), folded(tokens[:p][hit[:p]]), folded(tokens[-p:][hit[-p:]]))
             out.append(row)
         return _arrow(out, SETS)
 
@@ -205,10 +218,7 @@ def document_sets(docs: DataFrame, like: int = LIKE, width: int = WORDS) -> Data
     counted = by_batch.applyInArrow(count_batch, COUNTS)
     answered = counted.groupBy("range").applyInArrow(answer, ANSWERS)
     sets = by_batch.cogroup(answered.groupBy("batch")).applyInArrow(finish, SETS)
-    kept = materialize(sets.withColumn("row", F.monotonically_increasing_id()), "sets", compression="zstd")
-    del rows, by_batch, counted, answered, sets
-    release(spark)  # of the texts and the packed tokens
-    return kept
+    return materialize(sets.withColumn("row", F.monotonically_increasing_id()), "sets", compression="zstd")
 
 
 POSTINGS = "token long, row long, root long, n long, place long, centre long"
@@ -235,12 +245,12 @@ def _posted(sets: DataFrame, choose) -> DataFrame:
     return sets.select("row", "root", "n", "tokens", "frequency").mapInArrow(post, POSTINGS)
 
 
-def postings(sets: DataFrame, like: int = LIKE) -> DataFrame:
-    """The shared tokens of each prefix by frequency; place counts all of the set's tokens, rare first."""
+def postings(sets: DataFrame, like: int = LIKE, more: int = 0) -> DataFrame:
+    """The shared tokens of each prefix by frequency, and `more` after it; place counts all of the set's tokens, rare first."""
 
     def choose(n: int, tokens: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         alone = n - len(tokens)
-        take = max(0, n - least_overlap(n, like) + 1 - alone)
+        take = max(0, n - least_overlap(n, like) + 1 + more - alone)
         mixed = (tokens ^ (tokens >> np.uint64(21))) * _C
         first = np.lexsort((mixed, frequency))[:take]
         return tokens[first], np.arange(alone, alone + len(first))
@@ -253,29 +263,39 @@ def first_tokens(sets: DataFrame, k: int = FIRST_TOKENS) -> DataFrame:
     return _posted(sets, lambda n, tokens, frequency: (tokens[:k], np.zeros(min(k, len(tokens)), np.int64)))
 
 
+def _sides(pairs: DataFrame, sets: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The pairs (a, b) with these columns of both sets."""
+    side = lambda x: sets.select(F.col("row").alias(f"row_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    joined = pairs.join(side("a"), F.col("a") == F.col("row_a")).join(side("b"), F.col("b") == F.col("row_b"))
+    return joined.select("a", "b", *(f"{c}_{x}" for c in columns for x in "ab"))
+
+
+def _common(batch: pa.RecordBatch, column: int, i: int, kind: type) -> int:
+    """How many tokens two sorted binary columns of a row share."""
+    x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), kind) for k in (column, column + 1))
+    return np.intersect1d(x, y, assume_unique=True).size
+
+
+def _filtered(batches: Iterator[pa.RecordBatch], keep) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = pa.array([bool(keep(batch, i)) for i in range(batch.num_rows)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
+
+
+def meet_by_hash(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share a token in the prefixes of both orders by hash."""
+    keep = lambda batch, i: _common(batch, 2, i, np.uint32) and _common(batch, 4, i, np.uint32)
+    return _sides(pairs, sets, ("low", "high")).mapInArrow(lambda batches: _filtered(batches, keep), "a long, b long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, like: int = LIKE) -> DataFrame:
-    """The pairs (a, b) that pass the prefix filters by hash, both ways, and whose whole sets are alike enough."""
-    side = lambda x: sets.select(*(F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "tokens", "low", "high")))
+    """The pairs (a, b) whose whole sets are alike enough; those that fail an order's filter are dropped before."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n_a, n_b, low_a, low_b, high_a, high_b = (batch.column(k).to_pylist() for k in range(8))
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x = np.frombuffer(batch.column(8)[i].as_buffer(), np.uint64)
-                y = np.frombuffer(batch.column(9)[i].as_buffer(), np.uint64)
-                # first and last parts of the sorted sets: the prefixes of the two orders by hash
-                both = lambda u, v: np.intersect1d(u, v, assume_unique=True).size
-                if not both(x[: np.searchsorted(x, low_a[i], "right")], y[: np.searchsorted(y, low_b[i], "right")]):
-                    continue
-                if not both(x[np.searchsorted(x, high_a[i]) :], y[np.searchsorted(y, high_b[i]) :]):
-                    continue
-                common = both(x, y)
-                keep[i] = 100 * common >= like * (n_a[i] + n_b[i] - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+    def keep(batch: pa.RecordBatch, i: int) -> bool:
+        common = _common(batch, 4, i, np.uint64)
+        return 100 * common >= like * (batch.column(2)[i].as_py() + batch.column(3)[i].as_py() - common)
 
-    joined = pairs.join(side("a"), F.col("a") == F.col("row_a")).join(side("b"), F.col("b") == F.col("row_b"))
-    return joined.select("a", "b", "n_a", "n_b", "low_a", "low_b", "high_a", "high_b", "tokens_a", "tokens_b").mapInArrow(check, "a long, b long")
+    return _sides(meet_by_hash(pairs, sets), sets, ("n", "tokens")).mapInArrow(lambda batches: _filtered(batches, keep), "a long, b long")
 
 
 def may_link(like: int = LIKE):
@@ -313,12 +333,14 @@ def _pairs(met: DataFrame, tested: DataFrame | None, like: int) -> DataFrame:
     return materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
 
 
-def _with_hubs(posted: DataFrame, hub) -> DataFrame:
-    """Each posting beside one of its list, the one with the smallest hub."""
+def _with_hubs(posted: DataFrame, hub, total: int) -> DataFrame:
+    """Each of the `total` postings beside one of its list, the one with the smallest hub."""
     sides = ("row", "root", "n", "place")
     hubs = posted.groupBy("token").agg(F.min(F.struct(hub.alias("_by"), *sides)).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    hubs = hubs.select("token", *(F.col(f"h.{c}").alias(f"l_{c}") for c in sides))
-    return posted.select("token", *(F.col(c).alias(f"r_{c}") for c in sides)).join(hubs, "token").where(F.col("l_row") != F.col("r_row"))
+    hubs = hubs.select("token", "size", *(F.col(f"h.{c}").alias(f"l_{c}") for c in sides))
+    # tokens of very many documents are broadcast with their hub
+    met = look_up(posted.select("token", *(F.col(c).alias(f"r_{c}") for c in sides)), hubs, "token", "size", total)
+    return met.where(F.col("l_row") != F.col("r_row"))
 
 
 def _labels(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -334,55 +356,94 @@ def _labels(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return materialize(two, "labels")
 
 
+def _mixed(posted: DataFrame) -> DataFrame:
+    """The postings of lists with several roots, with `pairs`: how many pairs of different roots their list has."""
+    lists = posted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("size"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).cast("long").alias("pairs")).where("pairs > 0")
+    lists = materialize(lists, "lists")
+    total = lists.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return materialize(look_up(posted.drop("pairs"), lists, "token", "size", total).where("pairs is not null"), "postings")
+
+
+def _pairs_of(posted: DataFrame) -> int:
+    return posted.select("token", "pairs").distinct().agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+
+
+def _all_met(posted: DataFrame) -> DataFrame:
+    side = lambda x: posted.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("row", "root", "n", "place")))
+    return side("l").join(side("r"), "token").where(F.col("l_row") < F.col("r_row"))
+
+
+def _split(posted: DataFrame, sets: DataFrame, like: int, k: int) -> DataFrame:
+    """The postings, keyed by k tokens instead of k - 1: by one more of the same set, behind the last.
+
+    A place is that of the last token, less the tokens of the key before it, so may_link still tells what is left.
+    """
+    own = sets.join(posted.select("row", "root").distinct(), "row")
+    further = postings(own, like, k - 1).select("row", F.col("token").alias("_more"), F.col("place").alias("_at"))
+    keyed = posted.select("token", "row", "root", "n", "place").join(further, "row").where(F.col("_at") > F.col("place") + k - 2)
+    return keyed.select(F.xxhash64("token", "_more").alias("token"), "row", "root", "n", (F.col("_at") - k + 1).alias("place"))
+
+
 def link_classes(sets: DataFrame, like: int = LIKE, pairs_each: int = PAIRS_EACH, rounds: int = ROUNDS) -> DataFrame:
     """row, root for the rows of sets (all different) that link to another; rows that link to nothing may be missing."""
+    folder = f"{shared_folder(sets.sparkSession)}/jaccard-{uuid.uuid4().hex}"
+
+    def step(met: DataFrame, name: str, first: bool = False) -> DataFrame:
+        """Tests the pairs met, adds them and the links among them to the tables of all, and returns these links."""
+        tested = None if first else sets.sparkSession.read.schema("a long, b long").parquet(f"{folder}/tested")
+        pairs = _pairs(met, tested, like)
+        found = materialize(verify(pairs, sets, like), name)
+        for table, rows in (("tested", pairs), ("links", found)):
+            rows.write.mode("append").parquet(f"{folder}/{table}")
+        return found
+
     # most links of large groups, at a few postings for each document
-    likely = _with_hubs(first_tokens(sets.withColumn("root", F.col("row"))), -F.col("centre"))
-    tested = _pairs(likely, None, like)
-    links = materialize(verify(tested, sets, like), "links")
-    labels = _labels(links)
+    likely = materialize(first_tokens(sets.withColumn("root", F.col("row"))), "first-tokens")
+    labels = _labels(step(_with_hubs(likely, -F.col("centre"), likely.count()), "links", True))
     # all that may link and isn't connected yet
-    labelled = sets.join(labels, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    posted = postings(labelled, like)
-    mixed = posted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y").select("token", "k")
-    own = materialize(posted.join(mixed, "token"), "postings")
-    n, documents, new = own.count(), sets.count(), None
-    for k in range(rounds + 1):
-        squares = own.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("pairs"))
-        left = (squares.agg(F.sum("pairs")).first()[0] or 0) / 2
-        if not left:
-            break
-        final = k == rounds or left <= pairs_each * n or (new is not None and new < PROGRESS * documents)
-        if final:
-            sides = ("row", "root", "n", "place")
-            side = lambda df, x: df.select("token", *(F.col(c).alias(f"{x}_{c}") for c in sides))
-            met = side(own, "l").join(side(own, "r"), "token").where(F.col("l_row") < F.col("r_row"))
-        else:
-            met = _with_hubs(own, F.xxhash64("row", F.lit(k)) if k else -F.col("centre"))
-        pairs = _pairs(met, tested, like)
-        found = materialize(verify(pairs, sets, like), "links")
-        links, tested = links.unionByName(found), tested.unionByName(pairs)
-        if final:
+    relabel = lambda df: df.join(labels, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    own = _mixed(postings(relabel(sets), like))
+    n, documents = own.count(), sets.count()
+    for k in range(rounds):
+        left = _pairs_of(own)
+        if left <= pairs_each * n:
             break
-        new = found.count()
+        found = step(_with_hubs(own, F.xxhash64("row", F.lit(k)) if k else -F.col("centre"), own.count()), "links")
         labels = _labels(found, labels)
-        relabelled = own.drop("root").join(labels, "row", "left").withColumn("root", F.coalesce("root", "row"))
-        mixed = relabelled.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-        own = materialize(relabelled.join(mixed, "token"), "postings")
-    return components(links)
+        own = _mixed(relabel(own.drop("root")))
+        if found.count() < PROGRESS * documents:
+            break
+    # a list with few pairs is compared; the others are split as long as that leaves less work
+    for k in range(2, SPLITS + 2):
+        left, n = _pairs_of(own), own.count()
+        if left <= pairs_each * n or k == SPLITS + 1:
+            break
+        short = F.col("pairs") <= SHORT_PAIRS
+        deeper = _mixed(_split(own.where(~short), sets, like, k))
+        if deeper.count() + _pairs_of(deeper) >= left:
+            break
+        step(_all_met(own.where(short)), "links")
+        own = deeper
+    if n and left:
+        step(_all_met(own), "links")
+    return components(sets.sparkSession.read.schema("a long, b long").parquet(f"{folder}/links"))
 
 
 def near_duplicates(docs: DataFrame, like: int = LIKE, width: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
     sets = document_sets(docs, like, width)
-    classes = materialize(sets.where("tokens is not null").groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m"), F.count(F.lit(1)).alias("size")).select("fingerprint", F.col("m.row").alias("row"), F.col("m.doc_id").alias("first")), "classes")
-    stand = materialize(sets.where("tokens is not null").join(classes.select("row"), "row"), "stand-ins", compression="zstd")
+    shared = sets.where("low is not null")
+    classes = materialize(shared.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m"), F.count(F.lit(1)).alias("size")).select("fingerprint", F.col("m.row").alias("row"), F.col("m.doc_id").alias("first"), "size"), "classes")
+    stand = materialize(shared.join(classes.select("row"), "row"), "stand-ins", compression="zstd")
     linked = link_classes(stand, like)
     named = linked.join(classes.select("row", "first"), "row")
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("least")), "root").select("row", "least")
-    of_class = materialize(classes.join(named, "row", "left").select("fingerprint", F.coalesce("least", "first").alias("component_id")), "components")
-    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "fingerprint", F.col("tokens").isNotNull().alias("shared"))
-    joined = rows.join(of_class.withColumn("shared", F.lit(True)), ["fingerprint", "shared"], "left")
+    # a root that very many rows have is broadcast with its name
+    roots = materialize(named.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("members")), "roots")
+    named = look_up(named, roots, "root", "members", roots.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]).select("row", "least")
+    of_class = materialize(classes.join(named, "row", "left").select(F.col("fingerprint").alias("_key"), F.coalesce("least", "first").alias("component_id"), "size"), "components")
+    # sets without shared tokens, the empty ones among them, have no key: they are their own component
+    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("low").isNotNull(), F.col("fingerprint")).alias("_key"))
+    joined = look_up(rows, of_class, "_key", "size", sets.count())
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
