@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import url_filter
 from tidewatch.llm.chat import COSTS, LEGAL, ROLES, Repair, moves, render, repair_conversations
-from tidewatch.llm.fingerprint import differing_leaves, differing_sections, fingerprint_edits, leaf_codes, leaves_of, likeness, with_fingerprint
+from tidewatch.llm.fingerprint import PIECE, differing_leaves, differing_sections, fingerprint_edits, leaf_codes, leaves_of, likeness, with_fingerprint, with_next
 
 CHAT = "conv_id long, turn long, role string, text string, n long, run int, position int"
 
@@ -35,7 +35,7 @@ def test_repairs_are_the_cheapest():
     dp = Repair()
     for n in range(5):
         for roles in itertools.product([*ROLES, None], repeat=n):
-            assert sum(m[0] for m in dp.repair("start", list(roles))) == cheapest(roles)
+            assert sum(m[0] for m in dp.repair({"start": 0.0}, list(roles))[1]) == cheapest(roles)
 
 
 def legal(rendered):
@@ -53,6 +53,8 @@ def test_conversations_of_any_length_are_repaired_and_rendered(spark):
         for turn in range(rng.randint(1, 7)):
             rows.append((conv, turn, rng.choice([*ROLES, "tool", None]), rng.choice([None, "", "hi", "x" * 300]), 1, 2, 3))
     rows += [(99, t, rng.choice(ROLES), f"t{t}", 1, 2, 3) for t in range(1500)]  # many runs
+    rows += [(98, t, rng.choice([*ROLES, "tool"]), "", 1, 2, 3) for t in range(700)]
+    rows += [(50, 2**62, "user", "far", 1, 2, 3), (50, -(2**63), "tool", "near", 1, 2, 3), (50, 2**63 - 1, None, "last", 1, 2, 3)]
     rows += [rows[0], (7, None, "user", "first", 1, 2, 3)]
     rng.shuffle(rows)
     out = repair_conversations(spark.createDataFrame(rows, CHAT))
@@ -66,27 +68,41 @@ def test_conversations_of_any_length_are_repaired_and_rendered(spark):
         assert [r["position"] for r in got] == list(range(len(got)))
         assert [r["turn"] for r in got] == sorted((r["turn"] for r in got), key=lambda t: -1 if t is None else t)
         roles = [r["role"] if r["role"] in ROLES else None for r in got]
-        assert whole[conv]["cost"] == sum(m[0] for m in Repair().repair("start", roles))
+        # the very moves of the whole conversation at once, however many runs it has
+        moved = Repair().repair({"start": 0.0}, roles)[1]
+        assert [(m[1], m[2], m[3]) for m in moved] == [(r["action"], r["new_role"], r["inserted_role"]) for r in got]
+        assert whole[conv]["cost"] == sum(m[0] for m in moved)
         legal(whole[conv]["rendered"])
         assert whole[conv]["rendered"].count("<|im_end|>\n") == whole[conv]["rendered"].count("<|im_start|>")
     assert any(r["action"] == "keep" and r["cost"] == COSTS["keep"] for r in turns[99])
     assert repair_conversations(spark.createDataFrame([], CHAT)).collect() == []
 
 
-def brute_log_share(url, counts):
-    """Witten-Bell mixing by its definition, on the padded string."""
-    a = len(url_filter.ALPHABET)
+def brute_log_shares(urls, verdicts):
+    """For accepted and rejected URLs the log share of each character after a context, by the definition."""
+    positions = [(v, url_filter.START + u[:i], u[i]) for u, v in zip(urls, verdicts, strict=True) for i in range(len(u))]
+    after = defaultdict(lambda: defaultdict(int))
+    total = defaultdict(int)
+    for v, before, c in positions:
+        for k in range(min(url_filter.ORDER, len(before)) + 1):
+            after[v, before[len(before) - k :]][c] += 1
+            total[before[len(before) - k :]] += 1
+    kept = {w for w, n in total.items() if n * url_filter.SHARE >= len(positions)}
 
-    def share(context, c):
-        below = 1 / a if not context else share(context[1:], c)
-        if context is None:
-            return 1 / a
-        seen = {k[-1]: n for k, n in counts[len(context)].items() if k[:-1] == context}
-        total, kinds = sum(seen.values()), len(seen)
-        low = 1 / a if not context else share(context[1:], c)
-        return (seen.get(c, 0) + kinds * low) / (total + kinds) if total else (below if context else 1 / a)
+    def share(v, w, c):
+        below = share(v, w[1:], c) if w else 1 / len(url_filter.ALPHABET)
+        seen = after[v, w]
+        n, kinds = sum(seen.values()), len(seen)
+        return (seen.get(c, 0) + kinds * below) / (n + kinds) if n else below
 
-    return sum(math.log(share(url[i - 2 : i], url[i])) for i in range(2, len(url)))
+    def log_ratio(url):
+        out = 0.0
+        for i, c in enumerate(url):
+            w = next(w for k in range(min(url_filter.ORDER, i + 1), -1, -1) if (w := (url_filter.START + url[:i])[i + 1 - k :]) in kept or not w)
+            out += math.log(share("allow", w, c)) - math.log(share("block", w, c))
+        return out
+
+    return log_ratio, kept
 
 
 def test_urls_are_judged_by_rules_then_by_the_models(spark):
@@ -110,27 +126,79 @@ def test_urls_are_judged_by_rules_then_by_the_models(spark):
     # scores against the models' definition
     import zlib
 
-    plain = lambda u: "^^" + re.sub(r"[^a-z0./:\-_?=&#%~+,;@!]", "*", re.sub("[0-9]", "0", "".join(c.lower() if c.isascii() else c for c in u)))
-    counts = {v: [defaultdict(int) for _ in range(3)] for v in ("allow", "block")}
-    for u, page_id in [*((u, i) for i, u in enumerate(urls)), (urls[0], 0), ("http://a.com/x", 0)]:
-        r = out[page_id]
-        if r["rule"] and zlib.crc32((u or "").encode()) % 5:
-            p = plain(u)
-            for i in range(2, len(p)):
-                for k in range(3):
-                    counts[r["verdict"]][k][p[i - k : i + 1]] += 1
-    for i in (6, 12, 17, len(urls) - 1):
+    plain = lambda u: re.sub(r"[^a-z0./:\-_?=&#%~+,;@!]", "*", re.sub("[0-9]", "0", "".join(c.lower() if c.isascii() else c for c in u)))
+    decided = [(plain(u), out[i]["verdict"]) for u, i in [*((u, i) for i, u in enumerate(urls)), (urls[0], 0), ("http://a.com/x", 0)] if out[i]["rule"] and zlib.crc32((u or "").encode()) % 5]
+    log_ratio, kept = brute_log_shares(*zip(*decided, strict=True))
+    assert {len(w) for w in kept} == set(range(url_filter.ORDER + 1))
+    for i in (6, 12, 17, len(urls) - 2, len(urls) - 1):
         p = plain(urls[i])
-        want = (brute_log_share(p, counts["allow"]) - brute_log_share(p, counts["block"])) / (len(p) - 2)
-        assert abs(out[i]["score"] - want) < 1e-3, (urls[i], out[i]["score"], want)
+        assert abs(out[i]["score"] - log_ratio(p) / len(p)) < 1e-3, (urls[i], out[i]["score"], log_ratio(p) / len(p))
     none = url_filter.filter_urls(pages.where("1 = 0"))
     assert none.collect() == []
     assert {r["verdict"] for r in url_filter.filter_urls(pages.where("page_id in (8, 9, 10)")).collect()} == {"allow"}
 
 
+def plain_leaves(text):
+    """The leaves by their definition, character by character."""
+    out, rest = [], text
+    while rest:
+        stop = next((i for i, c in enumerate(rest) if c in "\n.!?"), len(rest))
+        if 0 < stop <= PIECE:  # a sentence that is short enough, with its stops and line ends
+            end = stop
+            while end < len(rest) and rest[end] in ".!?":
+                end += 1
+            while end < len(rest) and rest[end] == "\n":
+                end += 1
+        elif stop:
+            end = PIECE
+            for i in range(1, PIECE):
+                if rest[i] in "、。，！？；：" or (rest[i] in " \t" and (rest[i - 1] in "dgnrty" or ord(rest[i - 1]) > 127)):
+                    end = i + 1
+                    break
+        else:
+            end = 0
+            while end < len(rest) and rest[end] in ".!?":
+                end += 1
+            while end < len(rest) and rest[end] == "\n":
+                end += 1
+        out.append(rest[:end])
+        rest = rest[end:]
+    return out
+
+
+def plain_fingerprint(text):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    leaves, paragraphs = [], [[]]
+    for leaf in plain_leaves(text):
+        leaves.append(sha(leaf))
+        paragraphs[-1].append(leaves[-1])
+        if leaf.endswith("\n"):
+            paragraphs.append([])
+    sections, held = [], ""
+    # a paragraph's node hashes its leaves, a comma behind each but the last of a line that ends
+    for i, p in enumerate(x for x in paragraphs if x):
+        node = sha(",".join(p) + ("" if i < len(paragraphs) - 1 else ","))
+        held += node
+        if node[0] in "048c":
+            sections.append(sha(held))
+            held = ""
+        else:
+            held += ","
+    if held:
+        sections.append(sha(held))
+    return sha(",".join(sections)), {x[:8] for x in leaves}
+
+
+def plain_likeness(a, b):
+    (root_a, x), (root_b, y) = plain_fingerprint(a), plain_fingerprint(b)
+    return 1.0 if root_a == root_b else len(x & y) / len(x | y) if x | y else 0.0
+
+
 def test_fingerprints_of_edits(spark):
-    values = texts()
+    values = [*texts(), "One. Two!\nThree?? four,\n\nfive", "漢字、かな。" * 30, "x y " * 300]
     rows = [(i * 7, t) for i, t in enumerate(values)]
+    rows[-1] = (2**62, rows[-1][1])
+    rows = [(None, "first of all. It has no id."), (-(2**63), "least. One."), *rows]
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, fingerprint string, edited string")
     got = {r["doc_id"]: r for r in fingerprint_edits(docs).collect()}
     assert len(got) == len(rows)
@@ -143,14 +211,20 @@ def test_fingerprints_of_edits(spark):
         assert r["n_chars"] == len(t)
         assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert (r["fingerprint"] == r["edited_fingerprint"]) == (t == edited)
-        assert (r["near_edited"] == 1.0) == (t == edited)
-        assert 0 <= r["near_next"] <= 1 and r["near_next"] == (1.0 if t == after else r["near_next"])
+        assert r["fingerprint"].split(":")[0] == plain_fingerprint(t)[0]
+        assert abs(r["near_edited"] - plain_likeness(t, edited)) < 1e-9
+        assert abs(r["near_next"] - plain_likeness(t, after)) < 1e-9
         prints[r["fingerprint"]].add(t)
     assert all(len(x) == 1 for x in prints.values())
     long = [r for r in got.values() if 400 < r["n_chars"]]
     assert sum(r["near_edited"] > r["near_next"] for r in long) > 0.9 * len(long)
+    # cells of very few rows, and rows that share a doc_id
+    cells = {(r["doc_id"], r["text"], r["next_text"]) for r in with_next(docs, 2).collect()}
+    assert cells == {(i, t or "", rows[(k + 1) % len(rows)][1] or "") for k, (i, t) in enumerate(rows)}
+    same = spark.createDataFrame([(3, f"t{i}") for i in range(9)], "doc_id long, text string")
+    assert sorted(r["next_text"] for r in with_next(same, 2).collect()) == [f"t{i}" for i in range(9)]
     one = fingerprint_edits(docs.limit(1)).collect()
-    assert len(one) == 1 and fingerprint_edits(empty(spark)).collect() == []
+    assert len(one) == 1 and one[0]["near_next"] == 1.0 and fingerprint_edits(empty(spark)).collect() == []
     odd = frame(spark, ["a b", None]).collect()
     assert len(fingerprint_edits(frame(spark, ["a b", None])).collect()) == len(odd)
 

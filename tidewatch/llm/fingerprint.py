@@ -13,7 +13,7 @@ A fingerprint is the text `root:sections:leaves`: the whole root, and the first
 leaves locate the edit, and the share of common leaves is the likeness.
 
 Nulls: a null text is the empty text, which has no leaves. A null doc_id comes before all others. Rows of one doc_id are
-ordered by their text. Of a single row, the next is itself. An empty table gives no rows. Other columns are ignored.
+ordered by a hash of their text. Of a single row, the next is itself. An empty table gives no rows. Other columns are ignored.
 Texts of any length are handled whole. All is DataFrame functions.
 """
 
@@ -22,15 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import materialize
+from tidewatch.llm.common import materialize, with_position
 
 #: Characters of the longest piece, its stops and line ends apart.
 PIECE = 40
 #: What a piece of a longer sentence ends with.
-CUT = r"(?<=[dgnrty]|[^\x00-\x7F])[ \t]|[、。，！？；：]"
-#: Rows that one window of neighbours holds, where doc_ids are dense.
-CELL_ROWS = 128
-SUPER_CELL = 1024
+CUT = r"[ \t](?<=[dgnrty[^\x00-\x7F]][ \t])|[、。，！？；：]"
+#: Rows of a cell, about, in which rows look for the next; and the places of the order at which ids are cut.
+CELL_ROWS, CUTS = 128, 256
 
 
 def leaves_of(text: Column) -> Column:
@@ -82,32 +81,60 @@ def differing_sections(a: Column, b: Column) -> Column:
     return F.array_except(sections(a), sections(b))
 
 
+def _cells(placed: DataFrame, n: int, cell_rows: int, cuts: int = CUTS):
+    """A function that gives a table with doc_id and _hash its column _cell: about cell_rows rows each, in their order.
+
+    Ids at `cuts` places of the order part the ids into intervals, each cut evenly into as many cells as its rows ask for; rows
+    of one doc_id (or of none) that fill an interval are cut by their hash. So far or repeated ids crowd no other's cells.
+    """
+    step = max(1, -(-n // cuts))
+    ids = sorted({r[0] for r in placed.where(F.col("_at") % step == 0).select("doc_id").collect() if r[0] is not None})  # cuts at most
+    interval = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, ids)).cast("array<bigint>"), lambda c: c <= F.col("doc_id"))) + 1)
+    found = placed.groupBy(interval.alias("k")).agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()
+    parts, base = {r["k"]: r for r in found}, 0
+    table: list[list[float]] = []  # for each interval: cells before it, its cells, its first id, ids of a cell (0: by hash)
+    for k in range(len(ids) + 2):
+        r = parts.get(k)
+        cells = max(1, -(-r["rows"] // cell_rows)) if r else 1
+        single = r is None or r["low"] is None or r["low"] == r["high"]
+        table.append([float(base), float(cells), 0.0 if single else float(r["low"]), 0.0 if single else max(1.0, (r["high"] - r["low"] + 1) / cells)])
+        base += cells
+    bounds = F.array(*(F.array(*map(F.lit, row)) for row in table))
+
+    def cell(df: DataFrame) -> DataFrame:
+        # doubles keep the order of ids, if not all their digits
+        df = df.withColumn("_interval", F.get(bounds, interval))
+        part = lambda i: F.col("_interval")[i]
+        by_hash = (F.col("_hash").cast("double") / 2.0**64 + 0.5) * part(1)
+        place = F.when(part(3) == 0, by_hash).otherwise((F.col("doc_id").cast("double") - part(2)) / part(3))
+        return df.withColumn("_cell", (part(0) + F.greatest(F.lit(0.0), F.least(F.floor(place).cast("double"), part(1) - 1))).cast("long")).drop("_interval")
+
+    return cell
+
+
 def with_next(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, text, fingerprint of each row, and next_text, next_fingerprint of the row with the next doc_id.
 
-    Rows fall into cells of near doc_ids, of cell_rows each where ids are dense, and look ahead within their cell only; the first row of
-    the next cell that isn't empty is added to each cell. No window holds the whole table. Only ids and the first rows
-    are handled twice.
+    The order of the rows is found without their texts. Texts are then dealt once, into cells of near rows that look ahead within
+    themselves only; the first row of the next cell that isn't empty is added to each. No window holds the whole table.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
-    width = max(1, (high - low + 1) * cell_rows // max(1, n))
-    rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(low - 1))).withColumn("_cell", F.floor((F.col("_id") - (low - 1)) / width).cast("long"))
-    cells = materialize(rows.groupBy("_cell").agg(F.min("_id").alias("_first")), "cells")
-    # the cell before each, first within groups of cells, then from group to group
-    group = F.floor(F.col("_cell") / SUPER_CELL)
-    groups = cells.groupBy(group.alias("_group")).agg(F.max("_cell").alias("_last"))
-    last = groups.agg(F.max("_last")).first()[0]
-    groups = groups.select("_group", F.coalesce(F.lag("_last").over(Window.orderBy("_group")), F.lit(last)).alias("_before"))
-    cells = cells.withColumn("_group", group).join(groups, "_group")
-    before = F.coalesce(F.lag("_cell").over(Window.partitionBy("_group").orderBy("_cell")), F.col("_before"))
-    firsts = materialize(cells.select(F.col("_first").alias("_id"), before.alias("_before")), "firsts")
-    added = rows.drop("_cell").join(firsts, "_id").select("doc_id", "text", "_id", F.col("_before").alias("_cell"))
-    both = rows.withColumn("_added", F.lit(0)).unionByName(added.withColumn("_added", F.lit(1)))
-    both = with_fingerprint(both, "text", "fingerprint")
-    order = Window.partitionBy("_cell").orderBy("_added", "_id", "text")
-    both = both.withColumns({"next_text": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order)})
+    rows = materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_row")), "fingerprint-rows", compression="zstd")
+    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash"), F.col("_row")]
+    placed = materialize(with_position(rows.drop("text"), order, "_at", "fingerprint-order"), "fingerprint-places")
+    n = placed.count()
+    cell = _cells(placed, n, cell_rows)
+    placed = cell(placed)
+    firsts = placed.groupBy("_cell").agg(F.min(F.struct("_at", "_row")).alias("_f")).select("_f.*")
+    # a cell's first row goes to the cell of the row before it, that of all rows to the cell of the last
+    before = placed.select(F.when(F.col("_at") == n - 1, 0).otherwise(F.col("_at") + 1).alias("_at"), F.col("_cell").alias("_before"))
+    firsts = materialize(firsts.join(before, "_at").select("_row", "_before"), "firsts")
+    added = rows.join(firsts, "_row").select(*rows.columns, F.col("_before").alias("_cell"), F.lit(1).alias("_added"))
+    both = cell(rows).withColumn("_added", F.lit(0)).unionByName(added)
+    # fingerprints are made between two windows over the same cells: behind the shuffle, which then moves texts only
+    along = Window.partitionBy("_cell").orderBy("_added", *order)
+    both = with_fingerprint(both.withColumn("next_text", F.lead("text").over(along)), "text", "fingerprint")
+    both = both.withColumn("next_fingerprint", F.lead("fingerprint").over(along))
     return both.where("_added = 0").select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint")
 
 
