@@ -18,6 +18,7 @@ from tidewatch.llm.sharding import shard_documents
 from tidewatch.llm.toxicity import score_toxicity
 from tidewatch.llm.url_filter import filter_urls
 from tidewatch.llm.warc import read_archive, write_archive
+from tidewatch.llm.whitening import whiten
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_fingerprint": op9_fingerprint,
         "op10_quality": op10_quality,
+        "op13_whitening": op13_whitening,
     }
 
 
