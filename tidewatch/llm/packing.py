@@ -32,6 +32,12 @@ BROADCAST_RUNS = 200_000
 SPECIAL = {"<|endoftext|>": 50256}
 
 
+#: Runs of so many white-space characters or more are cut out before the pattern sees them, which backtracks through each.
+LONG_RUN = 1000
+#: What the pattern calls white space (fixed values).
+WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 class Irregular(Exception):
     """A text with spaces beside other white space, which can't be cut at its spaces."""
 
@@ -40,11 +46,13 @@ class Encoder(dict):
     """Byte-level BPE ids as little-endian 32-bit bytes; equal to the tokenizers library's ids for the same vocabulary.
 
     The pre-tokenizer always cuts before a space that stands between two characters which aren't white space, so texts
-    are cut there and the ids of each chunk are remembered. Texts with other spaces are encoded at once.
+    are cut there and the ids of each chunk are remembered. Texts with other spaces are encoded at once. The strings of
+    special tokens are those tokens; without any they are plain text.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int] | None = None):
         import base64
+        import re
 
         import numpy as np
         import tiktoken
@@ -52,10 +60,35 @@ class Encoder(dict):
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.np = np
-        self.bpe = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        self.special = special or {}
+        self.token_bytes = {i: b for b, i in ranks.items()}
+        self.bpe = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.long_run = re.compile(f"[{WHITE_SPACE}]{{{LONG_RUN},}}")
+
+    def ordinary(self, text: str) -> list[int]:
+        """The ids of a text without special tokens.
+
+        The pattern takes a run of white space before another character as one piece less its last character, and a run at the end whole. So
+        a long run is encoded as such a piece by itself, and the pattern goes on behind it.
+        """
+        if len(text) < LONG_RUN:
+            return self.bpe.encode_ordinary(text)
+        ids, at = [], 0
+        for run in self.long_run.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self.bpe.encode_ordinary(text[at : run.start()]) if at < run.start() else []
+            ids += self.bpe._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + self.bpe.encode_ordinary(text[at:])
+
+    def ids(self, text: str) -> list[int]:
+        if self.cut is None:
+            return self.ordinary(text)
+        return [i for part in self.cut.split(text) for i in ([self.special[part]] if part in self.special else self.ordinary(part))]
 
     def whole(self, text: str) -> bytes:
-        return self.np.asarray(self.bpe.encode(text, allowed_special="all"), dtype="<u4").tobytes()
+        return self.np.asarray(self.ids(text), dtype="<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
@@ -80,7 +113,7 @@ class Encoder(dict):
 def default_encoder() -> Encoder:
     import public_tokenizers
 
-    return Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIAL)
 
 
 def token_pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False, encoder=default_encoder) -> DataFrame:
