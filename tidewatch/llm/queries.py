@@ -123,7 +123,7 @@ OP7 = rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp
   SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN z USING (r) JOIN (SELECT t.a AS r, min(x.doc_id) AS component_id FROM t JOIN d x ON x.r = t.b GROUP BY 1) USING (r)"""
 
 OP11 = """WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-  k AS (SELECT r, label, e FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, c -> c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(e, c -> c <> 0)) > 0),
+  k AS (SELECT r, label, e FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(e, lambda c: c <> 0)) > 0),
   l AS (SELECT a.r AS a, b.r AS b FROM k a JOIN k b ON a.label = b.label AND a.r <> b.r WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.98 ELSE false END),
   t AS (SELECT r AS a, r AS b FROM v UNION SELECT t.a, l.b FROM t JOIN l ON l.a = t.b)
   SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = v.r) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN (SELECT t.a AS r, min(x.vec_id) AS component_id FROM t JOIN v x ON x.r = t.b GROUP BY 1) USING (r)"""
