@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 from corpus import COLUMNS, empty
+from pyspark.sql import functions as F
 
 from tidewatch.llm import labelled, quality, toxicity
 
@@ -190,3 +191,13 @@ def test_a_giant_text_costs_the_sample_only_itself(spark):
     texts, y = labelled.sample(docs, labels, "toxic", 4, 2, max_bytes=6_000)
     want = spark.createDataFrame(small, "doc_id long, text string").where(labelled.fold(4) != 2)
     assert sorted(texts) == sorted(r["text"] for r in want.collect()) and len(set(y.tolist())) == 2
+
+
+def test_repeated_rows_and_many_texts_of_one_document_are_bounded(spark):
+    many = spark.range(300_000)
+    labels = spark.createDataFrame([(1, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    same = many.select(F.lit(1).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    own = many.limit(40_000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    found = labelled.sample_rows(same.union(own), labels, "toxic", 1000, 999, max_rows=500).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in found} in ({1: 1, 3: 499}, {3: 500})
+    assert labelled.sample_rows(same, labels, "toxic", 1000, 999).count() == 1

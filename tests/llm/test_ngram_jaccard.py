@@ -116,3 +116,13 @@ def test_components_of_chains_and_stars(spark):
     got = {r["row"]: r["root"] for r in nj.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys([*range(100, 140), 40], 40)}
     assert nj.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_long_words_of_few_letters_have_hashes_of_their_own():
+    word = "a"
+    for _ in range(10):  # a Thue-Morse word and its complement agree in any polynomial with an odd base
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    h = nj.Hasher()
+    assert len(word) == 1024 and len({int(x) for x in h.words(f"{word} {other} {word.upper()}")}) == 2
+    assert h.words(f"x {word}")[1] == h.words(word)[0]

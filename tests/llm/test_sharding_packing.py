@@ -5,8 +5,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 from corpus import empty, frame, rows, texts
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidewatch.llm.common import materialize, rank_within
 from tidewatch.llm.packing import default_encoder, pack_documents, pack_histogram
 from tidewatch.llm.sharding import deal, shard_documents
 
@@ -103,3 +105,28 @@ def test_shortest_pack_first_equals_one_piece_at_a_time():
                 assert offset == loads[s + k] or offset + length <= 64
                 loads[s + k] += length
         assert sorted(loads.values()) == sorted(heap)
+
+
+def test_long_white_space_has_the_library_ids():
+    encoder = default_encoder()
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 2_000_000 + "a", "\n" * 2_000_000 + "b", "c" + "\t" * 2_000_000):
+        assert len(encoder.encode(text)) > 0
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        runs = [str(rng.choice([" ", "\n", "\t", "　", " \n", "\u0085"])) * int(rng.choice([1, 999, 1000, 1001, 2500])) for _ in range(3)]
+        words = rng.choice(["a", "12", "<|endoftext|>", "é!", "'s"], 4).tolist()
+        text = "".join(x + y for x, y in zip(words, [*runs, ""], strict=True))[int(rng.integers(0, 2)) :]
+        assert encoder.encode(text) == np.asarray(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), ascii(text[:60])
+
+
+def test_repeated_rows_are_spread_over_buckets(spark):
+    docs = spark.createDataFrame([(1, "same text")], "doc_id long, text string").crossJoin(spark.range(200_000)).select("doc_id", "text")
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "repeated")
+    windows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "_row"), F.lit(int(200_000**0.5)))).groupBy("_bucket").count()
+    assert windows.agg(F.max("count")).first()[0] < 2000
+    ranks = rank_within(rows, [], ["doc_id", "_row"], "rank").agg(F.countDistinct("rank"), F.max("rank")).first()
+    assert tuple(ranks) == (200_000, 199_999)
+    packed = pack_documents(docs.limit(30_000), 64).agg(F.countDistinct("sequence_id", "offset"), F.count(F.lit(1))).first()
+    assert packed[0] == packed[1] == 30_000
+    assert shard_documents(docs.limit(30_000), 4).groupBy("shard", "slot").count().where("count > 1").count() == 0

@@ -93,7 +93,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str, n_rows: int | None = None) -> DataFrame:
-    """Adds out: a rank from 0, gapless, within equal keys. df should be materialized and have distinct orders.
+    """Adds out: a rank from 0, gapless, within equal keys. df must be materialized, and no two rows equal in `order`: rows
+    that may repeat need a key of their own in it.
 
     No key is ranked in one task: rows are hashed into about sqrt(n) buckets by their order columns, ranked within
     (keys, bucket), and shifted by the counts of the key's buckets before it. Any one window therefore has about

@@ -28,8 +28,8 @@ def fold(modulus: int) -> Column:
 def sample_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """slice, doc_id, text, label (0 or 1) of labelled documents outside the held-out fold; the same rows for the same input.
 
-    Where there are more than max_rows, those with the smallest hashes of doc_id are taken, and of these as many whole texts
-    as max_bytes allows: what doesn't fit any more is passed over by itself. Null texts and labels are left out.
+    Rows of one doc_id and text count once. Where there are more than max_rows, those with the smallest hashes of doc_id are taken, and of
+    these as many whole texts as max_bytes allows: what doesn't fit any more is passed over by itself. Null texts and labels are left out.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(modulus) != held_out)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     known = known.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(_SLICES)))
@@ -37,16 +37,17 @@ def sample_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, he
     # about max_rows small rows: the bound of the broadcast
     chosen = known.where(F.col("slice") < int(share * _SLICES) if share < 1 else F.lit(True))
     found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = materialize(found.select("slice", "doc_id", F.octet_length("text").alias("n"), "text", "label"), "labelled")
-    # rows of one doc_id and length are taken together
-    sizes = rows.groupBy("slice", "doc_id", "n").agg(F.count(F.lit(1)).alias("rows")).orderBy("slice", "doc_id", "n").collect()
+    found = found.select("slice", "doc_id", F.octet_length("text").alias("n"), F.sha2("text", 256).alias("digest"), "text", "label")
+    rows = materialize(found.dropDuplicates(["doc_id", "digest"]), "labelled")
+    # the first max_rows rows without their texts, so any number of texts of one doc_id is bounded too
+    first = rows.select("slice", "doc_id", "n", "digest").orderBy("slice", "doc_id", "digest").limit(max_rows).collect()
     total, taken = 0, []
-    for r in sizes:
-        if total + r["n"] * r["rows"] <= max_bytes:
-            total += r["n"] * r["rows"]
-            taken.append((r["slice"], r["doc_id"], r["n"]))
-    fit = docs.sparkSession.createDataFrame(taken, rows.select("slice", "doc_id", "n").schema)
-    return rows.join(F.broadcast(fit), ["slice", "doc_id", "n"]).select("slice", "doc_id", "text", "label")
+    for r in first:
+        if total + r["n"] <= max_bytes:
+            total += r["n"]
+            taken.append((r["doc_id"], r["digest"]))
+    fit = docs.sparkSession.createDataFrame(taken, rows.select("doc_id", "digest").schema)
+    return rows.join(F.broadcast(fit), ["doc_id", "digest"]).select("slice", "doc_id", "text", "label")
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[list[str], np.ndarray]:

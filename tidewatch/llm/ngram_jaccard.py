@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +64,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Hasher:
     """64-bit hashes of a text's words, all at once: a word's bytes, as random numbers, in a polynomial modulo 2**64.
 
-    Running sums over the text are cut at the words and shifted to their start, so no word is handled by itself.
+    Running sums over the text are cut at the words and shifted to their start, so no short word is handled by itself. Powers of
+    an odd base repeat in their low bits, so long words of few letters may share a polynomial: words of more than LONG bytes
+    are hashed by xxHash.
     """
 
+    LONG = 64
+
     BASE = 0x9E3779B97F4A7C15
 
     def __init__(self):
@@ -89,6 +94,8 @@ class Hasher:
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.number[data] * self.up[: len(data)], out=sums[1:])
         h = (sums[end] - sums[first]) * self.down[first] + (end - first).astype(np.uint64)
+        for i in np.flatnonzero(end - first > self.LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(data[first[i] : end[i]].tobytes())
         return h ^ (h >> np.uint64(32))
 
 

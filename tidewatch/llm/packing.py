@@ -168,12 +168,14 @@ def pack_histogram(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> l
 def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False, encoder=default_encoder) -> DataFrame:
     """The pieces with their sequence_id and their offset in that sequence."""
     spark = docs.sparkSession
-    pieces = materialize(token_pieces(docs, max_tokens, end_id, with_ids, encoder), "pack-pieces")
+    pieces = token_pieces(docs, max_tokens, end_id, with_ids, encoder)
+    columns = pieces.columns
+    pieces = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     placed = pack_histogram(histogram, max_tokens)
     runs = spark.createDataFrame(placed, "_length long, _first long, _end long, _sequence long, _offset long")
-    ranked = rank_within(pieces, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], "_rank", sum(histogram.values()))
+    ranked = rank_within(pieces, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens", "_row"], "_rank", sum(histogram.values()))
     # there are a few runs for each length; most pieces may be of one length, so the runs are broadcast, beyond BROADCAST_RUNS
     # (very large max_tokens) by Spark's own threshold only
     found = ranked.join(F.broadcast(runs) if len(placed) <= BROADCAST_RUNS else runs, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
-    return found.select(*pieces.columns, (F.col("_sequence") + F.col("_rank") - F.col("_first")).alias("sequence_id"), F.col("_offset").alias("offset"))
+    return found.select(*columns, (F.col("_sequence") + F.col("_rank") - F.col("_first")).alias("sequence_id"), F.col("_offset").alias("offset"))

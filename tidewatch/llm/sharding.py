@@ -101,5 +101,5 @@ def shard_documents(docs: DataFrame, shards: int = 8, heavy_per_shard: int = HEA
     known = groups.select(key(F.col("group")).alias("_key"), "n").join(placed.select(key(F.col("_group")).alias("_key"), "_shard"), "_key")
     known = materialize(known, "shard-of-group")
     out = look_up(rows.withColumn("_key", key(F.col("group"))), known, "_key", "n", rows.count())
-    out = materialize(out.select("doc_id", "size", "text_crc32", "group", F.col("_shard").alias("shard")), "shard-placed")
-    return rank_within(out, ["shard"], ["doc_id", "group"], "slot")
+    out = materialize(out.select("doc_id", "size", "text_crc32", "group", F.col("_shard").alias("shard"), F.monotonically_increasing_id().alias("_row")), "shard-placed")
+    return rank_within(out, ["shard"], ["doc_id", "group", "_row"], "slot").drop("_row")
