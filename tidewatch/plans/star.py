@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.operators.sessions import sessionize
 from tidewatch.schema import Roles, Settings
 from tidewatch.sources.samples import to_samples
+from tidewatch.sources.scratch import scratch
 
 #: A day between events of a user and kind breaks a segment; errors are the fault source, views the idle rows.
 EVENTS = Roles(
@@ -56,16 +54,6 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessionize(line_samples(spark, sf_dir), LINE_SETTINGS.gap_sec)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def run_stream(stream: DataFrame, name: str) -> DataFrame:
     """What a stream over the files that are there gives in append mode, as a table."""
     spark, folder = stream.sparkSession, scratch(stream.sparkSession, name)
