@@ -102,8 +102,16 @@ def test_the_residual_changes_sides():
     token = lambda words: A.Tokenizer(list, words.__getitem__)
     t = A.Transducer(token([b"ab", b"cde", b"f"]), token([b"a", b"bcd", b"ef"]))
     groups, links = t.align([0, 1, 2], [0, 1, 2])
-    assert groups == [([0, 1, 2], [0, 1, 2])] and links == [(0, 0), (0, 1), (1, 1), (1, 2), (2, 2)]
+    assert groups == ["0,1,2|0,1,2"] and links == [x << 32 | y for x, y in ((0, 0), (0, 1), (1, 1), (1, 2), (2, 2))]
     assert t.steps[0, b"ab", 0] == (0, b"b") and t.steps[0, b"b", 1] == (1, b"cd")
     for a, b in (([0], [0]), ([0, 0], [0, 1]), ([0], [0, 1, 2])):
         with pytest.raises(A.Differ):
             t.align(a, b)
+
+
+def test_pieces_beyond_the_cache_are_aligned_anew(monkeypatch):
+    monkeypatch.setattr(A, "CACHE_ENTRIES", 5)
+    t = A.Transducer(A.byte_bpe(), A.piece_bpe())
+    texts = [x for x in corpus.texts(30) if x]
+    assert [t.document(x)[:4] for x in texts] == [(na, nb, len(g), ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in g)) for na, nb, g, _ in plain(texts)]
+    assert len(t.pieces) <= 5 + 10_000 and len(t.steps) <= 5

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,18 +38,14 @@ CACHE_ENTRIES = 200_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-class Irregular(Exception):
-    """A piece that begins or ends with white space: the text isn't cut at all of its spaces."""
-
-
 class Differ(Exception):
     """Token bytes that aren't those of the text."""
 
 
 class Tokenizer:
-    """ids of a text, and the bytes of each id."""
+    """The ids of each of some texts, and the bytes of each id."""
 
-    def __init__(self, ids: Callable[[str], list[int]], token_bytes: Callable[[int], bytes]):
+    def __init__(self, ids: Callable[[list[str]], list[list[int]]], token_bytes: Callable[[int], bytes]):
         self.ids, self.token_bytes = ids, token_bytes
 
 
@@ -57,7 +54,7 @@ def byte_bpe() -> Tokenizer:
     import public_tokenizers
 
     encoder = Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return Tokenizer(lambda text: encoder.ordinary(" " + text), encoder.token_bytes.__getitem__)
+    return Tokenizer(lambda texts: [encoder.ordinary(" " + t) for t in texts], encoder.token_bytes.__getitem__)
 
 
 def piece_bpe() -> Tokenizer:
@@ -71,91 +68,96 @@ def piece_bpe() -> Tokenizer:
         piece = pieces.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if pieces.is_byte(i) else piece.replace("▁", " ").encode()
 
-    return Tokenizer(lambda text: pieces.encode(text, num_threads=1), token_bytes)
+    return Tokenizer(lambda texts: pieces.encode(texts, num_threads=1), token_bytes)
+
 
+#: n_a, n_b, n_groups, groups as text, links (64-bit a << 32 | b) of a piece.
+Piece = tuple[int, int, int, str, bytes]
 
-class Transducer(dict):
-    """From pieces of texts to (n_a, n_b, n_groups, groups, links): groups as text, links as little-endian 64-bit a << 32 | b."""
+
+class Transducer:
+    """Aligns texts; remembers the bytes of ids, its transitions and what whole pieces of texts do."""
 
     def __init__(self, a: Tokenizer, b: Tokenizer):
         self.sides = (a, b)
+        self.shown: tuple[dict[int, str], dict[int, str]] = ({}, {})
+        self.spelt: tuple[dict[int, bytes], dict[int, bytes]] = ({}, {})
         self.steps: dict[tuple[int, bytes, int], tuple[int, bytes]] = {}
+        self.pieces: dict[str, Piece] = {}
 
     def step(self, leads: int, residual: bytes, token: int) -> tuple[int, bytes]:
         """The side that leads, and its residual, after the other side's token."""
-        key = (leads, residual, token)
-        found = self.steps.get(key)
-        if found is None:
-            new = self.sides[1 - leads].token_bytes(token)
-            if residual.startswith(new):
-                found = (leads, residual[len(new) :])
-            elif new.startswith(residual):
-                found = (1 - leads, new[len(residual) :])
-            else:
-                raise Differ
-            if len(self.steps) >= CACHE_ENTRIES:
-                self.steps.clear()
-            self.steps[key] = found
+        new = self.spelt[1 - leads][token]
+        if residual.startswith(new):
+            found = (leads, residual[len(new) :])
+        elif new.startswith(residual):
+            found = (1 - leads, new[len(residual) :])
+        else:
+            raise Differ
+        if len(self.steps) >= CACHE_ENTRIES:
+            self.steps.clear()
+        self.steps[leads, residual, token] = found
         return found
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-        """The groups (a's ids, b's ids), and the links."""
-        streams, groups, links = (iter(a), iter(b)), [], []
-        for first in streams[0]:
-            group, last = ([first], []), [first, None]
-            leads, residual = 0, self.sides[0].token_bytes(first)
-            while residual:
-                lags = 1 - leads
-                token = next(streams[lags], None)
-                if token is None:
-                    raise Differ
-                group[lags].append(token)
-                last[lags] = token
-                links.append((last[0], last[1]))
-                leads, residual = self.step(leads, residual, token)
-            groups.append(group)
-        if next(streams[1], None) is not None:
+    def align(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
+        """The groups as text and the links."""
+        for side, ids in enumerate((a, b)):
+            for i in ids:
+                if i not in self.shown[side]:
+                    self.shown[side][i], self.spelt[side][i] = str(i), self.sides[side].token_bytes(i)
+        (shown_a, shown_b), spelt_a, known = self.shown, self.spelt[0], self.steps.get
+        rest_b = iter(b)
+        next_a, next_b, groups, links = iter(a).__next__, rest_b.__next__, [], []
+        left = len(a)
+        try:
+            while left:
+                x, left = next_a(), left - 1
+                of_a, of_b, leads, residual = shown_a[x], "", 0, spelt_a[x]
+                while residual:
+                    if leads:
+                        x, left = next_a(), left - 1
+                        of_a, token = f"{of_a},{shown_a[x]}", x
+                    else:
+                        y = token = next_b()
+                        of_b = f"{of_b},{shown_b[y]}" if of_b else shown_b[y]
+                    links.append(x << 32 | y)
+                    leads, residual = known((leads, residual, token)) or self.step(leads, residual, token)
+                groups.append(f"{of_a}|{of_b}")
+        except StopIteration:
+            raise Differ from None
+        if next(rest_b, None) is not None:
             raise Differ
         return groups, links
 
-    def piece(self, text: str) -> tuple[int, int, int, str, bytes]:
-        a, b = self.sides[0].ids(text), self.sides[1].ids(text)
-        # streams that align spell the same bytes, and these are a space's and the text's
-        groups, links = self.align(a, b)
-        if sum(map(len, map(self.sides[0].token_bytes, a))) != 1 + len(text.encode()):
-            raise Differ
-        shown = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-        return len(a), len(b), len(groups), shown, np.array([x << 32 | y for x, y in links], dtype="<i8").tobytes()
-
-    def __missing__(self, text: str) -> tuple[int, int, int, str, bytes]:
-        if not text or text[0].isspace() or text[-1].isspace():
-            raise Irregular
-        found = self.piece(text)
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        if len(text) < 64:
-            self[text] = found
-        return found
-
-    def _any(self, text: str) -> tuple[int, int, int, str, bytes]:
-        try:
-            return self[text]
-        except Irregular:
-            return self.piece(text)
+    def align_pieces(self, texts: list[str]) -> dict[str, Piece]:
+        out = {}
+        for text, a, b in zip(texts, self.sides[0].ids(texts), self.sides[1].ids(texts), strict=True):
+            groups, links = self.align(a, b)
+            # streams that align spell the same bytes, and these are a space's and the text's
+            if sum(map(len, map(self.spelt[0].__getitem__, a))) != 1 + len(text.encode()):
+                raise Differ
+            out[text] = (len(a), len(b), len(groups), ";".join(groups), array("q", links).tobytes())
+        return out
 
     def document(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
         """n_a, n_b, n_groups, groups, links of a whole text; zeros and nothing where it has no tokens."""
         if text:
+            known = self.pieces
+            pieces = text.split(" ")
+            new = [p for p in dict.fromkeys(pieces) if p not in known]
+            if any(not p or p[0].isspace() or p[-1].isspace() for p in new):
+                pieces = _CUT.split(text)
+                new = [p for p in dict.fromkeys(pieces) if p not in known]
             try:
-                try:
-                    parts = list(map(self.__getitem__, text.split(" ")))
-                except Irregular:
-                    parts = list(map(self._any, _CUT.split(text)))
-                na, nb, ng, shown, links = zip(*parts, strict=True)
-                return sum(na), sum(nb), sum(ng), ";".join(shown), np.frombuffer(b"".join(links), "<i8")
+                fresh = self.align_pieces(new) if new else {}
+                na, nb, ng, shown, links = zip(*[known.get(p) or fresh[p] for p in pieces], strict=True)
+                if len(known) + len(fresh) > CACHE_ENTRIES:
+                    known.clear()
+                known.update((p, v) for p, v in fresh.items() if len(p) < 64 and not p[0].isspace() and not p[-1].isspace())
+                return sum(na), sum(nb), sum(ng), ";".join(shown), np.frombuffer(b"".join(links), np.int64)
             except Differ:
                 pass
-        return 0, 0, 0, "", np.zeros(0, "<i8")
+        return 0, 0, 0, "", np.zeros(0, np.int64)
 
 
 _DOCUMENT = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, times binary"
