@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import scalar
 from tidewatch.operators import alarms, analysis, metrics, sessions, splits, thresholds, windows
-from tidewatch.operators.models import Forest, Gaussian, fit_forest, fit_gaussian, shrink
+from tidewatch.operators.models import PRIME, Forest, Gaussian, _grow, fit_forest, fit_gaussian, shrink, tree_keys, tree_samples
 from tidewatch.schema import Roles, Settings, infer_features, require
 from tidewatch.sources.samples import SENSOR_ROLES, assert_finite, drop_unknown, line_count, provenance, quality_counts, read_external, read_optional, read_scale, read_sensor_csv, read_sources, to_samples
 from tidewatch.sources.sinks import digest_line, pick, read_settings, report, run_once, write_csv, write_table
@@ -190,6 +191,24 @@ def test_forest_ranks_outliers_high(spark):
     assert isinstance(model, Forest) and len(model.trees) == 60
 
 
+def test_forest_samples_are_the_smallest_hashes_of_each_tree(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 2))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double")
+    found = tree_samples(df.repartition(7), ["a", "b"], ["id"], 5, 32, 9).toPandas()
+    numbers = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) % PRIME for i in range(3000)}
+    for tree, (a, b) in enumerate(tree_keys(5, 9)):
+        want = sorted((a * n + b) % PRIME for n in numbers.values())[:32]
+        assert sorted(found[found["tree"] == tree]["hash"])[:32] == want
+    a, b = (fit_forest(df.repartition(p), ["a", "b"], 9, key=["id"]) for p in (1, 6))
+    assert a.to_json() == b.to_json()
+    for own in (tree_keys(5, 9),):
+        sample = sorted(range(3000), key=lambda i: (own[0][0] * numbers[i] + own[0][1]) % PRIME)[:32]
+        grown = _grow(np.sign(x[sample]) * np.log1p(np.abs(x[sample])), 5, np.random.default_rng([9, 0, 0]))
+        tree = fit_forest(df, ["a", "b"], 5, 32, 9, ["id"]).trees[0]
+        assert all(np.array_equal(grown[c], tree[c]) for c in grown)
+
+
 def test_splits(spark):
     df = sessions.sessionize(samples(spark, [i * 2.0 for i in range(40)], state=[0] * 40), 0.5).unionByName(sessions.sessionize(samples(spark, [i * 2.0 for i in range(9)], "fault", state=[1] * 9), 0.5))
     folds = {r["group_id"]: r["fold"] for r in splits.fold_map(df, 4, 7).collect()}

@@ -173,20 +173,21 @@ def test_streaming_cross_validation(spark):
     data = rows(7, 300, 1)
     fault = [("fault", s, t, q, x + 8, y, z + 8, 1, 0) for _, s, t, q, x, y, z, _, _ in rows(8, 120, 1)]
     df = sessionize(spark.createDataFrame(data + fault, COLUMNS), SETTINGS.gap_sec).persist()
-    folds = splits.fold_map(df, 3, 0)
-    scores = fold_scores(df, folds, 3, SETTINGS).persist()
+    scores = fold_scores(df, 3, 1, SETTINGS, fold_map=splits.fold_map).persist()
     limits = fold_thresholds(scores, SETTINGS, (0.8, 0.9, 0.99))
     for n in ("sample", "short", "long"):
         assert monotone(limits.select("test_fold", "quantile", F.col(f"{n}_threshold").alias("threshold")), ["test_fold"]).count() == 0
     found = fold_alarms(scores, limits, SETTINGS)
     assert found.where("quantile = 0.9").count() == df.count()
     assert found.where("final_alarm and not or_3").count() == 0
-    result = streaming_cv(df, SETTINGS, k=3, repeats=1, quantiles=(0.9,), variants=("final_alarm", "or_3"))
+    result = streaming_cv(df, SETTINGS, k=3, repeats=1, quantiles=(0.9,), variants=("final_alarm", "or_3"), fold_map=splits.fold_map)
     out = result.collect()
     by = {r["variant"]: r for r in out}
     assert by["or_3"]["event_detection_rate"] >= by["final_alarm"]["event_detection_rate"] > 0
     text = comparison_table(spark.createDataFrame(out, result.schema)).first()
     assert text["sample_f1_std"] is None and "±" not in text["sample_f1_text"]
+    forest = streaming_cv(df, SETTINGS, k=3, repeats=2, quantiles=(0.9, 0.95), variants=("or_3",), kind="forest")
+    assert {(r["repeat"], r["quantile"], r["sample_f1"] > 0) for r in forest.collect()} == {(r, q, True) for r in (0, 1) for q in (0.9, 0.95)}
 
 
 def test_window_runs(spark):

@@ -7,11 +7,13 @@ function for forests.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -84,56 +86,69 @@ def shrink(s: np.ndarray, n: int, q4: float, kind: str) -> tuple[np.ndarray, flo
     return (1 - share) * s + share * mean * np.eye(p), float(share)
 
 
-def fit_gaussians(rows: DataFrame, features: list[str], by: list[str], kind: str = "ledoit_wolf") -> dict[tuple, Gaussian]:
-    """A model for each group of `by`, in one pass for medians, means and covariances, where no feature is unknown.
+def open_features(among: DataFrame, features: list[str]) -> list[int]:
+    """The numbers of the features that some row of among doesn't know."""
+    unknown = among.agg(*(F.sum(F.col(f).isNull().cast("long")).alias(f"_{i}") for i, f in enumerate(features))).first()
+    return [i for i in range(len(features)) if unknown[f"_{i}"]]
 
-    Unknown features take their median, which needs a pass of its own first; Ledoit-Wolf shrinkage needs one more for the
-    fourth moment about the mean. A group's moments are p * (p + 3) / 2 numbers.
+
+def exact_medians(rows: DataFrame, features: list[str], numbers: list[int], by: list[str]) -> dict[tuple, float]:
+    """(*by, feature's number) -> the median of what is known of it, by cells of values: no task holds all values of a feature."""
+    from tidewatch.operators.thresholds import exact_quantiles
+
+    if not numbers:
+        return {}
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("feature"), F.col(features[i]).cast("double").alias("v")) for i in numbers)))
+    found = exact_quantiles(rows.select(*by, each.alias("_e")).select(*by, "_e.feature", "_e.v"), "v", (0.5,), [*by, "feature"])
+    return {(*(r[c] for c in by), r["feature"]): float(r["quantiles"][0]) for r in found.collect()}
+
+
+def fit_gaussians(rows: DataFrame, features: list[str], by: list[str], kind: str = "ledoit_wolf", among: DataFrame | None = None) -> dict[tuple, Gaussian]:
+    """A model for each group of `by`.
+
+    among: all rows that the models will score. Only features that some of them doesn't know need a median, which stands in for
+    them; without it all features have one. One pass gives means and covariances, Ledoit-Wolf shrinkage needs one more for the fourth moment
+    about the mean. A group's moments are p * (p + 3) / 2 numbers.
     """
     n_of, k = len(features), len(by)
     pairs = [(i, j) for i in range(n_of) for j in range(i, n_of)]
-
-    def moments(x: DataFrame, more: list[Column]) -> list:
-        cols = [F.col(f"_x{i}") for i in range(n_of)]
-        return x.groupBy(*by).agg(F.count(F.lit(1)), *(F.avg(c) for c in cols), *(F.covar_pop(cols[i], cols[j]) for i, j in pairs), *more).collect()
-
-    def transformed(source: DataFrame, fill: list[Column] | None) -> DataFrame:
-        value = [F.col(f).cast("double") for f in features]
-        if fill:
-            value = [F.coalesce(v, m) for v, m in zip(value, fill, strict=True)]
-        return source.select(*by, *(signed_log1p(v).alias(f"_x{i}") for i, v in enumerate(value)), *(F.col(f).alias(f"_f{i}") for i, f in enumerate(features)))
-
-    medians = [F.coalesce(F.median(f"_f{i}"), F.lit(0.0)) for i in range(n_of)]
-    unknown = F.sum(sum((F.col(f"_f{i}").isNull().cast("long") for i in range(n_of)), F.lit(0)))
-    x = transformed(rows, None)
-    found = moments(x, [*medians, unknown])
-    middle = {tuple(r[:k]): [float(v) for v in r[-n_of - 1 : -1]] for r in found}
-    if any(r[-1] for r in found):
-        table = rows.sparkSession.createDataFrame([(*key, *m) for key, m in middle.items()], StructType([*rows.select(*by).schema.fields, *(StructField(f"_m{i}", DoubleType()) for i in range(n_of))]))
-        x = transformed(rows.join(F.broadcast(table), by), [F.col(f"_m{i}") for i in range(n_of)])
-        found = moments(x, [])
+    numbers = list(range(n_of)) if among is None else open_features(among, features)
+    medians = exact_medians(rows, features, numbers, by)
+    keys = sorted({key[:-1] for key in medians}, key=str)
+    middle = {key: [medians.get((*key, i), 0.0) for i in range(n_of)] for key in keys}
+    of = lambda name: [StructField(f"{name}{i}", DoubleType()) for i in range(n_of)]
+    by_fields = rows.select(*by).schema.fields
+    value = [F.col(f).cast("double") for f in features]
+    source = rows
+    if middle:
+        table = rows.sparkSession.createDataFrame([(*key, *m) for key, m in middle.items()], StructType([*by_fields, *of("_m")]))
+        source = rows.join(F.broadcast(table), by)
+        value = [F.coalesce(v, F.col(f"_m{i}")) for i, v in enumerate(value)]
+    x = source.select(*by, *(signed_log1p(v).alias(f"_x{i}") for i, v in enumerate(value)))
+    cols = [F.col(f"_x{i}") for i in range(n_of)]
+    found = x.groupBy(*by).agg(F.count(F.lit(1)), *(F.avg(c) for c in cols), *(F.covar_pop(cols[i], cols[j]) for i, j in pairs)).collect()
     out = {}
     for r in found:
         key, n = tuple(r[:k]), r[k]
         s = np.zeros((n_of, n_of))
-        for (i, j), v in zip(pairs, r[k + 1 + n_of : k + 1 + n_of + len(pairs)], strict=True):
+        for (i, j), v in zip(pairs, r[k + 1 + n_of :], strict=True):
             s[i, j] = s[j, i] = v
         out[key] = (n, [float(v) for v in r[k + 1 : k + 1 + n_of]], s)
     fourth = dict.fromkeys(out, 0.0)
     if kind == "ledoit_wolf":
-        means = rows.sparkSession.createDataFrame([(*key, *u) for key, (_, u, _) in out.items()], StructType([*rows.select(*by).schema.fields, *(StructField(f"_u{i}", DoubleType()) for i in range(n_of))]))
+        means = rows.sparkSession.createDataFrame([(*key, *u) for key, (_, u, _) in out.items()], StructType([*by_fields, *of("_u")]))
         centred = x.join(F.broadcast(means), by)
         norm = sum(((F.col(f"_x{i}") - F.col(f"_u{i}")) ** 2 for i in range(n_of)), F.lit(0.0))
         fourth |= {tuple(r[:k]): float(r[k]) for r in centred.groupBy(*by).agg(F.sum(norm * norm)).collect()}
     models = {}
     for key, (n, location, s) in out.items():
         covariance, share = shrink(s, n, fourth[key], kind)
-        models[key] = Gaussian(list(features), location, np.linalg.pinv(covariance, hermitian=True).tolist(), middle[key], share, int(n), kind)
+        models[key] = Gaussian(list(features), location, np.linalg.pinv(covariance, hermitian=True).tolist(), middle.get(key, [0.0] * n_of), share, int(n), kind)
     return models
 
 
-def fit_gaussian(rows: DataFrame, features: list[str], kind: str = "ledoit_wolf") -> Gaussian:
-    found = fit_gaussians(rows.withColumn("_one", F.lit(1)), features, ["_one"], kind)
+def fit_gaussian(rows: DataFrame, features: list[str], kind: str = "ledoit_wolf", among: DataFrame | None = None) -> Gaussian:
+    found = fit_gaussians(rows.withColumn("_one", F.lit(1)), features, ["_one"], kind, among)
     if not found:
         raise ValueError("no rows to fit on")
     return found[(1,)]
@@ -226,20 +241,108 @@ def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> dict:
     return {"feature": np.array(feature), "value": np.array(value, float), "left": np.array(left), "right": np.array(right), "path": np.array(path, float)}
 
 
-def fit_forest(rows: DataFrame, features: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> Forest:
-    """An isolation forest. Each tree has its own sample of rows; only trees * sample rows reach the driver."""
+#: A prime below 2**31: products of two numbers below it fit 64 bits.
+PRIME = 2_147_483_647
+
+
+def tree_keys(trees: int, seed: int) -> list[tuple[int, int]]:
+    """A multiplier and an offset for each tree, by two generators modulo PRIME."""
+    a, b, out = 1 + seed % (PRIME - 1), 1 + (7 * seed + 3) % (PRIME - 1), []
+    for _ in range(trees):
+        a, b = a * 48_271 % PRIME, b * 69_621 % PRIME
+        out.append((a, b))
+    return out
+
+
+def row_number_of(columns: list[Column]) -> Column:
+    """A number below PRIME for each row: the first 15 digits of the MD5 of its values, modulo PRIME."""
+    text = F.concat_ws(":", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(PRIME))
+
+
+def tree_samples(rows: DataFrame, columns: list[str], key: list[str], trees: int, sample: int, seed: int, sets: Column | None = None, sizes: dict[int, int] | None = None) -> DataFrame:
+    """set, tree, rank_hash, row, columns: for each set and tree the `sample` rows with the smallest keyed hashes, in one pass.
+
+    A tree's hash of a row is (a * row + b) modulo PRIME, with its own a and b, of the row's number by its key columns. So the samples
+    are the same however the rows are dealt and however many there are. sets: an array of the sets that a row is in (0 by default);
+    sizes: rows of each set. A task passes on only hashes below a bound that leaves about 4 * sample rows of a set for each tree, many more than
+    can be missing by chance; a set for which it wasn't enough would be an error.
+    """
+    sets = F.array(F.lit(0)) if sets is None else sets
+    chosen = rows.select(sets.alias("sets"), row_number_of([F.col(k) for k in key]).alias("row"), *(F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)))
+    if sizes is None:
+        sizes = {r["s"]: r["count"] for r in chosen.select(F.explode("sets").alias("s")).groupBy("s").count().collect()}
+    keys = np.array(tree_keys(trees, seed), dtype=np.int64).reshape(trees, 2)
+    bound = {s: PRIME if n <= 8 * sample else int(PRIME * (4 * sample / n)) + 1 for s, n in sizes.items()}
+    schema = "set int, tree int, hash long, row long, x array<double>"
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row = batch.column(1).to_numpy()
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[2:]])
+            member = batch.column(0)
+            owner, of = np.repeat(np.arange(batch.num_rows), np.diff(member.offsets.to_numpy())), member.flatten().to_numpy()
+            limit = np.array([bound.get(int(s), 0) for s in of])
+            for tree, (a, b) in enumerate(keys):
+                h = (a * row + b) % PRIME
+                got = np.flatnonzero(h[owner] < limit)
+                if len(got):
+                    at = owner[got]
+                    values = pa.ListArray.from_arrays(np.arange(0, len(at) * x.shape[1] + 1, x.shape[1], dtype=np.int32), pa.array(x[at].ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(of[got], pa.int32()), pa.array(np.full(len(at), tree, np.int32)), pa.array(h[at]), pa.array(row[at]), values], ["set", "tree", "hash", "row", "x"])
+
+    return chosen.mapInArrow(draw, schema)
+
+
+def _forests(rows: DataFrame, features: list[str], key: list[str], trees: int, sample: int, seed: int, sets: Column | None, medians: dict[int, list[float]], sizes: dict[int, int]) -> dict[int, Forest]:
+    """A forest for each set of rows: trees are grown in executors, each from its own sample, and only trees reach the driver."""
+    parts = ("feature", "value", "left", "right", "path")
+
+    def grow(rows: pa.Table) -> pa.Table:
+        s, tree = rows.column("set")[0].as_py(), rows.column("tree")[0].as_py()
+        size = min(sample, sizes[s])
+        h, row = rows.column("hash").to_numpy(), rows.column("row").to_numpy()
+        x = np.array(rows.column("x").to_pylist(), dtype=float)
+        # equal hashes are told apart by the rows' numbers, and equal numbers by their values
+        order = np.lexsort((*x.T[::-1], row, h))[:size]
+        if len(order) < size:
+            raise ValueError("too few hashes below the bound")
+        x = np.where(np.isnan(x[order]), np.array(medians[s]), x[order])
+        x = np.sign(x) * np.log1p(np.abs(x))
+        t = _grow(x, int(np.ceil(np.log2(max(size, 2)))), np.random.default_rng([seed, s, tree]))
+        return pa.table({"set": pa.array([s], pa.int32()), "tree": pa.array([tree], pa.int32()), **{c: pa.array([t[c].astype(float).tolist()], pa.list_(pa.float64())) for c in parts}})
+
+    schema = "set int, tree int, " + ", ".join(f"{c} array<double>" for c in parts)
+    found: dict[int, list] = {}
+    for r in tree_samples(rows, features, key, trees, sample, seed, sets, sizes).groupBy("set", "tree").applyInArrow(grow, schema).collect():
+        found.setdefault(r["set"], []).append((r["tree"], {c: np.array(r[c]).astype(float if c in ("value", "path") else np.int64) for c in parts}))
+    return {s: Forest(list(features), medians[s], [t for _, t in sorted(own, key=lambda v: v[0])], min(sample, sizes[s])) for s, own in found.items()}
+
+
+def fit_forest(rows: DataFrame, features: list[str], trees: int = 100, sample: int = 256, seed: int = 42, key: list[str] | None = None, among: DataFrame | None = None) -> Forest:
+    """An isolation forest, the same for the same rows in any order and number of partitions.
+
+    key: columns that tell rows apart, by default the features; each tree has its own sample by them. among: as for fit_gaussians.
+    """
     n = rows.count()
     if not n:
         raise ValueError("no rows to fit on")
-    medians = [float(v or 0.0) for v in rows.agg(*(F.median(f) for f in features)).first()]
-    wanted = trees * sample
-    drawn = rows.select(*(F.coalesce(F.col(f), F.lit(m)).cast("double").alias(f) for f, m in zip(features, medians, strict=True)))
-    if n > 2 * wanted:
-        drawn = drawn.orderBy(F.rand(seed)).limit(wanted)
-    x = np.array([list(r) for r in drawn.collect()], dtype=float)
-    x = np.sign(x) * np.log1p(np.abs(x))
-    rng = np.random.default_rng(seed)
-    size = min(sample, len(x))
-    limit = int(np.ceil(np.log2(max(size, 2))))
-    grown = [_grow(x[rng.choice(len(x), size, replace=False)], limit, rng) for _ in range(trees)]
-    return Forest(list(features), medians, grown, size)
+    found = exact_medians(rows, features, list(range(len(features))) if among is None else open_features(among, features), [])
+    medians = [found.get((i,), 0.0) for i in range(len(features))]
+    return _forests(rows, features, key or features, trees, sample, seed, None, {0: medians}, {0: n})[0]
+
+
+def fold_forests(rows: DataFrame, features: list[str], k: int, repeats: int, trees: int = 100, sample: int = 256, seed: int = 42, key: tuple[str, ...] = ("group_id", "t_us", "seq"), among: DataFrame | None = None) -> dict[tuple[int, int], Forest]:
+    """A forest for each (repeat, test fold) of rows with folds, as moments.fold_models has: all trees of all folds from one pass."""
+    from tidewatch.operators.moments import fold_medians
+
+    # set r * k + t: the rows in neither fold t nor the next of repeat r
+    inside = [F.when((F.col("folds")[r] != t) & (F.col("folds")[r] != (t + 1) % k), F.lit(r * k + t)) for r in range(repeats) for t in range(k)]
+    sets = F.array_compact(F.array(*inside))
+    sizes = {r["s"]: r["count"] for r in rows.select(F.explode(sets).alias("s")).groupBy("s").count().collect()}
+    middle = fold_medians(rows, features, k, repeats, among)
+    medians = {s: [middle.get((s // k, s % k, i), 0.0) for i in range(len(features))] for s in sizes}
+    found = _forests(rows, features, list(key), trees, sample, seed, sets, medians, sizes)
+    return {(s // k, s % k): f for s, f in found.items()}

@@ -67,16 +67,22 @@ def _correlation(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
 
 
-def time_windows(rows: DataFrame, settings: Settings, manifest: DataFrame | None = None) -> DataFrame:
+def time_windows(rows: DataFrame, settings: Settings, manifest: DataFrame | None = None, in_cells: bool = False) -> DataFrame:
     """The 16 features and the description of each time window of segmented rows.
 
-    With a manifest that has splits, segments that are EXCLUDED_SHORT have no windows.
+    With a manifest that has splits, segments that are EXCLUDED_SHORT have no windows. in_cells: for segments too long for a task.
     """
     if manifest is not None:
         rows = rows.join(manifest.where("split = 'EXCLUDED_SHORT'").select("group_id"), "group_id", "left_anti")
-    starts = window_starts(rows, settings.window_sec, settings.step_sec, settings.min_samples)
+    if in_cells:
+        from tidewatch.operators import cells
+
+        starts = cells.window_starts_in_cells(rows, settings.window_sec, settings.step_sec, settings.min_samples)
+    else:
+        starts = window_starts(rows, settings.window_sec, settings.step_sec, settings.min_samples)
     onset = rows.groupBy("group_id").agg(F.min(F.when(F.col("state") >= 1, F.col("t_us"))).alias("onset_us"))
-    inner = rows.withColumn("_gap", seconds(F.col("t_us"), F.lag("t_us").over(in_segment())))
+    gap = seconds(F.col("t_us"), F.lag("t_us").over(in_segment()))
+    inner = cells.over_cells(cells.numbered(rows), 1, lambda r: r.withColumn("_gap", gap)) if in_cells else rows.withColumn("_gap", gap)
     # a window lies in two cells of time, of its own length, at most; rows meet the windows of their cell only, so a long
     # segment costs no more for each row than a short one
     width = round(settings.window_sec * 1e6)

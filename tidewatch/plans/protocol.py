@@ -7,15 +7,20 @@ from the same scores. Features and scores are persisted where several passes rea
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import alarms, metrics, splits, thresholds
-from tidewatch.operators.models import fit_forest, fit_gaussians
+from tidewatch.operators.models import fit_forest, fit_gaussian, fit_gaussians, fold_forests
+from tidewatch.operators.moments import fold_models, with_folds
 from tidewatch.operators.windows import sample_feature_names, sample_features
 from tidewatch.schema import Settings
-from tidewatch.streaming.detector import NAMES, complete, features_of, model_inputs, scored
+from tidewatch.sources.scratch import written
+from tidewatch.streaming.detector import NAMES, complete, features_of, model_inputs
 
 #: Alarm columns that are evaluated side by side.
 VARIANTS = ("final_alarm", "or_3", "sample_alarm", "short_alarm", "long_alarm")
@@ -26,9 +31,9 @@ def window_run(windows: DataFrame, features: list[str], kind: str = "ledoit_wolf
     `window_metrics`, `audit` (of the validation scores)."""
     train = splits.subsample(windows.where("split = 'train' and label = 0"), fraction, seed)
     if kind == "forest":
-        model = fit_forest(train, features, 300, seed=seed)
+        model = fit_forest(train, features, 300, seed=seed, among=windows)
     else:
-        model = fit_gaussians(train.withColumn("_one", F.lit(1)), features, ["_one"], kind)[(1,)]
+        model = fit_gaussian(train, features, kind, windows)
     rows = windows.withColumn("score", model.score())
     validation = rows.where("split = 'val'")
     limit = thresholds.best_f1(validation).select("threshold") if mode == "f1" else thresholds.normal_quantile(validation, quantile).select("threshold")
@@ -49,7 +54,7 @@ def window_run(windows: DataFrame, features: list[str], kind: str = "ledoit_wolf
 def window_cv(windows: DataFrame, features: list[str], folds: DataFrame, k: int, step_sec: float, kind: str = "ledoit_wolf", quantile: float = 0.9999, consecutive: int = 1) -> DataFrame:
     """One row of pooled metrics over all test folds of windows (with kind and group_id)."""
     rows = splits.fold_roles(windows, folds, k)
-    models = fit_gaussians(rows.where("role = 'train'"), features, ["test_fold"], kind)
+    models = fit_gaussians(rows.where("role = 'train'"), features, ["test_fold"], kind, windows)
     score = None
     for (fold,), model in sorted(models.items()):
         own = F.col("test_fold") == fold
@@ -77,7 +82,7 @@ def _by_fold(models: dict[tuple, object]) -> Column:
 def scale_alarms(windows: DataFrame, features: list[str], folds: DataFrame, k: int, kind: str = "ledoit_wolf", quantile: float = 0.9999, consecutive: int = 1) -> DataFrame:
     """The test windows of all folds with `alarm`, by models and thresholds of their fold."""
     rows = splits.fold_roles(windows, folds, k)
-    models = fit_gaussians(rows.where("role = 'train'"), features, ["test_fold"], kind)
+    models = fit_gaussians(rows.where("role = 'train'"), features, ["test_fold"], kind, windows)
     scored_rows = rows.where("role in ('validation', 'test')").withColumn("score", _by_fold(models)).persist()
     limits = thresholds.normal_quantile(scored_rows.where("role = 'validation'"), quantile, ["test_fold"]).select("test_fold", "threshold")
     return alarms.k_consecutive(scored_rows.where("role = 'test'").join(F.broadcast(limits), "test_fold"), F.col("threshold"), consecutive, "alarm")
@@ -105,7 +110,7 @@ def sample_alarms(rows: DataFrame, settings: Settings, folds: DataFrame, k: int,
     inputs = splits.fold_roles(sample_features(rows, settings.channels, rolling), folds, k)
     # a segment is in one role for each test fold
     keyed = inputs.withColumns({"_group": F.col("group_id"), "group_id": F.concat_ws("|", "group_id", F.col("test_fold").cast("string"))})
-    models = fit_gaussians(keyed.where("role = 'train'"), features, ["test_fold"], kind)
+    models = fit_gaussians(keyed.where("role = 'train'"), features, ["test_fold"], kind, inputs)
     score = alarms.smoothed(F.col("_raw"), settings.smooth, how, least)
     judged = keyed.where("role in ('validation', 'test')").withColumn("_raw", _by_fold(models)).withColumn("score", score).persist()
     limits = thresholds.normal_quantile(judged.where("role = 'validation'"), quantile, ["test_fold"]).select("test_fold", "threshold")
@@ -140,59 +145,100 @@ def replay_errors(found: DataFrame, windows: DataFrame, alarm: str = "or_3_p2")
     return metrics.sample_events(found, alarm).join(spans, "group_id"), alarms.windows_with_alarms(windows, found, alarm, "fp_context")
 
 
-def fold_scores(rows: DataFrame, folds: DataFrame, k: int, settings: Settings, kind: str = "ledoit_wolf", seed: int = 0) -> DataFrame:
-    """Validation and test rows of each fold with the scores of that fold's models (fitted on its training segments)."""
-    names = features_of(settings)
-    inputs = splits.fold_roles(model_inputs(rows, settings).persist(), folds, k)
-    train = inputs.where("role = 'train' and coalesce(idle, 0) <> 1")
-    fitted: dict[int, dict] = {}
+def _scores(rows: DataFrame, models: dict[tuple[int, int], dict], features: dict[str, list[str]], k: int, repeats: int, settings: Settings) -> DataFrame:
+    """Rows once for each fold of each repeat in which they are tested or validate, with the scores of that fold's models.
+
+    rows have folds and all features, which go to Python once; a window model's score is null where its window isn't full.
+    """
+    keys = ["source", "group_id", "t_us", "seq", "kind", "label"]
+    names = sorted({f for own in features.values() for f in own})
+    places = {n: [names.index(f) for f in features[n]] for n in NAMES}
+    full = [F.col(f"{n}_{settings.channels[0]}_mean").isNotNull().alias(f"_{n}") for n in ("short", "long")]
+    out = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in keys) + ", repeat int, test_fold int, role string, sample_raw double, short_score double, long_score double"
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = len(keys)
+            folds = batch.column(at).flatten().to_numpy().reshape(batch.num_rows, -1)
+            known = {"sample": np.ones(batch.num_rows, bool), **{n: batch.column(at + 1 + i).to_numpy(zero_copy_only=False) for i, n in enumerate(("short", "long"))}}
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[at + 3 :]])
+            normal = np.array(batch.column(keys.index("kind")).to_pylist(), dtype=object) == "normal"
+            for r in range(repeats):
+                for role, mine, of in (("test", np.ones(len(x), bool), folds[:, r]), ("validation", normal, (folds[:, r] - 1) % k)):
+                    for t in range(k):
+                        chosen = np.flatnonzero(mine & (of == t))
+                        if not len(chosen) or len(models.get((r, t), {})) < len(NAMES):
+                            continue
+                        found = []
+                        for n in NAMES:
+                            s = np.full(len(chosen), np.nan)
+                            own = known[n][chosen]
+                            if own.any():
+                                s[own] = models[r, t][n].numpy_score(x[chosen[own]][:, places[n]])
+                            found.append(pa.array(s, mask=~own))
+                        fixed = [pa.array(np.full(len(chosen), v, np.int32)) for v in (r, t)] + [pa.array([role] * len(chosen))]
+                        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(chosen)) for c in batch.columns[:at]), *fixed, *found], [c.split()[0] for c in out.split(", ")])
+
+    return rows.select(*keys, "folds", *full, *(F.col(f).cast("double") for f in names)).mapInArrow(score, out)
+
+
+def fold_scores(rows: DataFrame, k: int, repeats: int, settings: Settings, kind: str = "ledoit_wolf", seed: int = 0, fold_map=None, features: dict[str, list[str]] | None = None) -> DataFrame:
+    """Validation and test rows of each fold of each repeat with the scores of that fold's models (fitted on its training segments).
+
+    One scan fits the models of all folds and repeats of a scale; one more scores the rows by all of them.
+    """
+    names = features or features_of(settings)
+    inputs = written(with_folds(model_inputs(rows, settings), k, repeats, seed, fold_map), "cv-inputs")
+    train = inputs.where("kind = 'normal' and coalesce(idle, 0) <> 1")
+    models: dict[tuple[int, int], dict] = {}
     for name in NAMES:
         own = complete(train, name, settings)
-        if kind == "forest":
-            for fold in range(k):
-                fitted.setdefault(fold, {})[name] = fit_forest(own.where(F.col("test_fold") == fold), names[name], seed=seed)
-        else:
-            for (fold,), model in fit_gaussians(own, names[name], ["test_fold"], kind).items():
-                fitted.setdefault(fold, {})[name] = model
-    out = None
-    for fold, models in sorted(fitted.items()):
-        if len(models) == len(NAMES):
-            part = scored(inputs.where((F.col("test_fold") == fold) & F.col("role").isin("validation", "test")), models, settings)
-            out = part if out is None else out.unionByName(part)
-    if out is None:
+        every = complete(inputs, name, settings)
+        found = fold_forests(own, names[name], k, repeats, seed=seed, among=every) if kind == "forest" else fold_models(own, names[name], k, repeats, kind, every)
+        for key, model in found.items():
+            models.setdefault(key, {})[name] = model
+    if not any(len(m) == len(NAMES) for m in models.values()):
         raise ValueError("no fold has enough training rows")
-    return out
+    return _scores(inputs, models, names, k, repeats, settings)
 
 
 def fold_thresholds(scores: DataFrame, settings: Settings, quantiles: tuple[float, ...]) -> DataFrame:
-    """test_fold, quantile and the thresholds of the three detectors, from validation rows."""
-    rows = scores.where("role = 'validation'").withColumn("sample_score", alarms.smoothed(F.col("sample_raw"), settings.smooth))
-    q = F.array(*map(F.lit, quantiles))
-    each = rows.groupBy("test_fold").agg(*(F.percentile(f"{n}_score", q).alias(f"_{n}") for n in NAMES))
+    """repeat, test_fold, quantile and the thresholds of the three detectors, from validation rows: exact, by cells."""
+    own = Window.partitionBy("group_id", "repeat", "test_fold").orderBy("t_us", "seq").rowsBetween(1 - settings.smooth, 0)
+    ready = F.count(F.lit(1)).over(own) >= settings.smooth
+    rows = scores.where("role = 'validation'").withColumn("sample_score", F.when(ready, F.avg("sample_raw").over(own)))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"{n}_score").alias("score")) for n in NAMES)))
+    long = rows.select("repeat", "test_fold", each.alias("_e")).select("repeat", "test_fold", "_e.name", "_e.score")
+    found = thresholds.exact_quantiles(long, "score", quantiles, ["repeat", "test_fold", "name"])
+    found = found.groupBy("repeat", "test_fold").agg(*(F.first(F.when(F.col("name") == n, F.col("quantiles")), True).alias(f"_{n}") for n in NAMES))
     places = F.explode(F.array(*(F.struct(F.lit(float(v)).alias("quantile"), *(F.coalesce(F.col(f"_{n}")[i], F.lit(float("inf"))).alias(f"{n}_threshold") for n in NAMES)) for i, v in enumerate(quantiles))))
-    return each.select("test_fold", places.alias("_p")).select("test_fold", "_p.*")
+    return found.select("repeat", "test_fold", places.alias("_p")).select("repeat", "test_fold", "_p.*")
 
 
 def fold_alarms(scores: DataFrame, limits: DataFrame, settings: Settings) -> DataFrame:
     """Test rows with all alarms, once for each quantile of limits."""
-    test = scores.where("role = 'test'").join(F.broadcast(limits), "test_fold")
-    # windows go along a segment for one quantile; its group id says so for the time being
-    keyed = test.withColumns({"_group": F.col("group_id"), "group_id": F.concat_ws("|", "group_id", F.col("quantile").cast("string"))})
+    test = scores.where("role = 'test'").join(F.broadcast(limits), ["repeat", "test_fold"])
+    # windows go along a segment for one quantile and repeat; its group id says so for the time being
+    key = F.concat_ws("|", "group_id", F.col("quantile").cast("string"), F.col("repeat").cast("string"))
+    keyed = test.withColumns({"_group": F.col("group_id"), "group_id": key})
     at: dict[str, Column] = {n: F.col(f"{n}_threshold") for n in NAMES}
     return alarms.derive_alarms(keyed, at, settings).withColumn("group_id", F.col("_group")).drop("_group")
 
 
-def streaming_cv(rows: DataFrame, settings: Settings, k: int = 5, repeats: int = 5, seed: int = 0, quantiles: tuple[float, ...] = (0.9999,), variants: tuple[str, ...] = ("final_alarm",), kind: str = "ledoit_wolf", fold_map=splits.fold_map) -> DataFrame:
-    """Metrics by repeat, quantile and variant over all test folds together."""
-    out = None
-    for repeat in range(repeats):
-        folds = fold_map(rows, k, seed + repeat)
-        scores = fold_scores(rows, folds, k, settings, kind, seed + repeat).persist()
-        found = fold_alarms(scores, fold_thresholds(scores, settings, quantiles), settings)
-        for variant in variants:
-            part = metrics.raw_alarm_metrics(found, variant, ["quantile"]).withColumns({"repeat": F.lit(repeat), "variant": F.lit(variant)})
-            out = part if out is None else out.unionByName(part)
-    return out
+def streaming_cv(rows: DataFrame, settings: Settings, k: int = 5, repeats: int = 5, seed: int = 0, quantiles: tuple[float, ...] = (0.9999,), variants: tuple[str, ...] = ("final_alarm",), kind: str = "ledoit_wolf", fold_map=None, features: dict[str, list[str]] | None = None) -> DataFrame:
+    """Metrics by repeat, quantile and variant over all test folds together.
+
+    Repeats, folds, quantiles and variants are columns of one plan. fold_map(rows, k, seed) deals the groups (group_id, fold); by hash
+    where it is not given.
+    """
+    scores = written(fold_scores(rows, k, repeats, settings, kind, seed, fold_map, features), "cv-scores")
+    limits = written(fold_thresholds(scores, settings, quantiles), "cv-thresholds")
+    found = fold_alarms(scores, limits, settings)
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), F.col(v).alias("alarm")) for v in variants)))
+    long = found.select("group_id", "t_us", "seq", "kind", "label", "repeat", "quantile", each.alias("_v")).select("*", "_v.variant", "_v.alarm").drop("_v")
+    return metrics.raw_alarm_metrics(long, "alarm", ["repeat", "quantile", "variant"])
 
 
 def comparison_table(repeats: DataFrame) -> DataFrame:

@@ -224,18 +224,24 @@ def sample_features(spark, sf_dir):
     return out.select(*(F.round(c, digits.get(c, 6)).alias(c) if t == "double" else c for c, t in out.dtypes))
 
 
+#: A factor that keeps slopes of whole numbers from lying halfway between two roundings, where sums in another order decide.
+ODD = 0.7320508
+
+
 def _frame_sql(x: str) -> str:
     return f"round(avg({x}) OVER r, 4) AS {x}_mean, round(stddev_samp({x}) OVER r, 4) AS {x}_std, round(sqrt(avg({x} * {x}) OVER r), 4) AS {x}_rms, round(max({x}) OVER r - min({x}) OVER r, 4) AS {x}_ptp, round(1e6 * regr_slope({x}, day) OVER r / 86400, 8) AS {x}_slope_um"
 
 
 @query(f"""WITH {LI_ROWS}, d AS (SELECT *, (t_us - min(t_us) OVER (PARTITION BY group_id)) / 86400e6 AS day, row_number() OVER (PARTITION BY group_id ORDER BY t_us, seq) AS place FROM seg_rows),
   f AS (SELECT group_id, seq, place, {', '.join(_frame_sql(x) for x in ('quantity', 'discount'))},
+    round(avg(price) OVER r, 4) AS price_mean, round(stddev_samp(price) OVER r, 4) AS price_std, round(sqrt(avg(price * price) OVER r), 4) AS price_rms, round(max(price) OVER r - min(price) OVER r, 4) AS price_ptp, round({ODD} * 1e6 * regr_slope(price, day) OVER r / 86400, 4) AS price_slope_um,
     round(coalesce(covar_pop(quantity, price) OVER r / nullif(stddev_pop(quantity) OVER r * stddev_pop(price) OVER r, 0), 0), 4) AS quantity_price_corr
     FROM d WINDOW r AS (PARTITION BY group_id ORDER BY t_us, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT * EXCLUDE (place) FROM f WHERE place >= 5""")
 def window_count_features(spark, sf_dir):
     out = windows.count_windows(line_rows(spark, sf_dir), 5, LINE_SETTINGS.channels).where("window_start_us is not null")
-    cols = [f"{x}_{s}" for x in ("quantity", "discount") for s in ("mean", "std", "rms", "ptp")]
+    cols = [f"{x}_{s}" for x in LINE_SETTINGS.channels for s in ("mean", "std", "rms", "ptp")]
     slopes = [F.round(1e6 * F.col(f"{x}_slope"), 8).alias(f"{x}_slope_um") for x in ("quantity", "discount")]
+    slopes.append(F.round(ODD * 1e6 * F.col("price_slope"), 4).alias("price_slope_um"))
     return out.select("group_id", "seq", *(F.round(c, 4).alias(c) for c in cols), *slopes, F.round("quantity_price_corr", 4).alias("quantity_price_corr"))
 
 
@@ -253,10 +259,6 @@ def window_starts(spark, sf_dir):
     return windows.window_starts(line_rows(spark, sf_dir), s.window_sec, s.step_sec, s.min_samples)
 
 
-#: A factor that keeps slopes of whole numbers from lying halfway between two roundings, where sums in another order decide.
-ODD = 0.7320508
-
-
 def _window_sql(x: str) -> str:
     return f"round(avg({x}), 6) AS {x}_mean, round(coalesce(stddev_samp({x}), 0), 4) AS {x}_std, round(sqrt(avg({x} * {x})), 4) AS {x}_rms, round(max({x}) - min({x}), 4) AS {x}_ptp, round({ODD} * 1e6 * regr_slope({x}, day) / 86400, 4) AS {x}_slope_um"
 
@@ -321,7 +323,7 @@ def f1_threshold(spark, sf_dir):
     + 2 * (a - ma) * (b - mb) * (ac * bc - ab * cc) + 2 * (a - ma) * (c - mc) * (ab * bc - ac * bb) + 2 * (b - mb) * (c - mc) * (ab * ac - aa * bc)) / det, 5) AS score FROM x, v""")
 def empirical_mahalanobis_3d(spark, sf_dir):
     rows = line_rows(spark, sf_dir)
-    model = fit_gaussian(rows.where("kind = 'normal'"), list(LINE_SETTINGS.channels), "empirical")
+    model = fit_gaussian(rows.where("kind = 'normal'"), list(LINE_SETTINGS.channels), "empirical", rows)
     return rows.select("group_id", "seq", F.round(model.score(), 5).alias("score"))
 
 
@@ -347,7 +349,7 @@ def _shrunk_sql(share: str) -> str:
 def shrunk_mahalanobis_3d(spark, sf_dir):
     rows = line_rows(spark, sf_dir)
     normal, channels = rows.where("kind = 'normal'"), list(LINE_SETTINGS.channels)
-    models = {kind: fit_gaussian(normal, channels, kind) for kind in ("ledoit_wolf", "oas")}
+    models = {kind: fit_gaussian(normal, channels, kind, rows) for kind in ("ledoit_wolf", "oas")}
     return rows.select("group_id", "seq", *(F.round(m.score(), 5).alias(kind) for kind, m in models.items()))
 
 
@@ -357,14 +359,14 @@ def ledoit_wolf_score(spark, sf_dir):
     w = windows.count_windows(rows, 5, LINE_SETTINGS.channels).where("window_start_us is not null")
     from tidewatch.schema import feature_names
 
-    model = fit_gaussian(w.where("kind = 'normal'"), feature_names(LINE_SETTINGS.channels))
+    model = fit_gaussian(w.where("kind = 'normal'"), feature_names(LINE_SETTINGS.channels), among=w)
     return w.select("group_id", "seq", F.round(model.score(), 4).alias("score"))
 
 
 @query()
 def isolation_forest_score(spark, sf_dir):
     rows = line_rows(spark, sf_dir)
-    model = fit_forest(rows.where("kind = 'normal'").orderBy("seq"), list(LINE_SETTINGS.channels), 100)
+    model = fit_forest(rows.where("kind = 'normal'"), list(LINE_SETTINGS.channels), 100, key=["group_id", "t_us", "seq"], among=rows)
     return rows.select("group_id", "seq", F.round(model.score(), 6).alias("score"))
 
 
@@ -589,18 +591,6 @@ def split_summary(spark, sf_dir):
     return rounded(analysis.split_summary(split_manifest(spark, sf_dir)), 3)
 
 
-# protocols
-
-
-@query()
-def streaming_cv_sweep(spark, sf_dir):
-    from tidewatch.plans.protocol import streaming_cv
-
-    rows = event_rows(spark, sf_dir)
-    out = streaming_cv(rows, EVENT_SETTINGS, k=3, repeats=1, quantiles=(0.9, 0.95, 0.99), fold_map=lambda r, k, seed: splits.hashed_fold_map(r, k, seed))
-    return rounded(out, 4)
-
-
 # joins, sets, duplicates
 
 
@@ -911,3 +901,7 @@ def stream_detection(spark, sf_dir):
 def stream_counts(spark, sf_dir):
     out = running_counts(_steps(spark, sf_dir))
     return out.select("source", "kind", "rows", "alarm_rows", F.coalesce("late_rows", F.lit(0)).alias("late_rows"), F.coalesce("invalid_rows", F.lit(0)).alias("invalid_rows"))
+
+
+# the queries over series of any length and over streams register themselves
+from tidewatch.plans import cv_queries, long_queries  # noqa: E402, F401
