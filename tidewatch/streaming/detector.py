@@ -156,73 +156,83 @@ class Stepper:
         return {k: v[0] for k, v in self.many(np.array([t_us]), np.array([values], float)).items()}
 
     def many(self, times: np.ndarray, values: np.ndarray) -> dict[str, list]:
-        """Rows in the order of their times, scored segment by segment at once."""
+        """Rows in the order of their times, scored segment by segment at once; the time taken is linear in the rows."""
         m, s, n = self.memory, self.s, len(times)
-        out: dict[str, list] = {k: [v] * n for k, v in {"segment_reset": False, "gap_sec": None, "sample_score": 0.0, "short_score": None, "long_score": None, "sample_alarm": False, "short_alarm": False, "long_alarm": False, "or_3": False, "final_alarm": False, "note": None}.items()}
         known = np.isfinite(values).all(1)
         late = known & (times < m.last) if m.last is not None else np.zeros(n, bool)
-        good = np.flatnonzero(known & ~late)
+        taken = known & ~late
+        good = np.flatnonzero(taken)
         if self.strict and len(good) < n:
             raise ValueError(f"{n - len(good)} rows are late or have unknown channels")
-        for i in np.flatnonzero(~known):
-            out["note"][i] = "invalid"
-        for i in np.flatnonzero(late):
-            out["note"][i], out["gap_sec"][i] = "late", (int(times[i]) - m.last) / 1e6
-        before = np.append(np.nan if m.last is None else m.last, times[good][:-1])[: len(good)]
-        gaps = (times[good] - before) / 1e6
-        starts = gaps > s.gap_sec
-        segments = m.segment + np.cumsum(starts)
+        gap = np.full(n, np.nan)
+        if m.last is not None:
+            gap[late] = (times[late] - m.last) / 1e6
+        t = times[good]
+        before = np.append(np.nan if m.last is None else m.last, t[:-1])[: len(good)]
+        gap[good] = (t - before) / 1e6
+        starts = gap[good] > s.gap_sec
+        reset = np.zeros(n, bool)
+        reset[good] = starts
+        scores = {name: np.full(n, np.nan) for name in NAMES}
+        scores["sample"][:] = 0.0
+        alarm = {name: np.zeros(n, bool) for name in (*NAMES, "or_3", "final")}
+        # a row without effect tells the state that it met: that of the last good row before it, or the one at the start
         number, count = np.full(n, m.segment), np.full(n, sum(m.history[-s.persistence :]))
-        active: list[list[str]] = [[] for _ in range(n)]
-        for i, gap, new in zip(good.tolist(), gaps.tolist(), starts.tolist(), strict=True):
-            out["gap_sec"][i], out["segment_reset"][i] = None if np.isnan(gap) else gap, new
-        for first in np.unique(np.append(np.flatnonzero(starts), 0 if len(good) else [])).astype(int).tolist():
+        cuts = [*np.unique(np.append(np.flatnonzero(starts), 0)).tolist(), len(good)] if len(good) else []
+        for first, end in zip(cuts, cuts[1:], strict=False):
             if starts[first]:
                 m.times, m.rows, m.scores, m.history = [], [], [], []
-            own = good[(segments == segments[first])]
-            self._segment(times[own], values[own], own.tolist(), out, number, count, active, int(segments[first]))
-        out["segment_id"], out["persistence_count"], out["active_detectors"] = number.tolist(), count.tolist(), active
-        # a row without effect tells the state that it met
-        for i in np.flatnonzero(~known | late).tolist():
-            done = good[good < i]
-            if len(done):
-                out["segment_id"][i], out["persistence_count"][i] = out["segment_id"][done[-1]], out["persistence_count"][done[-1]]
-        return out
-
-    def _segment(self, times, values, own, out, number, count, active, segment) -> None:
+                m.segment += 1
+            self._segment(times, values, good[first:end], scores, alarm, count)
+            number[good[first:end]] = m.segment
+        place = np.searchsorted(good, np.flatnonzero(~taken)) - 1
+        for i, at in zip(np.flatnonzero(~taken).tolist(), place.tolist(), strict=True):
+            if at >= 0:
+                number[i], count[i] = number[good[at]], count[good[at]]
+        plain = lambda x: [None if v != v else v for v in x.tolist()]
+        marks = list(zip(("sample", "0.5s", "1.0s"), (alarm[c].tolist() for c in NAMES), strict=True))
+        out: dict[str, list] = {"segment_reset": reset.tolist(), "gap_sec": plain(gap)}
+        out |= {f"{c}_score": plain(scores[c]) for c in NAMES} | {f"{c}_alarm": alarm[c].tolist() for c in NAMES}
+        out |= {"or_3": alarm["or_3"].tolist(), "final_alarm": alarm["final"].tolist(), "note": np.where(known, np.where(late, "late", None), "invalid").tolist()}
+        return out | {"segment_id": number.tolist(), "persistence_count": count.tolist(), "active_detectors": [[name for name, on in marks if on[i]] for i in range(n)]}
+
+    def _segment(self, times: np.ndarray, values: np.ndarray, own: np.ndarray, scores: dict, alarm: dict, count: np.ndarray) -> None:
+        """Scores and alarms of the rows `own` of one segment, behind those in memory."""
+        from numpy.lib.stride_tricks import sliding_window_view
+
         m, s, k = self.memory, self.s, len(self.memory.times)
-        whole_t = np.append(np.array(m.times, np.int64), times)
-        whole = np.vstack([np.array(m.rows, float).reshape(k, values.shape[1]), values])
+        whole_t = np.append(np.array(m.times, np.int64), times[own])
+        whole = np.vstack([np.array(m.rows, float).reshape(k, values.shape[1]), values[own]])
         previous = np.vstack([whole[:1], whole[:-1]])[k:]
-        raw = self.d.models["sample"].numpy_score(np.hstack([values, values - previous]))
-        scores = np.append(m.scores, raw)
-        alarms = {"sample": np.zeros(len(own), bool)}
-        for j, i in enumerate(own):
-            upto = len(scores) - len(own) + j + 1
-            if upto >= s.smooth:
-                out["sample_score"][i] = float(scores[upto - s.smooth : upto].mean())
-                alarms["sample"][j] = out["sample_score"][i] >= self.d.thresholds["sample"]
+        raw = np.append(m.scores, self.d.models["sample"].numpy_score(np.hstack([values[own], values[own] - previous])))
+
+        def last_of(found: np.ndarray) -> np.ndarray:
+            """The rows that the last of the found values belong to."""
+            return own[len(own) - min(len(own), len(found)) :]
+
+        if len(raw) >= s.smooth:
+            mean = sliding_window_view(raw, s.smooth).mean(axis=1)
+            at = last_of(mean)
+            scores["sample"][at] = mean[len(mean) - len(at) :]
+            alarm["sample"][at] = scores["sample"][at] >= self.d.thresholds["sample"]
         for name, size in (("short", s.short_size), ("long", s.long_size)):
-            alarms[name] = np.zeros(len(own), bool)
             if len(whole) >= size:
                 # the runs that end at one of the new rows
                 first = max(0, k - size + 1)
                 found = self.d.models[name].numpy_score(window_features(whole_t[first:], whole[first:], size))
-                for j, score in zip(range(len(own) - len(found), len(own)), found.tolist(), strict=True):
-                    out[f"{name}_score"][own[j]] = score
-                    alarms[name][j] = score >= self.d.thresholds[name]
-        any_alarm = alarms["sample"] | alarms["short"] | alarms["long"]
-        history = [*m.history, *any_alarm.tolist()]
-        for j, i in enumerate(own):
-            last = history[: len(m.history) + j + 1][-s.persistence :]
-            for name in alarms:
-                out[f"{name}_alarm"][i] = bool(alarms[name][j])
-            out["or_3"][i], out["final_alarm"][i] = bool(any_alarm[j]), len(last) == s.persistence and all(last)
-            active[i] = [n for n, c in (("sample", "sample"), ("0.5s", "short"), ("1.0s", "long")) if alarms[c][j]]
-            number[i], count[i] = segment, sum(last)
-        m.last, m.segment = int(times[-1]), segment
+                at = last_of(found)
+                scores[name][at] = found[len(found) - len(at) :]
+                alarm[name][at] = scores[name][at] >= self.d.thresholds[name]
+        alarm["or_3"][own] = alarm["sample"][own] | alarm["short"][own] | alarm["long"][own]
+        history = np.append(np.array(m.history, bool), alarm["or_3"][own])
+        sums = np.cumsum(history)
+        upto = np.arange(len(m.history), len(history))
+        since = np.maximum(upto - s.persistence, -1)
+        count[own] = sums[upto] - np.where(since >= 0, sums[since], 0)
+        alarm["final"][own] = count[own] == s.persistence
+        m.last = int(times[own[-1]])
         m.times, m.rows = whole_t[-s.long_size :].tolist(), whole[-s.long_size :].ravel().tolist()
-        m.scores, m.history = scores[-s.smooth :].tolist(), history[-s.persistence :]
+        m.scores, m.history = raw[-s.smooth :].tolist(), history[-s.persistence :].tolist()
 
 
 def detect_stream(stream: DataFrame, detector: Detector, strict: bool = False) -> DataFrame:
@@ -243,7 +253,7 @@ def detect_stream(stream: DataFrame, detector: Detector, strict: bool = False) -
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         memory = Memory(*(list(v) if isinstance(v, (list, np.ndarray)) else v for v in state.get)) if state.exists else None
         stepper = Stepper(known_detector(text), memory, strict)
-        rows = pd.concat(list(frames)).sort_values(["t_us", "seq"], kind="stable")
+        rows = pd.concat([f for f in frames if len(f)]).sort_values(["t_us", "seq"], kind="stable")
         anew = rows["reset"].to_numpy(bool)
         for part in np.split(np.arange(len(rows)), np.flatnonzero(anew)):
             if not len(part):
