@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.operators.sessions import sessionize
 from tidewatch.schema import Roles, Settings
 from tidewatch.sources.samples import to_samples
 from tidewatch.sources.scratch import scratch
+from tidewatch.streaming.stateful import ROCKS
 
 #: A day between events of a user and kind breaks a segment; errors are the fault source, views the idle rows.
 EVENTS = Roles(
@@ -59,3 +62,23 @@ def run_stream(stream: DataFrame, name: str) -> DataFrame:
     spark, folder = stream.sparkSession, scratch(stream.sparkSession, name)
     stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def run_parts(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What build(stream) gives in append mode for parts that arrive one after another, as a table.
+
+    The stream is started anew from its checkpoint for each part, so each is a micro-batch of its own behind a restart. Typed state
+    is kept in the RocksDB store, which the session is set to meanwhile.
+    """
+    spark = parts[0].sparkSession
+    folder, provider = scratch(spark, name), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKS)
+    try:
+        for part in parts:
+            part.write.mode("append").parquet(f"{folder}/in")
+            out = build(spark.readStream.schema(parts[0].schema).parquet(f"{folder}/in"))
+            out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")

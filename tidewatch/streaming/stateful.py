@@ -35,62 +35,72 @@ def _list(v) -> list:
 
 
 class OrderedDetector(StatefulProcessor):
-    """The detector over rows in the order of their times, however they arrive up to the watermark's delay.
+    """The detector over rows in the order of their times, however they arrive, up to a delay.
 
-    A row is held until the watermark passes its time. Rows at or before the time up to which the series has been released are not in order
-    any more: they are returned at once with the note `late` and change nothing, as are `invalid` ones.
+    The bound is the watermark plus `ahead_ms`. A row waits until the bound has passed its time, and one timer for each series fires when the
+    first of those that wait may leave. Rows that arrive behind the bound aren't in order any more: they are returned at once with
+    the note `late` and change nothing, as are `invalid` ones.
     """
 
-    def __init__(self, text: str):
-        self.text = text
+    def __init__(self, text: str, ahead_ms: int):
+        self.text, self.ahead_ms = text, ahead_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.memory = handle.getValueState("memory", MEMORY)
-        self.released = handle.getValueState("released", "t_us long")
+        self.timer = handle.getValueState("timer", "ms long")
         self.waiting = handle.getListState("waiting", WAITING)
 
+    def _bound(self, timerValues) -> int:
+        return (timerValues.getCurrentWatermarkInMs() + self.ahead_ms) * 1000
+
+    def _wait_for(self, t_us: int) -> None:
+        """A timer for when the bound is past t_us, if there is none that is earlier."""
+        ms = max(1, t_us // 1000 + 1 - self.ahead_ms)
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old is None or ms < old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        done = self.released.get()[0] if self.released.exists() else None
-        channels = None
-        held: list[tuple] = []
-        refused: list[tuple] = []
+        bound, held, refused = self._bound(timerValues), [], []
         for frame in rows:
-            channels = channels or sorted((c for c in frame.columns if c[0] == "c" and c[1:].isdigit()), key=lambda c: int(c[1:]))
+            channels = sorted((c for c in frame.columns if c[0] == "c" and c[1:].isdigit()), key=lambda c: int(c[1:]))
             values = frame[channels].to_numpy(float)
             known = np.isfinite(values).all(axis=1)
             for t, seq, kind, truth, v, ok in zip(frame["t_us"].tolist(), frame["seq"].tolist(), frame["kind"].tolist(), frame["truth"].tolist(), values.tolist(), known.tolist(), strict=True):
                 row = (int(t), int(seq), kind, None if truth is None or truth != truth else int(truth), v)
-                if not ok or (done is not None and t <= done):
-                    refused.append((row, "late" if ok else "invalid"))
-                else:
+                if ok and t >= bound:
                     held.append(row)
+                else:
+                    refused.append((row, "late" if ok else "invalid"))
         if held:
             self.waiting.appendList(held)
-            # fires once the watermark is past the last row that waits
-            for ms in {r[0] // 1000 + 1 for r in held}:
-                self.handle.registerTimer(ms)
+            self._wait_for(min(r[0] for r in held))
         if refused:
             yield self._marked(key, refused)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        bound = self._bound(timerValues)
+        self.timer.clear()
         rows = [tuple(r) for r in self.waiting.get()]
-        ready = sorted((r for r in rows if r[0] < until), key=lambda r: (r[0], r[1]))
-        if not ready:
-            return
-        rest = [r for r in rows if r[0] >= until]
+        ready = sorted((r for r in rows if r[0] < bound), key=lambda r: (r[0], r[1]))
+        rest = [r for r in rows if r[0] >= bound]
         if rest:
             self.waiting.put(rest)
+            self._wait_for(min(r[0] for r in rest))
         else:
             self.waiting.clear()
+        if not ready:
+            return
         found = self.memory.get() if self.memory.exists() else None
         memory = Memory(found[0], found[1], *(_list(v) for v in found[2:])) if found else None
         stepper = Stepper(known_detector(self.text), memory)
         steps = stepper.many(np.array([r[0] for r in ready], np.int64), np.array([list(r[4]) for r in ready], float))
         m = stepper.memory
         self.memory.update((m.last, m.segment, m.times, m.rows, m.scores, m.history))
-        self.released.update((ready[-1][0],))
         yield self._frame(key, ready, steps)
 
     def _frame(self, key, rows: list[tuple], steps: dict[str, list]) -> pd.DataFrame:
@@ -109,23 +119,37 @@ class OrderedDetector(StatefulProcessor):
         pass
 
 
-def ordered_detection(stream: DataFrame, detector: Detector, delay: str) -> DataFrame:
+def milliseconds(span: str) -> int:
+    return round(pd.Timedelta(span).total_seconds() * 1000)
+
+
+def ordered_detection(stream: DataFrame, detector: Detector, delay: str, keep: str = "30 days") -> DataFrame:
     """detector.STEP columns of a stream of samples that may come up to `delay` (such as "10 minutes") late, as if it came in order.
 
-    Append mode. A row leaves once the watermark has passed its time, so the last rows stay in state until later ones come.
+    delay is behind the latest time of all rows of the micro-batches before. Rows that are later are returned with the note `late`, those
+    later than `keep` are dropped and counted by Spark. Append mode. The last rows stay in state until later ones come.
     """
     use_rocksdb(stream.sparkSession)
+    ahead = milliseconds(keep) - milliseconds(delay)
+    if ahead < 0:
+        raise ValueError("keep must not be shorter than delay")
     given = set(stream.columns)
     optional = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in given else F.lit(default)
     truth = label_of(F.col("state")) if "state" in given else F.lit(None).cast("int")
     source = optional("source", "external")
     channels = detector.settings.channels
     narrow = stream.select(
-        source.alias("source"), F.col("series").cast("string").alias("series"), F.timestamp_micros("t_us").alias("_time"), "t_us", F.col("seq").cast("long").alias("seq"),
-        stream_kind(source, optional("state", 0), optional("idle", 0)).alias("kind"), truth.alias("truth"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(channels)),
+        source.alias("source"),
+        F.col("series").cast("string").alias("series"),
+        F.timestamp_micros("t_us").alias("_time"),
+        "t_us",
+        F.col("seq").cast("long").alias("seq"),
+        stream_kind(source, optional("state", 0), optional("idle", 0)).alias("kind"),
+        truth.alias("truth"),
+        *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(channels)),
     )
-    rows = narrow.withWatermark("_time", delay).groupBy("source", "series")
-    return rows.transformWithStateInPandas(OrderedDetector(detector.to_json()), STEP, "append", "eventtime")
+    rows = narrow.withWatermark("_time", keep).groupBy("source", "series")
+    return rows.transformWithStateInPandas(OrderedDetector(detector.to_json(), ahead), STEP, "append", "eventtime")
 
 
 EVENT = "series string, event_id long, fault_start_us long, fault_end_us long, fault_rows long, detected boolean, first_alarm_us long, delay_sec double, delay_samples long, alarm_rows long"
@@ -202,6 +226,5 @@ def track_events(steps: DataFrame, quiet: str, delay: str) -> DataFrame:
     quiet: after so long without rows an open event is closed. Append mode.
     """
     use_rocksdb(steps.sparkSession)
-    quiet_ms = round(pd.Timedelta(quiet).total_seconds() * 1000)
     rows = steps.select(F.col("series").cast("string").alias("series"), F.timestamp_micros("t_us").alias("_time"), "t_us", F.col("seq").cast("long").alias("seq"), "kind", "final_alarm")
-    return rows.withWatermark("_time", delay).groupBy("series").transformWithStateInPandas(EventTracker(quiet_ms), EVENT, "append", "eventtime")
+    return rows.withWatermark("_time", delay).groupBy("series").transformWithStateInPandas(EventTracker(milliseconds(quiet)), EVENT, "append", "eventtime")
