@@ -144,3 +144,55 @@ def subsample(rows: DataFrame, fraction: float, seed: int) -> DataFrame:
 def leaking_groups(windows: DataFrame) -> DataFrame:
     """Groups with more than one split: none should be."""
     return windows.groupBy("group_id").agg(F.countDistinct("split").alias("splits")).where("splits > 1")
+
+
+# exact sizes by a keyed permutation: groups are ranked by a hash with the seed, in ranges, so any number of them
+
+
+def permuted(groups: DataFrame, seed: int, by: str, key: str = "group_id") -> DataFrame:
+    """groups (distinct) with rank, from 0 in a seeded order within equal `by`, and n, how many share it."""
+    from tidewatch.operators.cells import numbered
+
+    order = (by, "_h", key)
+    placed = numbered(groups.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))), order, "permuted")
+    sizes = placed.groupBy(F.col(by).alias("_by")).agg(F.min("place").alias("_first"), F.count(F.lit(1)).alias("n"))
+    return placed.join(sizes, F.col(by).eqNullSafe(F.col("_by"))).withColumn("rank", F.col("place") - F.col("_first")).drop("_h", "_by", "_first", "place")
+
+
+def exact_fold_map(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """group_id, kind, fold: the groups of each kind in a seeded order, dealt in turn, so fold sizes differ by one at most."""
+    groups = rows.select("group_id", "kind").distinct()
+    return permuted(groups, seed, "kind").select("group_id", "kind", (F.col("rank") % k).cast("int").alias("fold"))
+
+
+def exact_splits(manifest: DataFrame, common_sec: float, train: float = 0.6, validation: float = 0.2, seed: int = 42) -> DataFrame:
+    """As assign_splits: the same sizes by label, for any number of groups."""
+    idle = F.col("idle_majority") == 1
+    short = (F.col("source") == "fault") & F.col("onset_us").isNotNull() & (F.col("duration_sec") < common_sec)
+    rows = manifest.withColumn("_out", F.when(idle, "EXCLUDED_IDLE").when(short, "EXCLUDED_SHORT"))
+    n = F.col("n")
+    many = n >= 3
+    # bround: half to even, as split_sizes rounds
+    a = F.when(many, F.greatest(F.lit(1), F.least(F.bround(n * train).cast("long"), n - 2))).otherwise(F.bround(n * train).cast("long"))
+    b = F.when(many, F.greatest(F.lit(1), F.least(F.bround(n * validation).cast("long"), n - a - 1))).otherwise(F.bround(n * validation).cast("long"))
+    split = F.when(F.col("rank") < a, "train").when(F.col("rank") < a + b, "val").otherwise("test")
+    chosen = permuted(rows.where("_out is null").select("group_id", "label"), seed, "label").select("group_id", split.alias("_in"))
+    return rows.join(chosen, "group_id", "left").withColumn("split", F.coalesce("_out", "_in")).drop("_out", "_in")
+
+
+def exact_calibration_groups(rows: DataFrame, fraction: float, seed: int) -> DataFrame:
+    """group_id of a seeded share of the groups, as calibration_groups, for any number of groups."""
+    if not 0.05 <= fraction < 0.5:
+        raise ValueError("fraction must be 0.05 or more and below 0.5")
+    groups = permuted(rows.select("group_id").distinct().withColumn("_all", F.lit(0)), seed, "_all")
+    n = F.least(F.greatest(F.lit(1), F.ceil(F.col("n") * fraction)), F.col("n") - 1)
+    return groups.where(F.col("rank") < n).select("group_id")
+
+
+def exact_subsample(rows: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
+    """max(2, round(n * fraction)) rows without replacement, by a seeded order of their key, whose values differ; no row order is needed."""
+    if fraction >= 1.0:
+        return rows
+    chosen = permuted(rows.select(key).withColumn("_all", F.lit(0)), seed, "_all", key)
+    kept = chosen.where(F.col("rank") < F.greatest(F.lit(2), F.bround(F.col("n") * fraction).cast("long"))).select(key)
+    return rows.join(kept, key, "left_semi")

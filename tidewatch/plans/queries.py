@@ -904,4 +904,4 @@ def stream_counts(spark, sf_dir):
 
 
 # the queries over series of any length and over streams register themselves
-from tidewatch.plans import cv_queries, long_queries, stream_queries  # noqa: E402, F401
+from tidewatch.plans import cv_queries, long_queries, split_queries, stream_queries  # noqa: E402, F401
