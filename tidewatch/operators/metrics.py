@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import in_fault_zone, ratio, seconds
 from tidewatch.operators.alarms import rising
+from tidewatch.operators.thresholds import exact_median
 
 
 def count_if(cond: Column) -> Column:
@@ -49,7 +50,8 @@ def window_events(windows: DataFrame, alarm: str, by: list[str] | None = None) -
 def event_metrics(events: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Events, detected events, their share, and delays of the detected."""
     delay = F.when(F.col("detected"), F.col("delay_sec"))
-    out = events.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_events"), count_if(F.col("detected")).alias("detected_events"), F.avg(delay).alias("delay_mean_sec"), F.median(delay).alias("delay_median_sec"), F.min(delay).alias("delay_min_sec"), F.max(delay).alias("delay_max_sec"))
+    out = events.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_events"), count_if(F.col("detected")).alias("detected_events"), F.avg(delay).alias("delay_mean_sec"), F.min(delay).alias("delay_min_sec"), F.max(delay).alias("delay_max_sec"))
+    out = _only_row([out, exact_median(events.where("detected"), F.col("delay_sec"), by, "delay_median_sec")], by or [])
     return out.withColumn("event_detection_rate", ratio(F.col("detected_events"), F.col("n_events")))
 
 
@@ -180,9 +182,9 @@ def sample_fold_metrics(rows: DataFrame, alarm: str, dt: float, long_sec: float,
         count_if(long).alias("n_events_long"),
         F.avg(F.when(long, found.cast("double"))).alias("event_detection_rate_long"),
         F.avg(F.when(found, F.col("delay_sec"))).alias("delay_mean_sec"),
-        F.median(F.when(found, F.col("delay_sec"))).alias("delay_median_sec"),
         F.avg("samples_to_alarm").alias("samples_to_alarm_mean"),
     )
+    each = _only_row([each, exact_median(events.where(found), F.col("delay_sec"), by, "delay_median_sec")], by)
     sample = confusion(rows, alarm, by, F.col("kind") != "idle").select(*by, F.col("f1").alias("sample_f1"), F.col("precision").alias("sample_precision"), F.col("recall").alias("sample_recall"), F.col("fpr").alias("normal_sample_fpr"))
     of = lambda kind: F.col("kind") == kind
     total = lambda kind, c: F.coalesce(F.sum(F.when(of(kind), F.col(c))), F.lit(0))
@@ -238,7 +240,9 @@ def realtime_summary(log: DataFrame, alarm: str = "final_alarm") -> DataFrame:
 
 
 def latency(log: DataFrame, column: str = "infer_ms") -> DataFrame:
-    return log.agg(F.avg(column).alias("mean_ms"), F.percentile(column, F.lit(0.95)).alias("p95_ms"), F.max(column).alias("max_ms"))
+    """One row: mean, 95th percentile and largest value of a column of times."""
+    sides = log.agg(F.avg(column).alias("mean_ms"), F.max(column).alias("max_ms"))
+    return _only_row([sides, exact_median(log, F.col(column), out="p95_ms", q=0.95)], []).select("mean_ms", "p95_ms", "max_ms")
 
 
 def first_detection(rows: DataFrame, alarms: list[str]) -> DataFrame:

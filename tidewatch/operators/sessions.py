@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import evaluable, kind_of, label_of, seconds
+from tidewatch.operators.thresholds import exact_median
+
 
 def along():
     """A series of one source, in the order of its rows."""
@@ -107,15 +109,17 @@ def segment_quality(rows: DataFrame, gap_sec: float) -> DataFrame:
 def nominal_interval(samples: DataFrame, longest: float = 0.5, default: float = 0.1) -> DataFrame:
     """One row: the median of gaps above 0 and up to longest."""
     gaps = with_gaps(samples).where((F.col("gap_sec") > 0) & (F.col("gap_sec") <= longest))
-    return gaps.agg(F.coalesce(F.median("gap_sec"), F.lit(default)).alias("interval_sec"))
+    return exact_median(gaps, F.col("gap_sec")).select(F.coalesce("median", F.lit(default)).alias("interval_sec"))
 
 
 def infer_step(windows: DataFrame) -> DataFrame:
     """One row: the median step between window starts of a group, and the median length."""
     along = Window.partitionBy("group_id").orderBy("start_us")
     step = seconds(F.col("start_us"), F.lag("start_us").over(along))
-    rows = windows.select(F.when(step > 0, step).alias("step"), seconds(F.col("end_us"), F.col("start_us")).alias("length"))
-    return rows.agg(F.median("step").alias("step_sec"), F.median("length").alias("window_sec"))
+    rows = windows.select(F.when(step > 0, step).alias("step_sec"), seconds(F.col("end_us"), F.col("start_us")).alias("window_sec"))
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in ("step_sec", "window_sec")))).alias("e")).select("e.name", "e.v")
+    found = exact_median(long, F.col("v"), ["name"])
+    return found.agg(*(F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in ("step_sec", "window_sec")))
 
 
 def route_scales(windows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import finite, ratio
+from tidewatch.sources.scratch import written
 
 
 #: Cells for each doubling of a value.
@@ -39,7 +40,8 @@ def exact_quantiles(rows: DataFrame, value: str, quantiles: tuple[float, ...], b
     """
     by = by or []
     known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    each = known.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_k")).withColumn("_cell", cell_of(F.col("_v")))
+    # written, as it is read twice and what gives the values may be a long plan
+    each = written(known.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_k")).withColumn("_cell", cell_of(F.col("_v"))), "values")
     sizes = each.groupBy(*by, "_cell").agg(F.sum("_k").alias("_size"))
     whole = Window.partitionBy(*by, F.lit(0))
     before = F.coalesce(F.sum("_size").over(whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -60,18 +62,20 @@ def exact_quantiles(rows: DataFrame, value: str, quantiles: tuple[float, ...], b
     return found.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("quantiles"), F.first("n").alias("n"))
 
 
-def normal_quantile(scored: DataFrame, q: float, by: list[str] | None = None, score: str = "score") -> DataFrame:
-    """The exact, linearly interpolated quantile of the scores of label 0, for each group of `by`.
+def exact_median(rows: DataFrame, value: Column, by: list[str] | None = None, out: str = "median", q: float = 0.5) -> DataFrame:
+    """by and out: the exact median (or quantile) of the known values, by cells. Without by one row, null where there are no values."""
+    found = exact_quantiles(rows.select(*(by or []), value.alias("_value")), "_value", (q,), by)
+    return found.select(*(by or []), F.get("quantiles", F.lit(0)).alias(out))
 
-    One pass, in which a group's different scores meet in one task: for calibration sets, as models score them.
-    """
-    normal = scored.where((F.col("label") == 0) & F.col(score).isNotNull())
-    return normal.groupBy(*(by or [])).agg(F.percentile(score, F.lit(q)).alias("threshold"), F.count(F.lit(1)).alias("n"))
+
+def normal_quantile(scored: DataFrame, q: float, by: list[str] | None = None, score: str = "score") -> DataFrame:
+    """threshold and n: the exact, linearly interpolated quantile of the scores of label 0, for each group of `by`."""
+    found = exact_quantiles(scored.where(F.col("label") == 0), score, (q,), by)
+    return found.select(*(by or []), F.get("quantiles", F.lit(0)).alias("threshold"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def normal_quantile_of_table(scored: DataFrame, q: float, by: list[str] | None = None, score: str = "score") -> DataFrame:
-    """As normal_quantile, for stored scores of any number."""
-    return exact_quantiles(scored.where(F.col("label") == 0), score, (q,), by).select(*(by or []), F.col("quantiles")[0].alias("threshold"), "n")
+#: As normal_quantile, by its earlier name for stored scores.
+normal_quantile_of_table = normal_quantile
 
 
 def threshold_sweep(scored: DataFrame, by: list[str] | None = None, score: str = "score") -> DataFrame:

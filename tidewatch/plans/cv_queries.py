@@ -3,13 +3,18 @@ can express."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.models import fold_forests, tree_keys, tree_samples
 from tidewatch.operators.moments import fold_models, hashed_folds
-from tidewatch.plans.protocol import VARIANTS, comparison_table, streaming_cv
+from tidewatch.operators import splits, windows
+from tidewatch.plans.protocol import VARIANTS, comparison_table, sample_cv, streaming_cv, window_run
 from tidewatch.plans.queries import EV_ROWS, LI_ROWS, query, rounded
 from tidewatch.plans.star import EVENT_SETTINGS, LINE_SETTINGS, event_rows, line_rows
+from tidewatch.schema import feature_names
+from tidewatch.sources.scratch import written
+from tidewatch.streaming.detector import detect, fit_detector
 
 QUANTILES = (0.9, 0.95, 0.97, 0.98, 0.99)
 K, REPEATS = 5, 5
@@ -86,8 +91,6 @@ def fold_models_one_scan(spark, sf_dir):
 def forest_samples(spark, sf_dir):
     """The samples of ten trees: of each tree the 64 rows with the smallest keyed hashes."""
     rows = line_rows(spark, sf_dir).where("kind = 'normal'")
-    from pyspark.sql import Window
-
     drawn = tree_samples(rows, list(LINE_SETTINGS.channels), ["group_id", "t_us", "seq"], 10, 64, 42)
     place = F.row_number().over(Window.partitionBy("tree").orderBy("hash", "row"))
     return drawn.withColumn("_p", place).where("_p <= 64").select(F.col("tree").cast("long").alias("tree"), "hash", "row")
@@ -99,3 +102,41 @@ def fold_forest_sizes(spark, sf_dir):
     rows = line_rows(spark, sf_dir).withColumn("folds", hashed_folds(F.col("group_id"), K, 1))
     forests = fold_forests(rows.where("kind = 'normal'"), list(LINE_SETTINGS.channels), K, 1, trees=20, among=rows)
     return spark.createDataFrame([(r, t, len(f.trees), sum(len(x["feature"]) for x in f.trees)) for (r, t), f in forests.items()], "repeat int, test_fold int, trees int, nodes long")
+
+
+# offline protocols
+
+
+def _windows(spark, sf_dir):
+    """The events' trailing windows of five rows as intervals with the features."""
+    w = windows.count_windows(event_rows(spark, sf_dir), 5, EVENT_SETTINGS.channels).where("window_start_us is not null")
+    onset = F.min(F.when(F.col("state") >= 1, F.col("t_us"))).over(Window.partitionBy("group_id"))
+    w = w.withColumns({"start_us": F.col("window_start_us"), "end_us": F.col("t_us"), "onset_us": onset})
+    return written(w.select("source", "series", "group_id", "kind", "start_us", "end_us", "onset_us", "label", *feature_names(EVENT_SETTINGS.channels)), "windows")
+
+
+@query()
+def sample_cv_metrics(spark, sf_dir):
+    rows = event_rows(spark, sf_dir)
+    return rounded(sample_cv(rows, EVENT_SETTINGS, splits.hashed_fold_map(rows, K), K, 60.0, quantile=0.95), 4)
+
+
+@query()
+def window_run_metrics(spark, sf_dir):
+    """One run over windows split by group: metrics of windows beside those of events."""
+    long = _windows(spark, sf_dir)
+    u = splits.hash_share(F.col("group_id"), 5)
+    split = long.withColumn("split", F.when(u < 0.6, "train").when(u < 0.8, "val").otherwise("test"))
+    run = window_run(split, feature_names(EVENT_SETTINGS.channels), quantile=0.95)
+    return rounded(run["event_metrics"].join(run["window_metrics"].select("tp", "fp", "tn", "fn", "f1")), 4)
+
+
+@query()
+def fitted_detection(spark, sf_dir):
+    """A detector fitted on normal segments and applied to all rows: alarms by kind."""
+    rows = event_rows(spark, sf_dir)
+    normal = splits.training_rows(rows)
+    held = splits.exact_calibration_groups(normal, 0.2, 0)
+    train, calibration = normal.join(held, "group_id", "left_anti"), normal.join(held, "group_id", "left_semi")
+    found = detect(rows, fit_detector(train, calibration, EVENT_SETTINGS))
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), *(F.sum(F.col(c).cast("long")).alias(c) for c in VARIANTS))

@@ -356,8 +356,10 @@ def shrunk_mahalanobis_3d(spark, sf_dir):
 @query()
 def ledoit_wolf_score(spark, sf_dir):
     rows = line_rows(spark, sf_dir)
-    w = windows.count_windows(rows, 5, LINE_SETTINGS.channels).where("window_start_us is not null")
     from tidewatch.schema import feature_names
+    from tidewatch.sources.scratch import written
+
+    w = written(windows.count_windows(rows, 5, LINE_SETTINGS.channels).where("window_start_us is not null"), "ledoit-wolf")
 
     model = fit_gaussian(w.where("kind = 'normal'"), feature_names(LINE_SETTINGS.channels), among=w)
     return w.select("group_id", "seq", F.round(model.score(), 4).alias("score"))

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -43,6 +44,30 @@ def run_once(spark: SparkSession, path: str, settings: dict, stage) -> bool:
     return True
 
 
+def append_once(stream: DataFrame, path: str, checkpoint: str, after_write=None, **options):
+    """Appends the rows of a stream to Parquet, each once whatever is repeated; returns the running query.
+
+    A micro-batch is written as the partition of its number, which replaces what an earlier attempt at it left, and is entered in
+    a ledger then. read_ledger reads the batches that are entered. after_write(batch) is called in between.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch}")
+        if after_write is not None:
+            after_write(batch)
+        entry = rows.sparkSession.createDataFrame([(batch,)], "batch_id long").coalesce(1)
+        entry.write.mode("overwrite").parquet(f"{path}/ledger/entry={batch}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).options(**options).start()
+
+
+def read_ledger(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of append_once, with batch_id, of the batches that were completed."""
+    done = spark.read.schema("batch_id long, entry long").parquet(f"{path}/ledger").select("batch_id").distinct()
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch_id", LongType())])).parquet(f"{path}/rows")
+    return rows.join(F.broadcast(done), "batch_id")
+
+
 def stream_log(stream: DataFrame, path: str, checkpoint: str, **options):
     """Appends the rows of a stream to Parquet; returns the running query."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).options(**options).outputMode("append").start()

@@ -9,12 +9,14 @@ a batch of a single growing file is one partition.
 from __future__ import annotations
 
 import csv
+import glob
 import math
 import os
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 from tidewatch.schema import SENSOR_CHANNELS
 
@@ -103,3 +105,99 @@ def tail_csv(spark: SparkSession, path: str):
     """A streaming DataFrame of the file's rows as they are completed."""
     spark.dataSource.register(CsvTail)
     return spark.readStream.format("csv_tail").option("path", path).load()
+
+
+class FilePart(InputPartition):
+    """Bytes [start, end) of a file: the lines that end there."""
+
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
+
+
+def identity(path: str) -> str:
+    """Tells a file from another one put in its place: its number in the file system and a digest of its header line."""
+    with open(path, "rb") as f:
+        return f"{os.fstat(f.fileno()).st_ino}-{zlib.crc32(f.readline(4096)):08x}"
+
+
+class FolderReader(DataSourceStreamReader):
+    """Growing files of a folder, read on executors: the driver looks at their sizes only.
+
+    The offset holds each file's identity and size. A file that got shorter, or that another one has replaced, is read from its start. A
+    batch's part of a file is cut into pieces of MAX_PART bytes; a line belongs to the piece that its line feed is in.
+    """
+
+    MAX_PART = 32 << 20
+
+    def __init__(self, pattern: str):
+        self.pattern = pattern
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        out = {}
+        for path in sorted(glob.glob(self.pattern)):
+            try:
+                out[path] = [identity(path), os.path.getsize(path)]
+            except FileNotFoundError:
+                continue
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[FilePart]:
+        parts = []
+        for path, (own, size) in sorted(end.items()):
+            old, at = start.get(path, ["", 0])
+            at = at if old == own and at <= size else 0
+            parts += [FilePart(path, i, min(size, i + self.MAX_PART)) for i in range(at, size, self.MAX_PART)]
+        return parts
+
+    def read(self, partition: FilePart) -> Iterator[tuple]:
+        with open(partition.path, "rb") as f:
+            first = f.readline()
+            if not first.endswith(b"\n"):
+                return iter([])
+            header = next(csv.reader([first.decode("utf-8-sig").rstrip("\r\n")]))
+            at = line_start(f, partition.start)
+            f.seek(at)
+            data = f.read(partition.end - at)
+        data = data[: data.rfind(b"\n") + 1]
+        lines = data.decode("utf-8-sig" if at == 0 else "utf-8").split("\n")[:-1]
+        return iter(parse(header, [x.removesuffix("\r") for x in lines][at == 0 :]))
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def line_start(f, place: int, step: int = 65_536) -> int:
+    """Where the line begins that the byte before `place` is in or ends."""
+    at = place
+    while at:
+        low = max(0, at - step)
+        f.seek(low)
+        found = f.read(at - low).rfind(b"\n")
+        if found >= 0:
+            return low + found + 1
+        at = low
+    return 0
+
+
+class CsvFolder(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "csv_folder"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def streamReader(self, schema) -> FolderReader:
+        return FolderReader(self.options["pattern"])
+
+
+def tail_folder(spark: SparkSession, pattern: str):
+    """A streaming DataFrame of the rows of all files that match the pattern, as they are completed, read on executors.
+
+    Driver and executors must see the files by the same path.
+    """
+    spark.dataSource.register(CsvFolder)
+    return spark.readStream.format("csv_folder").option("pattern", pattern).load()

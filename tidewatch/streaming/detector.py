@@ -23,6 +23,7 @@ from tidewatch.operators.models import Forest, Gaussian, fit_forest, fit_gaussia
 from tidewatch.operators.thresholds import normal_quantile
 from tidewatch.operators.windows import count_windows, sample_feature_names, sample_features
 from tidewatch.schema import Settings, feature_names
+from tidewatch.sources.scratch import written
 
 NAMES = ("sample", "short", "long")
 
@@ -76,13 +77,15 @@ def scored(inputs: DataFrame, models: dict, settings: Settings) -> DataFrame:
 def fit_detector(train: DataFrame, calibration: DataFrame, settings: Settings, kind: str = "ledoit_wolf", seed: int = 0) -> Detector:
     """Models from training segments, thresholds from calibration segments; both normal only. kind may be `forest`."""
     names = features_of(settings)
-    inputs = model_inputs(train, settings)
+    # written, as several passes read them
+    inputs = written(model_inputs(train, settings), "detector-inputs")
     models = {}
     for name in NAMES:
         own = complete(inputs, name, settings)
         models[name] = fit_forest(own, names[name], seed=seed) if kind == "forest" else fit_gaussians(own.withColumn("_one", F.lit(1)), names[name], ["_one"], kind)[(1,)]
     rows = scored(model_inputs(calibration, settings), models, settings)
-    rows = rows.withColumn("sample_score", smoothed(F.col("sample_raw"), settings.smooth)).withColumn("label", F.lit(0))
+    rows = rows.withColumn("sample_score", smoothed(F.col("sample_raw"), settings.smooth))
+    rows = written(rows.select(*(f"{n}_score" for n in NAMES), F.lit(0).alias("label")), "calibration-scores")
     thresholds = {}
     for name in NAMES:
         value = normal_quantile(rows, settings.quantile, score=f"{name}_score").first()
