@@ -170,7 +170,9 @@ def correlations(rows: DataFrame, columns: tuple[str, ...], by: str) -> DataFram
 
 
 def feature_coverage(rows: DataFrame, features: list[str], cohort: str) -> DataFrame:
-    return unpivoted(rows, features, [cohort]).groupBy(cohort, "feature").agg(F.count(F.lit(1)).alias("known"))
+    """The known values of each feature in each cohort, 0 where there are none."""
+    wide = rows.groupBy(cohort).agg(*(F.count(f).alias(f) for f in features))
+    return wide.unpivot([cohort], features, "feature", "known")
 
 
 def channel_ranges(samples: DataFrame, channels: tuple[str, ...]) -> DataFrame:

@@ -905,5 +905,5 @@ def stream_counts(spark, sf_dir):
     return out.select("source", "kind", "rows", "alarm_rows", F.coalesce("late_rows", F.lit(0)).alias("late_rows"), F.coalesce("invalid_rows", F.lit(0)).alias("invalid_rows"))
 
 
-# the queries over series of any length and over streams register themselves
-from tidewatch.plans import cv_queries, long_queries, split_queries, stream_queries  # noqa: E402, F401
+# the queries over series of any length, sources and streams register themselves
+from tidewatch.plans import cv_queries, long_queries, source_queries, split_queries, stream_queries  # noqa: E402, F401
