@@ -13,7 +13,8 @@ gives the states between runs, and each run is then repaired on its own. The rep
 fragment, and the fragments in order are the rendered conversation.
 
 Nulls: a null or unknown role must be relabelled; a null text is empty; turns with a null number come first; rows of a null
-conv_id are one conversation. Turns of one number are ordered by role, then text; repeated rows are separate turns. An empty table gives no rows. Other columns are ignored.
+conv_id are one conversation. Turns of one number are ordered by role, then by the first HEAD_CHARS characters of the text, then by a hash
+of it; repeated rows are separate turns. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ LEGAL = {"start": ("system", "user"), "system": ("user",), "user": ("assistant",
 ROLES = STATES[1:]
 COSTS = {"keep": 0, "merge": 2, "relabel": 3, "relabel+merge": 4, "insert": 5}
 HEAD, TAIL = "<|im_start|>{}\n", "<|im_end|>\n"
+#: Characters of a text that order turns of one number: samples of the order, which go to the driver, hold no whole texts.
+HEAD_CHARS = 64
 _FAR = float("inf")
 
 
@@ -116,7 +119,8 @@ def _known(role: str | None) -> str | None:
 def _in_order(turns: DataFrame, size: int) -> DataFrame:
     """Adds n (turns of the conversation), position (from 0 along it) and run (of size positions)."""
     keyed = turns.withColumn("_row", F.monotonically_increasing_id())
-    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text", "_row")]
+    keys = (F.col("conv_id"), F.col("turn"), F.col("role"), F.substring("text", 1, HEAD_CHARS), F.xxhash64("text"), F.col("_row"))
+    order = [k.asc_nulls_first() for k in keys]
     rows = materialize(with_position(keyed, order, "_at", "turns-ranges").drop("_row"), "turns-placed")
     # a key that is never null, also apart from all numbers
     rows = rows.withColumn("_key", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
