@@ -3,8 +3,9 @@
 A record is WARC/1.1 bytes: header lines, an empty line, the payload and two line ends. An archive table holds these
 bytes in rows (record_id, chunk_no, data): chunk 0 is the header, each later chunk up to chunk_bytes of the payload, and
 the last (chunk_no -1) the two line ends. A payload chunk also carries the running SHA-1 of the payload up to its end, so a damaged
-chunk is found where it is and a reader can stop there. Writer and reader handle one chunk at a time; neither
-joins a record's chunks, and the table takes any file system that Spark writes to. Joining data in the order of
+chunk is found where it is and a reader can stop there. Payloads are cut into chunk rows by Spark; writer and reader then handle
+one chunk at a time and carry the digest along. Neither joins a record's chunks, and the table takes any file system that Spark
+writes to. Joining data in the order of
 chunk_no, -1 last, gives the bytes of a .warc file.
 
 Payloads of at least min_bytes that are equal are stored once: the record with the smallest page_id is the response,
@@ -61,25 +62,37 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = CHUNK
     repeated = materialize(digests.where("n > 1 and first is not null").select("sha1", "first", "n"), "warc-repeated")
     rows = look_up(rows, repeated, "sha1", "n", repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("page_id", "url", "payload", "sha1", "first")
 
+    # the payload is cut into chunk rows first, so the writer never holds a whole record; what its header says goes with row 0
+    size, revisit = F.octet_length("payload"), F.coalesce(F.col("page_id") != F.col("first"), F.lit(False))
+    starts = F.when(revisit | (size == 0), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(size, F.lit(1)), F.lit(chunk_bytes)))
+    chunks = F.transform(starts, lambda at: F.substring(F.col("payload"), at, F.lit(chunk_bytes)))
+    about = F.struct("page_id", "url", "sha1", "first", size.alias("size"), revisit.alias("revisit"))
+    rows = rows.select(about.alias("about"), F.posexplode(F.concat(F.array(F.lit(b"")), chunks, F.array(F.lit(None).cast("binary")))).alias("no", "data"))
+    rows = rows.select(F.when(F.col("no") == 0, F.col("about")).alias("about"), "no", "data")
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
+        task, n, name, running = TaskContext.get().partitionId(), 0, "", hashlib.sha1()
         for batch in batches:
+            out: list[tuple] = []
+            held = 0
             for i in range(batch.num_rows):
-                page_id, url, first = (batch.column(k)[i].as_py() for k in (0, 1, 4))
-                data = memoryview(batch.column(2)[i].as_buffer())
-                digest = digest_text(bytes.fromhex(batch.column(3)[i].as_py()))
-                revisit = first is not None and page_id is not None and page_id != first
-                n += 1
-                name = f"{page_id}/{task}-{n}"
-                out: list[tuple] = [(name, 0, header(page_id, url, len(data), digest, first, revisit), None)]
-                running = hashlib.sha1()
-                for no, at in enumerate(range(0, 0 if revisit else len(data), chunk_bytes), 1):
-                    running.update(data[at : at + chunk_bytes])
-                    out.append((name, no, bytes(data[at : at + chunk_bytes]), running.digest()))
-                    if len(out) * chunk_bytes > flush_bytes:
-                        yield _batch(out)
-                        out = []
-                out.append((name, -1, END, None))
+                no, data = batch.column(1)[i].as_py(), batch.column(2)[i]
+                if no == 0:
+                    of = batch.column(0)[i].as_py()
+                    n, running = n + 1, hashlib.sha1()
+                    name = f"{of['page_id']}/{task}-{n}"
+                    out.append((name, 0, header(of["page_id"], of["url"], of["size"], digest_text(bytes.fromhex(of["sha1"])), of["first"], of["revisit"]), None))
+                elif not data.is_valid:
+                    out.append((name, -1, END, None))
+                else:
+                    piece = data.as_buffer().to_pybytes()
+                    running.update(piece)
+                    out.append((name, no, piece, running.digest()))
+                    held += len(piece)
+                if held > flush_bytes:
+                    yield _batch(out)
+                    out, held = [], 0
+            if out:
                 yield _batch(out)
 
     return materialize(rows.mapInArrow(write, ARCHIVE), "warc", compression="zstd")
