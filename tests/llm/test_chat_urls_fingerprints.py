@@ -5,12 +5,13 @@ import random
 import re
 from collections import defaultdict
 
+import xxhash
 from corpus import empty, frame, texts
 from pyspark.sql import functions as F
 
 from tidewatch.llm import url_filter
 from tidewatch.llm.chat import COSTS, LEGAL, ROLES, Repair, moves, render, repair_conversations
-from tidewatch.llm.fingerprint import PIECE, differing_leaves, differing_sections, fingerprint_edits, leaf_codes, leaves_of, likeness, with_fingerprint, with_next
+from tidewatch.llm.fingerprint import PIECE, WORD_WEIGHT, WORDS, differing_leaves, differing_sections, fingerprint_edits, leaf_codes, leaves_of, likeness, with_fingerprint, with_next
 
 CHAT = "conv_id long, turn long, role string, text string, n long, run int, position int"
 
@@ -189,9 +190,19 @@ def plain_fingerprint(text):
     return sha(",".join(sections)), {x[:8] for x in leaves}
 
 
+def plain_words(text):
+    words = {w for w in re.findall(r"[!-~]+|[^\x00-\x7F]", text)}
+    return set(sorted({xxhash.xxh64_intdigest(w.encode(), seed=42) >> 32 for w in words})[:WORDS])
+
+
 def plain_likeness(a, b):
     (root_a, x), (root_b, y) = plain_fingerprint(a), plain_fingerprint(b)
-    return 1.0 if root_a == root_b else len(x & y) / len(x | y) if x | y else 0.0
+    if root_a == root_b:
+        return 1.0
+    v, w = plain_words(a), plain_words(b)
+    among = set(sorted(v | w)[:WORDS])
+    share = len(among & v & w) / len(among) if among else 0.0
+    return (len(x & y) + WORD_WEIGHT * share) / (len(x | y) + WORD_WEIGHT)
 
 
 def test_fingerprints_of_edits(spark):
@@ -214,6 +225,9 @@ def test_fingerprints_of_edits(spark):
         assert r["fingerprint"].split(":")[0] == plain_fingerprint(t)[0]
         assert abs(r["near_edited"] - plain_likeness(t, edited)) < 1e-9
         assert abs(r["near_next"] - plain_likeness(t, after)) < 1e-9
+        leaves = list(itertools.zip_longest(plain_leaves(t), plain_leaves(edited)))
+        assert r["edit_leaf"] == next((i for i, (x, y) in enumerate(leaves) if x != y), None)
+        assert (r["edit_section"] is None) == (t == edited)
         prints[r["fingerprint"]].add(t)
     assert all(len(x) == 1 for x in prints.values())
     long = [r for r in got.values() if 400 < r["n_chars"]]
@@ -229,6 +243,16 @@ def test_fingerprints_of_edits(spark):
     assert len(fingerprint_edits(frame(spark, ["a b", None])).collect()) == len(odd)
 
 
+def test_short_edited_texts_are_nearer_than_the_next(spark):
+    rng = random.Random(5)
+    values = [" ".join("".join(rng.choices("abcdefghij", k=4)) for _ in range(2 + i % 8)) for i in range(80)]
+    got = fingerprint_edits(frame(spark, values)).collect()
+    # the first row is there twice, so the next of one of the two is its equal
+    short = [r for r in got if r["n_chars"] > 8 and r["near_next"] < 1]
+    assert len(short) >= len(values)
+    assert all(r["near_edited"] > r["near_next"] for r in short)
+
+
 def test_pieces_make_up_the_text_and_edits_are_located(spark):
     values = [t or "" for t in texts()] + ["a.\n\nb! c?? d\n\n\n", "....", "\n"]
     df = spark.createDataFrame([(t,) for t in values], "text string").select("text", F.array_join(leaves_of(F.col("text")), "").alias("joined"))

@@ -8,9 +8,10 @@ A paragraph is a line; its node hashes its leaves. A section is a run of paragra
 that ends where a paragraph's hash says so, so an insertion moves no later section; its node hashes its paragraphs,
 and the root hashes the sections. All nodes are SHA-256.
 
-A fingerprint is the text `root:sections:leaves`: the whole root, and the first 8 digits of each section and leaf, with
-`,` between leaves and `;` at the end of a paragraph. Roots test equality. Where they differ, differing sections and
-leaves locate the edit, and the share of common leaves is the likeness.
+A fingerprint is the text `root:sections:leaves:words`: the whole root, the first 8 digits of each section and leaf, with
+`,` between leaves and `;` at the end of a paragraph, and 8 digits of each of the WORDS words with the smallest hashes. Roots test equality.
+Where they differ, differing sections and leaves locate the edit, and the share of common leaves is the likeness, in which the share of
+common words counts as WORD_WEIGHT leaves do: in a text of few leaves, an edit may leave none as it was.
 
 Nulls: a null text is the empty text, which has no leaves. A null doc_id comes before all others. Rows of one doc_id are
 ordered by a hash of their text. Of a single row, the next is itself. An empty table gives no rows. Other columns are ignored.
@@ -28,6 +29,10 @@ from tidewatch.llm.common import materialize, with_position
 PIECE = 40
 #: What a piece of a longer sentence ends with.
 CUT = r"[ \t](?<=[dgnrty[^\x00-\x7F]][ \t])|[、。，！？；：]"
+#: Words that a fingerprint keeps, those with the smallest hashes, and the leaves that they count as.
+WORDS, WORD_WEIGHT = 32, 8
+#: A word: visible ASCII characters, or one other character.
+WORD = r"[!-~]+|[^\x00-\x7F]"
 #: Rows of a cell, about, in which rows look for the next; and the places of the order at which ids are cut.
 CELL_ROWS, CUTS = 128, 256
 
@@ -39,6 +44,13 @@ def leaves_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"{rest}|{part}|[.!?]+\n*|\n+"), F.lit(0))
 
 
+def words_of(text: Column) -> Column:
+    """The digits of the words with the smallest hashes, joined: equal rules make them comparable between any two texts."""
+    hashes = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.shiftrightunsigned(F.xxhash64(w), 32))
+    smallest = F.slice(F.sort_array(F.array_distinct(hashes)), 1, WORDS)
+    return F.array_join(F.transform(smallest, lambda h: F.lpad(F.hex(h), 8, "0")), ",")
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds out: the fingerprint of the text column, which must not be null."""
     sha = lambda c: F.sha2(c, 256)
@@ -48,7 +60,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     marked = F.transform(F.transform(paragraphs, sha), lambda h: F.concat(h, F.when(F.substring(h, 1, 1).isin("0", "4", "8", "c"), "|").otherwise(",")))
     df = df.withColumn("_sections", F.transform(F.filter(F.split(F.array_join(marked, ""), r"\|"), lambda s: s != ""), sha))
     short = F.transform("_sections", lambda s: F.substring(s, 1, 8))
-    fingerprint = F.concat(sha(F.array_join("_sections", ",")), F.lit(":"), F.array_join(short, ","), F.lit(":"), F.regexp_replace("_leaves", "([0-9a-f]{8})[0-9a-f]{56}", "$1"))
+    fingerprint = F.concat(sha(F.array_join("_sections", ",")), F.lit(":"), F.array_join(short, ","), F.lit(":"), F.regexp_replace("_leaves", "([0-9a-f]{8})[0-9a-f]{56}", "$1"), F.lit(":"), words_of(F.col(text)))
     return df.withColumn(out, fingerprint).drop("_leaves", "_sections")
 
 
@@ -61,11 +73,29 @@ def leaf_codes(fingerprint: Column) -> Column:
     return F.filter(F.split(F.split(fingerprint, ":")[2], "[,;]"), lambda x: x != "")
 
 
+def section_codes(fingerprint: Column) -> Column:
+    """The sections' digits, in order."""
+    return F.filter(F.split(F.split(fingerprint, ":")[1], ","), lambda x: x != "")
+
+
+def word_share(a: Column, b: Column) -> Column:
+    """The common share of all different words of two texts, by those with the smallest hashes; 0 where there are no words."""
+    x, y = (F.filter(F.split(F.split(f, ":")[3], ","), lambda w: w != "") for f in (a, b))
+    among = F.slice(F.sort_array(F.array_union(x, y)), 1, WORDS)
+    return F.when(F.size(among) == 0, 0.0).otherwise(F.size(F.array_intersect(F.array_intersect(among, x), y)) / F.size(among))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """1 for equal roots, else the common leaves over all different leaves of both."""
+    """1 for equal roots, else the common leaves over all different leaves of both; common words count as some leaves do."""
     x, y = leaf_codes(a), leaf_codes(b)
-    union = F.size(F.array_union(x, y))
-    return F.when(root_of(a) == root_of(b), 1.0).when(union == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / union)
+    common, union = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
+    return F.when(root_of(a) == root_of(b), 1.0).otherwise((common + WORD_WEIGHT * word_share(a, b)) / (union + WORD_WEIGHT))
+
+
+def first_difference(x: Column, y: Column) -> Column:
+    """The first place (from 0) at which two lists of digits differ, one that ends earlier included; null if they don't."""
+    at = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), F.lit(False))
+    return F.when(at > 0, at - 1)
 
 
 def differing_leaves(a: Column, b: Column) -> Column:
@@ -77,8 +107,7 @@ def differing_leaves(a: Column, b: Column) -> Column:
 
 def differing_sections(a: Column, b: Column) -> Column:
     """The digits of a's sections that b lacks."""
-    sections = lambda f: F.split(F.split(f, ":")[1], ",")
-    return F.array_except(sections(a), sections(b))
+    return F.array_except(section_codes(a), section_codes(b))
 
 
 def _cells(placed: DataFrame, n: int, cell_rows: int, cuts: int = CUTS):
@@ -139,7 +168,8 @@ def with_next(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited text: the last half replaced by the start of the next document."""
+    """Fingerprints of each text and of its edited text: the last half replaced by the start of the next document. edit_section and
+    edit_leaf: the first section and leaf (from 0) that the edit changed; null where it changed none."""
     rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
@@ -152,4 +182,6 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        first_difference(section_codes(F.col("fingerprint")), section_codes(F.col("edited_fingerprint"))).alias("edit_section"),
+        first_difference(leaf_codes(F.col("fingerprint")), leaf_codes(F.col("edited_fingerprint"))).alias("edit_leaf"),
     )
