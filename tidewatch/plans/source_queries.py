@@ -192,7 +192,7 @@ def _features16(df: DataFrame) -> DataFrame:
 # sinks, markers, models
 
 
-@query("SELECT event_type, user_id, CASE WHEN event_type = 'error' THEN count(*) ELSE 0 END AS n FROM events GROUP BY ALL")
+@query("SELECT event_type, user_id, CASE WHEN event_type = 'error' THEN count(*) ELSE 0 END AS n FROM events GROUP BY event_type, user_id")
 def replaced_partitions(spark, sf_dir):
     """A partitioned table of which one partition is written again: the others stay."""
     path, ev = scratch(spark, "parts"), table(spark, sf_dir, "events")
