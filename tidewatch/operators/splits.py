@@ -1,42 +1,57 @@
 """Splits by group.
 
-The seeded forms shuffle sorted group ids on the driver, one id for each segment, so the reference protocol's folds can be
-repeated; `limit` bounds how many ids they take. The hashed forms rank groups by a hash and take any number of them.
+The seeded forms shuffle groups in order as numpy does, so the reference protocol's folds can be repeated; the hashed forms rank
+groups by a hash. Both take any number of them.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import finite
+from tidewatch.sources.scratch import written
 
-ID_LIMIT = 2_000_000
+#: Positions of a shuffle that are passed on together.
+DRAWN = 100_000
 
 
-def _ids(groups: DataFrame, limit: int = ID_LIMIT) -> list[str]:
-    found = [r[0] for r in groups.select(F.col("group_id").cast("string")).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} groups: use the hashed form")
-    return sorted(found)
+def shuffled(groups: DataFrame, by: Column, order: tuple[str, ...], seed: int) -> DataFrame:
+    """groups (distinct) with position, from 0 within equal `by`, as numpy's generator with the seed shuffles each class in order, and n,
+    how many share it. by: small whole numbers; the classes are shuffled from the lowest on by one generator.
 
+    Rows are ordered and numbered by Spark. A shuffle depends on all draws before, so one task draws it, of numbers alone: eight bytes for
+    each group of a class.
+    """
+    from tidewatch.operators.cells import numbered
+
+    placed = numbered(groups.withColumn("_by", by.cast("long")), ("_by", *order), "shuffled")
+    sizes = sorted((r["_by"], r["first"], r["n"]) for r in placed.groupBy("_by").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).collect())
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not sum(batch.num_rows for batch in batches):
+            return
+        rng = np.random.default_rng(seed)
+        for _, first, n in sizes:
+            index = np.arange(n)
+            rng.shuffle(index)
+            for at in range(0, n, DRAWN):
+                part = index[at : at + DRAWN]
+                yield pa.RecordBatch.from_arrays([pa.array(first + part), pa.array(np.arange(at, at + len(part))), pa.array(np.full(len(part), n))], ["place", "position", "n"])
 
-def _shuffled(ids: list[str], rng: np.random.Generator) -> list[str]:
-    array = np.array(ids, dtype=str)
-    rng.shuffle(array)
-    return array.tolist()
+    drawn = written(groups.sparkSession.range(0, 1, 1, 1).mapInArrow(draw, "place long, position long, n long"), "positions")
+    return placed.join(drawn, "place").drop("_by", "place")
 
 
 def fold_map(rows: DataFrame, k: int, seed: int) -> DataFrame:
     """group_id, fold: groups of each kind shuffled (fault, normal, idle, by one generator) and dealt in turn."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for kind in ("fault", "normal", "idle"):
-        out += [(g, i % k) for i, g in enumerate(_shuffled(_ids(rows.where(F.col("kind") == kind)), rng))]
-    return rows.sparkSession.createDataFrame(out, "group_id string, fold int")
+    kind = F.when(F.col("kind") == "fault", 0).when(F.col("kind") == "normal", 1).when(F.col("kind") == "idle", 2)
+    groups = rows.select(F.col("group_id").cast("string").alias("group_id"), kind.alias("_kind")).where("_kind is not null").distinct()
+    return shuffled(groups, F.col("_kind"), ("group_id",), seed).select("group_id", (F.col("position") % k).cast("int").alias("fold"))
 
 
 def hash_share(group_id: Column, seed: int = 0) -> Column:
@@ -76,22 +91,24 @@ def assign_splits(manifest: DataFrame, common_sec: float, train: float = 0.6, va
     idle = F.col("idle_majority") == 1
     short = (F.col("source") == "fault") & F.col("onset_us").isNotNull() & (F.col("duration_sec") < common_sec)
     rows = manifest.withColumn("_out", F.when(idle, "EXCLUDED_IDLE").when(short, "EXCLUDED_SHORT"))
-    free = rows.where("_out is null").select("group_id", "label", "source", "series", "segment_id").limit(ID_LIMIT + 1).collect()
-    if len(free) > ID_LIMIT:
-        raise ValueError(f"more than {ID_LIMIT} groups: use hashed_splits")
-    free.sort(key=lambda r: (r["source"] == "fault", r["series"], r["segment_id"]))
-    rng = np.random.default_rng(seed)
-    out = []
-    for label in sorted({r["label"] for r in free}):
-        index = np.array([i for i, r in enumerate(free) if r["label"] == label])
-        rng.shuffle(index)
-        a, b = split_sizes(len(index), train, validation)
-        names = ["train"] * a + ["val"] * b + ["test"] * (len(index) - a - b)
-        out += [(free[i]["group_id"], n) for i, n in zip(index.tolist(), names, strict=True)]
-    chosen = manifest.sparkSession.createDataFrame(out, "group_id string, _in string")
+    free = rows.where("_out is null").select("group_id", "label", (F.col("source") == "fault").alias("_fault"), "series", "segment_id")
+    a, b = _sizes(F.col("n"), train, validation)
+    chosen = shuffled(free, F.col("label"), ("_fault", "series", "segment_id"), seed).select("group_id", _split(F.col("position"), a, b).alias("_in"))
     return rows.join(chosen, "group_id", "left").withColumn("split", F.coalesce("_out", "_in")).drop("_out", "_in")
 
 
+def _sizes(n: Column, train: float, validation: float) -> tuple[Column, Column]:
+    """split_sizes of a column; bround rounds half to even, as Python does."""
+    many = n >= 3
+    a = F.when(many, F.greatest(F.lit(1), F.least(F.bround(n * train).cast("long"), n - 2))).otherwise(F.bround(n * train).cast("long"))
+    b = F.when(many, F.greatest(F.lit(1), F.least(F.bround(n * validation).cast("long"), n - a - 1))).otherwise(F.bround(n * validation).cast("long"))
+    return a, b
+
+
+def _split(rank: Column, a: Column, b: Column) -> Column:
+    return F.when(rank < a, "train").when(rank < a + b, "val").otherwise("test")
+
+
 def split_sizes(n: int, train: float, validation: float) -> tuple[int, int]:
     """How many of n groups are for training and validation: one or more each, and one for testing, from three on."""
     a, b = round(n * train), round(n * validation)
@@ -113,11 +130,12 @@ def calibration_groups(rows: DataFrame, fraction: float, seed: int) -> DataFrame
     """group_id of a seeded share of the groups, from 5 % to below a half, at least one and not all."""
     if not 0.05 <= fraction < 0.5:
         raise ValueError("fraction must be 0.05 or more and below 0.5")
-    ids = _ids(rows)
-    if len(ids) < 2:
+    groups = rows.select(F.col("group_id").cast("string").alias("group_id")).distinct()
+    placed = shuffled(groups, F.lit(0), ("group_id",), seed)
+    if len(placed.limit(2).collect()) < 2:
         raise ValueError("at least two groups are needed")
-    n = min(max(1, math.ceil(len(ids) * fraction)), len(ids) - 1)
-    return rows.sparkSession.createDataFrame([(g,) for g in _shuffled(ids, np.random.default_rng(seed))[:n]], "group_id string")
+    n = F.least(F.greatest(F.lit(1), F.ceil(F.col("n") * fraction)), F.col("n") - 1)
+    return placed.where(F.col("position") < n).select("group_id")
 
 
 def training_rows(rows: DataFrame, exclude: DataFrame | None = None, channels: tuple[str, ...] | None = None) -> DataFrame:
@@ -170,13 +188,8 @@ def exact_splits(manifest: DataFrame, common_sec: float, train: float = 0.6, val
     idle = F.col("idle_majority") == 1
     short = (F.col("source") == "fault") & F.col("onset_us").isNotNull() & (F.col("duration_sec") < common_sec)
     rows = manifest.withColumn("_out", F.when(idle, "EXCLUDED_IDLE").when(short, "EXCLUDED_SHORT"))
-    n = F.col("n")
-    many = n >= 3
-    # bround: half to even, as split_sizes rounds
-    a = F.when(many, F.greatest(F.lit(1), F.least(F.bround(n * train).cast("long"), n - 2))).otherwise(F.bround(n * train).cast("long"))
-    b = F.when(many, F.greatest(F.lit(1), F.least(F.bround(n * validation).cast("long"), n - a - 1))).otherwise(F.bround(n * validation).cast("long"))
-    split = F.when(F.col("rank") < a, "train").when(F.col("rank") < a + b, "val").otherwise("test")
-    chosen = permuted(rows.where("_out is null").select("group_id", "label"), seed, "label").select("group_id", split.alias("_in"))
+    a, b = _sizes(F.col("n"), train, validation)
+    chosen = permuted(rows.where("_out is null").select("group_id", "label"), seed, "label").select("group_id", _split(F.col("rank"), a, b).alias("_in"))
     return rows.join(chosen, "group_id", "left").withColumn("split", F.coalesce("_out", "_in")).drop("_out", "_in")
 
 
