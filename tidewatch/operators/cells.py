@@ -102,7 +102,7 @@ def k_consecutive_in_cells(windows: DataFrame, threshold: Column, k: int, out: s
     # the step needs one row back, and the run k - 1 more
     stepped = over_cells(placed, 1, lambda rows: rows.withColumn("_step", step), size)
     stepped = written(stepped, "steps")
-    median = exact_quantiles(stepped.where("_step > 0"), "_step", (0.5,), ["group_id"]).select("group_id", F.col("quantiles")[0].alias("_expected"))
+    median = exact_quantiles(stepped.where("_step > 0"), "_step", (0.5,), ["group_id"], many=True).select("group_id", F.col("quantiles")[0].alias("_expected"))
     # a long segment's rows meet its median cell by cell
     keys = stepped.select("group_id", cell_of_place(size).alias("_c")).distinct().join(median, "group_id")
     rows = stepped.withColumn("_c", cell_of_place(size)).join(keys, ["group_id", "_c"], "left").drop("_c")

@@ -101,7 +101,11 @@ def raw_alarm_metrics(rows: DataFrame, alarm: str, by: list[str] | None = None)
     aggs += [count_if(of("fault")).alias("n_events"), count_if(of("fault") & found).alias("detected_events"), F.avg(F.when(of("fault"), seconds(F.col("_hit"), F.col("_onset")))).alias("delay_mean_sec")]
     for kind in ("normal", "idle"):
         aggs += [count_if(of(kind)).alias(f"{kind}_cycles"), count_if(of(kind) & found).alias(f"{kind}_fa_cycles"), F.coalesce(F.sum(F.when(of(kind), F.col("_episodes"))), F.lit(0)).alias(f"{kind}_fa_episodes")]
-    out = each.groupBy(*by).agg(*aggs)
+    return alarm_rates(each.groupBy(*by).agg(*aggs), by)
+
+
+def alarm_rates(out: DataFrame, by: list[str]) -> DataFrame:
+    """The columns of raw_alarm_metrics from the sums of segments: _tp, _fp, _fn, events, their mean delay, cycles and episodes."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     tp, fp, fn = F.col("_tp"), F.col("_fp"), F.col("_fn")
     out = out.withColumns({"sample_f1": zero(ratio(2 * tp, 2 * tp + fp + fn)), "sample_precision": zero(ratio(tp, tp + fp)), "sample_recall": zero(ratio(tp, tp + fn)), "event_detection_rate": ratio(F.col("detected_events"), F.col("n_events")), **{f"{k}_fa_cycle_rate": ratio(F.col(f"{k}_fa_cycles"), F.col(f"{k}_cycles")) for k in ("normal", "idle")}})

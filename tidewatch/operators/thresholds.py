@@ -32,17 +32,17 @@ def _join_cells(rows: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(renamed, same).drop(*(f"_of_{c}" for c in [*by, "_cell"]))
 
 
-def exact_quantiles(rows: DataFrame, value: str, quantiles: tuple[float, ...], by: list[str] | None = None) -> DataFrame:
+def exact_quantiles(rows: DataFrame, value: str, quantiles: tuple[float, ...], by: list[str] | None = None, many: bool = False) -> DataFrame:
     """by, quantiles (an array) and n: exact, linearly interpolated quantiles of the values that are known.
 
-    Values are counted by cell; only the different values of the cells that hold a wanted rank are ordered, each cell by
-    itself. So no task holds all values of a group.
+    Values are counted by cell; only the different values of the cells that hold a wanted rank are shuffled and ordered, each cell
+    by itself. So no task holds all values of a group. many: there are too many groups to send the wanted cells to all tasks.
     """
     by = by or []
     known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     # written, as it is read twice and what gives the values may be a long plan
-    each = written(known.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_k")).withColumn("_cell", cell_of(F.col("_v"))), "values")
-    sizes = each.groupBy(*by, "_cell").agg(F.sum("_k").alias("_size"))
+    each = written(known.withColumn("_cell", cell_of(F.col("_v"))), "values")
+    sizes = each.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_size"))
     whole = Window.partitionBy(*by, F.lit(0))
     before = F.coalesce(F.sum("_size").over(whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.withColumns({"_before": before, "n": F.sum("_size").over(whole)})
@@ -51,7 +51,7 @@ def exact_quantiles(rows: DataFrame, value: str, quantiles: tuple[float, ...], b
     wanted = sizes.where((F.floor("at") < F.col("_before") + F.col("_size")) & (F.ceil("at") >= F.col("_before")))
     # a few cells for each group and quantile: the values of these only
     cell_keys = wanted.select(*by, "_cell", "_before").distinct()
-    inside = _join_cells(each, cell_keys, by)
+    inside = _join_cells(each, cell_keys if many else F.broadcast(cell_keys), by).groupBy(*by, "_cell", "_before", "_v").agg(F.count(F.lit(1)).alias("_k"))
     upto = F.sum("_k").over(Window.partitionBy(*by, "_cell").orderBy("_v")) + F.col("_before")
     inside = inside.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_k"))
     met = _join_cells(inside.drop("_before"), wanted.drop("_before", "_size"), by)

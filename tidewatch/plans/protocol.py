@@ -18,6 +18,7 @@ from tidewatch.operators import alarms, metrics, splits, thresholds
 from tidewatch.operators.models import fit_forest, fit_gaussian, fit_gaussians, fold_forests
 from tidewatch.operators.moments import fold_models, with_folds
 from tidewatch.operators.windows import sample_feature_names, sample_features
+from tidewatch.plans import cv_blocks
 from tidewatch.schema import Settings
 from tidewatch.sources.scratch import written
 from tidewatch.streaming.detector import NAMES, complete, features_of, model_inputs
@@ -189,8 +190,16 @@ def fold_scores(rows: DataFrame, k: int, repeats: int, settings: Settings, kind:
 
     One scan fits the models of all folds and repeats of a scale; one more scores the rows by all of them.
     """
+    inputs, models, names = fold_fits(rows, k, repeats, settings, kind, seed, fold_map, features)
+    return _scores(inputs, models, names, k, repeats, settings)
+
+
+def fold_fits(rows: DataFrame, k: int, repeats: int, settings: Settings, kind: str = "ledoit_wolf", seed: int = 0, fold_map=None, features: dict[str, list[str]] | None = None) -> tuple[DataFrame, dict[tuple[int, int], dict], dict[str, list[str]]]:
+    """rows with folds and features, the models by (repeat, test fold) and name, and the models' features."""
     names = features or features_of(settings)
-    inputs = written(with_folds(model_inputs(rows, settings), k, repeats, seed, fold_map), "cv-inputs")
+    wanted = {"source", "group_id", "t_us", "seq", "kind", "label", "idle", "folds", *(f for own in names.values() for f in own), *(f"{n}_{settings.channels[0]}_mean" for n in ("short", "long"))}
+    every = with_folds(model_inputs(rows, settings), k, repeats, seed, fold_map)
+    inputs = written(every.select(*(c for c in every.columns if c in wanted)), "cv-inputs")
     train = inputs.where("kind = 'normal' and coalesce(idle, 0) <> 1")
     models: dict[tuple[int, int], dict] = {}
     for name in NAMES:
@@ -201,7 +210,7 @@ def fold_scores(rows: DataFrame, k: int, repeats: int, settings: Settings, kind:
             models.setdefault(key, {})[name] = model
     if not any(len(m) == len(NAMES) for m in models.values()):
         raise ValueError("no fold has enough training rows")
-    return _scores(inputs, models, names, k, repeats, settings)
+    return inputs, models, names
 
 
 def fold_thresholds(scores: DataFrame, settings: Settings, quantiles: tuple[float, ...]) -> DataFrame:
@@ -211,6 +220,10 @@ def fold_thresholds(scores: DataFrame, settings: Settings, quantiles: tuple[floa
     rows = scores.where("role = 'validation'").withColumn("sample_score", F.when(ready, F.avg("sample_raw").over(own)))
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"{n}_score").alias("score")) for n in NAMES)))
     long = rows.select("repeat", "test_fold", each.alias("_e")).select("repeat", "test_fold", "_e.name", "_e.score")
+    return _thresholds(long, quantiles)
+
+
+def _thresholds(long: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
     found = thresholds.exact_quantiles(long, "score", quantiles, ["repeat", "test_fold", "name"])
     found = found.groupBy("repeat", "test_fold").agg(*(F.first(F.when(F.col("name") == n, F.col("quantiles")), True).alias(f"_{n}") for n in NAMES))
     places = F.explode(F.array(*(F.struct(F.lit(float(v)).alias("quantile"), *(F.coalesce(F.col(f"_{n}")[i], F.lit(float("inf"))).alias(f"{n}_threshold") for n in NAMES)) for i, v in enumerate(quantiles))))
@@ -227,18 +240,25 @@ def fold_alarms(scores: DataFrame, limits: DataFrame, settings: Settings) -> Dat
     return alarms.derive_alarms(keyed, at, settings).withColumn("group_id", F.col("_group")).drop("_group")
 
 
-def streaming_cv(rows: DataFrame, settings: Settings, k: int = 5, repeats: int = 5, seed: int = 0, quantiles: tuple[float, ...] = (0.9999,), variants: tuple[str, ...] = ("final_alarm",), kind: str = "ledoit_wolf", fold_map=None, features: dict[str, list[str]] | None = None) -> DataFrame:
+def streaming_cv(rows: DataFrame, settings: Settings, k: int = 5, repeats: int = 5, seed: int = 0, quantiles: tuple[float, ...] = (0.9999,), variants: tuple[str, ...] = ("final_alarm",), kind: str = "ledoit_wolf", fold_map=None, features: dict[str, list[str]] | None = None, digits: int | None = None) -> DataFrame:
     """Metrics by repeat, quantile and variant over all test folds together.
 
     Repeats, folds, quantiles and variants are columns of one plan. fold_map(rows, k, seed) deals the groups (group_id, fold); by hash
-    where it is not given.
+    where it is not given. The rows by themselves: fold_scores, fold_thresholds and fold_alarms.
+    digits: decimals at which scores and thresholds are compared, so that rows of equal scores, which sums in another order tell apart in their last
+    digits, are on the same side of a threshold.
     """
-    scores = written(fold_scores(rows, k, repeats, settings, kind, seed, fold_map, features), "cv-scores")
-    limits = written(fold_thresholds(scores, settings, quantiles), "cv-thresholds")
-    found = fold_alarms(scores, limits, settings)
-    each = F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), F.col(v).alias("alarm")) for v in variants)))
-    long = found.select("group_id", "t_us", "seq", "kind", "label", "repeat", "quantile", each.alias("_v")).select("*", "_v.variant", "_v.alarm").drop("_v")
-    return metrics.raw_alarm_metrics(long, "alarm", ["repeat", "quantile", "variant"])
+    inputs, models, names = fold_fits(rows, k, repeats, settings, kind, seed, fold_map, features)
+    kept = written(cv_blocks.blocks(cv_blocks.scored_rows(inputs, models, names, k, repeats, settings), settings), "cv-scores")
+    found = _thresholds(cv_blocks.validation_scores(kept, k, repeats, settings, digits), quantiles).collect()
+    place = {float(q): i for i, q in enumerate(quantiles)}
+    limits = {(r["repeat"], r["test_fold"]): np.full((len(quantiles), len(NAMES)), np.inf) for r in found}
+    for r in found:
+        own = np.array([r[f"{n}_threshold"] for n in NAMES])
+        limits[r["repeat"], r["test_fold"]][place[r["quantile"]]] = own if digits is None else np.round(own, digits)
+    if not limits:
+        raise ValueError("no fold has validation rows")
+    return cv_blocks.alarm_table(cv_blocks.block_sums(kept, limits, repeats, settings, variants, digits), quantiles, variants)
 
 
 def comparison_table(repeats: DataFrame) -> DataFrame:
