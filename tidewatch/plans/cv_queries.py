@@ -42,6 +42,8 @@ def streaming_cv_forest(spark, sf_dir):
 
 #: The protocol with models of one feature each, whose scores are SQL: the squared distance of its log from the mean, over the variance.
 PLAIN = {"sample": ["value"], "short": ["short_value_mean"], "long": ["long_value_mean"]}
+#: Decimals at which scores and thresholds are compared: windows of equal means are often exactly at a threshold, and the sums' order isn't fixed.
+DIGITS = 8
 _LOG = "CASE WHEN {0} < 0 THEN -ln(1 - {0}) ELSE ln(1 + {0}) END"
 _RATE = "round(count(*) FILTER (WHERE {0}) / nullif(count(*) FILTER (WHERE {1}), 0), 4)"
 
@@ -51,9 +53,9 @@ _RATE = "round(count(*) FILTER (WHERE {0}) / nullif(count(*) FILTER (WHERE {1}),
   g AS (SELECT group_id, repeat, {_fold('repeat')} AS fold FROM (SELECT DISTINCT group_id FROM seg_rows), range({REPEATS}) t(repeat)),
   r AS (SELECT x.*, repeat, test_fold, CASE WHEN fold = test_fold THEN 'test' WHEN kind = 'normal' AND fold = (test_fold + 1) % {K} THEN 'validation' WHEN kind = 'normal' AND idle <> 1 AND fold <> (test_fold + 1) % {K} THEN 'train' END AS role FROM x JOIN g USING (group_id), range({K}) f(test_fold)),
   m AS (SELECT repeat, test_fold, avg(a) AS ma, var_pop(a) AS va, avg(b) AS mb, var_pop(b) AS vb, avg(c) AS mc, var_pop(c) AS vc FROM r WHERE role = 'train' GROUP BY 1, 2),
-  s AS (SELECT r.*, power(a - ma, 2) / va AS raw, power(b - mb, 2) / vb AS short_score, power(c - mc, 2) / vc AS long_score FROM r JOIN m USING (repeat, test_fold) WHERE role IN ('test', 'validation')),
-  z AS (SELECT *, CASE WHEN count(*) OVER p >= 3 THEN avg(raw) OVER p END AS sample_score FROM s WINDOW p AS (PARTITION BY group_id, repeat, test_fold ORDER BY t_us, seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
-  q AS (SELECT repeat, test_fold, unnest({list(QUANTILES)}::DOUBLE[]) AS quantile, unnest(quantile_cont(sample_score, {list(QUANTILES)})) AS ts, unnest(quantile_cont(short_score, {list(QUANTILES)})) AS th, unnest(quantile_cont(long_score, {list(QUANTILES)})) AS tl FROM z WHERE role = 'validation' GROUP BY 1, 2),
+  s AS (SELECT r.*, power(a - ma, 2) / va AS raw, round(power(b - mb, 2) / vb, {DIGITS}) AS short_score, round(power(c - mc, 2) / vc, {DIGITS}) AS long_score FROM r JOIN m USING (repeat, test_fold) WHERE role IN ('test', 'validation')),
+  z AS (SELECT *, CASE WHEN count(*) OVER p >= 3 THEN round(avg(raw) OVER p, {DIGITS}) END AS sample_score FROM s WINDOW p AS (PARTITION BY group_id, repeat, test_fold ORDER BY t_us, seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+  q AS (SELECT repeat, test_fold, unnest({list(QUANTILES)}::DOUBLE[]) AS quantile, round(unnest(quantile_cont(sample_score, {list(QUANTILES)})), {DIGITS}) AS ts, round(unnest(quantile_cont(short_score, {list(QUANTILES)})), {DIGITS}) AS th, round(unnest(quantile_cont(long_score, {list(QUANTILES)})), {DIGITS}) AS tl FROM z WHERE role = 'validation' GROUP BY 1, 2),
   al AS (SELECT z.*, quantile, coalesce(sample_score >= ts, false) AS sample_alarm, coalesce(short_score >= th, false) AS short_alarm, coalesce(long_score >= tl, false) AS long_alarm FROM z JOIN q USING (repeat, test_fold) WHERE role = 'test'),
   o AS (SELECT *, sample_alarm OR short_alarm OR long_alarm AS or_3 FROM al),
   f AS (SELECT *, or_3 AND coalesce(lag(or_3) OVER (PARTITION BY group_id, repeat, quantile ORDER BY t_us, seq), false) AS final_alarm FROM o),
@@ -66,7 +68,7 @@ _RATE = "round(count(*) FILTER (WHERE {0}) / nullif(count(*) FILTER (WHERE {1}),
     {', '.join(_RATE.format(f"kind = '{k}' AND hit IS NOT NULL", f"kind = '{k}'") + f" AS {k}_fa_cycle_rate" for k in ("normal", "idle"))} FROM d GROUP BY ALL)
   SELECT * EXCLUDE (tp, fp, fn), round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS sample_f1, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS sample_precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS sample_recall FROM t""")
 def streaming_cv_one_feature(spark, sf_dir):
-    return rounded(streaming_cv(event_rows(spark, sf_dir), EVENT_SETTINGS, K, REPEATS, quantiles=QUANTILES, variants=VARIANTS, features=PLAIN), 4)
+    return rounded(streaming_cv(event_rows(spark, sf_dir), EVENT_SETTINGS, K, REPEATS, quantiles=QUANTILES, variants=VARIANTS, features=PLAIN, digits=DIGITS), 4)
 
 
 @query(f"""WITH {LI_ROWS}, x AS (SELECT group_id, sign(quantity) * ln(1 + abs(quantity)) AS a, sign(price) * ln(1 + abs(price)) AS b, sign(discount) * ln(1 + abs(discount)) AS c FROM seg_rows WHERE kind = 'normal'),
