@@ -105,8 +105,15 @@ STEP = (
     "source string, series string, t_us long, seq long, kind string, ground_truth int, segment_id long, segment_reset boolean, gap_sec double, sample_score double, short_score double, long_score double, "
     "sample_alarm boolean, short_alarm boolean, long_alarm boolean, or_3 boolean, final_alarm boolean, active_detectors array<string>, persistence_count int, note string"
 )
-#: The last time, the segment's number, its last rows (time and channels, row by row), its last sample scores and alarms.
-STATE = "last long, segment long, times array<long>, rows array<double>, scores array<double>, history array<boolean>"
+#: Series share a state by bucket, so a micro-batch costs a few calls for each bucket and not for each series.
+BUCKETS = 256
+#: The memories of a bucket's series: source, series and Memory's fields of each.
+STATE = "memories string"
+
+
+def in_buckets(rows: DataFrame, *key: str):
+    """rows grouped by the bucket of their series."""
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")).groupBy("_bucket")
 
 
 @dataclass
@@ -121,6 +128,43 @@ class Memory:
     history: list[bool] = field(default_factory=list)
 
 
+def saved(memories: dict[tuple, Memory]) -> str:
+    return json.dumps([[*key, m.last, m.segment, m.times, m.rows, m.scores, m.history] for key, m in memories.items()])
+
+
+def recalled(text: str | None) -> dict[tuple, Memory]:
+    return {(source, series): Memory(*kept) for source, series, *kept in json.loads(text or "[]")}
+
+
+def in_series(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows in the order of their series and times, and where each series begins and the last ends."""
+    frame = frame.sort_values(["source", "series", "t_us", "seq"], kind="stable", ignore_index=True)
+    code = frame.groupby(["source", "series"], dropna=False, sort=False).ngroup().to_numpy()
+    return frame, np.append(np.flatnonzero(np.diff(code, prepend=-1)), len(code))
+
+
+def step_series(frame: pd.DataFrame, detector: Detector, memories: dict[tuple, Memory], strict: bool = False) -> pd.DataFrame:
+    """STEP columns of rows of many series (source, series, t_us, seq, kind, truth, c0, c1 and so on, and perhaps reset), whose memories go on."""
+    frame, cuts = in_series(frame)
+    times = frame["t_us"].to_numpy(np.int64)
+    values = frame[[f"c{i}" for i in range(len(detector.settings.channels))]].to_numpy(float)
+    anew = frame["reset"].to_numpy(bool) if "reset" in frame else np.zeros(len(frame), bool)
+    source, series = (frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in ("source", "series"))
+    out: dict[str, list] = {}
+    for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        key = (source[first], series[first])
+        stepper = Stepper(detector, memories.get(key), strict)
+        starts = [first, *(first + 1 + np.flatnonzero(anew[first + 1 : end])).tolist(), end]
+        for a, b in zip(starts, starts[1:], strict=False):
+            if anew[a]:
+                stepper.reset()
+            for name, found in stepper.many(times[a:b], values[a:b]).items():
+                out.setdefault(name, []).extend(found)
+        memories[key] = stepper.memory
+    truth = pd.to_numeric(frame["truth"]).astype("Int32")
+    return pd.DataFrame({**{c: frame[c] for c in ("source", "series", "t_us", "seq", "kind")}, "ground_truth": truth, **out}, columns=[c.split()[0] for c in STEP.split(", ")])
+
+
 def window_features(times: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """The 16 features of each run of size rows, a row for each run: those that end at row size - 1, size, and so on."""
     from numpy.lib.stride_tricks import sliding_window_view
@@ -243,10 +287,10 @@ def detect_stream(stream: DataFrame, detector: Detector, strict: bool = False) -
 
     Rows of a micro-batch are put in order of time and scored at once; a row older than the series' last is returned with the
     note `late`, one with an unknown channel with `invalid`; strict: the stream stops at such a row. The state of a series is at
-    most as many rows as the longest window. A stream may lack source (external), state and idle (0): then has no
+    most as many rows as the longest window; series share BUCKETS states. A stream may lack source (external), state and idle (0): then has no
     ground_truth, which is null. Where a column `reset` is true, the series starts anew with that row.
     """
-    channels, columns = detector.settings.channels, [c.split()[0] for c in STEP.split(", ")]
+    channels = detector.settings.channels
     text = detector.to_json()
     given = set(stream.columns)
     optional = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in given else F.lit(default)
@@ -254,21 +298,9 @@ def detect_stream(stream: DataFrame, detector: Detector, strict: bool = False) -
     source = optional("source", "external")
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = Memory(*(list(v) if isinstance(v, (list, np.ndarray)) else v for v in state.get)) if state.exists else None
-        stepper = Stepper(known_detector(text), memory, strict)
-        rows = pd.concat([f for f in frames if len(f)]).sort_values(["t_us", "seq"], kind="stable")
-        anew = rows["reset"].to_numpy(bool)
-        for part in np.split(np.arange(len(rows)), np.flatnonzero(anew)):
-            if not len(part):
-                continue
-            if anew[part[0]]:
-                stepper.reset()
-            own = rows.iloc[part]
-            found = stepper.many(own["t_us"].to_numpy(np.int64), own[[f"c{i}" for i in range(len(channels))]].to_numpy(float))
-            out = pd.DataFrame({"source": key[0], "series": key[1], **{c: own[c].to_numpy() for c in ("t_us", "seq", "kind")}, "ground_truth": own["truth"].astype("Int32").to_numpy(), **found}, columns=columns)
-            yield out
-        m = stepper.memory
-        state.update((m.last, m.segment, m.times, m.rows, m.scores, m.history))
+        memories = recalled(state.get[0] if state.exists else None)
+        yield step_series(pd.concat([f for f in frames if len(f)]), known_detector(text), memories, strict)
+        state.update((saved(memories),))
 
     narrow = stream.select(
         source.alias("source"),
@@ -280,7 +312,7 @@ def detect_stream(stream: DataFrame, detector: Detector, strict: bool = False) -
         optional("reset", False).alias("reset"),
         *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(channels)),
     )
-    return narrow.groupBy("source", "series").applyInPandasWithState(advance, STEP, STATE, "append", GroupStateTimeout.NoTimeout)
+    return in_buckets(narrow, "source", "series").applyInPandasWithState(advance, STEP, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 @functools.lru_cache(maxsize=8)

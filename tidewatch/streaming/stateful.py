@@ -7,39 +7,41 @@ into one row for each event, closed by a timer.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.functions.scalar import label_of, stream_kind
-from tidewatch.streaming.detector import STEP, Detector, Memory, Stepper, known_detector
+from tidewatch.streaming.detector import STATE, STEP, Detector, in_buckets, known_detector, recalled, saved, step_series
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-MEMORY = "last long, segment long, times array<long>, rows array<double>, scores array<double>, history array<boolean>"
-#: A row that waits: its time, number, kind, truth and channels.
-WAITING = "t_us long, seq long, kind string, truth int, c array<double>"
-
-
 def use_rocksdb(spark: SparkSession) -> None:
     """Typed state needs the RocksDB store: an error says so where the session has another."""
     if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKS}")
 
 
-def _list(v) -> list:
-    return [] if v is None else list(v)
+def _packed(rows: pd.DataFrame) -> tuple[bytes]:
+    """Rows as an Arrow stream."""
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
 
 
 class OrderedDetector(StatefulProcessor):
-    """The detector over rows in the order of their times, however they arrive, up to a delay.
+    """The detector over the rows of a bucket of series in the order of their times, however they arrive, up to a delay.
 
-    The bound is the watermark plus `ahead_ms`. A row waits until the bound has passed its time, and one timer for each series fires when the
-    first of those that wait may leave. Rows that arrive behind the bound aren't in order any more: they are returned at once with
-    the note `late` and change nothing, as are `invalid` ones.
+    The bound is the watermark plus `ahead_ms`. A row waits until the bound has passed its time, and one timer for each bucket fires when the
+    first of those that wait may leave. What waits is kept as one Arrow stream for each micro-batch.
+    Rows that arrive behind the bound aren't in order any more: they are returned at once with the note `late` and change nothing, as are
+    `invalid` ones.
     """
 
     def __init__(self, text: str, ahead_ms: int):
@@ -47,9 +49,9 @@ class OrderedDetector(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.memory = handle.getValueState("memory", MEMORY)
+        self.memory = handle.getValueState("memory", STATE)
         self.timer = handle.getValueState("timer", "ms long")
-        self.waiting = handle.getListState("waiting", WAITING)
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def _bound(self, timerValues) -> int:
         return (timerValues.getCurrentWatermarkInMs() + self.ahead_ms) * 1000
@@ -65,55 +67,44 @@ class OrderedDetector(StatefulProcessor):
             self.timer.update((ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        bound, held, refused = self._bound(timerValues), [], []
-        for frame in rows:
-            channels = sorted((c for c in frame.columns if c[0] == "c" and c[1:].isdigit()), key=lambda c: int(c[1:]))
-            values = frame[channels].to_numpy(float)
-            known = np.isfinite(values).all(axis=1)
-            for t, seq, kind, truth, v, ok in zip(frame["t_us"].tolist(), frame["seq"].tolist(), frame["kind"].tolist(), frame["truth"].tolist(), values.tolist(), known.tolist(), strict=True):
-                row = (int(t), int(seq), kind, None if truth is None or truth != truth else int(truth), v)
-                if ok and t >= bound:
-                    held.append(row)
-                else:
-                    refused.append((row, "late" if ok else "invalid"))
-        if held:
-            self.waiting.appendList(held)
-            self._wait_for(min(r[0] for r in held))
-        if refused:
-            yield self._marked(key, refused)
+        frame = pd.concat([f for f in rows if len(f)], ignore_index=True).drop(columns=["_time", "_bucket"], errors="ignore")
+        channels = [c for c in frame.columns if c[0] == "c" and c[1:].isdigit()]
+        known = np.isfinite(frame[channels].to_numpy(float)).all(axis=1)
+        held = known & (frame["t_us"].to_numpy() >= self._bound(timerValues))
+        if held.any():
+            self.waiting.appendValue(_packed(frame[held]))
+            self._wait_for(int(frame["t_us"][held].min()))
+        if not held.all():
+            yield self._marked(frame[~held], known[~held])
+
+    def _memories(self) -> dict:
+        return recalled(self.memory.get()[0] if self.memory.exists() else None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         bound = self._bound(timerValues)
         self.timer.clear()
-        rows = [tuple(r) for r in self.waiting.get()]
-        ready = sorted((r for r in rows if r[0] < bound), key=lambda r: (r[0], r[1]))
-        rest = [r for r in rows if r[0] >= bound]
-        if rest:
-            self.waiting.put(rest)
-            self._wait_for(min(r[0] for r in rest))
-        else:
-            self.waiting.clear()
-        if not ready:
+        parts = [pa.ipc.open_stream(bytes(r[0])).read_all().to_pandas() for r in self.waiting.get()]
+        self.waiting.clear()
+        if not parts:
             return
-        found = self.memory.get() if self.memory.exists() else None
-        memory = Memory(found[0], found[1], *(_list(v) for v in found[2:])) if found else None
-        stepper = Stepper(known_detector(self.text), memory)
-        steps = stepper.many(np.array([r[0] for r in ready], np.int64), np.array([list(r[4]) for r in ready], float))
-        m = stepper.memory
-        self.memory.update((m.last, m.segment, m.times, m.rows, m.scores, m.history))
-        yield self._frame(key, ready, steps)
-
-    def _frame(self, key, rows: list[tuple], steps: dict[str, list]) -> pd.DataFrame:
-        columns = [c.split()[0] for c in STEP.split(", ")]
-        known = {"source": key[0], "series": key[1], "t_us": [r[0] for r in rows], "seq": [r[1] for r in rows], "kind": [r[2] for r in rows], "ground_truth": pd.array([r[3] for r in rows], dtype="Int32")}
-        return pd.DataFrame({**known, **steps}, columns=columns)
-
-    def _marked(self, key, refused: list[tuple]) -> pd.DataFrame:
-        n, found = len(refused), self.memory.get() if self.memory.exists() else None
+        rows = pd.concat(parts, ignore_index=True)
+        ready = rows["t_us"].to_numpy() < bound
+        if not ready.all():
+            self.waiting.appendValue(_packed(rows[~ready]))
+            self._wait_for(int(rows["t_us"][~ready].min()))
+        if ready.any():
+            memories = self._memories()
+            yield step_series(rows[ready], known_detector(self.text), memories)
+            self.memory.update((saved(memories),))
+
+    def _marked(self, rows: pd.DataFrame, known: np.ndarray) -> pd.DataFrame:
+        n, memories = len(rows), self._memories()
         blank = {c: [None] * n for c in ("gap_sec", "short_score", "long_score")} | {"sample_score": [0.0] * n, "segment_reset": [False] * n}
         blank |= {c: [False] * n for c in ("sample_alarm", "short_alarm", "long_alarm", "or_3", "final_alarm")}
-        blank |= {"segment_id": [found[1] if found else 0] * n, "persistence_count": [0] * n, "active_detectors": [[] for _ in range(n)], "note": [note for _, note in refused]}
-        return self._frame(key, [r for r, _ in refused], blank)
+        segments = [memories[key].segment if key in memories else 0 for key in zip(rows["source"], rows["series"], strict=True)]
+        blank |= {"segment_id": segments, "persistence_count": [0] * n, "active_detectors": [[] for _ in range(n)], "note": np.where(known, "late", "invalid").tolist()}
+        same = {c: rows[c].tolist() for c in ("source", "series", "t_us", "seq", "kind")}
+        return pd.DataFrame({**same, "ground_truth": pd.to_numeric(rows["truth"]).astype("Int32").array, **blank}, columns=[c.split()[0] for c in STEP.split(", ")])
 
     def close(self) -> None:
         pass
@@ -148,7 +139,7 @@ def ordered_detection(stream: DataFrame, detector: Detector, delay: str, keep: s
         truth.alias("truth"),
         *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(channels)),
     )
-    rows = narrow.withWatermark("_time", keep).groupBy("source", "series")
+    rows = in_buckets(narrow.withWatermark("_time", keep), "source", "series")
     return rows.transformWithStateInPandas(OrderedDetector(detector.to_json(), ahead), STEP, "append", "eventtime")
 
 
@@ -156,7 +147,7 @@ EVENT = "series string, event_id long, fault_start_us long, fault_end_us long, f
 
 
 class EventTracker(StatefulProcessor):
-    """Runs of fault rows along a series, in order: opened by the first, given its first alarm, closed by the next row of another kind or, if
+    """Runs of fault rows along each series of a bucket, in order: opened by the first, given its first alarm, closed by the next row of another kind or, if
     none comes, by a timer. Each event is written once."""
 
     def __init__(self, quiet_ms: int):
@@ -164,15 +155,33 @@ class EventTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "start long, last long, rows long, alarms long, first_alarm long, first_place long")
-        self.events = handle.getValueState("events", "n long")
+        # of each series the number of closed events and the open one, if any: start, last, rows, alarms, first alarm and its place
+        self.series = handle.getValueState("series", "known string")
+        self.timer = handle.getValueState("timer", "ms long")
 
-    def _close(self, key, event: tuple, out: list) -> None:
-        n = (self.events.get()[0] if self.events.exists() else 0) + 1
-        self.events.update((n,))
-        start, last, rows, alarms, first, place = event
+    @staticmethod
+    def _close(name, kept: list, out: list) -> None:
+        start, last, rows, alarms, first, place = kept[1]
         found = first is not None
-        out.append((key[0], n, start, last, rows, found, first, (first - start) / 1e6 if found else None, place, alarms))
+        kept[:] = [kept[0] + 1, None]
+        out.append((name, kept[0], start, last, rows, found, first, (first - start) / 1e6 if found else None, place, alarms))
+
+    def _known(self) -> dict:
+        return {name: kept for name, *kept in json.loads(self.series.get()[0])} if self.series.exists() else {}
+
+    def _keep(self, known: dict) -> None:
+        """Saves the series; one timer for the first of their open events that may be over."""
+        self.series.update((json.dumps([[name, *kept] for name, kept in known.items()]),))
+        due = min((kept[1][1] // 1000 + self.quiet_ms for kept in known.values() if kept[1]), default=None)
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if due == old:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+            self.timer.clear()
+        if due is not None:
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
 
     @staticmethod
     def _rows(out: list) -> pd.DataFrame:
@@ -181,40 +190,33 @@ class EventTracker(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
-        event = self.open.get() if self.open.exists() else None
-        event = tuple(event) if event else None
-        frames = [f for f in rows if len(f)]
-        ordered = pd.concat(frames).sort_values(["t_us", "seq"], kind="stable")
-        for t, kind, alarm in zip(ordered["t_us"].tolist(), ordered["kind"].tolist(), ordered["final_alarm"].tolist(), strict=True):
+        known = self._known()
+        ordered = pd.concat([f for f in rows if len(f)]).sort_values(["t_us", "seq"], kind="stable")
+        for name, t, kind, alarm in zip(*(ordered[c].tolist() for c in ("series", "t_us", "kind", "final_alarm")), strict=True):
+            kept = known.setdefault(name, [0, None])
             if kind != "fault":
-                if event:
-                    self._close(key, event, out)
-                    event = None
+                if kept[1]:
+                    self._close(name, kept, out)
                 continue
-            if event is None:
-                event = (t, t, 0, 0, None, None)
-            start, _, n, alarms, first, place = event
-            first, place = (t, n) if alarm and first is None else (first, place)
-            event = (start, t, n + 1, alarms + bool(alarm), first, place)
-        if event:
-            self.open.update(event)
-            self.handle.registerTimer(event[1] // 1000 + self.quiet_ms)
-        else:
-            self.open.clear()
+            event = kept[1] = kept[1] or [t, t, 0, 0, None, None]
+            if alarm and event[4] is None:
+                event[4:] = [t, event[2]]
+            event[1], event[2], event[3] = t, event[2] + 1, event[3] + bool(alarm)
+        self._keep(known)
         if out:
             yield self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.open.exists():
-            return
-        event = tuple(self.open.get())
-        # a timer of an event that has gone on since then waits for its own last row
-        if event[1] // 1000 + self.quiet_ms > expiredTimerInfo.getExpiryTimeInMs():
-            return
+        self.timer.clear()
         out: list[tuple] = []
-        self._close(key, event, out)
-        self.open.clear()
-        yield self._rows(out)
+        known = self._known()
+        for name, kept in known.items():
+            # an event that has gone on since the timer was set waits for its own last row
+            if kept[1] and kept[1][1] // 1000 + self.quiet_ms <= timerValues.getCurrentWatermarkInMs():
+                self._close(name, kept, out)
+        self._keep(known)
+        if out:
+            yield self._rows(out)
 
     def close(self) -> None:
         pass
@@ -227,4 +229,4 @@ def track_events(steps: DataFrame, quiet: str, delay: str) -> DataFrame:
     """
     use_rocksdb(steps.sparkSession)
     rows = steps.select(F.col("series").cast("string").alias("series"), F.timestamp_micros("t_us").alias("_time"), "t_us", F.col("seq").cast("long").alias("seq"), "kind", "final_alarm")
-    return rows.withWatermark("_time", delay).groupBy("series").transformWithStateInPandas(EventTracker(milliseconds(quiet)), EVENT, "append", "eventtime")
+    return in_buckets(rows.withWatermark("_time", delay), "series").transformWithStateInPandas(EventTracker(milliseconds(quiet)), EVENT, "append", "eventtime")
