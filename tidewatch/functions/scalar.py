@@ -106,13 +106,15 @@ def log_progress(line: Column) -> Column:
     A fraction is two whole numbers alone: no date, path or time of which they are a part. Its total is 2 or more, done at
     most that. Null where a line tells none.
     """
-    words = lambda text, between: F.split(text, between)
-    percents = F.filter(words(F.regexp_replace(line, r"\s+%", "%"), "[^0-9.%]+"), lambda w: w.rlike(r"^[0-9]{1,3}([.][0-9]+)?%"))
-    percent = F.split(F.get(percents, F.lit(0)), "%")[0].cast("double")
-    fractions = F.filter(words(F.regexp_replace(line, r"\s*/\s*", "/"), "[^0-9/.:-]+"), lambda w: w.rlike("^[0-9]+/[0-9]+$"))
-    last = F.split(F.get(fractions, F.size(fractions) - 1), "/")
-    done, total = (last[k].cast("double") for k in (0, 1))
-    return F.when(percent <= 100, percent / 100).when((total >= 2) & (done <= total), done / total)
+    # what a regular expression found is used several times, but looked for once
+    once = lambda found, use: F.get(F.transform(F.array(found), use), F.lit(0))
+    percent = F.regexp_extract(line, r"(?<![0-9.%])([0-9]{1,3}(?:[.][0-9]+)?)\s*%", 1)
+    share = once(F.when(line.contains("%"), percent), lambda p: F.when(p.try_cast("double") <= 100, p.try_cast("double") / 100))
+    # the last of them, as the text before takes all it can
+    pair = F.regexp_extract(F.regexp_replace(line, r"\s*/\s*", "/"), r"(?s)^.*(?<![0-9/.:-])([0-9]+/[0-9]+)(?![0-9/.:-])", 1)
+    number = lambda parts, k: F.get(parts, F.lit(k)).try_cast("double")
+    fraction = once(F.when(line.contains("/"), F.split(pair, "/")), lambda p: F.when((number(p, 1) >= 2) & (number(p, 0) <= number(p, 1)), number(p, 0) / number(p, 1)))
+    return F.coalesce(share, fraction)
 
 
 def group_number(group_id: str) -> int:
