@@ -1,8 +1,14 @@
 """Steps whose cost grew faster than it had to: each in the form that large tables need, with the same rows."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalar
+from tidewatch.operators.models import Gaussian
+from tidewatch.plans.queries import plain_detector
+from tidewatch.plans.star import stream_conf
+from tidewatch.streaming.detector import BUCKETS, step_series
 
 
 def test_progress_looks_for_each_expression_once(spark):
@@ -11,3 +17,23 @@ def test_progress_looks_for_each_expression_once(spark):
     assert [r["p"] for r in told.collect()] == [0.05, 0.125, 0.75, None, 1.0, None, None]
     plan = told._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") == 2 and plan.count("regexp_replace(") == 1
+
+
+def test_streams_keep_one_state_for_each_core(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        with stream_conf(spark):
+            assert int(spark.conf.get("spark.sql.shuffle.partitions")) == min(BUCKETS, spark.sparkContext.defaultParallelism)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_series_of_a_bucket_are_scored_by_few_calls(monkeypatch):
+    calls, score = [], Gaussian.numpy_score
+    monkeypatch.setattr(Gaussian, "numpy_score", lambda self, x: calls.append(len(x)) or score(self, x))
+    n, rng = 3000, np.random.default_rng(2)
+    frame = pd.DataFrame({"source": "normal", "series": rng.integers(0, 200, n).astype(str), "t_us": rng.integers(0, 10**12, n), "seq": np.arange(n), "kind": "normal", "truth": 0})
+    got = step_series(frame.assign(**{f"c{i}": rng.random(n) * 90 for i in range(3)}), plain_detector(), {})
+    assert len(got) == n and len(calls) <= 3

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +11,7 @@ from tidewatch.operators.sessions import sessionize
 from tidewatch.schema import Roles, Settings
 from tidewatch.sources.samples import to_samples
 from tidewatch.sources.scratch import scratch
+from tidewatch.streaming.detector import BUCKETS
 from tidewatch.streaming.stateful import ROCKS
 
 #: A day between events of a user and kind breaks a segment; errors are the fault source, views the idle rows.
@@ -57,10 +59,26 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessionize(line_samples(spark, sf_dir), LINE_SETTINGS.gap_sec)
 
 
+@contextmanager
+def stream_conf(spark: SparkSession, **also: str) -> Iterator[None]:
+    """Settings of the session while streams run. Each partition of a stateful step opens and writes a state of its own in each micro-batch, so there is
+    one for each core, and none of them is without a bucket of series."""
+    conf = {"spark.sql.shuffle.partitions": str(max(1, min(BUCKETS, spark.sparkContext.defaultParallelism))), **also}
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, value in conf.items():
+            spark.conf.set(c, value)
+        yield
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+
+
 def run_stream(stream: DataFrame, name: str) -> DataFrame:
     """What a stream over the files that are there gives in append mode, as a table."""
     spark, folder = stream.sparkSession, scratch(stream.sparkSession, name)
-    stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    with stream_conf(spark):
+        stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
@@ -71,14 +89,10 @@ def run_parts(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], n
     is kept in the RocksDB store, which the session is set to meanwhile.
     """
     spark = parts[0].sparkSession
-    folder, provider = scratch(spark, name), "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKS)
-    try:
+    folder = scratch(spark, name)
+    with stream_conf(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKS}):
         for part in parts:
             part.write.mode("append").parquet(f"{folder}/in")
             out = build(spark.readStream.schema(parts[0].schema).parquet(f"{folder}/in"))
             out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
     return spark.read.schema(out.schema).parquet(f"{folder}/rows")
