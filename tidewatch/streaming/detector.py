@@ -146,35 +146,40 @@ def in_series(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
 def step_series(frame: pd.DataFrame, detector: Detector, memories: dict[tuple, Memory], strict: bool = False) -> pd.DataFrame:
     """STEP columns of rows of many series (source, series, t_us, seq, kind, truth, c0, c1 and so on, and perhaps reset), whose memories go on."""
     frame, cuts = in_series(frame)
+    n = len(frame)
     times = frame["t_us"].to_numpy(np.int64)
     values = frame[[f"c{i}" for i in range(len(detector.settings.channels))]].to_numpy(float)
-    anew = frame["reset"].to_numpy(bool) if "reset" in frame else np.zeros(len(frame), bool)
-    source, series = (frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in ("source", "series"))
-    out: dict[str, list] = {}
-    for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        key = (source[first], series[first])
-        stepper = Stepper(detector, memories.get(key), strict)
-        starts = [first, *(first + 1 + np.flatnonzero(anew[first + 1 : end])).tolist(), end]
-        for a, b in zip(starts, starts[1:], strict=False):
-            if anew[a]:
-                stepper.reset()
-            for name, found in stepper.many(times[a:b], values[a:b]).items():
-                out.setdefault(name, []).extend(found)
-        memories[key] = stepper.memory
+    firsts = cuts[:-1]
+    source, series = (frame[c].astype(object).where(frame[c].notna(), None).to_numpy()[firsts].tolist() for c in ("source", "series"))
+    keys = list(zip(source, series, strict=True))
+    begins = np.zeros(n, bool)
+    begins[firsts] = True
+    anew = frame["reset"].to_numpy(bool) if "reset" in frame else np.zeros(n, bool)
+    # a piece is what a series has from its first row or a reset to the next reset
+    starts = np.flatnonzero(begins | anew)
+    of = np.cumsum(begins)[starts] - 1
+    kept = [Memory() if fresh else memories.get(keys[i]) or Memory() for i, fresh in zip(of.tolist(), anew[starts].tolist(), strict=True)]
+    out = step_pieces(detector, kept, np.append(starts, n), times, values, strict)
+    for i, memory in zip(of.tolist(), kept, strict=True):
+        memories[keys[i]] = memory
     truth = pd.to_numeric(frame["truth"]).astype("Int32")
     return pd.DataFrame({**{c: frame[c] for c in ("source", "series", "t_us", "seq", "kind")}, "ground_truth": truth, **out}, columns=[c.split()[0] for c in STEP.split(", ")])
 
 
-def window_features(times: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """The 16 features of each run of size rows, a row for each run: those that end at row size - 1, size, and so on."""
-    from numpy.lib.stride_tricks import sliding_window_view
+#: Runs of rows that are judged together: some ten megabytes.
+RUNS = 65_536
 
-    sec = sliding_window_view((times - times[0]) / 1e6, size)
+
+def window_features(times: np.ndarray, values: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """The 16 features of the runs of size rows that end at the rows `ends`, a row for each run."""
+    at = ends[:, None] - np.arange(size - 1, -1, -1)
+    t = times[at]
+    sec = (t - t[:, :1]) / 1e6
     sec = sec - sec.mean(1, keepdims=True)
     spread = (sec * sec).sum(1)
     out, centred = [], []
     for x in values.T:
-        w = sliding_window_view(x, size)
+        w = x[at]
         mean = w.mean(1)
         c = w - mean[:, None]
         centred.append(c)
@@ -187,12 +192,103 @@ def window_features(times: np.ndarray, values: np.ndarray, size: int) -> np.ndar
     return np.column_stack(out)
 
 
+def step_pieces(d: Detector, memories: list[Memory], cuts: np.ndarray, times: np.ndarray, values: np.ndarray, strict: bool = False) -> dict[str, np.ndarray | list]:
+    """The detector along many pieces of series at once: piece i is rows cuts[i] to cuts[i + 1], in the order of their times, behind memories[i],
+    which is replaced by what is kept behind the piece. Rows older than the last, and rows with unknown channels, change nothing and
+    carry a note; strict: they are an error."""
+    s, n, pieces = d.settings, len(times), len(memories)
+    piece = np.repeat(np.arange(pieces), np.diff(cuts))
+    last = np.array([0 if m.last is None else m.last for m in memories], np.int64)
+    met = np.array([m.last is not None for m in memories], bool)
+    segment = np.array([m.segment for m in memories], np.int64)
+    held = np.array([sum(m.history[-s.persistence :]) for m in memories], np.int64)
+    known = np.isfinite(values).all(1)
+    late = known & met[piece] & (times < last[piece])
+    taken = known & ~late
+    good = np.flatnonzero(taken)
+    if strict and len(good) < n:
+        raise ValueError(f"{n - len(good)} rows are late or have unknown channels")
+    gap = np.full(n, np.nan)
+    gap[late] = (times[late] - last[piece[late]]) / 1e6
+    own, t = piece[good], times[good]
+    opens = np.append(True, own[1:] != own[:-1])[: len(good)]
+    before = np.where(opens, last[own], np.append(0, t[:-1])[: len(good)])
+    gap[good] = np.where(opens & ~met[own], np.nan, (t - before) / 1e6)
+    starts = gap[good] > s.gap_sec
+    reset = np.zeros(n, bool)
+    reset[good] = starts
+    # a run is a segment's rows here; the first of a piece goes on behind what is in memory unless a gap starts it
+    first = np.flatnonzero(opens | starts)
+    run = np.cumsum(opens | starts) - 1
+    behind = [memories[p] if o and not b else None for p, o, b in zip(own[first].tolist(), opens[first].tolist(), starts[first].tolist(), strict=True)]
+    slots = np.array([max(len(m.times), len(m.scores), len(m.history)) if m else 0 for m in behind], np.int64)
+    # all rows in one array, those in memory before the run's own
+    at = np.arange(len(good)) + np.cumsum(slots)[run] if len(good) else np.zeros(0, np.int64)
+    start = (at[first] - slots) if len(good) else np.zeros(0, np.int64)
+    size = len(good) + int(slots.sum())
+    whole_t, whole = np.zeros(size, np.int64), np.zeros((size, values.shape[1]))
+    raw, history = np.zeros(size), np.zeros(size, bool)
+    whole_t[at], whole[at] = t, values[good]
+    rows_from, scores_from = start.copy(), start.copy()
+    for i in np.flatnonzero(slots).tolist():
+        m, end = behind[i], int(start[i] + slots[i])
+        rows_from[i], scores_from[i] = end - len(m.times), end - len(m.scores)
+        whole_t[end - len(m.times) : end] = m.times
+        whole[end - len(m.times) : end] = np.array(m.rows, float).reshape(-1, values.shape[1])
+        raw[end - len(m.scores) : end] = m.scores
+        history[end - len(m.history) : end] = m.history
+    scores = {name: np.full(n, np.nan) for name in NAMES}
+    scores["sample"][:] = 0.0
+    alarm = {name: np.zeros(n, bool) for name in NAMES}
+    if len(good):
+        previous = whole[np.where(at > rows_from[run], at - 1, at)]
+        raw[at] = d.models["sample"].numpy_score(np.hstack([whole[at], whole[at] - previous]))
+
+    def judge(name: str, length: int, since: np.ndarray, score) -> None:
+        """Scores of the rows that have `length` rows of their segment, themselves the last, from the places `since` of their runs on."""
+        full = np.flatnonzero(at - since[run] >= length - 1) if len(good) else np.zeros(0, np.int64)
+        for k in range(0, len(full), RUNS):
+            chosen = full[k : k + RUNS]
+            found = score(at[chosen])
+            scores[name][good[chosen]] = found
+            alarm[name][good[chosen]] = found >= d.thresholds[name]
+
+    judge("sample", s.smooth, scores_from, lambda ends: raw[ends[:, None] - np.arange(s.smooth - 1, -1, -1)].mean(axis=1))
+    for name, length in (("short", s.short_size), ("long", s.long_size)):
+        judge(name, length, rows_from, lambda ends, name=name, length=length: d.models[name].numpy_score(window_features(whole_t, whole, ends, length)))
+    any_of = alarm["sample"] | alarm["short"] | alarm["long"]
+    history[at] = any_of[good]
+    sums = np.append(0, np.cumsum(history))
+    number, count, final = segment[piece], held[piece], np.zeros(n, bool)
+    if len(good):
+        count[good] = sums[at + 1] - sums[np.maximum(at + 1 - s.persistence, start[run])]
+        final[good] = count[good] == s.persistence
+        breaks = np.cumsum(starts)
+        number[good] = segment[own] + breaks - (breaks - starts)[np.maximum.accumulate(np.where(opens, np.arange(len(good)), 0))]
+        # a row without effect tells the state that it met: that of the last good row before it, or the one at the start
+        idle = np.flatnonzero(~taken)
+        place = np.searchsorted(good, idle) - 1
+        some = (place >= 0) & (own[np.maximum(place, 0)] == piece[idle])
+        number[idle[some]], count[idle[some]] = number[good[place[some]]], count[good[place[some]]]
+        ends = np.flatnonzero(np.append(own[1:] != own[:-1], True))
+        for p, e, r, own_start, rows_start, scores_start, last_t, segment_now in zip(own[ends].tolist(), (at[ends] + 1).tolist(), run[ends].tolist(), start[run[ends]].tolist(), rows_from[run[ends]].tolist(), scores_from[run[ends]].tolist(), t[ends].tolist(), number[good[ends]].tolist(), strict=True):
+            since = max(e - s.long_size, rows_start)
+            had = own_start if not slots[r] else own_start + int(slots[r]) - len(behind[r].history)
+            memories[p] = Memory(last_t, segment_now, whole_t[since:e].tolist(), whole[since:e].ravel().tolist(), raw[max(e - s.smooth, scores_start) : e].tolist(), history[max(e - s.persistence, had) : e].tolist())
+    marks = [[name for bit, name in enumerate(("sample", "0.5s", "1.0s")) if code >> bit & 1] for code in range(8)]
+    active = alarm["sample"] + 2 * alarm["short"] + 4 * alarm["long"]
+    out: dict[str, np.ndarray | list] = {"segment_reset": reset, "gap_sec": gap}
+    out |= {f"{c}_score": scores[c] for c in NAMES} | {f"{c}_alarm": alarm[c] for c in NAMES}
+    out |= {"or_3": any_of, "final_alarm": final, "note": np.where(known, np.where(late, "late", None), "invalid")}
+    return out | {"segment_id": number, "persistence_count": count, "active_detectors": [marks[code] for code in active.tolist()]}
+
+
 class Stepper:
     """The detector along one series. Rows older than the last, and rows with unknown channels, change nothing and carry a note;
     strict: they are an error."""
 
     def __init__(self, detector: Detector, memory: Memory | None = None, strict: bool = False):
-        self.d, self.s, self.memory, self.strict = detector, detector.settings, memory or Memory(), strict
+        self.d, self.memory, self.strict = detector, memory or Memory(), strict
 
     def reset(self) -> None:
         """Forgets the series, as before its first row."""
@@ -203,83 +299,11 @@ class Stepper:
         return {k: v[0] for k, v in self.many(np.array([t_us]), np.array([values], float)).items()}
 
     def many(self, times: np.ndarray, values: np.ndarray) -> dict[str, list]:
-        """Rows in the order of their times, scored segment by segment at once; the time taken is linear in the rows."""
-        m, s, n = self.memory, self.s, len(times)
-        known = np.isfinite(values).all(1)
-        late = known & (times < m.last) if m.last is not None else np.zeros(n, bool)
-        taken = known & ~late
-        good = np.flatnonzero(taken)
-        if self.strict and len(good) < n:
-            raise ValueError(f"{n - len(good)} rows are late or have unknown channels")
-        gap = np.full(n, np.nan)
-        if m.last is not None:
-            gap[late] = (times[late] - m.last) / 1e6
-        t = times[good]
-        before = np.append(np.nan if m.last is None else m.last, t[:-1])[: len(good)]
-        gap[good] = (t - before) / 1e6
-        starts = gap[good] > s.gap_sec
-        reset = np.zeros(n, bool)
-        reset[good] = starts
-        scores = {name: np.full(n, np.nan) for name in NAMES}
-        scores["sample"][:] = 0.0
-        alarm = {name: np.zeros(n, bool) for name in (*NAMES, "or_3", "final")}
-        # a row without effect tells the state that it met: that of the last good row before it, or the one at the start
-        number, count = np.full(n, m.segment), np.full(n, sum(m.history[-s.persistence :]))
-        cuts = [*np.unique(np.append(np.flatnonzero(starts), 0)).tolist(), len(good)] if len(good) else []
-        for first, end in zip(cuts, cuts[1:], strict=False):
-            if starts[first]:
-                m.times, m.rows, m.scores, m.history = [], [], [], []
-                m.segment += 1
-            self._segment(times, values, good[first:end], scores, alarm, count)
-            number[good[first:end]] = m.segment
-        place = np.searchsorted(good, np.flatnonzero(~taken)) - 1
-        for i, at in zip(np.flatnonzero(~taken).tolist(), place.tolist(), strict=True):
-            if at >= 0:
-                number[i], count[i] = number[good[at]], count[good[at]]
-        plain = lambda x: [None if v != v else v for v in x.tolist()]
-        marks = list(zip(("sample", "0.5s", "1.0s"), (alarm[c].tolist() for c in NAMES), strict=True))
-        out: dict[str, list] = {"segment_reset": reset.tolist(), "gap_sec": plain(gap)}
-        out |= {f"{c}_score": plain(scores[c]) for c in NAMES} | {f"{c}_alarm": alarm[c].tolist() for c in NAMES}
-        out |= {"or_3": alarm["or_3"].tolist(), "final_alarm": alarm["final"].tolist(), "note": np.where(known, np.where(late, "late", None), "invalid").tolist()}
-        return out | {"segment_id": number.tolist(), "persistence_count": count.tolist(), "active_detectors": [[name for name, on in marks if on[i]] for i in range(n)]}
-
-    def _segment(self, times: np.ndarray, values: np.ndarray, own: np.ndarray, scores: dict, alarm: dict, count: np.ndarray) -> None:
-        """Scores and alarms of the rows `own` of one segment, behind those in memory."""
-        from numpy.lib.stride_tricks import sliding_window_view
-
-        m, s, k = self.memory, self.s, len(self.memory.times)
-        whole_t = np.append(np.array(m.times, np.int64), times[own])
-        whole = np.vstack([np.array(m.rows, float).reshape(k, values.shape[1]), values[own]])
-        previous = np.vstack([whole[:1], whole[:-1]])[k:]
-        raw = np.append(m.scores, self.d.models["sample"].numpy_score(np.hstack([values[own], values[own] - previous])))
-
-        def last_of(found: np.ndarray) -> np.ndarray:
-            """The rows that the last of the found values belong to."""
-            return own[len(own) - min(len(own), len(found)) :]
-
-        if len(raw) >= s.smooth:
-            mean = sliding_window_view(raw, s.smooth).mean(axis=1)
-            at = last_of(mean)
-            scores["sample"][at] = mean[len(mean) - len(at) :]
-            alarm["sample"][at] = scores["sample"][at] >= self.d.thresholds["sample"]
-        for name, size in (("short", s.short_size), ("long", s.long_size)):
-            if len(whole) >= size:
-                # the runs that end at one of the new rows
-                first = max(0, k - size + 1)
-                found = self.d.models[name].numpy_score(window_features(whole_t[first:], whole[first:], size))
-                at = last_of(found)
-                scores[name][at] = found[len(found) - len(at) :]
-                alarm[name][at] = scores[name][at] >= self.d.thresholds[name]
-        alarm["or_3"][own] = alarm["sample"][own] | alarm["short"][own] | alarm["long"][own]
-        history = np.append(np.array(m.history, bool), alarm["or_3"][own])
-        sums = np.cumsum(history)
-        upto = np.arange(len(m.history), len(history))
-        since = np.maximum(upto - s.persistence, -1)
-        count[own] = sums[upto] - np.where(since >= 0, sums[since], 0)
-        alarm["final"][own] = count[own] == s.persistence
-        m.last = int(times[own[-1]])
-        m.times, m.rows = whole_t[-s.long_size :].tolist(), whole[-s.long_size :].ravel().tolist()
-        m.scores, m.history = raw[-s.smooth :].tolist(), history[-s.persistence :].tolist()
+        """Rows in the order of their times."""
+        kept = [self.memory]
+        found = step_pieces(self.d, kept, np.array([0, len(times)]), times, values, self.strict)
+        self.memory = kept[0]
+        return {k: [None if x != x else x for x in (v if isinstance(v, list) else v.tolist())] for k, v in found.items()}
 
 
 def detect_stream(stream: DataFrame, detector: Detector, strict: bool = False) -> DataFrame:
