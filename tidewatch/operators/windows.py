@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tidewatch.functions.scalar import seconds
-from tidewatch.schema import Settings, correlation_name
+from tidewatch.schema import Settings, correlation_name, feature_names
 
 def in_segment():
     """A segment, in the order of its rows."""
@@ -22,41 +23,43 @@ def window_starts(rows: DataFrame, window_sec: float, step_sec: float, min_sampl
 
     From a segment's first sample: a window [start, start + window) that ends by the segment's last sample and holds
     min_samples is kept, and the next starts at the first sample a step or more later; with fewer samples, the next starts at the next
-    sample. Each start depends on the one before, so a segment is walked in order, holding no more rows than a window spans.
+    sample. Which samples could start a window is told for all segments of a batch at once; only these are walked in order, so a segment without
+    any costs no step of its own. No more rows are held than a window spans.
     """
-    width, step = round(window_sec * 1e6), round(step_sec * 1e6)
+    width, step, ahead = round(window_sec * 1e6), round(step_sec * 1e6), max(min_samples - 1, 0)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, wanted = None, np.zeros(0, np.int64), None
-        # held: the times from the next candidate on; a start is decided once a sample at or after its window's end is seen
+        # held: the last segment's rows that more rows may yet make a window of; wanted: no window of it starts before
+        name, held, wanted = None, np.zeros(0, np.int64), None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             names = batch.column(0).dictionary_encode()
-            number, times = names.indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
-            cuts = np.flatnonzero(np.diff(number, prepend=-1))
-            for a, b in zip(cuts, np.append(cuts[1:], len(number)), strict=True):
-                name = names.dictionary[int(number[a])].as_py()
-                if name != group:
-                    group, held, wanted = name, np.zeros(0, np.int64), None
-                held = np.concatenate([held, times[a:b]])
-                decided = int(np.searchsorted(held, held[-1] - width, "right"))
-                full = np.searchsorted(held, held[:decided] + width) - np.arange(decided) >= min_samples
-                # times never fall, so the first sample a step later is found by search
-                after = np.where(full, np.searchsorted(held, held[:decided] + step), np.arange(1, decided + 1)).tolist()
-                at, starts = int(np.searchsorted(held, wanted)) if wanted is not None else 0, []
-                wanted = wanted if at >= len(held) else None
-                full = full.tolist()
-                while at < decided:
-                    if full[at]:
-                        starts.append(at)
-                        wanted = int(held[at]) + step
-                    else:
-                        wanted = None
-                    at = after[at]
-                if at < len(held):
-                    wanted = None
-                if starts:
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(starts), pa.string()), pa.array(held[starts])], ["group_id", "start_us"])
-                held = held[at:]
+            code, times = names.indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            if names.dictionary[int(code[0])].as_py() != name:
+                held, wanted = np.zeros(0, np.int64), None
+            code, times = np.append(np.full(len(held), code[0]), code), np.append(held, times)
+            n = len(code)
+            cuts = np.append(np.flatnonzero(np.diff(code, prepend=-1)), n)
+            end = np.repeat(cuts[1:], np.diff(cuts))
+            at = np.arange(n) + ahead
+            full = (at < end) & (times[np.minimum(at, n - 1)] < times + width) & (times + width <= times[end - 1])
+            found, before = [], -1
+            places = np.flatnonzero(full)
+            for i, t, g in zip(places.tolist(), times[places].tolist(), code[places].tolist(), strict=True):
+                if g != before:
+                    least, before = wanted if g == code[0] else None, g
+                if least is None or t >= least:
+                    found.append(i)
+                    least = t + step
+            last = int(code[-1])
+            wanted = least if before == last else wanted if last == code[0] else None
+            name = names.dictionary[last].as_py()
+            # what is decided is let go: a window that the segment's last sample so far ends
+            own = times[cuts[-2] :]
+            held = own[int(np.searchsorted(own, own[-1] - width, "right")) :]
+            if found:
+                yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(code[found])).cast(pa.string()), pa.array(times[found])], ["group_id", "start_us"])
 
     walked = rows.select("group_id", "t_us").repartition("group_id").sortWithinPartitions("group_id", "t_us").mapInArrow(walk, "group_id string, start_us long")
     return walked.withColumn("end_us", F.col("start_us") + width)
@@ -119,30 +122,92 @@ def full_windows(size: int) -> Column:
     return F.row_number().over(in_segment()) >= size
 
 
-def count_windows(rows: DataFrame, size: int, channels: tuple[str, ...]) -> DataFrame:
-    """rows with the 16 features of the last size samples of the segment; null before there are so many.
-
-    All frames share one order, so the features add one Window node to the segments' partitioning.
+def run_features(times: np.ndarray, values: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """The 16 features of the runs of size rows that end at the rows `ends`, a row for each run: of what is known (not NaN), NaN where there is too little."""
+    at = ends[:, None] - np.arange(size - 1, -1, -1)
+    t = times[at]
+    sec = (t - t[:, :1]) / 1e6
+    out, parts = [], []
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for x in values.T:
+            w = x[at]
+            known = ~np.isnan(w)
+            n = known.sum(1)
+            # from the first known value on, so equal values deviate by nothing
+            base = w[np.arange(len(w)), known.argmax(1)]
+            w = np.where(known, w, base[:, None])
+            c = w - base[:, None]
+            mean = c.sum(1, where=known) / n
+            c = np.where(known, c - mean[:, None], 0.0)
+            s = np.where(known, sec - (sec.sum(1, where=known) / n)[:, None], 0.0)
+            squares, spread = (c * c).sum(1), (s * s).sum(1)
+            slope = np.where(spread > 0, (s * c).sum(1) / spread, np.nan)
+            out += [base + mean, np.where(n > 1, np.sqrt(squares / (n - 1)), np.nan), np.sqrt((w * w).sum(1, where=known) / n), np.ptp(w, 1), slope]
+            parts.append((known, c, np.sqrt(squares / n)))
+        (ka, a, da), (kb, b, db) = parts[:2]
+        both = ka & kb
+        m = both.sum(1)
+        covariance = (a * b).sum(1, where=both) / m - a.sum(1, where=both) / m * (b.sum(1, where=both) / m)
+        scale = da * db
+        out.append(np.where((m > 0) & (scale > 0), covariance / scale, 0.0))
+    return np.column_stack(out)
+
+
+def count_windows_of(rows: DataFrame, sizes: dict[str, int], channels: tuple[str, ...], diffs: bool = False, starts: bool = False) -> DataFrame:
+    """rows with the 16 features of the last samples of the segment for each prefix and size; null before there are so many.
+
+    diffs: also sample_features; starts: also window_start_us, the first time of the last size. A segment is read in order once for all of
+    them, a batch of many segments at a time, and no more of it is held than the longest window.
     """
-    frame = in_segment().rowsBetween(1 - size, 0)
-    first = F.min("t_us").over(frame)
-    features: dict[str, Column] = {}
-    for x in channels:
-        col = F.col(x)
-        features |= {
-            f"{x}_mean": F.avg(col).over(frame),
-            f"{x}_std": F.stddev_samp(col).over(frame),
-            f"{x}_rms": F.sqrt(F.avg(col * col).over(frame)),
-            f"{x}_ptp": F.max(col).over(frame) - F.min(col).over(frame),
-            f"{x}_slope": F.regr_slope(col, F.col("_sec")).over(frame),
-        }
-    a, b = F.col(channels[0]), F.col(channels[1])
-    features[correlation_name(channels)] = F.coalesce(F.try_divide(F.covar_pop(a, b).over(frame), F.stddev_pop(a).over(frame) * F.stddev_pop(b).over(frame)), F.lit(0.0))
-    origin = F.min("t_us").over(Window.partitionBy("group_id"))
-    timed = rows.withColumn("_sec", seconds(F.col("t_us"), origin))
-    full = full_windows(size)
-    out = timed.withColumns({k: F.when(full, v) for k, v in features.items()} | {"window_start_us": F.when(full, first)})
-    return out.drop("_sec")
+    names, given = feature_names(channels), list(rows.columns)
+    places = [given.index(c) for c in ("group_id", "t_us", *channels)]
+    fields = [StructField(f"{c}_diff", DoubleType()) for c in channels] if diffs else []
+    for prefix in sizes:
+        fields += [StructField(prefix + f, DoubleType()) for f in names] + ([StructField(prefix + "window_start_us", LongType())] if starts else [])
+    back = max(max(sizes.values()) - 1, 1)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, old_t, old = None, np.zeros(0, np.int64), np.zeros((0, len(channels)))
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            groups = batch.column(places[0]).dictionary_encode()
+            code = groups.indices.to_numpy(zero_copy_only=False)
+            if groups.dictionary[int(code[0])].as_py() != name:
+                old_t, old = old_t[:0], old[:0]
+            k = len(old_t)
+            t = np.append(old_t, batch.column(places[1]).to_numpy())
+            x = np.vstack([old, np.column_stack([batch.column(p).to_numpy(zero_copy_only=False).astype(float) for p in places[2:]])])
+            first = np.append(True, code[1:] != code[:-1])
+            begin = np.maximum.accumulate(np.where(first, np.arange(k, n + k), 0))
+            begin[begin == k] = 0
+            ends = np.arange(k, n + k)
+            more = []
+            if diffs:
+                d = x[k:] - x[np.where(ends > begin, ends - 1, ends)]
+                more += [pa.array(c) for c in np.where(np.isnan(d), 0.0, d).T]
+            for size in sizes.values():
+                full = np.flatnonzero(ends - begin >= size - 1)
+                found = np.full((n, len(names)), np.nan)
+                found[full] = run_features(t, x, ends[full], size)
+                more += [pa.array(c, mask=np.isnan(c)) for c in found.T]
+                if starts:
+                    at, none = np.zeros(n, np.int64), np.ones(n, bool)
+                    at[full], none[full] = t[ends[full] - size + 1], False
+                    more.append(pa.array(at, mask=none))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*given, *(f.name for f in fields)])
+            name = groups.dictionary[int(code[-1])].as_py()
+            since = max(int(begin[-1]), n + k - back)
+            old_t, old = t[since:], x[since:]
+
+    ordered = rows.repartition("group_id").sortWithinPartitions("group_id", "t_us", "seq")
+    return ordered.mapInArrow(features, StructType([*rows.schema.fields, *fields]))
+
+
+def count_windows(rows: DataFrame, size: int, channels: tuple[str, ...]) -> DataFrame:
+    """rows with the 16 features of the last size samples of the segment, and window_start_us; null before there are so many."""
+    return count_windows_of(rows, {"": size}, channels, starts=True)
 
 
 def sample_features(rows: DataFrame, channels: tuple[str, ...], rolling: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ from tidewatch.functions.scalar import alarm_state, label_of, stream_kind
 from tidewatch.operators.alarms import derive_alarms, smoothed
 from tidewatch.operators.models import Forest, Gaussian, fit_forest, fit_gaussians, model_from_json
 from tidewatch.operators.thresholds import normal_quantile
-from tidewatch.operators.windows import count_windows, sample_feature_names, sample_features
+from tidewatch.operators.windows import count_windows_of, run_features, sample_feature_names
 from tidewatch.schema import Settings, feature_names
 from tidewatch.sources.scratch import written
 
@@ -49,11 +49,7 @@ class Detector:
 
 def model_inputs(rows: DataFrame, settings: Settings) -> DataFrame:
     """rows with all features: the sample's, and those of both windows, prefixed short_ and long_."""
-    out = sample_features(rows, settings.channels)
-    for prefix, size in (("short", settings.short_size), ("long", settings.long_size)):
-        names = feature_names(settings.channels)
-        out = count_windows(out, size, settings.channels).withColumnsRenamed({n: f"{prefix}_{n}" for n in names}).drop("window_start_us")
-    return out
+    return count_windows_of(rows, {"short_": settings.short_size, "long_": settings.long_size}, settings.channels, diffs=True)
 
 
 def features_of(settings: Settings) -> dict[str, list[str]]:
@@ -170,28 +166,6 @@ def step_series(frame: pd.DataFrame, detector: Detector, memories: dict[tuple, M
 RUNS = 65_536
 
 
-def window_features(times: np.ndarray, values: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
-    """The 16 features of the runs of size rows that end at the rows `ends`, a row for each run."""
-    at = ends[:, None] - np.arange(size - 1, -1, -1)
-    t = times[at]
-    sec = (t - t[:, :1]) / 1e6
-    sec = sec - sec.mean(1, keepdims=True)
-    spread = (sec * sec).sum(1)
-    out, centred = [], []
-    for x in values.T:
-        w = x[at]
-        mean = w.mean(1)
-        c = w - mean[:, None]
-        centred.append(c)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            slope = np.where(spread > 0, (sec * c).sum(1) / spread, np.nan)
-        out += [mean, w.std(1, ddof=1), np.sqrt((w * w).mean(1)), np.ptp(w, 1), slope]
-    scale = np.sqrt((centred[0] ** 2).mean(1) * (centred[1] ** 2).mean(1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out.append(np.where(scale > 0, (centred[0] * centred[1]).mean(1) / scale, 0.0))
-    return np.column_stack(out)
-
-
 def step_pieces(d: Detector, memories: list[Memory], cuts: np.ndarray, times: np.ndarray, values: np.ndarray, strict: bool = False) -> dict[str, np.ndarray | list]:
     """The detector along many pieces of series at once: piece i is rows cuts[i] to cuts[i + 1], in the order of their times, behind memories[i],
     which is replaced by what is kept behind the piece. Rows older than the last, and rows with unknown channels, change nothing and
@@ -255,7 +229,7 @@ def step_pieces(d: Detector, memories: list[Memory], cuts: np.ndarray, times: np
 
     judge("sample", s.smooth, scores_from, lambda ends: raw[ends[:, None] - np.arange(s.smooth - 1, -1, -1)].mean(axis=1))
     for name, length in (("short", s.short_size), ("long", s.long_size)):
-        judge(name, length, rows_from, lambda ends, name=name, length=length: d.models[name].numpy_score(window_features(whole_t, whole, ends, length)))
+        judge(name, length, rows_from, lambda ends, name=name, length=length: d.models[name].numpy_score(run_features(whole_t, whole, ends, length)))
     any_of = alarm["sample"] | alarm["short"] | alarm["long"]
     history[at] = any_of[good]
     sums = np.append(0, np.cumsum(history))
