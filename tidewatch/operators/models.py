@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tidewatch.functions.scalar import signed_log1p
 
@@ -111,6 +111,71 @@ def exact_medians(rows: DataFrame, features: list[str], numbers: list[int], by:
     return {(*(r[c] for c in by), r["feature"]): float(r["quantiles"][0]) for r in found.collect()}
 
 
+def _in_groups(batch: pa.RecordBatch, k: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The groups of a batch by its first k columns, each with the values of its rows in the others."""
+    values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[k:]])
+    code = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns[:k]:
+        own = c.dictionary_encode(null_encoding="encode")
+        code = np.unique(code * len(own.dictionary) + own.indices.to_numpy(), return_inverse=True)[1]
+    for number, first in enumerate(np.unique(code, return_index=True)[1].tolist()):
+        yield tuple(c[first].as_py() for c in batch.columns[:k]), values[code == number]
+
+
+def _merged(a: tuple | None, b: tuple) -> tuple:
+    """Rows, means and centred products of two sets of rows together."""
+    if a is None:
+        return b
+    n, d = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+def _moments(x: DataFrame, by: list[str]) -> dict[tuple, tuple[int, np.ndarray, np.ndarray]]:
+    """Of each group its rows, means and covariances (divisor n): each task sends one row for each group it meets."""
+    k, p = len(by), len(x.columns) - len(by)
+    schema = StructType([*x.select(*by).schema.fields, StructField("n", LongType()), StructField("mean", ArrayType(DoubleType())), StructField("products", ArrayType(DoubleType()))])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, kept = {}, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kept = batch.schema
+            for key, v in _in_groups(batch, k):
+                mean = v.mean(0)
+                total[key] = _merged(total.get(key), (len(v), mean, (v - mean).T @ (v - mean)))
+        if total:
+            keys = [pa.array([key[i] for key in total], kept.field(i).type) for i in range(k)]
+            lists = [pa.array([t[j].ravel().tolist() for t in total.values()], pa.list_(pa.float64())) for j in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([t[0] for t in total.values()]), *lists], [f.name for f in schema])
+
+    out: dict[tuple, tuple] = {}
+    for r in x.mapInArrow(sums, schema).collect():
+        key = tuple(r[:k])
+        out[key] = _merged(out.get(key), (r["n"], np.array(r["mean"]), np.array(r["products"]).reshape(p, p)))
+    return {key: (n, mean, products / n) for key, (n, mean, products) in out.items()}
+
+
+def _fourth_moments(x: DataFrame, by: list[str], means: dict[tuple, np.ndarray]) -> dict[tuple, float]:
+    """Of each group the sum of ||x - mean||^4."""
+    k = len(by)
+    schema = StructType([*x.select(*by).schema.fields, StructField("fourth", DoubleType())])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, kept = {}, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kept = batch.schema
+            for key, v in _in_groups(batch, k):
+                total[key] = total.get(key, 0.0) + float((((v - means[key]) ** 2).sum(1) ** 2).sum())
+        if total:
+            yield pa.RecordBatch.from_arrays([*(pa.array([key[i] for key in total], kept.field(i).type) for i in range(k)), pa.array(list(total.values()))], [f.name for f in schema])
+
+    found = x.mapInArrow(sums, schema)
+    return {tuple(r[:k]): float(r[k]) for r in found.groupBy(*by).agg(F.sum("fourth")).collect()}
+
+
 def fit_gaussians(rows: DataFrame, features: list[str], by: list[str], kind: str = "ledoit_wolf", among: DataFrame | None = None) -> dict[tuple, Gaussian]:
     """A model for each group of `by`.
 
@@ -118,8 +183,7 @@ def fit_gaussians(rows: DataFrame, features: list[str], by: list[str], kind: str
     them; without it all features have one. One pass gives means and covariances, Ledoit-Wolf shrinkage needs one more for the fourth moment
     about the mean. A group's moments are p * (p + 3) / 2 numbers.
     """
-    n_of, k = len(features), len(by)
-    pairs = [(i, j) for i in range(n_of) for j in range(i, n_of)]
+    n_of = len(features)
     numbers = list(range(n_of)) if among is None else open_features(among, features)
     medians = exact_medians(rows, features, numbers, by)
     keys = sorted({key[:-1] for key in medians}, key=str)
@@ -133,25 +197,14 @@ def fit_gaussians(rows: DataFrame, features: list[str], by: list[str], kind: str
         source = rows.join(F.broadcast(table), by)
         value = [F.coalesce(v, F.col(f"_m{i}")) for i, v in enumerate(value)]
     x = source.select(*by, *(signed_log1p(v).alias(f"_x{i}") for i, v in enumerate(value)))
-    cols = [F.col(f"_x{i}") for i in range(n_of)]
-    found = x.groupBy(*by).agg(F.count(F.lit(1)), *(F.avg(c) for c in cols), *(F.covar_pop(cols[i], cols[j]) for i, j in pairs)).collect()
-    out = {}
-    for r in found:
-        key, n = tuple(r[:k]), r[k]
-        s = np.zeros((n_of, n_of))
-        for (i, j), v in zip(pairs, r[k + 1 + n_of :], strict=True):
-            s[i, j] = s[j, i] = v
-        out[key] = (n, [float(v) for v in r[k + 1 : k + 1 + n_of]], s)
+    out = _moments(x, by)
     fourth = dict.fromkeys(out, 0.0)
     if kind == "ledoit_wolf":
-        means = rows.sparkSession.createDataFrame([(*key, *u) for key, (_, u, _) in out.items()], StructType([*by_fields, *of("_u")]))
-        centred = x.join(F.broadcast(means), by)
-        norm = sum(((F.col(f"_x{i}") - F.col(f"_u{i}")) ** 2 for i in range(n_of)), F.lit(0.0))
-        fourth |= {tuple(r[:k]): float(r[k]) for r in centred.groupBy(*by).agg(F.sum(norm * norm)).collect()}
+        fourth |= _fourth_moments(x, by, {key: location for key, (_, location, _) in out.items()})
     models = {}
     for key, (n, location, s) in out.items():
         covariance, share = shrink(s, n, fourth[key], kind)
-        models[key] = Gaussian(list(features), location, np.linalg.pinv(covariance, hermitian=True).tolist(), middle.get(key, [0.0] * n_of), share, int(n), kind)
+        models[key] = Gaussian(list(features), location.tolist(), np.linalg.pinv(covariance, hermitian=True).tolist(), middle.get(key, [0.0] * n_of), share, int(n), kind)
     return models
 
 

@@ -17,6 +17,7 @@ from tidewatch.operators import alarms, analysis, metrics, sessions, splits, thr
 from tidewatch.operators.models import Gaussian, fit_forest, fit_gaussian
 from tidewatch.plans.star import EVENT_SETTINGS, EVENTS, LINE_SETTINGS, event_rows, event_samples, line_rows, line_samples, run_stream, table
 from tidewatch.sources.samples import drop_unknown, quality_counts, to_samples
+from tidewatch.sources.scratch import written
 from tidewatch.streaming.detector import Detector, detect, detect_stream, features_of, running_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -357,17 +358,19 @@ def shrunk_mahalanobis_3d(spark, sf_dir):
 def ledoit_wolf_score(spark, sf_dir):
     rows = line_rows(spark, sf_dir)
     from tidewatch.schema import feature_names
-    from tidewatch.sources.scratch import written
 
-    w = written(windows.count_windows(rows, 5, LINE_SETTINGS.channels).where("window_start_us is not null"), "ledoit-wolf")
+    names = feature_names(LINE_SETTINGS.channels)
+    w = windows.count_windows(rows, 5, LINE_SETTINGS.channels).where("window_start_us is not null")
+    w = written(w.select("group_id", "seq", "kind", *names), "ledoit-wolf")
 
-    model = fit_gaussian(w.where("kind = 'normal'"), feature_names(LINE_SETTINGS.channels), among=w)
+    model = fit_gaussian(w.where("kind = 'normal'"), names, among=w)
     return w.select("group_id", "seq", F.round(model.score(), 4).alias("score"))
 
 
 @query()
 def isolation_forest_score(spark, sf_dir):
-    rows = line_rows(spark, sf_dir)
+    # written, as several passes read them
+    rows = written(line_rows(spark, sf_dir).select("group_id", "t_us", "seq", "kind", *LINE_SETTINGS.channels), "forest-rows")
     model = fit_forest(rows.where("kind = 'normal'"), list(LINE_SETTINGS.channels), 100, key=["group_id", "t_us", "seq"], among=rows)
     return rows.select("group_id", "seq", F.round(model.score(), 6).alias("score"))
 
