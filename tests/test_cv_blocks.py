@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import metrics, sessions
-from tidewatch.operators.models import Forest, _grow
+from tidewatch.operators import metrics, models, sessions
+from tidewatch.operators.models import Forest, _grow, all_cuts
 from tidewatch.plans import cv_blocks, protocol
 from tidewatch.schema import Settings
 
@@ -72,3 +72,23 @@ def test_forest_scores_equal_a_walk():
         from tidewatch.operators.models import _average_path
 
         assert got == pytest.approx(2 ** (-total / 5 / _average_path(64)))
+
+
+def test_forests_share_ranks_and_no_row_is_walked_by_itself():
+    """Ranks among the cuts of several forests give each forest's own; a value at a cut goes right."""
+    rng = np.random.default_rng(1)
+    forests = [Forest(["a", "b"], [0.5, 0.5], [_grow(rng.integers(0, 9, (64, 2)).astype(float), 6, rng) for _ in range(7)], 64) for _ in range(2)]
+    x = np.vstack([rng.random((150, 2)) * 9, np.column_stack([forests[0].cuts[0][:20], forests[0].cuts[1][:20]])])
+    every = all_cuts(forests)
+    ranks = [np.searchsorted(cuts, c, "right") for cuts, c in zip(every, x.T)]
+    for f in forests:
+        total = np.zeros(len(x))
+        for t in f.trees:
+            node = np.zeros(len(x), int)
+            for _ in range(7):
+                right = x[np.arange(len(x)), np.maximum(t["feature"][node], 0)] >= t["value"][node]
+                node = np.where(t["feature"][node] < 0, node, np.where(right, t["right"][node], t["left"][node]))
+            total = total + t["path"][node]
+        got = f.ranked_score([table.take(r) for table, r in zip(f.rank_tables(every), ranks)])
+        assert (got == f.logged_score(x)).all()
+        np.testing.assert_allclose(got, 2 ** (-total / 7 / models._average_path(64)))

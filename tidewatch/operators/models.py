@@ -222,6 +222,61 @@ def _average_path(n: float) -> float:
     return 1.0 if n == 2 else 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
+#: Rows that a forest scores at a time: so many that calls cost little each; the comparisons with all cuts take some tens of megabytes.
+SCORED_ROWS = 1 << 16
+
+
+def _above(rank: np.ndarray, cuts: int) -> list[np.ndarray | None]:
+    """For each number k from 1 to cuts which ranks are at least k, 64 rows in a word.
+
+    Ranks are halved as in a binary search, all rows at once: of the rows whose rank is in a range, those in its upper half have the next bit.
+    """
+    out: list[np.ndarray | None] = [None] * (cuts + 1)
+    whole = np.zeros(-(-len(rank) // 64) * 64, np.uint32)
+    whole[: len(rank)] = rank
+    bits = [np.packbits((whole >> i & 1).astype(bool)).view(np.uint64) for i in range(cuts.bit_length())]
+
+    def halve(low: int, bit: int, inside: np.ndarray, over: np.ndarray) -> None:
+        middle = low + (1 << bit)
+        if middle <= cuts:
+            upper = inside & bits[bit]
+            out[middle] = over | upper
+            if bit:
+                halve(middle, bit - 1, upper, over)
+                halve(low, bit - 1, inside ^ upper, out[middle])
+        elif bit:
+            halve(low, bit - 1, inside, over)
+
+    if bits:
+        halve(0, len(bits) - 1, np.full(len(whole) // 64, -1, np.int64).view(np.uint64), np.zeros(len(whole) // 64, np.uint64))
+    return out
+
+
+def _turns(nodes: list[tuple], above: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The turns of all rows in a tree, level by level, 64 rows in a word: 1 for right, 0 for left and below a leaf. No row is looked up by itself: all
+    nodes' turns are there, and which of them count for a row is a matter of a few words."""
+
+    def below(k: int) -> list[np.ndarray]:
+        feature, number, left, right = nodes[k]
+        if feature < 0:
+            return []
+        turn, lower, higher = above[feature][number], below(left), below(right)
+        out = [turn]
+        for i in range(max(len(lower), len(higher))):
+            if i >= len(lower):
+                out.append(higher[i] & turn)
+            elif i >= len(higher):
+                out.append(lower[i] & ~turn)
+            else:
+                own = lower[i] ^ higher[i]
+                own &= turn
+                own ^= lower[i]
+                out.append(own)
+        return out
+
+    return below(0)
+
+
 @dataclass(frozen=True)
 class Forest:
     """Isolation trees as flat arrays: split feature (-1: leaf), split value, left child, right child, path length at leaves."""
@@ -236,34 +291,61 @@ class Forest:
         return self.logged_score(signed_log(x))
 
     @functools.cached_property
-    def _flat(self) -> list[tuple]:
-        """For each tree: its depth, and feature, value and both children of each node; a leaf is its own child."""
+    def cuts(self) -> list[np.ndarray]:
+        """Of each feature the different split values of all trees, in order."""
+        feature, value = (np.concatenate([t[c] for t in self.trees]) for c in ("feature", "value"))
+        return [np.unique(value[feature == f]) for f in range(len(self.features))]
+
+    @functools.cached_property
+    def _walks(self) -> list[tuple]:
+        """For each tree: feature, split value's number in cuts (from 1) and both children of each node; its depth; and the path length by the turns
+        taken, a bit for each level, 1 for right, zeros below a leaf."""
         out = []
         for t in self.trees:
-            leaf, own = t["feature"] < 0, np.arange(len(t["feature"]))
-            children = np.column_stack([np.where(leaf, own, t["left"]), np.where(leaf, own, t["right"])]).ravel().astype(np.int64)
-            depth, level = 0, np.zeros(1, np.int64)
-            while len(level := level[~leaf[level]]):
-                level = np.concatenate([t["left"][level], t["right"][level]])
+            number = np.zeros(len(t["feature"]), np.int64)
+            for f, cuts in enumerate(self.cuts):
+                own = t["feature"] == f
+                number[own] = np.searchsorted(cuts, t["value"][own]) + 1
+            level, depth, leaves = [(0, 0)], -1, []
+            while level:
                 depth += 1
-            out.append((depth, np.where(leaf, 0, t["feature"]).astype(np.int64), np.asarray(t["value"], float), children, t["path"]))
+                leaves += [(turns, depth, t["path"][k]) for k, turns in level if t["feature"][k] < 0]
+                level = [(int(t[side][k]), 2 * turns + i) for k, turns in level if t["feature"][k] >= 0 for i, side in enumerate(("left", "right"))]
+            lengths = np.zeros(1 << depth)
+            for turns, at, path in leaves:
+                lengths[turns << depth - at] = path
+            out.append(([*zip(t["feature"].tolist(), number.tolist(), t["left"].tolist(), t["right"].tolist(), strict=True)], depth, lengths))
         return out
 
     def logged_score(self, x: np.ndarray) -> np.ndarray:
         """numpy_score of features whose signed logs are taken already; NaN where unknown."""
-        x = np.where(np.isnan(x), signed_log(np.array(self.medians)), x)
-        out = np.zeros(len(x))
-        # few rows at a time, which stay in the processor's cache
-        for start in range(0, len(x), 4096):
-            part = np.ascontiguousarray(x[start : start + 4096]).ravel()
-            base, total = np.arange(0, len(part), x.shape[1]), 0.0
-            for depth, feature, value, children, path in self._flat:
-                node = np.zeros(len(base), np.int64)
-                for _ in range(depth):
-                    at = part.take(base + feature.take(node))
-                    node = children.take(2 * node + (at >= value.take(node)))
-                total = total + path.take(node)
-            out[start : start + 4096] = total
+        x = self.known(x)
+        return self.ranked_score([np.searchsorted(cuts, c, "right") for cuts, c in zip(self.cuts, x.T, strict=True)])
+
+    def known(self, x: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(x), signed_log(np.array(self.medians)), x)
+
+    def rank_tables(self, every: list[np.ndarray]) -> list[np.ndarray]:
+        """For each feature the rank among this forest's cuts by the rank among those of all_cuts."""
+        return [np.append(0, np.searchsorted(cuts, among, "right")).astype(np.min_scalar_type(len(cuts))) for cuts, among in zip(self.cuts, every, strict=True)]
+
+    def ranked_score(self, ranks: list[np.ndarray]) -> np.ndarray:
+        """The scores of rows, of which for each feature the number of cuts is known that are not above the row's value."""
+        n = len(ranks[0])
+        out, index, length = np.zeros(n), np.empty(8192, np.intp), np.empty(8192)
+        for start in range(0, n, SCORED_ROWS):
+            size = min(SCORED_ROWS, n - start)
+            above = [_above(r[start : start + size], len(cuts)) for r, cuts in zip(ranks, self.cuts, strict=True)]
+            for nodes, depth, lengths in self._walks:
+                code = np.zeros(size, np.uint8 if depth <= 8 else np.int64)
+                for turn in _turns(nodes, above):
+                    np.add(code, code, out=code)
+                    code |= np.unpackbits(turn.view(np.uint8))[:size]
+                # few rows at a time, which stay in the processor's cache
+                for at in range(0, size, 8192):
+                    own = code[at : at + 8192]
+                    index[: len(own)] = own
+                    out[start + at : start + at + len(own)] += lengths.take(index[: len(own)], out=length[: len(own)], mode="clip")
         return 2.0 ** (-(out / len(self.trees)) / max(_average_path(self.sample), 1e-12))
 
     def to_json(self) -> str:
@@ -286,6 +368,11 @@ class Forest:
         return forest(*((columns or {}).get(f, F.col(f)).cast("double") for f in self.features))
 
 
+def all_cuts(forests: list[Forest]) -> list[np.ndarray]:
+    """The cuts of all forests by feature: a row's rank among them is looked for once for all forests."""
+    return [np.unique(np.concatenate(own)) for own in zip(*(f.cuts for f in forests), strict=True)]
+
+
 def model_from_json(text: str) -> Gaussian | Forest:
     """A saved model of either kind; an error where it lacks what its kind needs."""
     fields = set(json.loads(text))
@@ -354,6 +441,7 @@ def tree_samples(rows: DataFrame, columns: list[str], key: list[str], trees: int
         sizes = {r["s"]: r["count"] for r in chosen.select(F.explode("sets").alias("s")).groupBy("s").count().collect()}
     keys = np.array(tree_keys(trees, seed), dtype=np.int64).reshape(trees, 2)
     bound = {s: PRIME if n <= 8 * sample else int(PRIME * (4 * sample / n)) + 1 for s, n in sizes.items()}
+    most = max(bound.values(), default=0)
     schema = "set int, tree int, hash long, row long, x array<double>"
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,10 +452,16 @@ def tree_samples(rows: DataFrame, columns: list[str], key: list[str], trees: int
             x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[2:]])
             member = batch.column(0)
             owner, of = np.repeat(np.arange(batch.num_rows), np.diff(member.offsets.to_numpy())), member.flatten().to_numpy()
-            limit = np.array([bound.get(int(s), 0) for s in of])
+            limit = np.zeros(int(of.max(initial=-1)) + 1, np.int64)
+            for s in range(len(limit)):
+                limit[s] = bound.get(s, 0)
+            first, many = member.offsets.to_numpy()[:-1] - member.offsets[0].as_py(), np.diff(member.offsets.to_numpy())
             for tree, (a, b) in enumerate(keys):
                 h = (a * row + b) % PRIME
-                got = np.flatnonzero(h[owner] < limit)
+                # only rows below some set's bound are looked at set by set
+                few = np.flatnonzero(h < most)
+                got = np.repeat(first[few] - np.append(0, np.cumsum(many[few])[:-1]), many[few]) + np.arange(many[few].sum())
+                got = got[h[owner[got]] < limit[of[got]]]
                 if len(got):
                     at = owner[got]
                     values = pa.ListArray.from_arrays(np.arange(0, len(at) * x.shape[1] + 1, x.shape[1], dtype=np.int32), pa.array(x[at].ravel()))
@@ -421,7 +515,10 @@ def fold_forests(rows: DataFrame, features: list[str], k: int, repeats: int, tre
     # set r * k + t: the rows in neither fold t nor the next of repeat r
     inside = [F.when((F.col("folds")[r] != t) & (F.col("folds")[r] != (t + 1) % k), F.lit(r * k + t)) for r in range(repeats) for t in range(k)]
     sets = F.array_compact(F.array(*inside))
-    sizes = {r["s"]: r["count"] for r in rows.select(F.explode(sets).alias("s")).groupBy("s").count().collect()}
+    sizes: dict[int, int] = {}
+    for own in rows.groupBy("folds").count().select("count", sets.alias("sets")).collect():
+        for s in own["sets"]:
+            sizes[s] = sizes.get(s, 0) + own["count"]
     middle = fold_medians(rows, features, k, repeats, among)
     medians = {s: [middle.get((s // k, s % k, i), 0.0) for i in range(len(features))] for s in sizes}
     found = _forests(rows, features, list(key), trees, sample, seed, sets, medians, sizes)
