@@ -427,6 +427,30 @@ def row_number_of(columns: list[Column]) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(PRIME))
 
 
+SAMPLES = "set int, tree int, hash long, row long, x array<double>"
+
+
+def hash_bounds(sizes: dict[int, int], sample: int) -> dict[int, int]:
+    """For each set of so many rows the bound that leaves about 4 * sample of them for each tree."""
+    return {s: PRIME if n <= 8 * sample else int(PRIME * (4 * sample / n)) + 1 for s, n in sizes.items()}
+
+
+def drawn(row: np.ndarray, x: np.ndarray, first: np.ndarray, many: np.ndarray, of: np.ndarray, keys: np.ndarray, limit: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """SAMPLES of rows: those whose hash is below the limit of a set they are in. A row's sets are many of `of`, from first on."""
+    most = limit.max(initial=0)
+    for tree, (a, b) in enumerate(keys):
+        h = (a * row + b) % PRIME
+        # only rows below some set's bound are looked at set by set
+        few = np.flatnonzero(h < most)
+        at = np.repeat(few, many[few])
+        got = np.repeat(first[few] - np.append(0, np.cumsum(many[few]))[:-1], many[few]) + np.arange(len(at))
+        below = h[at] < limit[of[got]]
+        at, got = at[below], got[below]
+        if len(got):
+            values = pa.ListArray.from_arrays(np.arange(0, len(at) * x.shape[1] + 1, x.shape[1], dtype=np.int32), pa.array(x[at].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(of[got], pa.int32()), pa.array(np.full(len(at), tree, np.int32)), pa.array(h[at]), pa.array(row[at]), values], ["set", "tree", "hash", "row", "x"])
+
+
 def tree_samples(rows: DataFrame, columns: list[str], key: list[str], trees: int, sample: int, seed: int, sets: Column | None = None, sizes: dict[int, int] | None = None) -> DataFrame:
     """set, tree, rank_hash, row, columns: for each set and tree the `sample` rows with the smallest keyed hashes, in one pass.
 
@@ -440,9 +464,7 @@ def tree_samples(rows: DataFrame, columns: list[str], key: list[str], trees: int
     if sizes is None:
         sizes = {r["s"]: r["count"] for r in chosen.select(F.explode("sets").alias("s")).groupBy("s").count().collect()}
     keys = np.array(tree_keys(trees, seed), dtype=np.int64).reshape(trees, 2)
-    bound = {s: PRIME if n <= 8 * sample else int(PRIME * (4 * sample / n)) + 1 for s, n in sizes.items()}
-    most = max(bound.values(), default=0)
-    schema = "set int, tree int, hash long, row long, x array<double>"
+    bound = hash_bounds(sizes, sample)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -451,26 +473,21 @@ def tree_samples(rows: DataFrame, columns: list[str], key: list[str], trees: int
             row = batch.column(1).to_numpy()
             x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[2:]])
             member = batch.column(0)
-            owner, of = np.repeat(np.arange(batch.num_rows), np.diff(member.offsets.to_numpy())), member.flatten().to_numpy()
+            of = member.flatten().to_numpy()
             limit = np.zeros(int(of.max(initial=-1)) + 1, np.int64)
             for s in range(len(limit)):
                 limit[s] = bound.get(s, 0)
             first, many = member.offsets.to_numpy()[:-1] - member.offsets[0].as_py(), np.diff(member.offsets.to_numpy())
-            for tree, (a, b) in enumerate(keys):
-                h = (a * row + b) % PRIME
-                # only rows below some set's bound are looked at set by set
-                few = np.flatnonzero(h < most)
-                got = np.repeat(first[few] - np.append(0, np.cumsum(many[few])[:-1]), many[few]) + np.arange(many[few].sum())
-                got = got[h[owner[got]] < limit[of[got]]]
-                if len(got):
-                    at = owner[got]
-                    values = pa.ListArray.from_arrays(np.arange(0, len(at) * x.shape[1] + 1, x.shape[1], dtype=np.int32), pa.array(x[at].ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(of[got], pa.int32()), pa.array(np.full(len(at), tree, np.int32)), pa.array(h[at]), pa.array(row[at]), values], ["set", "tree", "hash", "row", "x"])
+            yield from drawn(row, x, first, many, of, keys, limit)
 
-    return chosen.mapInArrow(draw, schema)
+    return chosen.mapInArrow(draw, SAMPLES)
 
 
 def _forests(rows: DataFrame, features: list[str], key: list[str], trees: int, sample: int, seed: int, sets: Column | None, medians: dict[int, list[float]], sizes: dict[int, int]) -> dict[int, Forest]:
+    return grown(tree_samples(rows, features, key, trees, sample, seed, sets, sizes), features, sample, seed, medians, sizes)
+
+
+def grown(samples: DataFrame, features: list[str], sample: int, seed: int, medians: dict[int, list[float]], sizes: dict[int, int]) -> dict[int, Forest]:
     """A forest for each set of rows: trees are grown in executors, each from its own sample, and only trees reach the driver."""
     parts = ("feature", "value", "left", "right", "path")
 
@@ -490,7 +507,7 @@ def _forests(rows: DataFrame, features: list[str], key: list[str], trees: int, s
 
     schema = "set int, tree int, " + ", ".join(f"{c} array<double>" for c in parts)
     found: dict[int, list] = {}
-    for r in tree_samples(rows, features, key, trees, sample, seed, sets, sizes).groupBy("set", "tree").applyInArrow(grow, schema).collect():
+    for r in samples.groupBy("set", "tree").applyInArrow(grow, schema).collect():
         found.setdefault(r["set"], []).append((r["tree"], {c: np.array(r[c]).astype(float if c in ("value", "path") else np.int64) for c in parts}))
     return {s: Forest(list(features), medians[s], [t for _, t in sorted(own, key=lambda v: v[0])], min(sample, sizes[s])) for s, own in found.items()}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,14 @@ def exact_quantiles(rows: DataFrame, value: str, quantiles: tuple[float, ...], b
     # written, as it is read twice and what gives the values may be a long plan
     each = written(known.withColumn("_cell", cell_of(F.col("_v"))), "values")
     sizes = each.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_size"))
+    return quantiles_by_cells(sizes, lambda keys: _join_cells(each, keys if many else F.broadcast(keys), by), quantiles, by)
+
+
+def quantiles_by_cells(sizes: DataFrame, values_of: Callable[[DataFrame], DataFrame], quantiles: tuple[float, ...], by: list[str]) -> DataFrame:
+    """What exact_quantiles returns, of values that are counted by cell already (by, _cell, _size).
+
+    values_of: by, _cell, _before and each value _v in some cells (by, _cell, _before); cells are in the order of their values.
+    """
     whole = Window.partitionBy(*by, F.lit(0))
     before = F.coalesce(F.sum("_size").over(whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.withColumns({"_before": before, "n": F.sum("_size").over(whole)})
@@ -51,7 +61,7 @@ def exact_quantiles(rows: DataFrame, value: str, quantiles: tuple[float, ...], b
     wanted = sizes.where((F.floor("at") < F.col("_before") + F.col("_size")) & (F.ceil("at") >= F.col("_before")))
     # a few cells for each group and quantile: the values of these only
     cell_keys = wanted.select(*by, "_cell", "_before").distinct()
-    inside = _join_cells(each, cell_keys if many else F.broadcast(cell_keys), by).groupBy(*by, "_cell", "_before", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    inside = values_of(cell_keys).groupBy(*by, "_cell", "_before", "_v").agg(F.count(F.lit(1)).alias("_k"))
     upto = F.sum("_k").over(Window.partitionBy(*by, "_cell").orderBy("_v")) + F.col("_before")
     inside = inside.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_k"))
     met = _join_cells(inside.drop("_before"), wanted.drop("_before", "_size"), by)

@@ -1,13 +1,15 @@
 """Streaming cross-validation without rows for each fold, quantile and variant.
 
-A row is scored once, by the models of all folds that test it or validate with it, and its scores are two arrays. Rows are put in the order of
-their segments once and kept as blocks of so many rows, each with the few rows before it that smoothing and persistence look back at. So a
-block is judged by itself: all quantiles and variants are columns of arrays, and only sums by (repeat, quantile, variant) leave it, with the
-segments that lie across its edges apart.
+Rows are put in the order of their segments once, for the windows' features, and kept in that order as blocks of so many rows, each with the
+few rows before it that smoothing and persistence look back at. Models are fitted from the blocks. A row is scored once, by the models of
+all folds that test it or validate with it, and its scores are two arrays. So a block is judged by itself: all quantiles and variants are columns of
+arrays, and only sums by (repeat, quantile, variant) leave it, with the segments that lie across its edges apart. Of the validation scores only
+counts by cell, and the values of the cells that hold a wanted rank, leave the blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,60 +18,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import seconds
-from tidewatch.operators import metrics
-from tidewatch.operators.models import signed_log
+from tidewatch.operators import metrics, thresholds
+from tidewatch.operators.models import PRIME, SAMPLES, Forest, all_cuts, drawn, fold_forests, grown, hash_bounds, signed_log, tree_keys
+from tidewatch.operators.moments import FoldSums, Moments, fold_models, merged, training_moments
 from tidewatch.schema import Settings
-from tidewatch.streaming.detector import NAMES
+from tidewatch.sources.scratch import written
+from tidewatch.streaming.detector import NAMES, complete
 
 #: Rows of a block: some hundred kilobytes.
 BLOCK_ROWS = 2000
+#: Rows that are scored at a time: each model has some tens of thousands of them.
+SCORED_ROWS = 150_000
 KEYS = ("group_id", "t_us", "seq", "kind", "label")
 SUMS = ("groups", "tp", "fp", "fn", "episodes", "found", "delay_us")
 PARTS = "repeat int, quantile int, variant int, group_id string, kind string, onset long, hit long, " + ", ".join(f"{c} long" for c in SUMS)
 NEVER = np.iinfo(np.int64).max
 
 
-def scored_rows(rows: DataFrame, models: dict[tuple[int, int], dict], features: dict[str, list[str]], k: int, repeats: int, settings: Settings) -> DataFrame:
-    """rows (with folds and features) with two arrays of scores, for each repeat those of NAMES: test, by the models of the fold that tests the row,
-    and validation (null unless the row is normal), by those of the fold before. NaN where a window isn't full."""
-    names = sorted({f for own in features.values() for f in own})
-    places = {n: [names.index(f) for f in features[n]] for n in NAMES}
-    full = [F.col(f"{n}_{settings.channels[0]}_mean").isNotNull().alias(f"_{n}") for n in ("short", "long")]
-    types = dict(rows.dtypes)
-    out = ", ".join(f"{c} {types[c]}" for c in KEYS) + ", folds array<int>, test array<double>, validation array<double>"
-    at = len(KEYS)
+def _message(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            folds = batch.column(at).flatten().to_numpy().reshape(n, -1)
-            known = [np.ones(n, bool), *(batch.column(at + 1 + i).to_numpy(zero_copy_only=False) for i in range(2))]
-            x = signed_log(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[at + 3 :]]))
-            own = [x[:, places[name]] for name in NAMES]
-            normal = batch.column(KEYS.index("kind")).to_numpy(zero_copy_only=False) == "normal"
-            lists = []
-            for mine, shift in ((np.ones(n, bool), 0), (normal, 1)):
-                found = np.full((n, repeats, len(NAMES)), np.nan)
-                for (r, t), by in models.items():
-                    if len(by) < len(NAMES):
-                        continue
-                    of = mine & ((folds[:, r] - shift) % k == t)
-                    for i, name in enumerate(NAMES):
-                        chosen = np.flatnonzero(of & known[i])
-                        if len(chosen):
-                            found[chosen, r, i] = by[name].logged_score(own[i][chosen])
-                width = repeats * len(NAMES)
-                offsets = pa.array(np.append(0, np.cumsum(np.where(mine, width, 0))).astype(np.int32))
-                lists.append(pa.ListArray.from_arrays(offsets, pa.array(found[mine].ravel()), mask=pa.array(~mine)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], *lists], [*KEYS, "folds", "test", "validation"])
 
-    return rows.select(*KEYS, "folds", *full, *(F.col(f).cast("double") for f in names)).mapInArrow(score, out)
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Blocks as tables, and how many of their first rows belong to the block before."""
+    for batch in batches:
+        for before, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield before, pa.ipc.open_stream(rows.as_buffer()).read_all()
 
 
-def blocks(scores: DataFrame, settings: Settings) -> DataFrame:
-    """before and rows: the rows of segments in order, in blocks as Arrow tables, of which the first `before` rows belong to the block before."""
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(float)
+
+
+def _folds(table: pa.Table) -> np.ndarray:
+    return table.column("folds").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+
+
+def blocks(rows: DataFrame, settings: Settings, ordered: bool = False) -> DataFrame:
+    """before and rows: the rows of segments in order, in blocks as Arrow tables, of which the first `before` rows belong to the block before.
+
+    ordered: rows come in the order of their segments already, each segment in one partition.
+    """
     back = settings.smooth - 1 + settings.persistence
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,13 +71,171 @@ def blocks(scores: DataFrame, settings: Settings) -> DataFrame:
                 own = pa.Table.from_batches([batch.slice(start, BLOCK_ROWS)])
                 whole = pa.concat_tables([tail, own]).combine_chunks() if tail is not None else own
                 before = whole.num_rows - own.num_rows
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, whole.schema) as writer:
-                    writer.write_table(whole)
                 tail = whole.slice(max(0, whole.num_rows - back))
-                yield pa.RecordBatch.from_arrays([pa.array([before], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["before", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array([before], pa.int32()), pa.array([_message(whole)], pa.binary())], ["before", "rows"])
+
+    if not ordered:
+        rows = rows.repartition("group_id").sortWithinPartitions("group_id", "t_us", "seq")
+    return rows.mapInArrow(cut, "before int, rows binary")
+
+
+def rows_of(kept: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Columns (with their types) of the rows of blocks, each row once."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for before, table in _tables(batches):
+            yield from table.slice(before).select(list(columns)).to_batches()
+
+    return kept.mapInArrow(unpack, ", ".join(f"`{c}` {t}" for c, t in columns.items()))
+
+
+def _name_columns(features: dict[str, list[str]], settings: Settings) -> tuple[list[str], dict[str, list[int]], dict[str, str]]:
+    """All features, the numbers of those of each model, and the column that is known where a window model's window is full."""
+    names = sorted({f for own in features.values() for f in own})
+    return names, {n: [names.index(f) for f in features[n]] for n in NAMES}, {n: f"{n}_{settings.channels[0]}_mean" for n in ("short", "long")}
+
+
+def _inputs(table: pa.Table, names: list[str], full: dict[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """folds, features (NaN where unknown), which rows may train, and those on which each model can be scored."""
+    idle = _numbers(table, "idle") == 1 if "idle" in table.column_names else np.zeros(table.num_rows, bool)
+    train = (table.column("kind").to_numpy() == "normal") & ~idle
+    ready = {n: table.column(full[n]).is_valid().to_numpy() if n in full else np.ones(table.num_rows, bool) for n in NAMES}
+    return _folds(table), np.column_stack([_numbers(table, f) for f in names]), train, ready
+
+
+def block_models(kept: DataFrame, types: dict[str, str], features: dict[str, list[str]], k: int, repeats: int, settings: Settings, kind: str = "ledoit_wolf", seed: int = 0) -> dict[tuple[int, int], dict]:
+    """The models by (repeat, test fold) and name, as moments.fold_models and models.fold_forests have them: from one scan, or for forests two scans
+    more for each name. Names of which some row lacks a feature are fitted by these. types: of the blocks' columns."""
+    names, places, full = _name_columns(features, settings)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [FoldSums(len(places[n]), k, repeats) for n in NAMES]
+        unknown, sizes = [np.zeros(len(places[n])) for n in NAMES], np.zeros((len(NAMES), repeats, k))
+        for before, table in _tables(batches):
+            folds, x, train, ready = _inputs(table.slice(before), names, full)
+            for i, n in enumerate(NAMES):
+                unknown[i] += np.isnan(x[ready[n]][:, places[n]]).sum(axis=0)
+                own = train & ready[n]
+                for r in range(repeats):
+                    sizes[i, r] += np.bincount(folds[own, r], minlength=k)
+                if kind != "forest":
+                    total[i].add(folds[own], x[own][:, places[n]])
+        found = [(n, r, f, m) for n, t in zip(NAMES, total, strict=True) for r, f, m in t.parts()]
+        found += [(n, -1, 0, v.tolist()) for n, v in zip(NAMES, unknown, strict=True)] + [(n, -2, 0, v.ravel().tolist()) for n, v in zip(NAMES, sizes, strict=True)]
+        arrays = zip(zip(*found, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64())), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in arrays], ["name", "repeat", "fold", "m"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        lists, p = [np.array(v) for v in rows.column("m").to_pylist()], len(places[rows.column("name")[0].as_py()])
+        whole = merged([Moments.unflat(v, p) for v in lists], p).flat() if rows.column("repeat")[0].as_py() >= 0 else sum(lists).tolist()
+        return pa.table({**{c: rows.column(c)[:1] for c in ("name", "repeat", "fold")}, "m": pa.array([whole], pa.list_(pa.float64()))})
+
+    schema = "name string, repeat int, fold int, m array<double>"
+    found = {(r["name"], r["repeat"], r["fold"]): np.array(r["m"]) for r in kept.mapInArrow(sums, schema).groupBy("name", "repeat", "fold").applyInArrow(add, schema).collect()}
+    models: dict[tuple[int, int], dict] = {}
+    for n in NAMES if found else ():
+        p = len(places[n])
+        if found[n, -1, 0].any():
+            every = complete(rows_of(kept, types), n, settings)
+            own = every.where("kind = 'normal' and coalesce(idle, 0) <> 1" if "idle" in types else "kind = 'normal'")
+            of = fold_forests(own, features[n], k, repeats, seed=seed, among=every) if kind == "forest" else fold_models(own, features[n], k, repeats, kind, every)
+        elif kind == "forest":
+            of = _block_forests(kept, n, features, found[n, -2, 0].reshape(repeats, k), settings, seed)
+        else:
+            parts = {(r, f): Moments.unflat(m, p) for (name, r, f), m in found.items() if name == n and r >= 0}
+            whole = {(r, t): training_moments(parts, r, t, k, p) for r in range(repeats) for t in range(k)}
+            of = {key: m.gaussian(features[n], [0.0] * p, kind) for key, m in whole.items() if m.n}
+        for key, model in of.items():
+            models.setdefault(key, {})[n] = model
+    return models
+
 
-    return scores.repartition("group_id").sortWithinPartitions("group_id", "t_us", "seq").mapInArrow(cut, "before int, rows binary")
+def _block_forests(kept: DataFrame, name: str, features: dict[str, list[str]], counts: np.ndarray, settings: Settings, seed: int, trees: int = 100, sample: int = 256) -> dict[tuple[int, int], Forest]:
+    """models.fold_forests of rows that know all features. counts: training rows by repeat and fold."""
+    repeats, k = counts.shape
+    names, places, full = _name_columns({n: features[name] for n in NAMES}, settings)
+    # the tests that a fold trains for, and the rows of each (repeat, test)
+    trained = np.array([[t for t in range(k) if f not in (t, (t + 1) % k)] for f in range(k)]).reshape(k, -1)
+    sizes = {r * k + t: int(sum(counts[r, f] for f in range(k) if t in trained[f])) for r in range(repeats) for t in range(k)}
+    sizes = {s: n for s, n in sizes.items() if n}
+    bounds, keys = hash_bounds(sizes, sample), np.array(tree_keys(trees, seed), dtype=np.int64).reshape(trees, 2)
+    limit = np.array([bounds.get(s, 0) for s in range(repeats * k)], np.int64)
+
+    def number(*key) -> int:
+        """As models.row_number_of."""
+        return int(hashlib.md5(":".join("" if v is None else str(v) for v in key).encode()).hexdigest()[:15], 16) % PRIME
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for before, table in _tables(batches):
+            own = table.slice(before)
+            folds, x, train, ready = _inputs(own, names, full)
+            chosen = np.flatnonzero(train & ready[name])
+            if len(chosen):
+                own = own.select(["group_id", "t_us", "seq"]).take(pa.array(chosen))
+                row = np.array(list(map(number, *(c.to_pylist() for c in own.columns))), np.int64)
+                of = (np.arange(repeats)[:, None] * k + trained[folds[chosen]]).reshape(len(chosen), -1)
+                many = np.full(len(chosen), of.shape[1])
+                yield from drawn(row, x[chosen][:, places[name]], np.arange(len(chosen)) * of.shape[1], many, of.ravel(), keys, limit)
+
+    found = grown(kept.mapInArrow(draw, SAMPLES), features[name], sample, seed, {s: [0.0] * len(features[name]) for s in sizes}, sizes)
+    return {(s // k, s % k): f for s, f in found.items()}
+
+
+def scored_blocks(kept: DataFrame, models: dict[tuple[int, int], dict], features: dict[str, list[str]], k: int, repeats: int, settings: Settings) -> DataFrame:
+    """Blocks of rows with two arrays of scores instead of their features, for each repeat those of NAMES: test, by the models of the fold that tests
+    the row, and validation (null unless the row is normal), by those of the fold before. NaN where a window isn't full."""
+    names, places, full = _name_columns(features, settings)
+    models = {key: by for key, by in models.items() if len(by) == len(NAMES)}
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = {n: all_cuts([by[n] for by in models.values()]) for n in NAMES if isinstance(next(iter(models.values()))[n], Forest)}
+        ranked = {(key, n): by[n].rank_tables(cuts[n]) for key, by in models.items() for n in cuts}
+
+        def judged(held: list[tuple[int, pa.Table]]) -> Iterator[pa.RecordBatch]:
+            table = pa.concat_tables([t for _, t in held]).combine_chunks()
+            n = table.num_rows
+            folds, x, _, ready = _inputs(table, names, full)
+            x, normal = signed_log(x), table.column("kind").to_numpy() == "normal"
+            test, validation = (np.full((n, repeats, len(NAMES)), np.nan) for _ in range(2))
+            for i, name in enumerate(NAMES):
+                own = np.ascontiguousarray(x[:, places[name]])
+                ranks = None
+                if name in cuts and not np.isnan(own[ready[name]]).any():
+                    ranks = [np.searchsorted(c, v, "right") for c, v in zip(cuts[name], own.T, strict=True)]
+                for (r, t), by in models.items():
+                    tested = folds[:, r] == t
+                    chosen = np.flatnonzero(ready[name] & (tested | normal & (folds[:, r] == (t + 1) % k)))
+                    if not len(chosen):
+                        continue
+                    if ranks is None:
+                        found = by[name].logged_score(own[chosen])
+                    else:
+                        found = by[name].ranked_score([of.take(rank.take(chosen)) for of, rank in zip(ranked[(r, t), name], ranks, strict=True)])
+                    # with one fold a row is tested and validates by the same models
+                    test[chosen[tested[chosen]], r, i] = found[tested[chosen]]
+                    other = normal & (folds[:, r] == (t + 1) % k)
+                    validation[chosen[other[chosen]], r, i] = found[other[chosen]]
+            lists = []
+            for found, mine in ((test, np.ones(n, bool)), (validation, normal)):
+                offsets = pa.array(np.append(0, np.cumsum(np.where(mine, repeats * len(NAMES), 0))).astype(np.int32))
+                lists.append(pa.ListArray.from_arrays(offsets, pa.array(found[mine].ravel()), mask=pa.array(~mine)))
+            out = table.select([*KEYS, "folds"]).append_column("test", lists[0]).append_column("validation", lists[1])
+            at = 0
+            for before, t in held:
+                yield pa.RecordBatch.from_arrays([pa.array([before], pa.int32()), pa.array([_message(out.slice(at, t.num_rows))], pa.binary())], ["before", "rows"])
+                at += t.num_rows
+
+        held, size = [], 0
+        for before, table in _tables(batches):
+            held.append((before, table))
+            size += table.num_rows
+            if size >= SCORED_ROWS:
+                yield from judged(held)
+                held, size = [], 0
+        if held:
+            yield from judged(held)
+
+    return kept.mapInArrow(score, "before int, rows binary")
 
 
 class Block:
@@ -119,20 +269,74 @@ class Block:
         return out if self.digits is None else np.round(out, self.digits)
 
 
-def validation_scores(kept: DataFrame, k: int, repeats: int, settings: Settings, digits: int | None = None) -> DataFrame:
-    """repeat, test_fold, name, score of all validation rows whose score is known."""
+def _cells(score: np.ndarray) -> np.ndarray:
+    """The number of a score's cell, as thresholds.cell_of has it: cells are in the order of the scores."""
+    with np.errstate(divide="ignore"):
+        place = np.floor(np.clip(np.log2(np.abs(score)), -1100, 1100) * thresholds.CELLS).astype(np.int64) + 2048 * thresholds.CELLS
+    return np.where(score == 0, 0, np.where(score > 0, place, -place))
+
+
+def _validation(batches: Iterator[pa.RecordBatch], k: int, repeats: int, settings: Settings, digits: int | None) -> Iterator[tuple[int, int, str, np.ndarray]]:
+    """repeat, test fold, name and the scores of a block's validation rows whose score is known."""
+    for batch in batches:
+        for before, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            b = Block(rows.as_buffer(), repeats, settings, digits)
+            found = b.scores("validation")[before:]
+            for r in range(repeats):
+                test = (b.folds[before:, r] - 1) % k
+                for t in range(k):
+                    own = found[test == t, r]
+                    for i, name in enumerate(NAMES):
+                        known = own[~np.isnan(own[:, i]), i]
+                        if len(known):
+                            yield r, t, name, known
+
+
+OF = "repeat int, test_fold int, name string"
+
+
+def validation_scores(kept: DataFrame, k: int, repeats: int, settings: Settings, digits: int | None = None, cells: dict[tuple[int, int, str], dict[int, int]] | None = None) -> DataFrame:
+    """repeat, test_fold, name, score of all validation rows whose score is known; of those in some cells only, and with the cell and the number that
+    cells has for it, if there are cells."""
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for before, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                b = Block(rows.as_buffer(), repeats, settings, digits)
-                found = b.scores("validation")[before:]
-                for i, name in enumerate(NAMES):
-                    row, r = np.nonzero(~np.isnan(found[:, :, i]))
-                    test = (b.folds[before:][row, r] - 1) % k
-                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(test, pa.int32()), pa.array([name] * len(r), pa.string()), pa.array(found[row, r, i])], ["repeat", "test_fold", "name", "score"])
+        for r, t, name, score in _validation(batches, k, repeats, settings, digits):
+            more = {}
+            if cells is not None:
+                of, wanted = _cells(score), cells.get((r, t, name), {})
+                own = np.isin(of, list(wanted))
+                score, of = score[own], of[own]
+                more = {"_cell": pa.array(of), "_before": pa.array([wanted[c] for c in of.tolist()], pa.int64())}
+            n = len(score)
+            if n:
+                yield pa.RecordBatch.from_pydict({"repeat": pa.array(np.full(n, r, np.int32)), "test_fold": pa.array(np.full(n, t, np.int32)), "name": pa.array([name] * n), **more, "score" if cells is None else "_v": pa.array(score)})
+
+    return kept.mapInArrow(values, f"{OF}, score double" if cells is None else f"{OF}, _cell long, _before long, _v double")
+
+
+def validation_quantiles(kept: DataFrame, k: int, repeats: int, settings: Settings, quantiles: tuple[float, ...], digits: int | None = None) -> DataFrame:
+    """repeat, test_fold, name, quantiles and n, as thresholds.exact_quantiles of validation_scores: scores are counted by cell where they are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int, str], dict[int, int]] = {}
+        for r, t, name, score in _validation(batches, k, repeats, settings, digits):
+            own = total.setdefault((r, t, name), {})
+            for cell, n in zip(*(v.tolist() for v in np.unique(_cells(score), return_counts=True)), strict=True):
+                own[cell] = own.get(cell, 0) + n
+        found = [(*key, cell, n) for key, own in total.items() for cell, n in own.items()]
+        if found:
+            arrays = zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in arrays], ["repeat", "test_fold", "name", "_cell", "_size"])
+
+    def values_of(keys: DataFrame) -> DataFrame:
+        cells: dict[tuple[int, int, str], dict[int, int]] = {}
+        for key in keys.collect():
+            cells.setdefault((key["repeat"], key["test_fold"], key["name"]), {})[key["_cell"]] = key["_before"]
+        return validation_scores(kept, k, repeats, settings, digits, cells)
 
-    return kept.mapInArrow(values, "repeat int, test_fold int, name string, score double")
+    by = ["repeat", "test_fold", "name"]
+    sizes = kept.mapInArrow(count, f"{OF}, _cell long, _size long").groupBy(*by, "_cell").agg(F.sum("_size").alias("_size"))
+    return thresholds.quantiles_by_cells(written(sizes, "cells"), values_of, quantiles, by)
 
 
 def block_sums(kept: DataFrame, limits: dict[tuple[int, int], np.ndarray], repeats: int, settings: Settings, variants: tuple[str, ...], digits: int | None = None) -> DataFrame:
@@ -204,7 +408,8 @@ def block_sums(kept: DataFrame, limits: dict[tuple[int, int], np.ndarray], repea
 
 
 def alarm_table(parts: DataFrame, quantiles: tuple[float, ...], variants: tuple[str, ...]) -> DataFrame:
-    """The metrics of metrics.raw_alarm_metrics by repeat, quantile and variant, from PARTS."""
+    """The metrics of metrics.raw_alarm_metrics by repeat, quantile and variant, from PARTS (kept, as they are read twice)."""
+    parts = written(parts, "cv-parts")
     by = ["repeat", "quantile", "variant"]
     edges = parts.where("group_id is not null").groupBy(*by, "group_id", "kind").agg(F.min("onset").alias("onset"), F.min("hit").alias("hit"), *(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "episodes")))
     edges = edges.withColumns({"groups": F.lit(1), "found": F.col("hit").isNotNull().cast("long"), "delay_us": F.coalesce(F.col("hit") - F.col("onset"), F.lit(0))})

@@ -197,7 +197,7 @@ def fold_scores(rows: DataFrame, k: int, repeats: int, settings: Settings, kind:
 def fold_fits(rows: DataFrame, k: int, repeats: int, settings: Settings, kind: str = "ledoit_wolf", seed: int = 0, fold_map=None, features: dict[str, list[str]] | None = None) -> tuple[DataFrame, dict[tuple[int, int], dict], dict[str, list[str]]]:
     """rows with folds and features, the models by (repeat, test fold) and name, and the models' features."""
     names = features or features_of(settings)
-    wanted = {"source", "group_id", "t_us", "seq", "kind", "label", "idle", "folds", *(f for own in names.values() for f in own), *(f"{n}_{settings.channels[0]}_mean" for n in ("short", "long"))}
+    wanted = _wanted(names, settings)
     every = with_folds(model_inputs(rows, settings), k, repeats, seed, fold_map)
     inputs = written(every.select(*(c for c in every.columns if c in wanted)), "cv-inputs")
     train = inputs.where("kind = 'normal' and coalesce(idle, 0) <> 1")
@@ -208,9 +208,17 @@ def fold_fits(rows: DataFrame, k: int, repeats: int, settings: Settings, kind: s
         found = fold_forests(own, names[name], k, repeats, seed=seed, among=every) if kind == "forest" else fold_models(own, names[name], k, repeats, kind, every)
         for key, model in found.items():
             models.setdefault(key, {})[name] = model
+    _check_models(models)
+    return inputs, models, names
+
+
+def _wanted(names: dict[str, list[str]], settings: Settings) -> set[str]:
+    return {"source", "group_id", "t_us", "seq", "kind", "label", "idle", "folds", *(f for own in names.values() for f in own), *(f"{n}_{settings.channels[0]}_mean" for n in ("short", "long"))}
+
+
+def _check_models(models: dict[tuple[int, int], dict]) -> None:
     if not any(len(m) == len(NAMES) for m in models.values()):
         raise ValueError("no fold has enough training rows")
-    return inputs, models, names
 
 
 def fold_thresholds(scores: DataFrame, settings: Settings, quantiles: tuple[float, ...]) -> DataFrame:
@@ -224,7 +232,10 @@ def fold_thresholds(scores: DataFrame, settings: Settings, quantiles: tuple[floa
 
 
 def _thresholds(long: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
-    found = thresholds.exact_quantiles(long, "score", quantiles, ["repeat", "test_fold", "name"])
+    return _by_quantile(thresholds.exact_quantiles(long, "score", quantiles, ["repeat", "test_fold", "name"]), quantiles)
+
+
+def _by_quantile(found: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
     found = found.groupBy("repeat", "test_fold").agg(*(F.first(F.when(F.col("name") == n, F.col("quantiles")), True).alias(f"_{n}") for n in NAMES))
     places = F.explode(F.array(*(F.struct(F.lit(float(v)).alias("quantile"), *(F.coalesce(F.col(f"_{n}")[i], F.lit(float("inf"))).alias(f"{n}_threshold") for n in NAMES)) for i, v in enumerate(quantiles))))
     return found.select("repeat", "test_fold", places.alias("_p")).select("repeat", "test_fold", "_p.*")
@@ -248,9 +259,15 @@ def streaming_cv(rows: DataFrame, settings: Settings, k: int = 5, repeats: int =
     digits: decimals at which scores and thresholds are compared, so that rows of equal scores, which sums in another order tell apart in their last
     digits, are on the same side of a threshold.
     """
-    inputs, models, names = fold_fits(rows, k, repeats, settings, kind, seed, fold_map, features)
-    kept = written(cv_blocks.blocks(cv_blocks.scored_rows(inputs, models, names, k, repeats, settings), settings), "cv-scores")
-    found = _thresholds(cv_blocks.validation_scores(kept, k, repeats, settings, digits), quantiles).collect()
+    names = features or features_of(settings)
+    # folds first: the windows' pass leaves the rows in the order of their segments, which blocks keep
+    every = model_inputs(with_folds(rows, k, repeats, seed, fold_map), settings)
+    every = every.select(*(c for c in every.columns if c in _wanted(names, settings)))
+    inputs = written(cv_blocks.blocks(every, settings, ordered=True), "cv-inputs")
+    models = cv_blocks.block_models(inputs, dict(every.dtypes), names, k, repeats, settings, kind, seed)
+    _check_models(models)
+    kept = written(cv_blocks.scored_blocks(inputs, models, names, k, repeats, settings), "cv-scores")
+    found = _by_quantile(cv_blocks.validation_quantiles(kept, k, repeats, settings, quantiles, digits), quantiles).collect()
     place = {float(q): i for i, q in enumerate(quantiles)}
     limits = {(r["repeat"], r["test_fold"]): np.full((len(quantiles), len(NAMES)), np.inf) for r in found}
     for r in found:
