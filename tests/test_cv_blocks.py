@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import metrics, models, sessions
+from tidewatch.operators import metrics, models, sessions, thresholds
 from tidewatch.operators.models import Forest, _grow, all_cuts
 from tidewatch.plans import cv_blocks, protocol
 from tidewatch.schema import Settings
@@ -33,8 +33,8 @@ def test_blocks_equal_rows_and_no_row_is_repeated(spark, monkeypatch, size):
     want = metrics.raw_alarm_metrics(found.select("*", each.alias("_v")).select("*", "_v.variant", "_v.alarm"), "alarm", ["repeat", "quantile", "variant"])
     kept, plain = {}, protocol.written
 
-    def counting(df, name):
-        kept[name] = plain(df, name)
+    def counting(df, name, *group_rows):
+        kept[name] = plain(df, name, *group_rows)
         return kept[name]
 
     monkeypatch.setattr(protocol, "written", counting)
@@ -92,3 +92,17 @@ def test_forests_share_ranks_and_no_row_is_walked_by_itself():
         got = f.ranked_score([table.take(r) for table, r in zip(f.rank_tables(every), ranks)])
         assert (got == f.logged_score(x)).all()
         np.testing.assert_allclose(got, 2 ** (-total / 7 / models._average_path(64)))
+
+
+def test_models_and_thresholds_come_from_blocks(spark):
+    """As from rows: forests have the same trees, thresholds are exact, though of all scores only those of a few cells leave the blocks."""
+    rows = samples(spark)
+    inputs, want, names = protocol.fold_fits(rows, 3, 1, SETTINGS, "forest")
+    kept = cv_blocks.blocks(inputs, SETTINGS).persist()
+    got = cv_blocks.block_models(kept, dict(inputs.dtypes), names, 3, 1, SETTINGS, "forest")
+    trees = lambda models: {(key, n): m.to_json() for key, by in models.items() for n, m in by.items()}
+    assert trees(got) == trees(want) and any(len(by) == len(names) for by in got.values())
+    scored = cv_blocks.scored_blocks(kept, got, names, 3, 1, SETTINGS).persist()
+    by, every = ["repeat", "test_fold", "name"], cv_blocks.validation_scores(scored, 3, 1, SETTINGS)
+    told = lambda df: {tuple(r[c] for c in by): (r["quantiles"], r["n"]) for r in df.collect()}
+    assert told(cv_blocks.validation_quantiles(scored, 3, 1, SETTINGS, (0.5, 0.93))) == told(thresholds.exact_quantiles(every, "score", (0.5, 0.93), by))

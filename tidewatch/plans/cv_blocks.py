@@ -27,6 +27,8 @@ from tidewatch.streaming.detector import NAMES, complete
 
 #: Rows of a block: some hundred kilobytes.
 BLOCK_ROWS = 2000
+#: Blocks that a reader takes at once at most: some megabytes.
+GROUP_BLOCKS = 16
 #: Rows that are scored at a time: each model has some tens of thousands of them.
 SCORED_ROWS = 150_000
 KEYS = ("group_id", "t_us", "seq", "kind", "label")
@@ -299,17 +301,32 @@ def validation_scores(kept: DataFrame, k: int, repeats: int, settings: Settings,
     """repeat, test_fold, name, score of all validation rows whose score is known; of those in some cells only, and with the cell and the number that
     cells has for it, if there are cells."""
 
+    def together(parts: list[tuple]) -> pa.RecordBatch:
+        keys, cell, before, score = [p[:3] for p in parts], *(np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
+        of = [np.repeat(np.array([key[i] for key in keys], np.int32), [len(p[5]) for p in parts]) for i in (0, 1, 2)]
+        name = pa.array(NAMES).take(pa.array(of[2]))
+        more = {} if cells is None else {"_cell": pa.array(cell), "_before": pa.array(before)}
+        return pa.RecordBatch.from_pydict({"repeat": pa.array(of[0]), "test_fold": pa.array(of[1]), "name": name, **more, "score" if cells is None else "_v": pa.array(score)})
+
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # few of a block's scores are wanted: those of many blocks make a batch
+        parts, size = [], 0
         for r, t, name, score in _validation(batches, k, repeats, settings, digits):
-            more = {}
+            of = before = np.zeros(len(score), np.int64)
             if cells is not None:
-                of, wanted = _cells(score), cells.get((r, t, name), {})
+                wanted = cells.get((r, t, name), {})
+                of = _cells(score)
                 own = np.isin(of, list(wanted))
                 score, of = score[own], of[own]
-                more = {"_cell": pa.array(of), "_before": pa.array([wanted[c] for c in of.tolist()], pa.int64())}
-            n = len(score)
-            if n:
-                yield pa.RecordBatch.from_pydict({"repeat": pa.array(np.full(n, r, np.int32)), "test_fold": pa.array(np.full(n, t, np.int32)), "name": pa.array([name] * n), **more, "score" if cells is None else "_v": pa.array(score)})
+                before = np.array([wanted[c] for c in of.tolist()], np.int64)
+            if len(score):
+                parts.append((r, t, NAMES.index(name), of, before, score))
+                size += len(score)
+            if size >= 10_000:
+                yield together(parts)
+                parts, size = [], 0
+        if parts:
+            yield together(parts)
 
     return kept.mapInArrow(values, f"{OF}, score double" if cells is None else f"{OF}, _cell long, _before long, _v double")
 

@@ -263,10 +263,10 @@ def streaming_cv(rows: DataFrame, settings: Settings, k: int = 5, repeats: int =
     # folds first: the windows' pass leaves the rows in the order of their segments, which blocks keep
     every = model_inputs(with_folds(rows, k, repeats, seed, fold_map), settings)
     every = every.select(*(c for c in every.columns if c in _wanted(names, settings)))
-    inputs = written(cv_blocks.blocks(every, settings, ordered=True), "cv-inputs")
+    inputs = written(cv_blocks.blocks(every, settings, ordered=True), "cv-inputs", cv_blocks.GROUP_BLOCKS)
     models = cv_blocks.block_models(inputs, dict(every.dtypes), names, k, repeats, settings, kind, seed)
     _check_models(models)
-    kept = written(cv_blocks.scored_blocks(inputs, models, names, k, repeats, settings), "cv-scores")
+    kept = written(cv_blocks.scored_blocks(inputs, models, names, k, repeats, settings), "cv-scores", cv_blocks.GROUP_BLOCKS)
     found = _by_quantile(cv_blocks.validation_quantiles(kept, k, repeats, settings, quantiles, digits), quantiles).collect()
     place = {float(q): i for i, q in enumerate(quantiles)}
     limits = {(r["repeat"], r["test_fold"]): np.full((len(quantiles), len(NAMES)), np.inf) for r in found}

@@ -18,8 +18,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet and read again: computed once, and the same for each reader whatever executors are lost."""
+def written(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+    """df written as Parquet and read again: computed once, and the same for each reader whatever executors are lost.
+
+    group_rows: rows of a Parquet row group at most, where single values are large, as a reader takes thousands of rows of a group at once.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write if group_rows is None else df.write.option("parquet.block.row.count.limit", str(group_rows))
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
