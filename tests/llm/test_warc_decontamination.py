@@ -2,8 +2,10 @@ import base64
 import hashlib
 import random
 import re
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from corpus import COLUMNS, empty, frame, rows, texts
 from pyspark.sql import functions as F
@@ -149,3 +151,10 @@ def test_positions_of_very_many_short_texts_stay_in_range(spark):
     found = find_contamination(docs, bench)
     assert found.count() == 530_000
     assert [r["doc_id"] for r in found.where("size(spans) > 0").orderBy("doc_id").collect()] == [k * 100_000 + 99_999 for k in range(5)]
+
+
+def test_no_row_group_of_the_index_holds_several_blocks(spark):
+    values = ["alpha beta gamma", "delta " * 50] * 20
+    index = build_index(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string").coalesce(1), block_bytes=400)
+    groups = [m.row_group(i).num_rows for m in (pq.read_metadata(urlparse(f).path) for f in index.inputFiles()) for i in range(m.num_row_groups)]
+    assert len(groups) == index.count() >= 20 and set(groups) == {1}

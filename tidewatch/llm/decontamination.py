@@ -39,6 +39,8 @@ WINDOW = 10
 BLOCK_BYTES = 4 << 20
 #: Documents of a block at most, which bounds its row where texts are short.
 BLOCK_DOCS = 1 << 16
+#: Blocks of a Parquet row group, which its writer and its readers hold whole, whatever the length of the task's input.
+GROUP_BLOCKS = 1
 QUERY_WORDS = 200_000
 #: Lower-cases A-Z, keeps digits, a-z and bytes of non-ASCII characters, makes all else a space.
 WORD_BYTES = bytes((UPPER + LOWER).encode().find(b) % 26 + 97 if chr(b) in UPPER + LOWER else b if 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -190,7 +192,7 @@ def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if ids:
             yield flush()
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(index, INDEX), "postings", compression="zstd")
+    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(index, INDEX), "postings", compression="zstd", **{"parquet.block.row.count.limit": str(GROUP_BLOCKS)})
 
 
 HITS = "block long, place int, doc_id long, n_words long, spans array<array<int>>, items array<long>"
