@@ -1,14 +1,17 @@
 """Streaming cross-validation by blocks against the plain form by rows, and its ties."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import metrics, models, sessions, thresholds
 from tidewatch.operators.models import Forest, _grow, all_cuts
-from tidewatch.plans import cv_blocks, protocol
+from tidewatch.plans import cv_blocks, cv_queries, protocol
 from tidewatch.schema import Settings
 
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SETTINGS = Settings(gap_sec=40.0, short_size=3, long_size=5, channels=("a", "b", "c"))
 VARIANTS = ("final_alarm", "or_3", "long_alarm")
 
@@ -106,3 +109,12 @@ def test_models_and_thresholds_come_from_blocks(spark):
     by, every = ["repeat", "test_fold", "name"], cv_blocks.validation_scores(scored, 3, 1, SETTINGS)
     told = lambda df: {tuple(r[c] for c in by): (r["quantiles"], r["n"]) for r in df.collect()}
     assert told(cv_blocks.validation_quantiles(scored, 3, 1, SETTINGS, (0.5, 0.93))) == told(thresholds.exact_quantiles(every, "score", (0.5, 0.93), by))
+
+
+def test_comparison_has_all_quantiles_and_variants(spark):
+    found = cv_queries.streaming_cv_comparison(spark, SF_DIR).toPandas().set_index(["quantile", "variant"]).sort_index()
+    repeats = cv_queries.streaming_cv_sweep(spark, SF_DIR).toPandas().groupby(["quantile", "variant"])
+    assert sorted(found.index) == sorted((q, v) for q in cv_queries.QUANTILES for v in protocol.VARIANTS)
+    for m in ("event_detection_rate", "delay_mean_sec", "sample_f1", "normal_fa_cycle_rate", "idle_fa_cycle_rate", "normal_fa_episodes"):
+        for name, want in (("mean", repeats[m].mean()), ("std", repeats[m].std())):
+            np.testing.assert_allclose(found[f"{m}_{name}"].astype(float), want.sort_index(), atol=3e-4)

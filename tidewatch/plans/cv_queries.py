@@ -31,8 +31,8 @@ def streaming_cv_sweep(spark, sf_dir):
 
 @query()
 def streaming_cv_comparison(spark, sf_dir):
-    """Means and deviations over the repeats, for the final alarm."""
-    return rounded(comparison_table(streaming_cv(event_rows(spark, sf_dir), EVENT_SETTINGS, K, REPEATS, quantiles=QUANTILES[:2])), 4)
+    """Means and deviations over the repeats, for all quantiles and variants."""
+    return rounded(comparison_table(streaming_cv(event_rows(spark, sf_dir), EVENT_SETTINGS, K, REPEATS, quantiles=QUANTILES, variants=VARIANTS)), 4)
 
 
 @query()
