@@ -10,6 +10,7 @@ import pytest
 from corpus import COLUMNS, empty, frame, rows, texts
 from pyspark.sql import functions as F
 
+from tidewatch.llm import decontamination
 from tidewatch.llm.decontamination import Block, Numbers, Queries, build_index, contamination_digest, drop_contaminated, find_contamination, matches, search_index
 from tidewatch.llm.warc import read_archive, write_archive
 
@@ -158,3 +159,12 @@ def test_no_row_group_of_the_index_holds_several_blocks(spark):
     index = build_index(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string").coalesce(1), block_bytes=400)
     groups = [m.row_group(i).num_rows for m in (pq.read_metadata(urlparse(f).path) for f in index.inputFiles()) for i in range(m.num_row_groups)]
     assert len(groups) == index.count() >= 20 and set(groups) == {1}
+
+
+def test_texts_reach_the_index_in_small_batches(spark, monkeypatch):
+    conf, plain, seen = "spark.sql.execution.arrow.maxBytesPerBatch", decontamination.materialize, []
+    before = spark.conf.get(conf)
+    monkeypatch.setattr(decontamination, "materialize", lambda df, *name, **options: seen.append(spark.conf.get(conf)) or plain(df, *name, **options))
+    docs = spark.range(300).selectExpr("id as doc_id", "concat(repeat('alpha ', 10000), id) as text")
+    assert build_index(docs.coalesce(1)).selectExpr("sum(size(doc_ids))", "sum(aggregate(lengths, 0, (a, b) -> a + b))").first()[:] == (300, 300 * 10001)
+    assert seen == [str(decontamination.BLOCK_BYTES)] and spark.conf.get(conf) == before

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +43,18 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, n_bytes: int) -> Iterator[None]:
+    """What is run in here hands rows to Python in batches of about n_bytes at most, however large a partition is."""
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(n_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, before)
+
+
 def new_name(df: DataFrame, name: str) -> str:
     """name, or with as many _ behind it as make it the name of no column of df."""
     known = {c.lower() for c in df.columns}

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import LOWER, UPPER, materialize, shared_folder, with_row_key
+from tidewatch.llm.common import LOWER, UPPER, arrow_batches, materialize, shared_folder, with_row_key
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -192,7 +192,8 @@ def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if ids:
             yield flush()
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(index, INDEX), "postings", compression="zstd", **{"parquet.block.row.count.limit": str(GROUP_BLOCKS)})
+    with arrow_batches(docs.sparkSession, BLOCK_BYTES):  # as the texts are cut into blocks anyway
+        return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(index, INDEX), "postings", compression="zstd", **{"parquet.block.row.count.limit": str(GROUP_BLOCKS)})
 
 
 HITS = "block long, place int, doc_id long, n_words long, spans array<array<int>>, items array<long>"
